@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
@@ -123,10 +124,34 @@ def slabs(batch: pa.RecordBatch, text: int, most: int = 4 << 20):
     n = batch.num_rows
     if not n:
         return
-    lens = pa.compute.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    lens = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends, i = np.cumsum(lens), 0
     while i < n:
         base = ends[i - 1] if i else 0
         j = max(i + 1, int(np.searchsorted(ends, base + most, "right")))
         yield batch.slice(i, j - i)
         i = j
+
+
+def append_columns(df: DataFrame, keep: list[str], inputs: list[str], added: str, make, most: int = 4 << 20) -> DataFrame:
+    """The kept columns of df and new ones that make(*input arrays) returns for each slice of about `most` text bytes.
+
+    added: DDL of the new columns; kept columns of the same names (any case) are left out. The first input is the text.
+    """
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import StructType
+
+    extra = StructType.fromDDL(added)
+    new = {f.name.lower() for f in extra}
+    kept = [c for c in keep if c.lower() not in new]
+    rows = df.select(*[F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(inputs)], *[F.col(f"`{c}`") for c in kept])
+    schema = StructType([*[df.schema[c] for c in kept], *extra])
+    k = len(inputs)
+
+    def run(batches):
+        for batch in batches:
+            for part in slabs(batch, 0, most):
+                made = make(*part.columns[:k])
+                yield pa.RecordBatch.from_arrays([*part.columns[k:], *made], names=schema.names)
+
+    return rows.mapInArrow(run, schema)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, wavelet
+from . import decontam, mixing, secrets, urls, wavelet
 
 QUERIES = {
+    "op1_decontaminate": decontam.op1_decontaminate,
+    "op6_secret_scan": secrets.op6_secret_scan,
+    "op8_url_filter": urls.op8_url_filter,
     "op9_token_output": wavelet.op9_token_output,
     "op10_poisson_mix": mixing.op10_poisson_mix,
 }
-SQL = {"op10_poisson_mix": mixing.OP10_SQL}
+SQL = {"op6_secret_scan": secrets.OP6_SQL, "op1_decontaminate": decontam.OP1_SQL, "op10_poisson_mix": mixing.OP10_SQL}
