@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, secrets, urls, wavelet
+from . import decontam, mixing, neardup, secrets, urls, wavelet
 
 QUERIES = {
     "op1_decontaminate": decontam.op1_decontaminate,
+    "op5_near_duplicates": neardup.op5_near_duplicates,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op8_url_filter": urls.op8_url_filter,
     "op9_token_output": wavelet.op9_token_output,
