@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontam, katz, mixing, neardup, secrets, urls, wavelet
+from . import decontam, katz, langid, mixing, neardup, secrets, urls, wavelet
 
 QUERIES = {
     "op1_decontaminate": decontam.op1_decontaminate,
+    "op2_language_mixture": langid.op2_language_mixture,
     "op3_katz_score": katz.op3_katz_score,
     "op5_near_duplicates": neardup.op5_near_duplicates,
     "op6_secret_scan": secrets.op6_secret_scan,
