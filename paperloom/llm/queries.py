@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontam, katz, langid, mixing, neardup, secrets, urls, wavelet
+from . import decontam, katz, langid, mixing, neardup, secrets, topk, urls, wavelet
 
 QUERIES = {
     "op1_decontaminate": decontam.op1_decontaminate,
     "op2_language_mixture": langid.op2_language_mixture,
     "op3_katz_score": katz.op3_katz_score,
+    "op4_top_k": topk.op4_top_k,
     "op5_near_duplicates": neardup.op5_near_duplicates,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op8_url_filter": urls.op8_url_filter,
     "op9_token_output": wavelet.op9_token_output,
     "op10_poisson_mix": mixing.op10_poisson_mix,
 }
-SQL = {"op6_secret_scan": secrets.OP6_SQL, "op1_decontaminate": decontam.OP1_SQL, "op10_poisson_mix": mixing.OP10_SQL}
+SQL = {"op4_top_k": topk.OP4_SQL, "op6_secret_scan": secrets.OP6_SQL, "op1_decontaminate": decontam.OP1_SQL, "op10_poisson_mix": mixing.OP10_SQL}
