@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, katz, langid, mixing, neardup, secrets, topk, urls, wavelet
+from . import decontam, katz, langid, mixing, neardup, secrets, suffixdup, topk, urls, wavelet
 
 QUERIES = {
     "op1_decontaminate": decontam.op1_decontaminate,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_top_k": topk.op4_top_k,
     "op5_near_duplicates": neardup.op5_near_duplicates,
     "op6_secret_scan": secrets.op6_secret_scan,
+    "op7_suffix_dedup": suffixdup.op7_suffix_dedup,
     "op8_url_filter": urls.op8_url_filter,
     "op9_token_output": wavelet.op9_token_output,
     "op10_poisson_mix": mixing.op10_poisson_mix,
