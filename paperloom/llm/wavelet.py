@@ -15,6 +15,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -178,8 +179,10 @@ class WaveletMatrix:
 SPACE = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u180e\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CUT = re.compile(f"(?<=[^{SPACE}])(?=[ \\n])")
 LETTER, DIGIT = "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f", "0-9\\xb2\\xb3\\xb9\\xbc-\\xbe"
-PLAIN = re.compile(f" ?[!-~\\xa1-\\u024f]+\\Z")
-WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{DIGIT}]+| ?[^ {LETTER}{DIGIT}]+")
+PLAIN = re.compile("[ \\n]?[!-~\\xa1-\\u024f]+\\Z")
+#: White space before a space or newline: such texts are cut by CUT instead.
+DOUBLED = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}][ \\n]"
+WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{DIGIT}]+| ?[^ \\n{LETTER}{DIGIT}]+|\\n")
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -206,25 +209,22 @@ class PieceEncoder:
         self.byte_level = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and model.get("type") == "BPE" and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding")
         self.model, self.alphabet = self.whole.model, _byte_alphabet()
         self.words: dict[str, list[int]] = {}
-        self.pieces: dict[str, list[int]] = {}
+        # pieces by number: where their ids begin in flat, and how many they are
+        self.inner: dict[str, int] = {}
+        self.heads: dict[str, int] = {}
+        self.flat, self.begin, self.size, self.stored = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
 
     def _piece(self, piece: str) -> list[int]:
-        got = self.pieces.get(piece)
-        if got is not None:
-            return got
-        if PLAIN.match(piece):
-            got = []
-            for word in WORDS.findall(piece):
-                ids = self.words.get(word)
-                if ids is None:
-                    ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]
-                    if len(self.words) < CACHED:
-                        self.words[word] = ids
-                got += ids
-        else:
-            got = self.whole.encode(piece, add_special_tokens=False).ids
-        if len(self.pieces) < CACHED // 4:
-            self.pieces[piece] = got
+        if not PLAIN.match(piece):
+            return self.whole.encode(piece, add_special_tokens=False).ids
+        got: list[int] = []
+        for word in WORDS.findall(piece):
+            ids = self.words.get(word)
+            if ids is None:
+                ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]
+                if len(self.words) < CACHED:
+                    self.words[word] = ids
+            got += ids
         return got
 
     def _slow(self, text: str) -> list[int]:
@@ -235,41 +235,52 @@ class PieceEncoder:
             out += self._piece(piece)
         return out
 
+    def _numbers(self, names: list[str], head: bool) -> np.ndarray:
+        """The numbers of pieces in the store; new ones are encoded and added. head: they begin a text."""
+        index = self.heads if head else self.inner
+        got = np.fromiter((index.get(x, -1) for x in names), np.int64, len(names))
+        new = np.flatnonzero(got < 0)
+        if len(new):
+            ids = [self._piece(x) if head or x[:1] == "\n" else self._piece(" " + x) for x in (names[i] for i in new.tolist())]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            got[new] = np.arange(len(self.size), len(self.size) + len(new))
+            self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.size = np.concatenate([self.size, sizes])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
+            if len(index) < CACHED:
+                index.update(zip((names[i] for i in new.tolist()), got[new].tolist()))
+                self.stored = len(self.size)
+        return got
+
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, and ids per text."""
         col = col.fill_null("")
-        odd = pc.match_substring_regex(col, "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}] ").to_numpy(zero_copy_only=False).astype(bool)
+        odd = pc.match_substring_regex(col, DOUBLED).to_numpy(zero_copy_only=False).astype(bool)
         for s in self.specials:
             odd |= pc.match_substring(col, s).to_numpy(zero_copy_only=False).astype(bool)
         if not self.byte_level:
             odd[:] = True
         slow = [np.array(self._slow(col[int(i)].as_py()), np.uint32) for i in np.flatnonzero(odd)]
-        lists = pc.split_pattern(col.filter(pa.array(~odd)), " ")
+        # a piece that begins with a newline had no space before it
+        lists = pc.split_pattern(pc.replace_substring(col.filter(pa.array(~odd)), "\n", " \n"), " ")
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        enc = pc.list_flatten(lists).dictionary_encode()
+        pieces = pc.list_flatten(lists)
+        first = np.cumsum(counts) - counts
+        enc = pieces.dictionary_encode()
         if isinstance(enc, pa.ChunkedArray):
             enc = enc.combine_chunks()
-        codes, names = enc.indices.to_numpy(zero_copy_only=False).astype(np.int64), enc.dictionary.to_pylist()
-        first = np.zeros(len(codes), bool)
-        first[np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)[: len(counts)]] = True
-        heads = np.zeros(len(names), bool)
-        heads[codes[first]] = True
-        inner = np.zeros(len(names), bool)
-        inner[codes[~first]] = True
-        known = [self._piece(" " + x) if ok else [] for x, ok in zip(names, inner.tolist())]
-        known += [self._piece(x) if ok and x else [] for x, ok in zip(names, heads.tolist())]
-        sizes = np.fromiter(map(len, known), np.int64, len(known))
-        flat = np.fromiter((t for ids in known for t in ids), np.uint32, int(sizes.sum()))
-        begin = np.cumsum(sizes) - sizes
-        keys = codes + first * len(names)
-        each = sizes[keys]
+        keys = self._numbers(enc.dictionary.to_pylist(), False)[enc.indices.to_numpy(zero_copy_only=False)] if len(enc) else np.zeros(0, np.int64)
+        keys[first] = self._numbers(pieces.take(pa.array(first)).to_pylist(), True)
+        each = self.size[keys]
         upto = np.cumsum(each)
-        got = flat[np.repeat(begin[keys] - (upto - each), each) + np.arange(int(upto[-1]) if len(upto) else 0)]
-        fast_tokens = np.diff(np.concatenate([[0], np.concatenate([[0], upto])[np.cumsum(counts)]]))
+        got = self.flat[np.repeat(self.begin[keys] - (upto - each), each) + np.arange(int(upto[-1]) if len(upto) else 0)]
+        self.begin, self.size = self.begin[: self.stored], self.size[: self.stored]
+        self.flat = self.flat[: int(self.begin[-1] + self.size[-1]) if self.stored else 0]
+        per_text = np.diff(np.concatenate([[0], upto])[np.concatenate([[0], np.cumsum(counts)])])
         if not odd.any():
-            return got, fast_tokens
+            return got, per_text
         per = np.zeros(len(col), np.int64)
-        per[~odd], per[odd] = fast_tokens, [len(x) for x in slow]
+        per[~odd], per[odd] = per_text, [len(x) for x in slow]
         parts, at, k = [], 0, 0
         for i in range(len(col)):
             if odd[i]:
@@ -278,7 +289,7 @@ class PieceEncoder:
             else:
                 parts.append(got[at : at + per[i]])
                 at += per[i]
-        return np.concatenate(parts) if parts else got, per
+        return np.concatenate(parts), per
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
