@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -178,25 +177,21 @@ def contained(path: Column) -> Column:
 def archive_names(files: DataFrame) -> DataFrame:
     """Successful outputs with entry_name: repeated names get -2, -3 ... before the extension, in order of idx.
 
-    A made name may meet a given one, so names of a task are settled one after the other in its own group (a task's
-    file count is bounded by TaskLimits).
+    A made name may meet a given one, so the names of a task are settled one after the other, in a fold over its files
+    (their number is bounded by TaskLimits).
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: set[str] = set()
-        out = []
-        for name in pdf.sort_values("idx")["output_name"]:
-            stem, dot, ext = name.rpartition(".") if "." in name else (name, "", "")
-            tries = (name if k == 1 else f"{stem}-{k}{dot}{ext}" for k in range(1, len(pdf) + 2))
-            entry = next(t for t in tries if t not in used)
-            used.add(entry)
-            out.append(entry)
-        done = pdf.sort_values("idx")[["task_id", "idx", "output_name"]].copy()
-        done["entry_name"] = out
-        return done
-
-    kind = {c: files.schema[c].dataType.simpleString() for c in ("task_id", "idx")}
-    return files.where("success").select("task_id", "idx", "output_name").groupBy("task_id").applyInPandas(run, f"task_id {kind['task_id']}, idx {kind['idx']}, output_name string, entry_name string")
+    def step(acc: Column, f: Column) -> Column:
+        stem, ext = F.regexp_replace(f["output_name"], "\\.[^.]*$", ""), F.regexp_extract(f["output_name"], "\\.[^.]*$", 0)
+        tries = F.transform(F.sequence(F.lit(1), F.size(acc["used"]) + 1), lambda k: F.when(k == 1, f["output_name"]).otherwise(F.concat(stem, F.lit("-"), k.cast("string"), ext)))
+        entry = F.element_at(F.filter(tries, lambda t: ~F.array_contains(acc["used"], t)), 1)
+        named = F.struct(f["idx"].alias("idx"), f["output_name"].alias("output_name"), entry.alias("entry_name"))
+        return F.struct(F.concat(acc["used"], F.array(entry)).alias("used"), F.concat(acc["out"], F.array(named)).alias("out"))
+
+    kind = files.schema["idx"].dataType.simpleString()
+    zero = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast(f"array<struct<idx:{kind},output_name:string,entry_name:string>>").alias("out"))
+    order = files.where("success").groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("idx", "output_name"))).alias("_f"))
+    return order.select("task_id", F.explode(F.aggregate("_f", zero, step)["out"]).alias("_n")).select("task_id", "_n.*")
 
 
 def failure_report(files: DataFrame) -> DataFrame:

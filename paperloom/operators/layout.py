@@ -6,12 +6,12 @@ are grouped by (doc_id, page_no) and a page's blocks meet in one task; pages spr
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import contains, line_tolerance, page_alignment
 from ..functions.text import blank, strip
+from .grouped import map_groups
 
 PAGE = ["doc_id", "page_no"]
 
@@ -118,18 +118,17 @@ def _cut(units: list[tuple], width: float) -> list[tuple]:
 
 def reading_order(units: DataFrame, page_width: float = 210.0) -> DataFrame:
     """Units with their place (from 1) in the recursive cut of their page, over columns first, then over rows."""
-    cols = units.columns
-    order = ["x", "y", "width", "height", *[c for c in cols if c not in ("x", "y", "width", "height")]]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = [c for c in ("line_no", "segment_no", "seq") if c in pdf.columns]
-        rows = list(pdf.sort_values(keys)[order].itertuples(index=False, name=None)) if keys else list(pdf[order].itertuples(index=False, name=None))
-        out = pd.DataFrame(_cut(rows, page_width), columns=order)
-        out["place"] = range(1, len(out) + 1)
-        return out[[*cols, "place"]]
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in units.schema) + ", place int"
-    return units.groupBy(*PAGE).applyInPandas(run, schema)
+    rest = [c for c in units.columns if c not in PAGE]
+    first = ["x", "y", "width", "height"]
+    ties = [c for c in ("line_no", "segment_no", "seq") if c in rest]
+
+    def run(rows: list[dict]):
+        ordered = sorted(rows, key=lambda r: [r[k] for k in ties])
+        for place, unit in enumerate(_cut([(*[r[k] for k in first], r) for r in ordered], page_width), 1):
+            yield *[unit[4][k] for k in rest], place
+
+    added = ", ".join(f"{c} {units.schema[c].dataType.simpleString()}" for c in rest) + ", place int"
+    return map_groups(units, PAGE, run, added)
 
 
 def page_texts(ordered: DataFrame) -> DataFrame:

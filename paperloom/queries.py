@@ -1,14 +1,709 @@
-"""Queries of the document engine and the SQL that gives the same rows."""
+"""Queries of the document engine on the shared tables, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from .functions import geometry as G
+from .functions import text as X
+from .operators import grid, jobs, layout, ocr, quality
+from .plans import routes
+from .registry import QUERIES, SQL, query, table
+from .sources import csv, decode, formats, ocr_tsv
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL", "flagship"]
 
+c = F.col
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+# ---------------------------------------------------------------- derived views
+
+BLOCKS = """w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS text, CAST(unnest(generate_series(0, len(string_split(text, ' ')) - 1)) AS INTEGER) AS seq FROM documents),
+blocks AS (SELECT doc_id, CAST(1 + (seq // 8) // 10 AS INTEGER) AS page_no, seq, CAST(10 + 24 * (seq % 8) AS DOUBLE) AS x,
+  CAST(10 + 6 * ((seq // 8) % 10) AS DOUBLE) AS y, 20.0::DOUBLE AS width, 5.0::DOUBLE AS height, text,
+  CAST(14 + 6 * ((seq // 8) % 10) AS DOUBLE) AS baseline FROM w WHERE text <> '')"""
+#: White space for RE2, and the same class negated.
+WS = X.SPACE
+BOXES_SQL = "boxes AS (SELECT doc_id, page_no, 58.0::DOUBLE AS x, 20.0::DOUBLE AS y, 60.0::DOUBLE AS width, 14.0::DOUBLE AS height FROM (SELECT DISTINCT doc_id, page_no FROM blocks))"
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.word_blocks(table(spark, sf_dir, "documents"))
+
+
+def boxes(b: DataFrame) -> DataFrame:
+    return b.select("doc_id", "page_no").distinct().select("doc_id", "page_no", F.lit(58.0).alias("x"), F.lit(20.0).alias("y"), F.lit(60.0).alias("width"), F.lit(14.0).alias("height"))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with their number in their order, which tells them apart."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return table(spark, sf_dir, "lineitem").withColumn("line", F.row_number().over(order))
+
+
+# ---------------------------------------------------------------- layout
+
+
+@query("doc_text_blocks", f"WITH {BLOCKS} SELECT * FROM blocks")
+def doc_text_blocks(spark, d):
+    return blocks(spark, d)
+
+
+@query("doc_visual_lines", f"""WITH {BLOCKS} SELECT doc_id, page_no, seq, CAST(dense_rank() OVER (PARTITION BY doc_id, page_no ORDER BY baseline) AS INTEGER) AS line_no FROM blocks""")
+def doc_visual_lines(spark, d):
+    return layout.visual_lines(blocks(spark, d)).select("doc_id", "page_no", "seq", "line_no")
+
+
+@query("doc_paragraphs", f"""WITH {BLOCKS},
+l AS (SELECT doc_id, page_no, CAST(dense_rank() OVER (PARTITION BY doc_id, page_no ORDER BY baseline) AS INTEGER) AS line_no, * EXCLUDE (doc_id, page_no) FROM blocks),
+p AS (SELECT doc_id, page_no, line_no, min(x) AS x, min(y) AS y, max(x + width) - min(x) AS width, max(y + height) - min(y) AS height, string_agg(text, '' ORDER BY x, seq) AS text, count(*) AS blocks FROM l GROUP BY ALL)
+SELECT *, CASE WHEN abs(x - (210 - x - width)) <= greatest(2.0, 210 * 0.012) THEN 'CENTER' WHEN 210 - x - width < 3 AND x > (210 - x - width) * 2 THEN 'RIGHT' ELSE 'LEFT' END AS alignment FROM p""")
+def doc_paragraphs(spark, d):
+    return layout.paragraphs(layout.paragraph_lines(blocks(spark, d)))
+
+
+PAGE_TEXT = f"""WITH {BLOCKS},
+l AS (SELECT doc_id, page_no, y, regexp_replace(string_agg(text, '' ORDER BY x), '^[{WS}]+|[{WS}]+$', '', 'g') AS line FROM blocks GROUP BY ALL)
+SELECT doc_id, page_no, string_agg(line, chr(10) ORDER BY y) || chr(10) AS page_text FROM l WHERE regexp_matches(line, '[^{WS}]') GROUP BY ALL"""
+
+
+@query("doc_page_text", PAGE_TEXT)
+def flagship(spark, d):
+    """Page texts from the derived blocks: visual lines, column gaps, reading order on a page without columns."""
+    return layout.simple_page_texts(blocks(spark, d))
+
+
+@query("doc_reading_order", PAGE_TEXT)
+def doc_reading_order(spark, d):
+    """The same through the recursive cut, which handles columns."""
+    units = layout.segment_units(layout.column_segments(layout.visual_lines(blocks(spark, d))))
+    return layout.page_texts(layout.reading_order(units))
+
+
+@query("doc_document_text", f"WITH p AS ({PAGE_TEXT}) SELECT doc_id, string_agg(page_text, chr(10) || chr(12) || chr(10) ORDER BY page_no) AS text FROM p GROUP BY 1")
+def doc_document_text(spark, d):
+    return layout.document_text(layout.simple_page_texts(blocks(spark, d)))
+
+
+@query("doc_gap_split", f"""WITH {BLOCKS}, s AS (SELECT * FROM blocks WHERE seq % 8 NOT IN (2, 3)),
+g AS (SELECT *, CASE WHEN x - max(x + width) OVER (PARTITION BY doc_id, page_no, y ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 21 THEN 1 ELSE 0 END AS p FROM s)
+SELECT doc_id, page_no, seq, CAST(sum(p) OVER (PARTITION BY doc_id, page_no, y ORDER BY x) AS INTEGER) AS segment_no FROM g""")
+def doc_gap_split(spark, d):
+    """Lines with two blocks taken out of every eight part at the gap."""
+    b = blocks(spark, d).where("seq % 8 NOT IN (2, 3)")
+    return layout.column_segments(layout.visual_lines(b)).select("doc_id", "page_no", "seq", "segment_no")
+
+
+@query("body_not_in_table", f"""WITH {BLOCKS}, {BOXES_SQL}
+SELECT b.doc_id, b.page_no, b.seq FROM blocks b ANTI JOIN boxes t ON b.doc_id = t.doc_id AND b.page_no = t.page_no
+  AND b.x + 10 BETWEEN t.x - 0.2 AND t.x + t.width + 0.2 AND b.y + 2.5 BETWEEN t.y - 0.2 AND t.y + t.height + 0.2""")
+def body_not_in_table(spark, d):
+    b = blocks(spark, d)
+    return layout.outside(b, boxes(b)).select("doc_id", "page_no", "seq")
+
+
+@query("text_in_cell", f"""WITH {BLOCKS}, {BOXES_SQL}
+SELECT b.doc_id, b.page_no, b.seq, t.x AS box_x FROM blocks b JOIN boxes t ON b.doc_id = t.doc_id AND b.page_no = t.page_no
+  AND b.x + 10 BETWEEN t.x - 0.25 AND t.x + t.width + 0.25 AND b.y + 2.5 BETWEEN t.y - 0.25 AND t.y + t.height + 0.25""")
+def text_in_cell(spark, d):
+    b = blocks(spark, d)
+    return layout.inside(b, boxes(b)).select("doc_id", "page_no", "seq", "box_x")
+
+
+@query("lines_not_in_table", """WITH l AS (SELECT l_orderkey AS doc_id, l_linenumber AS seq, l_quantity AS x1, l_discount * 100 AS y1, l_quantity + 5 AS x2, l_tax * 100 AS y2 FROM lineitem)
+SELECT doc_id, seq FROM l WHERE NOT (x1 BETWEEN 9.5 AND 40.5 AND y1 BETWEEN 1.5 AND 8.5 AND x2 BETWEEN 9.5 AND 40.5 AND y2 BETWEEN 1.5 AND 8.5)""")
+def lines_not_in_table(spark, d):
+    """Segments of which an end is outside every table (here one of 10..40 by 2..8 on each page)."""
+    seg = table(spark, d, "lineitem").select(c("l_orderkey").alias("doc_id"), F.lit(1).alias("page_no"), c("l_linenumber").alias("seq"), c("l_quantity").alias("x1"), (c("l_discount") * 100).alias("y1"), (c("l_quantity") + 5).alias("x2"), (c("l_tax") * 100).alias("y2"))
+    t = table(spark, d, "orders").select(c("o_orderkey").alias("_d"), F.lit(10.0).alias("tx"), F.lit(2.0).alias("ty"), F.lit(30.0).alias("tw"), F.lit(6.0).alias("th"))
+    box = [c(k) for k in ("tx", "ty", "tw", "th")]
+    both = G.contains(*box, c("x1"), c("y1"), 0.5) & G.contains(*box, c("x2"), c("y2"), 0.5)
+    return seg.join(t, (c("doc_id") == c("_d")) & both, "left_anti").select("doc_id", "seq")
+
+
+@query("paragraph_overlap", f"""WITH {BLOCKS}, p AS (SELECT doc_id, page_no, seq, x, y + (seq % 8) * 1.0 AS y, width, height FROM blocks)
+SELECT a.doc_id, a.page_no, a.seq FROM p a SEMI JOIN p b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND a.seq <> b.seq
+  AND greatest(0, least(a.y + a.height, b.y + b.height) - greatest(a.y, b.y)) > 0.2 * least(a.height, b.height)
+  AND greatest(0, least(a.x + a.width, b.x + b.width) - greatest(a.x, b.x)) <= 0.2 * least(a.width, b.width)""")
+def paragraph_overlap(spark, d):
+    """Blocks beside which another one stands: much the same height, hardly the same columns."""
+    p = blocks(spark, d).withColumn("y", c("y") + (c("seq") % 8) * 1.0)
+    a, b = p.alias("a"), p.alias("b")
+    end = lambda s, k, n: c(f"{s}.{k}") + c(f"{s}.{n}")
+    over = lambda k, n: G.overlap(c(f"a.{k}"), end("a", k, n), c(f"b.{k}"), end("b", k, n))
+    on = (c("a.doc_id") == c("b.doc_id")) & (c("a.page_no") == c("b.page_no")) & (c("a.seq") != c("b.seq"))
+    on = on & (over("y", "height") > 0.2 * F.least(c("a.height"), c("b.height"))) & (over("x", "width") <= 0.2 * F.least(c("a.width"), c("b.width")))
+    return a.join(b, on, "left_semi").select("doc_id", "page_no", "seq")
+
+
+@query("vertical_gaps", f"""WITH {BLOCKS}, l AS (SELECT doc_id, page_no, y, max(y + height) AS bottom FROM blocks GROUP BY ALL)
+SELECT doc_id, page_no, y, greatest(0.0, y - coalesce(lag(bottom) OVER (PARTITION BY doc_id, page_no ORDER BY y), 0)) AS gap FROM l""")
+def vertical_gaps(spark, d):
+    lines = blocks(spark, d).groupBy("doc_id", "page_no", "y").agg(F.max(c("y") + c("height")).alias("bottom"))
+    before = F.lag("bottom").over(Window.partitionBy("doc_id", "page_no").orderBy("y"))
+    return lines.select("doc_id", "page_no", "y", F.greatest(F.lit(0.0), c("y") - F.coalesce(before, F.lit(0.0))).alias("gap"))
+
+
+@query("gap_spaces", f"""WITH {BLOCKS}, g AS (SELECT doc_id, page_no, seq, text, x - lag(x + width) OVER v AS gap, lag(text) OVER v AS before FROM blocks WINDOW v AS (PARTITION BY doc_id, page_no, y ORDER BY x))
+SELECT doc_id, page_no, seq, CASE WHEN gap >= 0.6 AND NOT regexp_matches(before, '[{WS}]$') AND NOT regexp_matches(text, '^[{WS}]') THEN CAST(least(32, greatest(1, floor(gap / greatest(0.7, 0.5 * 3.5) + 0.5))) AS INTEGER) ELSE 0 END AS spaces FROM g""")
+def gap_spaces(spark, d):
+    """Blanks that stand for the gap before a block: by half its font size (3.5 mm), none where a blank is already."""
+    w = Window.partitionBy("doc_id", "page_no", "y").orderBy("x")
+    b = blocks(spark, d).withColumn("gap", c("x") - F.lag(c("x") + c("width")).over(w)).withColumn("before", F.lag("text").over(w))
+    n = G.clamp(G.round_half_up(c("gap") / F.greatest(F.lit(0.7), F.lit(0.5 * 3.5))), 1, 32).cast("int")
+    open_ = (c("gap") >= 0.6) & ~c("before").rlike(f"[{WS}]$") & ~c("text").rlike(f"^[{WS}]")
+    return b.select("doc_id", "page_no", "seq", F.when(open_, n).otherwise(0).alias("spaces"))
+
+
+@query("z_order_paint", f"WITH {BLOCKS}, z AS (SELECT doc_id, page_no, seq, seq % 3 AS kind, seq % 5 AS z FROM blocks) SELECT doc_id, page_no, seq, CAST(row_number() OVER (PARTITION BY doc_id, page_no ORDER BY z, kind, seq) AS INTEGER) AS place FROM z")
+def z_order_paint(spark, d):
+    """Painting order: z, then lines before images before text, then as given."""
+    z = blocks(spark, d).select("doc_id", "page_no", "seq", (c("seq") % 3).alias("kind"), (c("seq") % 5).alias("z"))
+    return z.select("doc_id", "page_no", "seq", F.row_number().over(Window.partitionBy("doc_id", "page_no").orderBy("z", "kind", "seq")).alias("place"))
+
+
+@query("median_unit_height", "SELECT l_orderkey, quantile_disc(l_quantity, 0.5) AS median_height FROM lineitem GROUP BY 1")
+def median_unit_height(spark, d):
+    """The lower median of each group."""
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY l_quantity)").alias("median_height"))
+
+
+# ---------------------------------------------------------------- geometry
+
+@query("rect_relations", """WITH r AS (SELECT l_orderkey, l_linenumber, l_quantity AS x, l_discount * 100 AS y, l_tax * 100 + 1 AS w, l_linenumber + 1.0 AS h FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(x + w, 6) AS "right", round(y + h, 6) AS bottom, round(x + w / 2, 6) AS cx, round(y + h / 2, 6) AS cy,
+  x + w / 2 BETWEEN 9.8 AND 30.2 AND y + h / 2 BETWEEN 1.8 AND 8.2 AS inside,
+  round(greatest(0, least(x + w, 30) - greatest(x, 10)) * greatest(0, least(y + h, 8) - greatest(y, 2)), 4) AS area,
+  round(greatest(x + w, 30) - least(x, 10), 6) AS union_width FROM r""")
+def rect_relations(spark, d):
+    r = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", c("l_quantity").alias("x"), (c("l_discount") * 100).alias("y"), (c("l_tax") * 100 + 1).alias("w"), (c("l_linenumber") + 1.0).alias("h"))
+    x, y, w, h = (c(k) for k in "xywh")
+    cx, cy = G.centre(x, w), G.centre(y, h)
+    box = [F.lit(v) for v in (10.0, 2.0, 20.0, 6.0)]
+    return r.select("l_orderkey", "l_linenumber", F.round(G.right(x, w), 6).alias("right"), F.round(G.bottom(y, h), 6).alias("bottom"), F.round(cx, 6).alias("cx"), F.round(cy, 6).alias("cy"), G.contains(*box, cx, cy, 0.2).alias("inside"), F.round(G.intersection_area(x, y, w, h, *box), 4).alias("area"), F.round(F.greatest(x + w, F.lit(30.0)) - F.least(x, F.lit(10.0)), 6).alias("union_width"))
+
+
+@query("bounding_boxes", "SELECT l_orderkey, round(min(l_quantity), 6) AS x, round(min(l_discount), 6) AS y, round(max(l_quantity + l_tax) - min(l_quantity), 6) AS width, round(max(l_discount + l_tax) - min(l_discount), 6) AS height FROM lineitem GROUP BY 1")
+def bounding_boxes(spark, d):
+    g = G.bounds(c("l_quantity"), c("l_discount"), c("l_tax"), c("l_tax"))
+    out = table(spark, d, "lineitem").groupBy("l_orderkey").agg(*g)
+    return out.select("l_orderkey", *[F.round(k, 6).alias(k) for k in ("x", "y", "width", "height")])
+
+
+@query("affine_scalars", """WITH m AS (SELECT l_orderkey, l_linenumber, l_discount + 1 AS a, l_tax AS b, -l_tax AS c, l_discount + 1 AS d, l_quantity AS e, 2.0 AS f FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(a * 3 + c * 4 + e, 6) AS px, round(b * 3 + d * 4 + f, 6) AS py, round(a * 3 + c * 4, 6) AS vx, round(sqrt(a * a + b * b), 6) AS sx, round(sqrt(c * c + d * d), 6) AS sy,
+  round(degrees(atan2(b, a)), 6) AS rotation, abs(a * c + b * d) / (sqrt(a * a + b * b) * sqrt(c * c + d * d)) > 0.001 AS skewed, round(((degrees(atan2(-b, a)) % 360) + 360) % 360, 6) AS turned FROM m""")
+def affine_scalars(spark, d):
+    li = table(spark, d, "lineitem")
+    m = {"a": c("l_discount") + 1, "b": c("l_tax"), "c": -c("l_tax"), "d": c("l_discount") + 1, "e": c("l_quantity"), "f": F.lit(2.0)}
+    px, py = G.transform_point(m, F.lit(3.0), F.lit(4.0))
+    vx, _ = G.transform_vector(m, F.lit(3.0), F.lit(4.0))
+    back = G.normal_degrees(F.degrees(F.atan2(-m["b"], m["a"])))
+    return li.select("l_orderkey", "l_linenumber", F.round(px, 6).alias("px"), F.round(py, 6).alias("py"), F.round(vx, 6).alias("vx"), F.round(G.scale_x(m), 6).alias("sx"), F.round(G.scale_y(m), 6).alias("sy"), F.round(G.rotation(m), 6).alias("rotation"), G.skewed(m).alias("skewed"), F.round(back, 6).alias("turned"))
+
+
+@query("segment_orientation", "SELECT l_orderkey, l_linenumber, CASE WHEN abs(l_discount - l_tax) * 10 <= 0.25 THEN 'H' WHEN abs(l_quantity - l_linenumber) <= 0.25 THEN 'V' END AS orientation, least(l_quantity, CAST(l_linenumber AS DOUBLE)) AS min_x, greatest(l_discount, l_tax) AS max_y FROM lineitem")
+def segment_orientation(spark, d):
+    o = G.orientation(c("l_quantity"), c("l_discount") * 10, c("l_linenumber").cast("double"), c("l_tax") * 10)
+    o = F.when(F.abs(c("l_discount") - c("l_tax")) * 10 <= 0.25, "H").otherwise(F.when(o == "V", "V"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", o.alias("orientation"), F.least(c("l_quantity"), c("l_linenumber").cast("double")).alias("min_x"), F.greatest("l_discount", "l_tax").alias("max_y"))
+
+
+@query("colour_hex", "SELECT p_partkey, upper(printf('%02x%02x%02x', least(255, greatest(0, p_size * 9 - 60)), p_size, CAST(p_partkey % 256 AS INTEGER))) AS rgb FROM part")
+def colour_hex(spark, d):
+    return table(spark, d, "part").select("p_partkey", G.rgb_hex(G.clamp(c("p_size") * 9 - 60, 0, 255), c("p_size"), (c("p_partkey") % 256).cast("int")).alias("rgb"))
+
+
+@query("unit_conversion", "SELECT l_orderkey, l_linenumber, round(l_quantity * 72 / 25.4, 6) AS pt, CAST(floor(l_quantity * 1440 / 25.4 + 0.5) AS BIGINT) AS twips, round(least(255 * 256, floor(greatest(1, l_quantity / 2) * 256 + 0.5)), 0) AS column_width, round(greatest(1, l_quantity * 72 / 25.4), 6) AS row_height FROM lineitem")
+def unit_conversion(spark, d):
+    q = c("l_quantity")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(G.mm_to_pt(q), 6).alias("pt"), G.mm_to_twips(q).cast("bigint").alias("twips"), F.least(F.lit(255.0 * 256), G.round_half_up(F.greatest(F.lit(1.0), q / 2) * 256).cast("double")).alias("column_width"), F.round(F.greatest(F.lit(1.0), G.mm_to_pt(q)), 6).alias("row_height"))
+
+
+@query("displayed_width", f"WITH {BLOCKS} SELECT doc_id, page_no, seq, round(greatest(1, least(20, greatest(1, length(text)) * greatest(1, 10.5 * 25.4 / 72))), 6) AS width FROM blocks")
+def displayed_width(spark, d):
+    return blocks(spark, d).select("doc_id", "page_no", "seq", F.round(G.displayed_width(c("text"), c("width"), F.lit(10.5), F.array().cast("array<double>")), 6).alias("width"))
+
+
+@query("cell_alignment", "SELECT l_orderkey, l_linenumber, CASE WHEN abs(l_quantity - l_linenumber * 8) <= 1.5 THEN 'CENTER' WHEN l_linenumber * 8 + 0.5 < l_quantity THEN 'RIGHT' ELSE 'LEFT' END AS in_cell, CASE WHEN abs(l_quantity - l_linenumber) <= greatest(2.0, 210 * 0.012) THEN 'CENTER' WHEN l_linenumber < 3 AND l_quantity > l_linenumber * 2 THEN 'RIGHT' ELSE 'LEFT' END AS on_page FROM lineitem")
+def cell_alignment(spark, d):
+    n = c("l_linenumber").cast("double")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", G.cell_alignment(c("l_quantity"), n * 8).alias("in_cell"), G.page_alignment(c("l_quantity"), n, F.lit(210.0)).alias("on_page"))
+
+
+@query("curve_points", "SELECT p_partkey, k AS step, round((1 - k / 8.0) * (1 - k / 8.0) * p_size + 2 * (1 - k / 8.0) * (k / 8.0) * p_retailprice + (k / 8.0) * (k / 8.0) * 7, 4) AS x FROM part, unnest(generate_series(0, 8)) AS g(k)")
+def curve_points(spark, d):
+    """Quadratic curves at nine even places."""
+    pts = G.flattened([c("p_size").cast("double"), c("p_retailprice"), F.lit(7.0)], 8)
+    return table(spark, d, "part").select("p_partkey", F.posexplode(pts).alias("step", "x")).select("p_partkey", c("step").cast("long").alias("step"), F.round("x", 4).alias("x"))
+
+
+@query("image_page_size", "SELECT p_partkey, round(p_size * 100 * 72.0 / 96, 4) AS width_pt, CASE WHEN p_size * 100 * 72.0 / 96 BETWEEN 3 AND 14400 AND p_retailprice * 72 / 96 BETWEEN 3 AND 14400 THEN NULL ELSE 'PAGE_SIZE_UNSUPPORTED' END AS error_code FROM part")
+def image_page_size(spark, d):
+    w, h = c("p_size") * 100 * 72.0 / 96, c("p_retailprice") * 72 / 96
+    return table(spark, d, "part").select("p_partkey", F.round(w, 4).alias("width_pt"), F.when(~(w.between(3, 14400) & h.between(3, 14400)), "PAGE_SIZE_UNSUPPORTED").alias("error_code"))
+
+
+# ---------------------------------------------------------------- ruled tables
+
+SPANS = "SELECT l_orderkey, l_quantity AS b, l_quantity + l_linenumber AS u FROM lineitem"
+
+
+@query("edge_coverage", f"""WITH s AS ({SPANS}), m AS (SELECT *, max(u) OVER (PARTITION BY l_orderkey ORDER BY b, u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR b > reach + 0.6 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY b, u ROWS UNBOUNDED PRECEDING) AS island FROM m),
+g AS (SELECT l_orderkey, island, max(u) - min(b) AS n FROM i GROUP BY ALL)
+SELECT l_orderkey, round(least(1.0, sum(n) / 57), 6) AS covered FROM g GROUP BY 1""")
+def edge_coverage(spark, d):
+    """Share of a 57 mm side that an order's lines cover as intervals, gaps of 0.6 mm counted in."""
+    s = table(spark, d, "lineitem").select("l_orderkey", c("l_quantity").alias("begin"), (c("l_quantity") + c("l_linenumber")).alias("until"), F.lit(57.0).alias("side"))
+    return grid.coverage(s, ["l_orderkey"], "side").select("l_orderkey", F.round("covered", 6).alias("covered"))
+
+
+@query("axis_cluster", """WITH RECURSIVE v AS (SELECT p_brand, p_retailprice AS v, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice) AS i FROM part),
+r AS (SELECT p_brand, i, v, v AS first, 1 AS cluster_no FROM v WHERE i = 1 UNION ALL
+  SELECT v.p_brand, v.i, v.v, CASE WHEN v.v - r.first > 25 THEN v.v ELSE r.first END, r.cluster_no + CASE WHEN v.v - r.first > 25 THEN 1 ELSE 0 END FROM r JOIN v ON v.p_brand = r.p_brand AND v.i = r.i + 1)
+SELECT p_brand, cluster_no, round(avg(v), 6) AS axis, CAST(count(*) AS INTEGER) AS members FROM r GROUP BY 1, 2""")
+def axis_cluster(spark, d):
+    return grid.axis_clusters(table(spark, d, "part"), ["p_brand"], "p_retailprice", 25.0).withColumn("axis", F.round("axis", 6))
+
+
+RULES = "SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INTEGER) AS seq, l_linenumber % 2 = 0 AS flat, l_quantity AS axis, l_quantity - l_linenumber * 4 AS a, l_quantity + l_linenumber * 4 AS b FROM lineitem"
+TOUCH = """SELECT p.doc_id, p.seq AS a, q.seq AS b FROM r p JOIN r q ON p.doc_id = q.doc_id AND p.seq < q.seq AND
+  ((p.flat = q.flat AND abs(p.axis - q.axis) <= 0.25 AND p.a <= q.b + 0.6 AND q.a <= p.b + 0.6) OR
+   (p.flat <> q.flat AND q.axis BETWEEN p.a - 0.6 AND p.b + 0.6 AND p.axis BETWEEN q.a - 0.6 AND q.b + 0.6))"""
+
+
+def _rulings(spark, d):
+    n = c("l_linenumber")
+    return _lines(spark, d).select(c("l_orderkey").alias("doc_id"), F.lit(1).alias("page_no"), c("line").alias("seq"), (n % 2 == 0).alias("flat"), c("l_quantity").alias("axis"), (c("l_quantity") - n * 4).alias("begin"), (c("l_quantity") + n * 4).alias("until"))
+
+
+@query("line_touch", f"WITH r AS ({RULES}) {TOUCH}")
+def line_touch(spark, d):
+    return grid.touching_pairs(_rulings(spark, d)).select("doc_id", "a", "b")
+
+
+@query("line_components", f"""WITH RECURSIVE r AS ({RULES}), e AS ({TOUCH}), u AS (SELECT doc_id, a, b FROM e UNION SELECT doc_id, b, a FROM e),
+g AS (SELECT doc_id, seq AS n, seq AS m FROM r UNION SELECT g.doc_id, g.n, u.b FROM g JOIN u ON u.doc_id = g.doc_id AND u.a = g.m),
+k AS (SELECT doc_id, n AS seq, min(m) AS component FROM g GROUP BY ALL)
+SELECT doc_id, seq, component FROM k QUALIFY count(*) OVER (PARTITION BY doc_id, component) >= 4""")
+def line_components(spark, d):
+    r = _rulings(spark, d)
+    return grid.components(r, grid.touching_pairs(r)).select("doc_id", "seq", "component")
+
+
+@query("column_align_vote", """WITH v AS (SELECT o_custkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'CENTER' WHEN '2-HIGH' THEN 'RIGHT' ELSE 'LEFT' END AS alignment, count(*) AS n FROM orders GROUP BY ALL)
+SELECT o_custkey, arg_max(alignment, n * 10 + CASE alignment WHEN 'CENTER' THEN 3 WHEN 'LEFT' THEN 2 WHEN 'RIGHT' THEN 1 ELSE 0 END) AS alignment FROM v GROUP BY 1""")
+def column_align_vote(spark, d):
+    p = c("o_orderpriority")
+    cells = table(spark, d, "orders").select("o_custkey", F.lit(0).alias("col"), F.lit(1).alias("col_span"), F.lit(True).alias("filled"), F.when(p == "1-URGENT", "CENTER").when(p == "2-HIGH", "RIGHT").otherwise("LEFT").alias("alignment"))
+    return grid.column_alignment(cells, ["o_custkey"]).drop("col")
+
+
+@query("merge_rectangularity", "SELECT l_orderkey, min(l_linenumber) AS top, min(l_suppkey % 3) AS \"left\", max(l_linenumber) - min(l_linenumber) + 1 AS row_span, max(l_suppkey % 3) - min(l_suppkey % 3) + 1 AS col_span, count(*) = (max(l_linenumber) - min(l_linenumber) + 1) * (max(l_suppkey % 3) - min(l_suppkey % 3) + 1) AS rectangular FROM lineitem GROUP BY 1")
+def merge_rectangularity(spark, d):
+    return grid.area_shape(table(spark, d, "lineitem").select("l_orderkey", c("l_linenumber").alias("row"), (c("l_suppkey") % 3).alias("col")), ["l_orderkey"])
+
+
+@query("table_confidence", "SELECT l_orderkey, l_linenumber, round(least(1.0, 0.65 + 0.35 * (CAST(l_quantity > 10 AS INT) + CAST(l_quantity > 20 AS INT) + CAST(l_quantity > 30 AS INT) + CAST(l_quantity > 40 AS INT)) / 4.0) * CASE WHEN l_returnflag = 'N' THEN 1.0 ELSE 0.6 END, 6) AS confidence FROM lineitem")
+def table_confidence(spark, d):
+    q = c("l_quantity")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(grid.outer_confidence([q > k for k in (10, 20, 30, 40)], c("l_returnflag") == "N"), 6).alias("confidence"))
+
+
+GRID_ROWS = "SELECT o_orderkey, 1 + CAST(o_orderkey % 3 AS INTEGER) AS nr, 1 + CAST(o_custkey % 4 AS INTEGER) AS nc FROM orders"
+
+
+@query("grid_tables", f"WITH g AS ({GRID_ROWS}) SELECT o_orderkey AS doc_id, 1 AS table_no, nr AS \"rows\", nc AS cols, 1.0::DOUBLE AS confidence, CAST(r AS INTEGER) AS \"row\", CAST(k AS INTEGER) AS col, 1 AS row_span, 1 AS col_span, CAST(k * 20 AS DOUBLE) AS x, CAST(r * 10 AS DOUBLE) AS y FROM g, unnest(generate_series(0, nr - 1)) AS a(r), unnest(generate_series(0, nc - 1)) AS b(k)")
+def grid_tables(spark, d):
+    """A ruled grid for each order, recognised from its segments."""
+    g = table(spark, d, "orders").select(c("o_orderkey").alias("doc_id"), (1 + c("o_orderkey") % 3).cast("int").alias("nr"), (1 + c("o_custkey") % 4).cast("int").alias("nc"))
+    zero, width, height = F.lit(0.0), (c("nc") * 20).cast("double"), (c("nr") * 10).cast("double")
+    seg = lambda x1, y1, x2, y2: F.struct(x1.cast("double").alias("x1"), y1.cast("double").alias("y1"), x2.cast("double").alias("x2"), y2.cast("double").alias("y2"))
+    flat = F.transform(F.sequence(F.lit(0), c("nr")), lambda r: seg(zero, r * 10, width, r * 10))
+    upright = F.transform(F.sequence(F.lit(0), c("nc")), lambda k: seg(k * 20, zero, k * 20, height))
+    s = g.select("doc_id", F.lit(1).alias("page_no"), F.posexplode(F.concat(flat, upright)).alias("seq", "s")).select("doc_id", "page_no", "seq", "s.*")
+    return grid.recognised_cells(s).select("doc_id", "table_no", "rows", "cols", "confidence", "row", "col", "row_span", "col_span", "x", "y")
+
+
+@query("stacked_offsets", "WITH t AS (SELECT o_custkey, o_orderkey, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL) SELECT o_custkey, o_orderkey, CAST(coalesce(sum(n + 2) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS row_offset FROM t")
+def stacked_offsets(spark, d):
+    """First sheet row of each table (an order of so many lines) below the ones before, two rows apart."""
+    t = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n")).join(table(spark, d, "orders"), c("l_orderkey") == c("o_orderkey"))
+    before = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, -1)
+    return t.select("o_custkey", "o_orderkey", F.coalesce(F.sum(c("n") + 2).over(before), F.lit(0)).cast("bigint").alias("row_offset"))
+
+
+@query("run_split", "WITH e AS (SELECT *, CASE WHEN lag(event_type) OVER w IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, event_id, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run_no FROM e")
+def run_split(spark, d):
+    """A new run wherever an attribute differs from the one just before."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    new = F.when(F.lag("event_type").over(w).eqNullSafe(c("event_type")), 0).otherwise(1)
+    return table(spark, d, "events").withColumn("_new", new).select("user_id", "event_id", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint").alias("run_no"))
+
+
+@query("seen_earlier", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) > 1 AS seen FROM events")
+def seen_earlier(spark, d):
+    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    return table(spark, d, "events").select("user_id", "event_id", (F.row_number().over(w) > 1).alias("seen"))
+
+
+# ---------------------------------------------------------------- text
+
+
+@query("doc_nonblank_chars", f"SELECT doc_id, length(regexp_replace(text, '[{WS}]+', '', 'g')) AS chars FROM documents")
+def doc_nonblank_chars(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.nonblank_chars(c("text")).alias("chars"))
+
+
+@query("doc_char_multiset", f"SELECT doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '[{WS}]+', '', 'g'), '')) AS ch FROM documents) WHERE ch <> '' GROUP BY ALL")
+def doc_char_multiset(spark, d):
+    return quality.char_counts(table(spark, d, "documents"), "doc_id")
+
+
+@query("char_conservation", f"WITH {BLOCKS}, t AS (SELECT doc_id, string_agg(text, '' ORDER BY seq) AS t FROM blocks GROUP BY 1) SELECT d.doc_id, list_sort(string_split(regexp_replace(d.text, '[{WS}]+', '', 'g'), '')) = list_sort(string_split(regexp_replace(t.t, '[{WS}]+', '', 'g'), '')) AS same FROM documents d JOIN t USING (doc_id)")
+def char_conservation(spark, d):
+    """Whether the pages of a document hold all its characters."""
+    docs = table(spark, d, "documents")
+    made = layout.document_text(layout.simple_page_texts(layout.word_blocks(docs))).withColumnRenamed("text", "made")
+    return docs.join(made, "doc_id").select("doc_id", quality.same_characters(c("text"), F.regexp_replace("made", "\f", "")).alias("same"))
+
+
+@query("doc_control_check", "SELECT doc_id, length(text) - length(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0e-\\x1f\\x7f-\\x{9f}]', '', 'g')) AS controls FROM documents")
+def doc_control_check(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.disallowed_controls(c("text")).alias("controls"))
+
+
+@query("doc_newline_normalise", "SELECT page_id, regexp_replace(html, '\\r\\n?', chr(10), 'g') AS html FROM pages")
+def doc_newline_normalise(spark, d):
+    return table(spark, d, "pages").select("page_id", X.newlines(c("html")).alias("html"))
+
+
+@query("html_line_split", "WITH p AS (SELECT page_id, unnest(string_split(regexp_replace(html, '\\r\\n?', chr(10), 'g'), chr(12))) AS page, unnest(generate_series(1, len(string_split(html, chr(12))))) AS page_no FROM pages) SELECT page_id, CAST(page_no AS INTEGER) AS page_no, CAST(unnest(generate_series(1, len(string_split(page, chr(10))))) AS INTEGER) AS line_no, unnest(string_split(page, chr(10))) AS line FROM p")
+def html_line_split(spark, d):
+    return decode.page_lines(table(spark, d, "pages"), "page_id", "html")
+
+
+@query("decoded_files", "SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN 'UTF-16LE' ELSE 'UTF-8' END AS charset, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS text FROM documents")
+def decoded_files(spark, d):
+    """Documents as files: with a UTF-8 mark, in UTF-16LE with its mark, and plain, decoded again."""
+    k = c("doc_id") % 3
+    content = F.when(k == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))).when(k == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE"))).otherwise(F.encode("text", "UTF-8"))
+    files = table(spark, d, "documents").select("doc_id", content.alias("content"))
+    return decode.decoded(files).select("doc_id", "charset", "text")
+
+
+@query("single_line", f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[\\r\\n]', ' ', 'g'), '[ \\t]+', ' ', 'g'), '^[{WS}]+|[{WS}]+$', '', 'g') AS line FROM documents")
+def single_line(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.one_line(c("text")).alias("line"))
+
+
+@query("cjk_font_needed", "SELECT doc_id, regexp_matches(text, '[\\p{Han}\\p{Hiragana}\\p{Katakana}\\p{Hangul}\\p{Bopomofo}]') AS embed FROM documents")
+def cjk_font_needed(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.east_asian(c("text")).alias("embed"))
+
+
+@query("pdf_text_clean", "SELECT page_id, regexp_replace(replace(html, chr(9), ' '), '[\\x00-\\x1f\\x7f-\\x{9f}]', '', 'g') AS html FROM pages")
+def pdf_text_clean(spark, d):
+    return table(spark, d, "pages").select("page_id", X.pdf_text(c("html")).alias("html"))
+
+
+ILLEGAL_SQL = "[\\\\/:*?\"<>|\\x00-\\x1f\\x7f]"
+
+
+@query("safe_names", f"""WITH n AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '^(?s:.*)[/\\\\]', ''), '{ILLEGAL_SQL}', '_', 'g'), '^[{WS}]+|[{WS}]+$', '', 'g') AS n FROM pages)
+SELECT page_id, CASE WHEN n = '' OR n IN ('.', '..') OR length(n) > 180 THEN 'document-' || (page_id + 1) || '.html' ELSE n END AS name FROM n""")
+def safe_names(spark, d):
+    return table(spark, d, "pages").select("page_id", X.display_name(c("url"), c("page_id"), F.lit("html")).alias("name"))
+
+
+@query("sheet_names", f"SELECT page_id, printf('%02d-%s.csv', page_id % 90 + 1, substr(regexp_replace(regexp_replace(url, '{ILLEGAL_SQL}', '_', 'g'), '^[{WS}]+|[{WS}]+$', '', 'g'), 1, 64)) AS entry FROM pages")
+def sheet_names(spark, d):
+    return table(spark, d, "pages").select("page_id", F.format_string("%02d-%s.csv", c("page_id") % 90 + 1, X.sheet_name(c("url"))).alias("entry"))
+
+
+@query("output_names", "SELECT c_custkey, regexp_replace(c_name || '.OFD', '(?i)\\.ofd$', '') || '.xlsx' AS swapped, c_name || '.docx' AS fallback FROM customer")
+def output_names(spark, d):
+    return table(spark, d, "customer").select("c_custkey", X.swap_extension(F.concat("c_name", F.lit(".OFD")), "ofd", ".xlsx").alias("swapped"), X.output_name(F.lit(".."), F.concat(F.lit("/in/"), "c_name", F.lit(".pdf")), F.lit("docx")).alias("fallback"))
+
+
+@query("error_sanitize")
+def error_sanitize(spark, d):
+    """Messages with file paths in them, cleaned."""
+    return table(spark, d, "pages").select("page_id", X.clean_message(F.concat(F.lit("open /var/data/in.pdf failed at C:\\tmp\\x.docx for "), c("url"), F.lit("\n"), c("html"))).alias("message"))
+
+
+@query("csv_escape", """SELECT c_custkey, '"' || replace(c_name || ',' || c_mktsegment || '"', '"', '""') || '",' || c_mktsegment || ',' AS line FROM customer""")
+def csv_escape(spark, d):
+    odd = F.concat("c_name", F.lit(","), "c_mktsegment", F.lit('"'))
+    return table(spark, d, "customer").select("c_custkey", X.csv_line(F.array(odd, c("c_mktsegment"), F.lit(None).cast("string"))).alias("line"))
+
+
+@query("csv_roundtrip", "SELECT doc_id, 0 AS row_no, CAST(doc_id AS VARCHAR) AS a, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS b, source AS c FROM documents")
+def csv_roundtrip(spark, d):
+    """A CSV file for each document (id, text, source), written and parsed again."""
+    line = X.csv_line(F.array(c("doc_id").cast("string"), c("text"), c("source")))
+    files = table(spark, d, "documents").select("doc_id", F.concat(line, F.lit("\r\n")).alias("text"))
+    rows = csv.csv_rows(files, "doc_id", ",", csv.Limits(cell_units=1 << 30))
+    return rows.select("doc_id", c("row_no").cast("int").alias("row_no"), c("cells")[0].alias("a"), c("cells")[1].alias("b"), c("cells")[2].alias("c"))
+
+
+@query("csv_delimiter_detect", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN ',' WHEN 1 THEN chr(9) WHEN 2 THEN ';' ELSE '|' END AS delimiter FROM customer")
+def csv_delimiter_detect(spark, d):
+    sep = F.element_at(F.array(*[F.lit(x) for x in csv.DELIMITERS]), (c("c_custkey") % 4 + 1).cast("int"))
+    row = F.concat_ws("~", F.lit("name"), F.lit('"a,b;c|d"'), F.lit("x"))
+    text = F.replace(F.concat(row, F.lit("\n"), F.concat_ws("~", "c_name", "c_mktsegment", F.lit("1"))), F.lit("~"), sep)
+    return table(spark, d, "customer").select("c_custkey", csv.detected_delimiter(text).alias("delimiter"))
+
+
+@query("font_names", "SELECT p_partkey, CASE WHEN trim(replace(p_type, ',', ' ')) = '' THEN 'SimSun' ELSE replace(p_type, ',', ' ') END AS family, regexp_matches(lower(p_type), 'bold|black|heavy') OR p_size * 20 >= 600 AS bold, regexp_matches(lower(p_type), 'italic|oblique') OR p_size % 2 > 0.1 AS italic FROM part")
+def font_names(spark, d):
+    return table(spark, d, "part").select("p_partkey", X.font_family(F.concat(F.lit("ABCDEF+"), "p_type")).alias("family"), X.bold(c("p_type"), c("p_size") * 20).alias("bold"), X.italic(c("p_type"), c("p_size") % 2).alias("italic"))
+
+
+# ---------------------------------------------------------------- formats
+
+EXT = "['.ofd', '.DOCX', '.jpeg', '.uop', '.zip', '.pdf', '.txt', '.bin']"
+FMT = "['ofd', 'docx', 'jpg', 'uof', 'pdf-split', 'pdf', 'txt', NULL]"
+
+
+@query("format_of_name", f"SELECT c_custkey, ({FMT})[c_custkey % 8 + 1] AS format FROM customer")
+def format_of_name(spark, d):
+    ext = F.element_at(F.array(*[F.lit(x) for x in (".ofd", ".DOCX", ".jpeg", ".uop", ".zip", ".pdf", ".txt", ".bin")]), (c("c_custkey") % 8 + 1).cast("int"))
+    return table(spark, d, "customer").select("c_custkey", formats.of_name(F.concat("c_name", ext)).alias("format"))
+
+
+@query("format_of_id", "SELECT c_custkey, (['jpg', 'pdf', 'pdf-merge', 'pdf-split', NULL])[c_custkey % 5 + 1] AS format, (['image/jpeg', 'application/pdf', 'application/pdf', 'application/zip', NULL])[c_custkey % 5 + 1] AS content_type FROM customer")
+def format_of_id(spark, d):
+    value = F.element_at(F.array(*[F.lit(x) for x in (" .JPEG", "PDF", "pdf_merged", "zip", "nothing")]), (c("c_custkey") % 5 + 1).cast("int"))
+    f = formats.of_id(value)
+    return table(spark, d, "customer").select("c_custkey", f.alias("format"), formats.content_type(f).alias("content_type"))
+
+
+@query("mime_accepted", "SELECT c_custkey, ([true, true, false, true])[c_custkey % 4 + 1] AS accepted FROM customer")
+def mime_accepted(spark, d):
+    mime = F.element_at(F.array(*[F.lit(x) for x in ("Text/CSV; charset=utf-8", "", "image/png", "application/octet-stream")]), (c("c_custkey") % 4 + 1).cast("int"))
+    return table(spark, d, "customer").select("c_custkey", formats.accepts_mime(F.lit("csv"), mime).alias("accepted"))
+
+
+@query("magic_bytes", "SELECT page_id, true AS html, false AS pdf, true AS uof, 'application/octet-stream' AS image FROM pages")
+def magic_bytes(spark, d):
+    raw = F.encode("html", "UTF-8")
+    return table(spark, d, "pages").select("page_id", formats.content_fits(F.lit("html"), raw).alias("html"), formats.content_fits(F.lit("pdf"), raw).alias("pdf"), formats.content_fits(F.lit("uof"), raw).alias("uof"), formats.image_type(raw).alias("image"))
+
+
+# ---------------------------------------------------------------- OCR
+
+WORDS_SQL = "w AS (SELECT conv_id, turn, CAST(unnest(generate_series(0, len(string_split(text, ' ')) - 1)) AS INTEGER) AS seq, unnest(string_split(text, ' ')) AS text FROM conversations), o AS (SELECT *, 1 + seq // 40 AS block, 1 + (seq // 10) % 4 AS line, 10 + 12 * (seq % 10) AS \"left\", 20 * (seq // 10) AS top, 10 AS width, 9 AS height, CAST((seq * 37 + conv_id) % 101 AS DOUBLE) AS conf FROM w WHERE text <> '')"
+
+
+def _ocr(spark, d):
+    seq = c("seq")
+    w = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", " ", -1)).alias("seq", "text")).where("text <> ''")
+    row = F.floor(seq / 10).cast("int")
+    return w.select("conv_id", "turn", "seq", F.lit(5).alias("level"), F.lit(1).alias("page"), (1 + F.floor(seq / 40)).cast("int").alias("block"), F.lit(1).alias("par"), (1 + row % 4).alias("line"), (10 + 12 * (seq % 10)).alias("left"), (20 * row).alias("top"), F.lit(10).alias("width"), F.lit(9).alias("height"), ((seq * 37 + c("conv_id")) % 101).cast("double").alias("conf"), "text")
+
+
+@query("ocr_line_assembly", f"WITH {WORDS_SQL} SELECT conv_id, turn, CAST(block AS INTEGER) AS block, CAST(line AS INTEGER) AS line, string_agg(text, ' ' ORDER BY seq) AS text, CAST(min(\"left\") AS INTEGER) AS \"left\", CAST(max(\"left\" + width) - min(\"left\") AS INTEGER) AS width FROM o GROUP BY ALL")
+def ocr_line_assembly(spark, d):
+    return ocr_tsv.lines(ocr_tsv.usable(_ocr(spark, d)), ["conv_id", "turn"]).select("conv_id", "turn", "block", "line", "text", "left", "width")
+
+
+@query("ocr_confidence", f"WITH {WORDS_SQL}, k AS (SELECT conv_id, turn, avg(conf) / 100 AS confidence, count(*) AS words FROM o GROUP BY ALL) SELECT conv_id, turn, round(confidence, 9) AS confidence, words, CASE WHEN confidence < 0.35 THEN 'OCR_LOW_CONFIDENCE' WHEN confidence < 0.75 THEN 'OCR_APPLIED,OCR_LOW_CONFIDENCE' ELSE 'OCR_APPLIED' END AS verdict FROM k")
+def ocr_confidence(spark, d):
+    k = ocr_tsv.confidence(ocr_tsv.usable(_ocr(spark, d)), ["conv_id", "turn"])
+    return k.select("conv_id", "turn", F.round("confidence", 9).alias("confidence"), "words", ocr_tsv.verdict(c("confidence"), c("words")).alias("verdict"))
+
+
+@query("ocr_weighted_conf", f"WITH {WORDS_SQL}, k AS (SELECT conv_id, turn, avg(conf) / 100 AS confidence, count(*) AS words FROM o GROUP BY ALL) SELECT conv_id, round(sum(confidence * words) / sum(words), 6) AS confidence, CAST(sum(words) AS BIGINT) AS words FROM k GROUP BY 1")
+def ocr_weighted_conf(spark, d):
+    k = ocr_tsv.weighted(ocr_tsv.confidence(ocr_tsv.usable(_ocr(spark, d)), ["conv_id", "turn"]), ["conv_id"])
+    return k.withColumn("confidence", F.round("confidence", 6))
+
+
+@query("ocr_placement", f"WITH {WORDS_SQL}, l AS (SELECT conv_id, turn, block, line, min(\"left\") AS l, min(top) AS t, max(\"left\" + width) - min(\"left\") AS w, max(top + height) - min(top) AS h FROM o GROUP BY ALL), m AS (SELECT *, greatest(0.5, h * 297 / 2000.0) AS hh FROM l) SELECT conv_id, turn, CAST(block AS INTEGER) AS block, CAST(line AS INTEGER) AS line, round(l * 210 / 1000.0, 4) AS x, round(greatest(0.5, w * 210 / 1000.0), 4) AS width, round(least(72, greatest(5, hh * 72 / 25.4 * 0.85)), 4) AS size_pt, round(t * 297 / 2000.0 + hh * 0.85, 4) AS baseline FROM m")
+def ocr_placement(spark, d):
+    page = {k: F.lit(v) for k, v in (("x", 0.0), ("y", 0.0), ("width", 210.0), ("height", 297.0))}
+    out = ocr_tsv.placed(ocr_tsv.lines(_ocr(spark, d), ["conv_id", "turn"]), page, {"width": F.lit(1000), "height": F.lit(2000)})
+    return out.select("conv_id", "turn", "block", "line", *[F.round(k, 4).alias(k) for k in ("x", "width", "size_pt", "baseline")])
+
+
+@query("ocr_dedup_anti", f"""WITH {BLOCKS}, n AS (SELECT * FROM blocks WHERE seq % 2 = 0), f AS (SELECT * REPLACE (x + 12 AS x) FROM blocks WHERE seq % 2 = 1)
+SELECT f.doc_id, f.page_no, f.seq FROM f ANTI JOIN n ON f.doc_id = n.doc_id AND f.page_no = n.page_no AND
+ (regexp_replace(f.text, '[{WS}]+', '', 'g') = regexp_replace(n.text, '[{WS}]+', '', 'g') OR greatest(0, least(f.x + 20, n.x + 20) - greatest(f.x, n.x)) * greatest(0, least(f.y + 5, n.y + 5) - greatest(f.y, n.y)) / 100 > 0.7)""")
+def ocr_dedup_anti(spark, d):
+    b = blocks(spark, d)
+    return ocr.without_duplicates(b.where("seq % 2 = 1").withColumn("x", c("x") + 12), b.where("seq % 2 = 0")).select("doc_id", "page_no", "seq")
+
+
+@query("scan_detection", f"""WITH {BLOCKS}, k AS (SELECT doc_id, page_no, sum(length(regexp_replace(text, '[{WS}]+', '', 'g'))) AS chars FROM blocks GROUP BY ALL)
+SELECT doc_id, page_no, CAST(chars AS BIGINT) AS chars, CASE WHEN page_no % 2 = 0 THEN false ELSE chars = 0 OR (chars < 20 AND 0.6 >= 0.5) END AS scanned, chars >= 80 AND 0.7 >= 0.65 AS background FROM k""")
+def scan_detection(spark, d):
+    k = ocr.page_chars(blocks(spark, d))
+    images = F.when(c("page_no") % 2 == 0, 0).otherwise(1)
+    return k.select("doc_id", "page_no", "chars", ocr.scanned(c("chars"), images, F.lit(0.6)).alias("scanned"), ocr.text_backed(c("chars"), F.lit(0.7)).alias("background"))
+
+
+@query("ocr_required_pages", f"WITH {BLOCKS}, n AS (SELECT DISTINCT doc_id, page_no FROM blocks WHERE page_no % 3 = 1) SELECT doc_id, string_agg(CAST(page_no AS VARCHAR), '、' ORDER BY page_no) AS pages FROM n GROUP BY 1")
+def ocr_required_pages(spark, d):
+    w = blocks(spark, d).where("page_no % 3 = 1").select("doc_id", "page_no", F.lit("OCR_REQUIRED").alias("code"))
+    return ocr.required_pages(w)
+
+
+@query("missing_languages", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'fra' WHEN 1 THEN '' ELSE 'deu+fra' END AS missing, CASE c_custkey % 3 WHEN 0 THEN 5 ELSE 3 END AS psm FROM customer")
+def missing_languages(spark, d):
+    asked = F.element_at(F.array(F.lit("eng+chi_sim_vert+fra+eng"), F.lit("eng"), F.lit("deu,fra")), (c("c_custkey") % 3 + 1).cast("int"))
+    tags = X.language_tags(asked)
+    left = F.array_except(F.split(tags, "\\+"), F.array(F.lit("eng"), F.lit("chi_sim_vert")))
+    return table(spark, d, "customer").select("c_custkey", F.array_join(left, "+").alias("missing"), X.segmentation_mode(tags).alias("psm"))
+
+
+# ---------------------------------------------------------------- jobs
+
+FILES_SQL = "f AS (SELECT l_orderkey AS task_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INTEGER) AS idx, CAST(l_extendedprice * 1000 AS BIGINT) AS size, l_returnflag <> 'R' AS success, 'part-' || (l_partkey % 3) || '.docx' AS output_name, 'E' || l_linenumber AS error_code, CASE WHEN l_orderkey % 4 = 0 THEN 'pdf-merge' ELSE 'docx' END AS target, CAST(l_quantity AS BIGINT) AS page_count FROM lineitem)"
+
+
+def _files(spark, d):
+    return _lines(spark, d).select(c("l_orderkey").alias("task_id"), c("line").alias("idx"), F.round(c("l_extendedprice") * 1000).cast("bigint").alias("size"), (c("l_returnflag") != "R").alias("success"), F.concat(F.lit("part-"), (c("l_partkey") % 3).cast("string"), F.lit(".docx")).alias("output_name"), F.concat(F.lit("E"), c("l_linenumber").cast("string")).alias("error_code"), F.when(c("l_orderkey") % 4 == 0, "pdf-merge").otherwise("docx").alias("target"), c("l_quantity").cast("bigint").alias("page_count"))
+
+
+def _tasks(spark, d):
+    status = F.element_at(F.array(*[F.lit(x) for x in jobs.STATUSES]), (c("o_orderkey") % 5 + 1).cast("int"))
+    return table(spark, d, "orders").select(c("o_orderkey").alias("task_id"), status.alias("status"), F.lit(None).cast("string").alias("error_code"), c("o_orderdate").alias("updated_at"))
+
+
+TASKS_SQL = "t AS (SELECT o_orderkey AS task_id, (['WAITING', 'CONVERTING', 'SUCCESS', 'FAILED', 'CANCELLED'])[o_orderkey % 5 + 1] AS status, o_orderdate AS updated_at FROM orders)"
+
+
+@query("task_quota", f"WITH {FILES_SQL} SELECT task_id, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, count(*) <= 100 AND sum(size) <= 250 * 1048576 AS accepted FROM f GROUP BY 1")
+def task_quota(spark, d):
+    return jobs.quotas(_files(spark, d))
+
+
+@query("running_quota", f"WITH {FILES_SQL}, r AS (SELECT task_id, idx, CAST(sum(size) OVER (PARTITION BY task_id ORDER BY idx) AS BIGINT) AS total_bytes FROM f) SELECT *, total_bytes > 100000000 AS \"over\" FROM r")
+def running_quota(spark, d):
+    return jobs.running_bytes(_files(spark, d), 100_000_000).select("task_id", "idx", "total_bytes", "over")
+
+
+@query("task_progress", f"WITH {FILES_SQL} SELECT task_id, idx, CAST(least(94, ((idx - 1) * 90 + page_count) // greatest(1, count(*) OVER (PARTITION BY task_id))) AS INTEGER) AS progress FROM f")
+def task_progress(spark, d):
+    n = F.count(F.lit(1)).over(Window.partitionBy("task_id"))
+    return _files(spark, d).select("task_id", "idx", jobs.progress(c("idx") - 1, n, c("page_count")).alias("progress"))
+
+
+@query("task_ttl", f"WITH {TASKS_SQL} SELECT task_id, updated_at + INTERVAL 24 HOURS AS expires_at FROM t WHERE status IN ('SUCCESS', 'FAILED', 'CANCELLED') AND updated_at + INTERVAL 24 HOURS < TIMESTAMP '1996-01-01'")
+def task_ttl(spark, d):
+    return jobs.expired(jobs.expiry(_tasks(spark, d)), F.lit("1996-01-01").cast(table(spark, d, "orders").schema["o_orderdate"].dataType)).select("task_id", "expires_at")
+
+
+@query("restart_recovery", f"WITH {TASKS_SQL} SELECT task_id, CASE WHEN status IN ('WAITING', 'CONVERTING') THEN 'FAILED' ELSE status END AS status, CASE WHEN status IN ('WAITING', 'CONVERTING') THEN 'SERVICE_RESTARTED' END AS error_code FROM t")
+def restart_recovery(spark, d):
+    return jobs.recovered(_tasks(spark, d)).select("task_id", "status", "error_code")
+
+
+@query("retryable_tasks", f"WITH {TASKS_SQL} SELECT task_id, status FROM t WHERE status IN ('FAILED', 'CANCELLED') AND task_id IN (SELECT l_orderkey FROM lineitem)")
+def retryable_tasks(spark, d):
+    return jobs.retryable(_tasks(spark, d), _files(spark, d)).select("task_id", "status")
+
+
+@query("cancelled_tasks", f"WITH {TASKS_SQL} SELECT task_id, CASE WHEN task_id % 3 = 0 AND status IN ('WAITING', 'CONVERTING') THEN 'CANCELLED' ELSE status END AS status FROM t")
+def cancelled_tasks(spark, d):
+    t = _tasks(spark, d)
+    return jobs.cancelled(t, t.where("task_id % 3 = 0")).select("task_id", "status")
+
+
+@query("batch_outcome", f"WITH {FILES_SQL}, g AS (SELECT task_id, count(*) AS files, count_if(success) AS ok, arg_min(error_code, idx) FILTER (NOT success) AS e, max(target) AS target FROM f GROUP BY 1) SELECT task_id, files, CAST(ok AS BIGINT) AS ok, CASE WHEN ok = 0 THEN 'FAILED' ELSE 'SUCCESS' END AS status, CASE WHEN ok = 0 THEN NULL WHEN target = 'pdf-merge' THEN 'pdf' WHEN files = 1 THEN 'file' ELSE 'zip' END AS package, CASE WHEN ok = 0 THEN e END AS error_code FROM g")
+def batch_outcome(spark, d):
+    return jobs.outcomes(_files(spark, d))
+
+
+@query("archive_names", f"WITH {FILES_SQL}, k AS (SELECT task_id, idx, output_name, row_number() OVER (PARTITION BY task_id, output_name ORDER BY idx) AS k FROM f WHERE success) SELECT task_id, idx, output_name, CASE WHEN k = 1 THEN output_name ELSE replace(output_name, '.docx', '-' || k || '.docx') END AS entry_name FROM k")
+def archive_names(spark, d):
+    return jobs.archive_names(_files(spark, d))
+
+
+@query("failure_report", f"WITH {FILES_SQL} SELECT task_id, string_agg(output_name || chr(9) || error_code || chr(9), chr(10) ORDER BY idx) AS report FROM f WHERE NOT success GROUP BY 1")
+def failure_report(spark, d):
+    return jobs.failure_report(_files(spark, d).withColumn("file_name", c("output_name")).withColumn("error_message", F.lit(None).cast("string")))
+
+
+@query("result_pairing", f"WITH {FILES_SQL}, a AS (SELECT task_id, idx, row_number() OVER (PARTITION BY task_id ORDER BY idx) AS p FROM f WHERE success), b AS (SELECT task_id, page_count AS output, row_number() OVER (PARTITION BY task_id ORDER BY idx) AS p FROM f) SELECT task_id, idx, output FROM a JOIN b USING (task_id, p)")
+def result_pairing(spark, d):
+    f = _files(spark, d)
+    return jobs.paired(f.select("task_id", "idx", "success"), f.select("task_id", "idx", c("page_count").alias("output"))).select("task_id", "idx", "output")
+
+
+@query("merge_page_check", f"WITH {FILES_SQL}, g AS (SELECT task_id, CAST(sum(page_count) AS BIGINT) AS expected FROM f GROUP BY 1), m AS (SELECT o_orderkey AS task_id, CAST(o_orderkey % 100 AS BIGINT) AS actual FROM orders) SELECT task_id, expected, actual, expected IS NOT DISTINCT FROM actual AS ok FROM g LEFT JOIN m USING (task_id)")
+def merge_page_check(spark, d):
+    m = table(spark, d, "orders").select(c("o_orderkey").alias("task_id"), (c("o_orderkey") % 100).alias("page_count"))
+    return jobs.merge_check(_files(spark, d), m)
+
+
+@query("page_continuity", f"WITH {BLOCKS}, p AS (SELECT DISTINCT doc_id, page_no FROM blocks), k AS (SELECT *, 1 + doc_id % 3 AS want FROM p) SELECT doc_id, min(page_no) = 1 AND max(page_no) = count(*) AND max(want) = count(*) AS ok FROM k GROUP BY 1")
+def page_continuity(spark, d):
+    p = blocks(spark, d).select("doc_id", "page_no").distinct().withColumn("want", 1 + c("doc_id") % 3)
+    return jobs.page_continuity(p, "want")
+
+
+@query("guard_codes", "SELECT p_partkey, CASE WHEN p_size * 20 > 500 THEN 'PAGE_LIMIT_EXCEEDED' END AS pages, CASE WHEN p_size * 1000 * 2000 > 52428800 THEN 'IMAGE_PIXEL_LIMIT_EXCEEDED' END AS pixels, CASE WHEN p_size * 400 > 10000 THEN 'ROW_LIMIT' WHEN p_size * 1000 > 16384 THEN 'COLUMN_LIMIT' END AS sheet, CASE WHEN p_size % 4 = 0 THEN 'CONVERSION_TIMEOUT' WHEN p_size % 4 = 1 THEN 'P' ELSE 'CONVERSION_FAILED' END AS failure, CASE WHEN p_size % 5 = 0 THEN 'OCR_TIMEOUT' WHEN p_size % 5 = 1 THEN 'OCR_RESOURCE_LIMIT' ELSE 'OCR_FAILED' END AS ocr FROM part")
+def guard_codes(spark, d):
+    s = c("p_size")
+    kind = F.when(s % 4 == 0, "timeout").when(s % 4 == 1, "parse").otherwise("other")
+    return table(spark, d, "part").select("p_partkey", jobs.page_error(s * 20).alias("pages"), jobs.pixel_error(s * 1000, F.lit(2000)).alias("pixels"), jobs.sheet_error(s * 400, s * 1000, F.lit(1), F.lit(1)).alias("sheet"), jobs.failure_code(kind, F.lit("P")).alias("failure"), jobs.ocr_failure_code(s % 5 == 0, F.lit(True), F.when(s % 5 == 1, 137).otherwise(1)).alias("ocr"))
+
+
+@query("path_containment", "SELECT page_id, NOT (page_id % 3 = 1) AS contained, page_id % 2 = 0 AS valid_id FROM pages")
+def path_containment(spark, d):
+    p = F.element_at(F.array(F.lit("a/../b.txt"), F.lit("a/../../b"), F.lit("x\\y")), (c("page_id") % 3 + 1).cast("int"))
+    u = F.when(c("page_id") % 2 == 0, "123e4567-e89b-12d3-a456-426614174000").otherwise("not-an-id")
+    return table(spark, d, "pages").select("page_id", jobs.contained(p).alias("contained"), jobs.valid_task_id(u).alias("valid_id"))
+
+
+# ---------------------------------------------------------------- quality
+
+
+@query("pixel_difference", "SELECT l_orderkey, round(avg(CAST(l_discount <> l_tax OR l_quantity <> 10 AS INT)), 6) AS diff_ratio, round(sum(abs(l_discount - l_tax) + abs(l_quantity - 10)) / (count(*) * 2), 8) AS mean_error FROM lineitem GROUP BY 1")
+def pixel_difference(spark, d):
+    p = table(spark, d, "lineitem").withColumn("ten", F.lit(10.0))
+    out = quality.pixel_difference(p, ["l_orderkey"], ["l_discount", "l_quantity"], ["l_tax", "ten"])
+    return out.select("l_orderkey", F.round("diff_ratio", 6).alias("diff_ratio"), F.round("mean_error", 8).alias("mean_error"))
+
+
+@query("quality_summary", "SELECT event_type, CAST(count_if(value > 50) AS BIGINT) AS passed, CAST(count_if(NOT value > 50) AS BIGINT) AS failed, CAST(count_if(user_id % 2 = 0) AS BIGINT) AS visual FROM events GROUP BY 1")
+def quality_summary(spark, d):
+    e = table(spark, d, "events").select("event_type", (c("value") > 50).alias("passed"), (c("user_id") % 2 == 0).alias("visual"))
+    return quality.summary(e, ["event_type"])
+
+
+@query("export_equality", "SELECT 0::BIGINT AS missing, 0::BIGINT AS extra, true AS equal")
+def export_equality(spark, d):
+    """Documents' rows equal themselves after a trip through CSV."""
+    docs = table(spark, d, "documents").select("doc_id", X.newlines(c("text")).alias("text"), "source")
+    back = csv_roundtrip(spark, d).select(c("a").cast("long").alias("doc_id"), c("b").alias("text"), c("c").alias("source"))
+    return quality.same_rows(docs, back)
+
+
+@query("page_size_check", "SELECT p_partkey, abs(p_retailprice - p_size * 72.0 / 96) <= 900 AS ok, floor(p_size * 255 / 50.0) * 0.5 + 127.5 AS on_white FROM part")
+def page_size_check(spark, d):
+    w = c("p_retailprice")
+    return table(spark, d, "part").select("p_partkey", quality.size_matches(w, w, c("p_size"), c("p_size"), F.lit(96), 900).alias("ok"), quality.over_white(F.floor(c("p_size") * 255 / 50.0).cast("double"), F.lit(127.5)).alias("on_white"))
+
+
+# ---------------------------------------------------------------- routes
+
+
+@query("route_catalogue", routes.CATALOGUE_SQL)
+def route_catalogue(spark, d):
+    return routes.catalogue(spark).select("id", "source", "target", "status")
+
+
+@query("route_lookup", "SELECT event_id, CASE event_type WHEN 'click' THEN 'csv-to-xlsx' WHEN 'view' THEN 'ofd-to-txt' ELSE 'docx-to-txt' END AS route FROM events")
+def route_lookup(spark, d):
+    t = c("event_type")
+    asked = table(spark, d, "events").select("event_id", F.when(t == "click", "csv").when(t == "view", "ofd").otherwise("docx").alias("source"), F.when(t == "click", "xlsx").otherwise("txt").alias("target"))
+    return routes.lookup(asked, routes.catalogue(spark)).select("event_id", c("id").alias("route"))
+
+
+@query("planned_minus_registered", routes.PLANNED_SQL)
+def planned_minus_registered(spark, d):
+    return routes.planned_only(spark).select("id")

@@ -16,10 +16,11 @@ MAX_COLUMNS, MAX_CELL = 16_384, 32_767
 
 @dataclass(frozen=True)
 class Limits:
-    """Of one file: rows, cells (None: as follows from rows)."""
+    """Of one file: rows, cells, and UTF-16 units of a cell."""
 
     rows: int = 10_000
     cells: int = 250_000
+    cell_units: int = MAX_CELL
 
 
 def parse(text: str, delimiter: str = ",", limits: Limits = Limits()) -> list[list[str]]:
@@ -41,7 +42,7 @@ def parse(text: str, delimiter: str = ",", limits: Limits = Limits()) -> list[li
             raise ValueError(f"misplaced or open quote near {at + 1}")
         value = m[1].replace('""', '"') if m.re is quoted else m[0]
         cells += 1
-        if len(row) >= MAX_COLUMNS or cells > limits.cells or len(value.encode("utf-16-le")) // 2 > MAX_CELL:
+        if len(row) >= MAX_COLUMNS or cells > limits.cells or len(value.encode("utf-16-le")) // 2 > limits.cell_units:
             raise ValueError("cell limit")
         row.append(value)
         at = m.end()
@@ -58,23 +59,18 @@ def parse(text: str, delimiter: str = ",", limits: Limits = Limits()) -> list[li
     return rows
 
 
-def record_counts(text: Column, delimiter: str) -> Column:
-    """Of the first records of a text: how often the delimiter occurs outside quotes."""
+def detected_delimiter(text: Column) -> Column:
+    """The delimiter whose positive record counts agree most often; ties by the count, then by their number, then , TAB ; |."""
     open_ = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), '"(?:[^"]|"")*("|$)', "")
     records = F.slice(F.split(open_, "\n", -1), 1, SAMPLE_RECORDS)
-    return F.transform(records, lambda r: F.length(r) - F.length(F.replace(r, F.lit(delimiter), F.lit(""))))
-
 
-def detected_delimiter(text: Column) -> Column:
-    """The delimiter whose positive record counts agree most often; ties by the count, then by their number, then , TAB ; |."""
-    best = F.struct(F.lit(-1).cast("bigint").alias("score"), F.lit(0).alias("order"), F.lit(",").alias("delimiter"))
-    for k, d in enumerate(DELIMITERS):
-        some = F.filter(record_counts(text, d), lambda n: n > 0)
-        votes = F.transform(F.array_distinct(some), lambda n: F.struct(F.size(F.filter(some, lambda x: x == n)).alias("freq"), n.alias("n")))
-        top = F.array_max(votes)
+    def scored(d: Column, k: Column) -> Column:
+        some = F.filter(F.transform(records, lambda r: F.length(r) - F.length(F.replace(r, d, F.lit("")))), lambda n: n > 0)
+        top = F.array_max(F.transform(some, lambda n: F.struct(F.size(F.filter(some, lambda x: x == n)).alias("freq"), n.alias("n"))))
         score = F.coalesce(top["freq"] * F.lit(1_000_000).cast("bigint") + top["n"] * F.lit(1_000) + F.size(some), F.lit(0).cast("bigint"))
-        best = F.greatest(best, F.struct(score.alias("score"), F.lit(-k).alias("order"), F.lit(d).alias("delimiter")))
-    return best["delimiter"]
+        return F.struct(score.alias("score"), (-k).alias("order"), d.alias("delimiter"))
+
+    return F.array_max(F.transform(F.array(*[F.lit(d) for d in DELIMITERS]), scored))["delimiter"]
 
 
 def csv_rows(files: DataFrame, key: str, delimiter: str | None = None, limits: Limits = Limits()) -> DataFrame:
