@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import binary_content, newlines
 
@@ -12,7 +13,7 @@ from ..functions.text import binary_content, newlines
 MARKS = (("EFBBBF", 3, "utf-8"), ("FFFE", 2, "utf-16le"), ("FEFF", 2, "utf-16be"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _gb18030(content: pd.Series) -> pd.Series:
     def one(raw):
         try:
@@ -23,7 +24,7 @@ def _gb18030(content: pd.Series) -> pd.Series:
     return content.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _marked(content: pd.Series, codec: pd.Series) -> pd.Series:
     def one(raw, name):
         try:
