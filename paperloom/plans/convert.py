@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import grid, layout
 from ..operators.jobs import ParseLimits
 from ..sinks import files as sinks
+from ..sinks import pdf
 from ..sources import containers, csv, decode, fixed_layout
 
 ROUTES: dict[tuple[str, str], Callable[[DataFrame, ParseLimits], DataFrame]] = {}
@@ -94,6 +95,12 @@ def ofd_to_docx(files: DataFrame, limits: ParseLimits) -> DataFrame:
     return sinks.docx_lines(lines, "file_id")
 
 
+@route("png", "pdf")
+@route("jpg", "pdf")
+def image_to_pdf(files: DataFrame, limits: ParseLimits) -> DataFrame:
+    return pdf.images_to_pdf(files, "file_id", limits).where("error_code IS NULL").select("file_id", "content")
+
+
 def errors(files: DataFrame, source: str, limits: ParseLimits = ParseLimits()) -> DataFrame:
     """file_id, error_code of the files that could not be read."""
     read = {
@@ -101,6 +108,8 @@ def errors(files: DataFrame, source: str, limits: ParseLimits = ParseLimits()) -
         "txt": lambda: decode.decoded(files, limits.archive_bytes, limits.pages),
         "xlsx": lambda: containers.xlsx_rows(files, "file_id", limits),
         "docx": lambda: containers.docx_stories(files, "file_id", limits),
+        "png": lambda: pdf.images_to_pdf(files, "file_id", limits),
+        "jpg": lambda: pdf.images_to_pdf(files, "file_id", limits),
         "ofd": lambda: fixed_layout.layout_objects(files, "file_id", limits),
     }[source]()
     return read.where("error_code IS NOT NULL").select("file_id", "error_code")

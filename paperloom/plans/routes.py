@@ -30,8 +30,8 @@ REGISTERED = (
     ("pdf", "pdf-split", "stable", "content", "PDF parser"),
     ("pdf", "pdf-watermark", "beta", "content", "PDF parser"),
     ("pdf", "pdf-compress", "beta", "content", "PDF parser"),
-    ("png", "pdf", "stable", "fidelity", "image decoder"),
-    ("jpg", "pdf", "stable", "fidelity", "image decoder"),
+    ("png", "pdf", "stable", "fidelity", ""),
+    ("jpg", "pdf", "stable", "fidelity", ""),
     ("png", "txt", "experimental", "extraction", "OCR engine"),
     ("jpg", "txt", "experimental", "extraction", "OCR engine"),
     ("png", "docx", "experimental", "editable", "OCR engine"),

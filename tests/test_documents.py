@@ -1,15 +1,17 @@
 import io
 import struct
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions import geometry as G
 from paperloom.functions import text as X
-from paperloom.operators import grid, jobs, layout, numbering, ocr
+from paperloom.operators import glyphs, grid, jobs, layout, numbering, ocr
 from paperloom.plans import convert, routes
 from paperloom.sinks import files as sinks
+from paperloom.sinks import pdf
 from paperloom.sources import containers, csv, decode, fixed_layout, images, ocr_tsv
 
 # ---------------------------------------------------------------- geometry
@@ -234,6 +236,35 @@ def test_image_metadata(spark):
     assert got[1] == (30, 20, 150.0, 6) and got[2] == (None, None, 96.0, 1)
 
 
+def test_images_become_pages(spark):
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + b"\0\0\0\0"
+    rows = zlib.compress(b"".join(b"\0" + bytes([i % 256] * 300) for i in range(100)))
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 100, 100, 8, 2, 0, 0, 0)) + chunk(b"IDAT", rows)
+    alpha = png.replace(struct.pack(">IIBBBBB", 100, 100, 8, 2, 0, 0, 0), struct.pack(">IIBBBBB", 100, 100, 8, 6, 0, 0, 0))
+    tiny = png.replace(struct.pack(">IIB", 100, 100, 8), struct.pack(">IIB", 2, 100, 8))
+    files = file_df(spark, png, alpha, tiny, b"junk")
+    out = convert.convert(files, "png", "pdf").collect()
+    assert [r["file_id"] for r in out] == [0] and b"/MediaBox [0 0 75.0000 75.0000]" in bytes(out[0]["content"])
+    assert bytes(out[0]["content"]).endswith(b"%%EOF\n")
+    assert [r["error_code"] for r in convert.errors(files, "png").orderBy("file_id").collect()] == ["IMAGE_KIND_UNSUPPORTED", "PAGE_SIZE_UNSUPPORTED", "IMAGE_INVALID"]
+
+
+def test_image_placement_agrees_with_pixel_orientation(spark):
+    for o in range(1, 9):
+        a, b, c_, d, e, f = pdf.placement(1, 1, o)
+        p = one(spark, ocr.oriented(F.lit(0), F.lit(0), F.lit(2), F.lit(2), F.lit(o)))
+        u, v = 0.25, 0.75  # the centre of the stored top left pixel
+        assert (a * u + c_ * v + e, b * u + d * v + f) == pytest.approx((0.25 + p["x"] / 2, 0.75 - p["y"] / 2))
+
+
+def test_glyph_runs(spark):
+    rows = [(1, 1, i, ch, float(i), 0.0, 1.0, 2.0, fam, size, False, False, 0.0, "000000") for i, (ch, fam, size) in enumerate([("a", "F", 10.0), ("b", "F", 10.05), ("c", "F", 10.14), ("d", "G", 10.14)])]
+    df = spark.createDataFrame(rows, "doc_id int, page_no int, seq int, ch string, x double, y double, width double, height double, family string, size_pt double, bold boolean, italic boolean, direction double, color string")
+    assert [(r["text"], r["width"]) for r in glyphs.glyph_runs(df).orderBy("run_no").collect()] == [("abc", 3.0), ("d", 1.0)]
+    assert one(spark, glyphs.page_error("TEXT_EXTRACTION", F.lit(False), F.lit(0), F.lit(True))) == "OCR_REQUIRED"
+    assert tuple(one(spark, glyphs.page_size(F.lit(72.0), F.lit(144.0), F.lit(1.0), F.lit(90.0)))) == pytest.approx((50.8, 25.4))
+
+
 # ---------------------------------------------------------------- OCR, names, jobs
 
 
