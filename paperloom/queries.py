@@ -231,11 +231,11 @@ def cell_alignment(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", G.cell_alignment(c("l_quantity"), n * 8).alias("in_cell"), G.page_alignment(c("l_quantity"), n, F.lit(210.0)).alias("on_page"))
 
 
-@query("curve_points", "SELECT p_partkey, k AS step, round((1 - k / 8.0) * (1 - k / 8.0) * p_size + 2 * (1 - k / 8.0) * (k / 8.0) * p_retailprice + (k / 8.0) * (k / 8.0) * 7, 4) AS x FROM part, unnest(generate_series(0, 8)) AS g(k)")
+@query("curve_points", "SELECT p_partkey, k AS step, round((1 - k / 8.0) * (1 - k / 8.0) * p_size + 2 * (1 - k / 8.0) * (k / 8.0) * p_retailprice + (k / 8.0) * (k / 8.0) * 7, 10) AS x FROM part, unnest(generate_series(0, 8)) AS g(k)")
 def curve_points(spark, d):
     """Quadratic curves at nine even places."""
     pts = G.flattened([c("p_size").cast("double"), c("p_retailprice"), F.lit(7.0)], 8)
-    return table(spark, d, "part").select("p_partkey", F.posexplode(pts).alias("step", "x")).select("p_partkey", c("step").cast("long").alias("step"), F.round("x", 4).alias("x"))
+    return table(spark, d, "part").select("p_partkey", F.posexplode(pts).alias("step", "x")).select("p_partkey", c("step").cast("long").alias("step"), F.round("x", 10).alias("x"))
 
 
 @query("image_page_size", "SELECT p_partkey, round(p_size * 100 * 72.0 / 96, 4) AS width_pt, CASE WHEN p_size * 100 * 72.0 / 96 BETWEEN 3 AND 14400 AND p_retailprice * 72 / 96 BETWEEN 3 AND 14400 THEN NULL ELSE 'PAGE_SIZE_UNSUPPORTED' END AS error_code FROM part")
@@ -509,10 +509,10 @@ def ocr_line_assembly(spark, d):
     return ocr_tsv.lines(ocr_tsv.usable(_ocr(spark, d)), ["conv_id", "turn"]).select("conv_id", "turn", "block", "line", "text", "left", "width")
 
 
-@query("ocr_confidence", f"WITH {WORDS_SQL}, k AS (SELECT conv_id, turn, avg(conf) / 100 AS confidence, count(*) AS words FROM o GROUP BY ALL) SELECT conv_id, turn, round(confidence, 9) AS confidence, words, CASE WHEN confidence < 0.35 THEN 'OCR_LOW_CONFIDENCE' WHEN confidence < 0.75 THEN 'OCR_APPLIED,OCR_LOW_CONFIDENCE' ELSE 'OCR_APPLIED' END AS verdict FROM k")
+@query("ocr_confidence", f"WITH {WORDS_SQL}, k AS (SELECT conv_id, turn, avg(conf) / 100 AS confidence, count(*) AS words FROM o GROUP BY ALL) SELECT conv_id, turn, round(confidence, 12) AS confidence, words, CASE WHEN confidence < 0.35 THEN 'OCR_LOW_CONFIDENCE' WHEN confidence < 0.75 THEN 'OCR_APPLIED,OCR_LOW_CONFIDENCE' ELSE 'OCR_APPLIED' END AS verdict FROM k")
 def ocr_confidence(spark, d):
     k = ocr_tsv.confidence(ocr_tsv.usable(_ocr(spark, d)), ["conv_id", "turn"])
-    return k.select("conv_id", "turn", F.round("confidence", 9).alias("confidence"), "words", ocr_tsv.verdict(c("confidence"), c("words")).alias("verdict"))
+    return k.select("conv_id", "turn", F.round("confidence", 12).alias("confidence"), "words", ocr_tsv.verdict(c("confidence"), c("words")).alias("verdict"))
 
 
 @query("ocr_weighted_conf", f"WITH {WORDS_SQL}, k AS (SELECT conv_id, turn, avg(conf) / 100 AS confidence, count(*) AS words FROM o GROUP BY ALL) SELECT conv_id, round(sum(confidence * words) / sum(words), 6) AS confidence, CAST(sum(words) AS BIGINT) AS words FROM k GROUP BY 1")
