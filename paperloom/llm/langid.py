@@ -168,7 +168,7 @@ def learns(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 != 2
 
 
-def confident_documents(docs: DataFrame, least: float = 0.3) -> DataFrame:
+def confident_documents(docs: DataFrame, least: float = 0.2) -> DataFrame:
     """The documents in a recognised language, with their own columns: `und` and scores below `least` go."""
     model = train(docs.where(learns(F.col("doc_id"))))
     tagged = identify(docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), model, ["_row"])

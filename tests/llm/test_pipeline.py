@@ -17,7 +17,7 @@ def test_stages_in_order_and_their_effects(spark):
     ids = [{r["doc_id"] for r in s.select("doc_id").collect()} for s in steps]
     model = langid.train(docs.where(langid.learns(docs["doc_id"])))
     verdicts = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs, model).collect()}
-    assert ids[1] == {i for i, (lang, score) in verdicts.items() if lang != "und" and score >= 0.3}
+    assert ids[1] == {i for i, (lang, score) in verdicts.items() if lang != "und" and score >= 0.2}
     assert ids[2] == {r["doc_id"] for r in neardup.near_duplicates(steps[1]).where("kept").collect()}
     assert ids[3] == {r["doc_id"] for r in decontam.decontaminate(steps[2], bench).where("NOT contaminated").collect()}
     assert steps[4].count() == mixing.poisson_mix(steps[3]).count() == steps[5].count()
