@@ -218,3 +218,10 @@ def merge_check(inputs: DataFrame, merged: DataFrame) -> DataFrame:
 def page_continuity(pages: DataFrame, source_pages: str) -> DataFrame:
     """doc_id, ok: pages are numbered 1..n without a gap, and n is the source's count."""
     return pages.groupBy("doc_id").agg(((F.min("page_no") == 1) & (F.max("page_no") == F.count(F.lit(1))) & (F.count_distinct("page_no") == F.count(F.lit(1))) & (F.max(source_pages) == F.count(F.lit(1)))).alias("ok"))
+
+
+def recovered_inputs(stored: DataFrame, results: DataFrame) -> DataFrame:
+    """task_id, idx, path, file_name: stored files by name, with the results' names by place, else `input-N`."""
+    place = F.row_number().over(Window.partitionBy("task_id").orderBy("path")) - 1
+    named = results.select("task_id", "idx", "file_name")
+    return stored.withColumn("idx", place).join(named, ["task_id", "idx"], "left").withColumn("file_name", F.coalesce("file_name", F.concat(F.lit("input-"), (F.col("idx") + 1).cast("string"))))

@@ -169,3 +169,15 @@ def _named(boxes: DataFrame) -> DataFrame:
 def _centre_in(tolerance: float) -> Column:
     at = contains(F.col("box_x"), F.col("box_y"), F.col("box_width"), F.col("box_height"), F.col("x") + F.col("width") / 2, F.col("y") + F.col("height") / 2, tolerance)
     return (F.col("doc_id") == F.col("_doc")) & (F.col("page_no") == F.col("_page")) & at
+
+
+def line_heights(lined: DataFrame) -> DataFrame:
+    """doc_id, page_no, line_no, line_height: the highest of its boxes and fonts (size_pt), half a millimetre at least."""
+    return lined.groupBy(*PAGE, "line_no").agg(F.greatest(F.lit(0.5), F.max("height"), F.max(F.col("size_pt") * 25.4 / 72)).alias("line_height"))
+
+
+def char_spacing(advances: Column, natural: Column, scale: Column, font_mm: Column) -> Column:
+    """Mean space added between characters: advances less natural widths; under 0.05 none, at most twice the font."""
+    gaps = F.zip_with(advances, F.slice(natural, 1, F.size(advances)), lambda a, n: a - n * scale)
+    mean = F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g) / F.size(gaps)
+    return F.when((F.size(advances) <= 0) | (F.abs(mean) < 0.05), 0.0).otherwise(F.least(font_mm * 2, F.greatest(font_mm * -0.35, mean)))

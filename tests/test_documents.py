@@ -321,3 +321,19 @@ def test_streaming_tasks(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r["task_id"], r["status"]) for r in spark.table("latest_tasks").collect()} == {(1, "SUCCESS"), (2, "FAILED")}
+
+
+def test_rows_heights_and_spacing(spark):
+    t = spark.createDataFrame([(1, 1, 1, [0.0, 50.0, 100.0], [0.0, 20.0, 45.0]), (1, 1, 2, [0.0], [0.0, 5.0])], "doc_id int, page_no int, table_no int, xs array<double>, ys array<double>")
+    cells = spark.createDataFrame([(1, 1, 1, 0, 1), (1, 1, 1, 0, 0)], "doc_id int, page_no int, table_no int, row int, col int")
+    got = [(r["row"], r["y"], r["width"], r["height"], r["cols"]) for r in grid.physical_rows(t, cells).orderBy("row").collect()]
+    assert got == [(0, 0.0, 100.0, 20.0, [0, 1]), (1, 20.0, 100.0, 25.0, [])]
+    lined = helper_blocks(spark, [(10, 10, "a"), (40, 10, "b")]).withColumn("line_no", F.lit(1)).withColumn("size_pt", F.lit(72.0))
+    assert layout.line_heights(lined).first()["line_height"] == pytest.approx(25.4)
+    arr = lambda *v: F.array(*[F.lit(float(x)) for x in v])
+    assert one(spark, layout.char_spacing(arr(2, 2), arr(1, 1, 1), F.lit(1.0), F.lit(4.0))) == 1.0
+    assert one(spark, layout.char_spacing(arr(1.01, 1.01), arr(1, 1), F.lit(1.0), F.lit(4.0))) == 0.0
+    assert one(spark, layout.char_spacing(arr(-9, -9), arr(1, 1), F.lit(1.0), F.lit(4.0))) == pytest.approx(-1.4)
+    stored = spark.createDataFrame([(1, "b"), (1, "a")], "task_id int, path string")
+    names = spark.createDataFrame([(1, 0, "first.ofd")], "task_id int, idx int, file_name string")
+    assert [(r["path"], r["file_name"]) for r in jobs.recovered_inputs(stored, names).orderBy("idx").collect()] == [("a", "first.ofd"), ("b", "input-2")]
