@@ -14,6 +14,8 @@ U64 = np.uint64
 #: Odd multiplier of the polynomial word hash and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
+#: Drops an execution's shuffle files at its end: once its rows are written, nothing reads them again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of text whose 64-bit working arrays are alive at once.
 SLAB = 1 << 20
 
@@ -32,9 +34,14 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """The rows of df, written to shared storage and read again: cuts lineage and survives lost executors."""
-    path = scratch_dir(df.sparkSession)
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch_dir(df.sparkSession)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(df: DataFrame, bytes_each: int = 64 << 20, least: int = 1) -> int:
