@@ -8,7 +8,7 @@
 3. The bytes of what is left are gathered in bounded bundles. A bundle's strings make shards; each shard's transform is
    built alone, over symbols of STRIDE bytes; the transforms are then merged by refining their interleave: each pass
    sorts it stably by the transforms' symbols, and after LENGTH / STRIDE passes the blocks not yet parted share a
-   prefix of LENGTH bytes. Blocks of two or more windows are the repeated intervals.
+   prefix of LENGTH bytes (a symbol is the bytes of the next STRIDE places, so that few passes reach LENGTH). Blocks of two or more windows are the repeated intervals.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import _powers, append_columns, mix64, slabs, written
 
 U64 = np.uint64
-LENGTH, GRAM, STRIDE, STEP = 400, 48, 16, 16
+LENGTH, GRAM, STRIDE, STEP = 400, 48, 40, 16
 #: Bytes of windows worked on at once, different runs of an anchor from which it is cut finer, bytes of a bundle.
 SLAB, HOT, BUNDLE = 1 << 20, 400, 2 << 20
 
@@ -92,22 +92,29 @@ def cores(raw: np.ndarray, first: int, last: int, gram: int, length: int) -> tup
     return core, kind, begin + first, end + first
 
 
+def stable_order(x: np.ndarray) -> np.ndarray:
+    """argsort(kind="stable") of int32 numbers >= 0 by halves, which NumPy sorts in linear time."""
+    order = np.argsort((x & 0xFFFF).astype(np.uint16), kind="stable")
+    high = (x >> 16).astype(np.uint16)
+    return order[np.argsort(high[order], kind="stable")] if high.any() else order
+
+
 class Shard:
-    """The transform of a set of strings over STRIDE-byte symbols: each string is STRIDE interleaved cyclic texts."""
+    """The transform of a set of strings over symbols of `stride` bytes: a string is `stride` interleaved cyclic texts."""
 
-    def __init__(self, symbols: list[np.ndarray], passes: int):
+    def __init__(self, symbols: list[np.ndarray], passes: int, stride: int):
         sym, nxt, end, bwt = [], [], [], []
         self.where: list[slice] = []
         at = 0
         for s in symbols:  # s: symbol ids (from 1) at each place of a string
-            k, ends = len(s), min(STRIDE, len(s))
+            k, ends = len(s), min(stride, len(s))
             self.where.append(slice(at, at + k))
-            follow = np.arange(at, at + k) + STRIDE
+            follow = np.arange(at, at + k) + stride
             tail = np.arange(k - ends, k)
-            follow[tail] = at + k + tail % STRIDE if ends == STRIDE else at + k + np.arange(ends)
-            close = np.arange(at, at + ends) if ends < STRIDE else at + np.arange(STRIDE)
+            follow[tail] = at + k + (tail % stride if ends == stride else np.arange(ends))
+            close = at + np.arange(ends)
             before = np.zeros(k + ends, np.int64)
-            before[STRIDE:k] = s[:-STRIDE] if k > STRIDE else before[STRIDE:k]
+            before[stride:k] = s[: max(0, k - stride)]
             before[follow[tail] - at] = s[tail]
             sym.append(np.concatenate([s, np.zeros(ends, np.int64)]))
             nxt.append(np.concatenate([follow, close]))
@@ -125,16 +132,16 @@ class Shard:
 def merged_blocks(shards: list[Shard], passes: int) -> list[np.ndarray]:
     """For each shard: the block of every suffix, where a block's suffixes share their first `passes` symbols."""
     source = np.repeat(np.arange(len(shards), dtype=np.int8), [len(s.bwt) for s in shards])
-    block = np.zeros(len(source), np.int64)
+    block = np.zeros(len(source), np.int32)
     symbol = np.empty(len(source), np.int32)
     for _ in range(passes):
         for i, s in enumerate(shards):
             symbol[source == i] = s.bwt
-        order = np.argsort(symbol, kind="stable")
+        order = stable_order(symbol)
         source, block, ranked = source[order], block[order], symbol[order]
         new = np.ones(len(order), bool)
         new[1:] = (ranked[1:] != ranked[:-1]) | (block[1:] != block[:-1])
-        block = np.cumsum(new) - 1
+        block = np.cumsum(new, dtype=np.int32) - 1
     out = []
     for i, s in enumerate(shards):
         of = np.empty(len(s.bwt), np.int64)
@@ -143,22 +150,20 @@ def merged_blocks(shards: list[Shard], passes: int) -> list[np.ndarray]:
     return out
 
 
-def repeated_windows(strings: list[bytes], length: int = LENGTH, n_shards: int = 2) -> list[np.ndarray]:
+def repeated_windows(strings: list[bytes], length: int = LENGTH, n_shards: int = 2, stride: int | None = None) -> list[np.ndarray]:
     """Per string: for each of its windows of `length` bytes, whether the window occurs anywhere else in the strings."""
-    passes = length // STRIDE
-    if passes * STRIDE != length:
-        raise ValueError("length must be a multiple of STRIDE")
+    stride = stride or max(d for d in range(1, min(STRIDE, length) + 1) if length % d == 0)
+    passes = length // stride
     flat = np.frombuffer(b"".join(strings), np.uint8)
     ends = np.cumsum([len(s) for s in strings])
-    n = len(flat) - STRIDE + 1
-    wide = np.lib.stride_tricks.sliding_window_view(flat, 8)
     with np.errstate(over="ignore"):
-        eight = np.ascontiguousarray(wide).view("<u8").ravel()
-        code = mix64(mix64(eight[:n]) + eight[8 : 8 + n] * U64(0xC2B2AE3D27D4EB4F))
+        acc, back = _sums(flat)
+        at = np.arange(len(flat) - stride + 1)
+        code = _hash(acc, back, at, at + stride)
     ids = np.unique(code, return_inverse=True)[1] + 1
-    symbols = [ids[e - len(s) : e - STRIDE + 1] for s, e in zip(strings, ends.tolist())]
+    symbols = [ids[e - len(s) : e - stride + 1] for s, e in zip(strings, ends.tolist())]
     places = [list(range(i, len(strings), n_shards)) for i in range(min(n_shards, len(strings)))]
-    shards = [Shard([symbols[j] for j in p], passes) for p in places]
+    shards = [Shard([symbols[j] for j in p], passes, stride) for p in places]
     out: list[np.ndarray] = [np.zeros(0, bool)] * len(strings)
     found = []
     for shard, own, blocks in zip(shards, places, merged_blocks(shards, passes)):
@@ -208,8 +213,7 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     open_ = wanted.where("n = 1").select("gram").distinct()
     wanted = wanted.join(open_, "gram", "left_semi")
     per_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("gram", "n", "first", "last", (F.col("kinds") > hot).alias("hot"))).alias("runs"))
-    texts = keyed
-    texts = texts.join(per_doc, "doc").select("doc", "text", "runs")
+    texts = keyed.join(per_doc, "doc").select("doc", "text", "runs")
 
     def gather(batches):
         for batch in batches:

@@ -40,6 +40,7 @@ def texts(rng, n, length):
 @pytest.mark.parametrize(("hot", "seed"), [(1000, 1), (3, 2)])
 def test_against_brute_force(spark, monkeypatch, hot, seed):
     monkeypatch.setattr(suffixdup, "BUNDLE", 4000)
+    monkeypatch.setattr(suffixdup, "STRIDE", 8)
     rows = [(i if i % 9 else None, t, "clash") for i, t in enumerate(texts(random.Random(seed), 120, 48))]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_bytes string").repartition(3)
     out = remove_repeats(docs, 48, gram=16, hot=hot)
@@ -59,12 +60,12 @@ def test_production_length(spark):
     assert remove_repeats(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("shards", [1, 2, 3])
-def test_merged_transforms_find_repeated_windows(shards):
+@pytest.mark.parametrize(("shards", "stride"), [(1, 4), (2, 8), (3, 2), (2, None)])
+def test_merged_transforms_find_repeated_windows(shards, stride):
     rng = random.Random(shards)
     base = bytes(rng.choice(b"ab") for _ in range(300))
     strings = [base[a : a + rng.randint(32, 120)] for a in (rng.randrange(150) for _ in range(12))] + [b"a" * 80]
     strings = [s for s in strings if len(s) >= 32]
     count = Counter(s[i : i + 32] for s in strings for i in range(len(s) - 31))
-    got = repeated_windows(strings, 32, shards)
+    got = repeated_windows(strings, 32, shards, stride)
     assert [g.tolist() for g in got] == [[count[s[i : i + 32]] > 1 for i in range(len(s) - 31)] for s in strings]
