@@ -3,6 +3,8 @@
 A model holds log P(trigram | language) over hashed byte trigrams of words. Each word of a text is drawn from one
 language of a mixture: expectation-maximisation estimates the proportions, and the language set is the one whose
 likelihood, less half the logarithm of the number of words for every language beyond the first, is highest.
+
+A word is recognised if the text's mixture makes it likelier than an unknown language, UNKNOWN a trigram, does.
 """
 
 from __future__ import annotations
@@ -22,6 +24,12 @@ SAMPLE = 3000
 #: Distinct training languages; more are refused, so that the model that is broadcast stays below BITS x this x 4 bytes.
 MAX_LANGUAGES = 256
 BITS, ROUNDS, SMOOTHING = 17, 8, 0.5
+#: Log-likelihood of a trigram in an unknown language: some 36,000 trigrams, each as likely. Words of the training
+#: languages are at about -6 to -8 a trigram, letters at random and foreign scripts at -12 or less.
+UNKNOWN = -10.5
+#: A text is in a recognised language if so much of it, by letters, is in recognised words. A short sentence with an
+#: address or a key in it is at about 0.4, letters at random at 0.12 at most.
+RECOGNISED = 0.3
 #: Words are runs of a-z (A-Z lower-cased) and bytes over 0x7F.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -125,11 +133,20 @@ def mixtures(words: np.ndarray, per_text: np.ndarray, most: int = 4) -> tuple[np
     return best, np.where(mixed, 1.0, sure)
 
 
+def recognised(words: np.ndarray, letters: np.ndarray, per_text: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Share of the letters of each text in words that its mixture makes likelier than an unknown language does."""
+    first, high = np.cumsum(per_text) - per_text, words.max(1)
+    mass = (np.exp(words - high[:, None]) * share[np.repeat(np.arange(len(per_text)), per_text)]).sum(1)
+    known = high + np.log(np.maximum(mass, 1e-30)) > UNKNOWN * letters
+    return _sums(letters * known, first) / _sums(letters, first)
+
+
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None) -> DataFrame:
     """Columns of docs with lang_pred, score (0 to 1) and mixture (lang, share; largest first).
 
     Only the text is looked at, all of it. lang_pred is the language of the largest share; score is that share, for a
-    text in one language the posterior probability of it. Null text or one without a letter, or a model without
+    text in one language the posterior probability of it, and 0 if less than RECOGNISED of the text is in recognised
+    words (lang_pred is the nearest language then). Null text or one without a letter, or a model without
     languages: `und`, 0 and an empty mixture. Rows pass one to one; kept columns with the new names are replaced.
     """
     keep = list(docs.columns if keep is None else keep)
@@ -153,6 +170,8 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
                 i = j
             pick = np.repeat(np.isin(np.arange(n), use), per_text)
             share, sure = mixtures(words[pick], per_text[use]) if len(use) else (np.zeros((0, len(languages))), np.zeros(0))
+            if len(use):
+                sure = np.where(recognised(words[pick], letters[pick], per_text[use], share) >= RECOGNISED, sure, 0.0)
             order = np.argsort(-share, axis=1, kind="stable")
             for row, ranked, s, c in zip(use.tolist(), order.tolist(), share.tolist(), sure.tolist()):
                 names[row] = languages[ranked[0]]
@@ -160,7 +179,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
                 mixed[row] = [{"lang": languages[x], "share": s[x]} for x in ranked if s[x] > 0.005]
         return [pa.array(names), pa.array(scores), pa.array(mixed, pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))]
 
-    return append_columns(rows, keep, ["text", "_lettered"], "lang_pred string, score double, mixture array<struct<lang:string,share:double>>", make, 2 << 20)
+    return append_columns(rows, keep, ["text", "_lettered"], "lang_pred string, score double, mixture array<struct<lang:string,share:double>>", make, 1 << 20)
 
 
 def learns(doc_id: Column) -> Column:
@@ -169,10 +188,14 @@ def learns(doc_id: Column) -> Column:
 
 
 def confident_documents(docs: DataFrame, least: float = 0.2) -> DataFrame:
-    """The documents in a recognised language, with their own columns: `und` and scores below `least` go."""
+    """The documents in a recognised language, with their own columns.
+
+    `und`, texts that are mostly not in recognised words, and texts in one language with a posterior probability of it
+    below `least` go; the shares of a recognised mixture don't count against it.
+    """
     model = train(docs.where(learns(F.col("doc_id"))))
     tagged = identify(docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), model, ["_row"])
-    return tagged.where(f"lang_pred <> 'und' AND score >= {least}").select("_row.*")
+    return tagged.where(f"lang_pred <> 'und' AND score > 0 AND score >= {least} * mixture[0].share").select("_row.*")
 
 
 def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -36,3 +37,21 @@ def test_mixtures_and_edges(spark):
     none = langid.train(docs.limit(0))
     assert {r["lang_pred"] for r in langid.identify(docs, none).collect()} == {"und"}
     assert langid.confident_documents(docs.withColumn("text", F.when(F.col("doc_id") == 4, "!!").otherwise(F.col("text")))).count() == 89
+
+
+def test_unrecognisable_documents_go_and_clean_ones_stay(spark):
+    rng = random.Random(7)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang").collect()]
+    letters = ["abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "".join(map(chr, range(0x4E00, 0x5A00))), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"]
+    junk = lambda al, n: " ".join("".join(rng.choice(al) for _ in range(rng.randint(4, 9))) for _ in range(n))
+    planted = [junk(al, n) for al in letters for n in (3, 60, 2000) if n > 3 or al != letters[-1]] + [rows[0][1][:200] + " " + junk(letters[0], 300)]
+    by = {k: [t for _, t, lang in rows if lang == k] for k in ("de", "en", "es", "fr")}
+    clean = [t[0][:40] for t in by.values()] + [" ".join(t[1][:500] for t in by.values()), by["de"][2] + " " + junk(letters[0], 5)]
+    clean += ["The erin a password=32bb02aa3b580bf8ab thes as.", "4397110767823743 +1 (654) 555-4136 fhctton.79@mail5.example.com That the as the."]
+    # ids of 2 modulo 4 by crc32 are not learnt from; nothing planted is
+    held = [i for i in range(10**6, 10**6 + 400) if zlib.crc32(str(i).encode()) % 4 == 2]
+    extra = list(zip(held, planted + clean))
+    more = spark.createDataFrame([(i, t, "en") for i, t in extra], "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in langid.confident_documents(docs.select("doc_id", "text", "lang").union(more)).select("doc_id").collect()}
+    assert kept == {i for i, _, _ in rows} | {i for i, t in extra if t in clean}
