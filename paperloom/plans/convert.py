@@ -101,8 +101,8 @@ def image_to_pdf(files: DataFrame, limits: ParseLimits) -> DataFrame:
     return pdf.images_to_pdf(files, "file_id", limits).where("error_code IS NULL").select("file_id", "content")
 
 
-def errors(files: DataFrame, source: str, limits: ParseLimits = ParseLimits()) -> DataFrame:
-    """file_id, error_code of the files that could not be read."""
+def errors(files: DataFrame, source: str, limits: ParseLimits = ParseLimits(), target: str | None = None) -> DataFrame:
+    """file_id, error_code of the files that could not be read; for ofd to xlsx, NO_TABLE_FOUND of those without a sure table too."""
     read = {
         "csv": lambda: decode.decoded(files, limits.archive_bytes, limits.pages),
         "txt": lambda: decode.decoded(files, limits.archive_bytes, limits.pages),
@@ -112,4 +112,9 @@ def errors(files: DataFrame, source: str, limits: ParseLimits = ParseLimits()) -
         "jpg": lambda: pdf.images_to_pdf(files, "file_id", limits),
         "ofd": lambda: fixed_layout.layout_objects(files, "file_id", limits),
     }[source]()
-    return read.where("error_code IS NOT NULL").select("file_id", "error_code")
+    failed = read.where("error_code IS NOT NULL").select("file_id", "error_code")
+    if (source, target) != ("ofd", "xlsx"):
+        return failed
+    sure = grid.exportable(_layout(files, limits)[1]).select(F.col("doc_id").alias("file_id"))
+    without = files.where("content IS NOT NULL").select("file_id").join(failed, "file_id", "left_anti").join(sure, "file_id", "left_anti")
+    return failed.unionByName(without.select("file_id", F.lit("NO_TABLE_FOUND").alias("error_code")))

@@ -13,6 +13,7 @@ from ..operators.jobs import ParseLimits
 from .containers import Refused, _all, _attr, _local, _per_file, safe_entries
 
 DEPTH, PATH_OPS = 128, 100_000
+BLACK, LINE_WIDTH = "000000FF", 0.2
 QUADRATIC_STEPS, CUBIC_STEPS = 8, 12
 
 
@@ -96,8 +97,52 @@ def thin_box_line(box: tuple[float, float, float, float]) -> tuple[float, float,
     return None
 
 
+def colour(node: ElementTree.Element | None) -> str:
+    """RRGGBBAA of a colour element; black for none or one without three values."""
+    values = ((_attr(node, "Value") if node is not None else None) or "").split()
+    if len(values) < 3:
+        return BLACK
+    alpha = _attr(node, "Alpha")
+    return "".join(f"{max(0, min(255, int(v))):02X}" for v in (*values[:3], 255 if alpha is None else alpha))
+
+
+def _own(node: ElementTree.Element, name: str) -> ElementTree.Element | None:
+    return next((e for e in node if _local(e) == name), None)
+
+
+def draw_params(resources: list[ElementTree.Element]) -> dict[str, tuple]:
+    """id: (fill colour, stroke colour, line width) elements and text of drawing parameters; Relative fills in what is missing."""
+    found = {_attr(e, "ID"): e for r in resources for e in _all(r, "DrawParam") if _attr(e, "ID")}
+    out = {}
+    for name in found:
+        fill = stroke = width = None
+        at, seen = name, set()
+        while at in found and at not in seen:
+            seen.add(at)
+            e = found[at]
+            fill = _own(e, "FillColor") if fill is None else fill
+            stroke = _own(e, "StrokeColor") if stroke is None else stroke
+            width = width or _attr(e, "LineWidth")
+            at = _attr(e, "Relative")
+        out[name] = fill, stroke, width
+    return out
+
+
+def drawn(node: ElementTree.Element, params: dict[str, tuple]) -> tuple[str, str, float]:
+    """(fill colour, stroke colour, line width) of a path: its own, else inherited, else black, black and 0.2."""
+    fill, stroke, width = params.get(_attr(node, "DrawParam"), (None, None, None))
+    own_fill, own_stroke = _own(node, "FillColor"), _own(node, "StrokeColor")
+    return colour(fill if own_fill is None else own_fill), colour(stroke if own_stroke is None else own_stroke), float(_attr(node, "LineWidth") or width or LINE_WIDTH)
+
+
 def text_runs(node: ElementTree.Element, box: tuple[float, float, float, float], m: tuple[float, ...]) -> list[tuple]:
-    """(x, baseline, width, height, text, size_pt, bold): a run for each text code, parted where the baseline moves."""
+    """(x, baseline, width, height, text, size_pt, bold): a run for each text code, parted where the baseline moves.
+
+    A positive HScale widens the matrix (its a and b).
+    """
+    wide = float(_attr(node, "HScale") or 1)
+    if wide > 0:
+        m = (m[0] * wide, m[1] * wide, *m[2:])
     size = float(_attr(node, "Size") or 0)
     weight = int(_attr(node, "Weight") or 400)
     scale = math.hypot(m[2], m[3]) or 1.0
@@ -123,7 +168,11 @@ def text_runs(node: ElementTree.Element, box: tuple[float, float, float, float],
 
 
 def layout_rows(content: bytes, limits: ParseLimits = ParseLimits()) -> list[tuple]:
-    """(page_no, kind, seq, x, y, width, height, text, baseline, x2, y2, size_pt, bold): kinds page, text, line, image."""
+    """(page_no, kind, seq, x, y, width, height, text, baseline, x2, y2, size_pt, bold, fill, stroke,
+    line_width): kinds page, text, line, image.
+
+    Text has its fill colour, lines their colours and width; for the middle line of a filled box that is its thickness.
+    """
     parts = safe_entries(content, limits, "OFD.xml")
     xml = lambda name: ElementTree.fromstring(parts[name])
     root = next((e.text or "" for e in _all(xml("OFD.xml"), "DocRoot")), "").lstrip("/")
@@ -134,12 +183,15 @@ def layout_rows(content: bytes, limits: ParseLimits = ParseLimits()) -> list[tup
     pages = [(_attr(e, "BaseLoc") or "") for e in _all(document, "Page") if _attr(e, "BaseLoc")]
     if len(pages) > limits.pages:
         raise Refused("PAGE_LIMIT_EXCEEDED")
+    at = lambda e, base: e.text.strip().lstrip("/") if (e.text or "").strip().startswith("/") else posixpath.normpath(posixpath.join(base, (e.text or "").strip()))
+    shared = [at(e, folder) for k in ("PublicRes", "DocumentRes") for e in _all(document, k)]
     out: list[tuple] = []
     for number, loc in enumerate(pages, 1):
         name = loc.lstrip("/") if loc.startswith("/") else posixpath.normpath(posixpath.join(folder, loc))
         page = xml(name)
+        params = draw_params([xml(n) for n in [*shared, *(at(e, posixpath.dirname(name)) for e in _all(page, "PageRes"))] if n in parts])
         own = next((_box(e.text) for e in _all(page, "PhysicalBox")), None) or area
-        out.append((number, "page", 0, *own, None, None, None, None, None, None))
+        out.append((number, "page", 0, *own, *[None] * 9))
         seq = 0
 
         def walk(node: ElementTree.Element, depth: int) -> None:
@@ -155,16 +207,20 @@ def layout_rows(content: bytes, limits: ParseLimits = ParseLimits()) -> list[tup
                     continue
                 elif kind == "TextObject":
                     for x, base, w, h, text, size, bold in text_runs(e, box, m):
-                        out.append((number, "text", seq, x, base - h, w, h, text, base, None, None, size, bold))
+                        out.append((number, "text", seq, x, base - h, w, h, text, base, None, None, size, bold, colour(_own(e, "FillColor")), None, None))
                         seq += 1
                 elif kind == "PathObject":
                     data = next((d.text or "" for d in _all(e, "AbbreviatedData")), "")
                     thin = thin_box_line(box) if _attr(e, "Fill") == "true" else None
+                    fill, stroke, thick = drawn(e, params)
+                    if thin:
+                        flat = box[2] >= 4 * box[3]
+                        thick, stroke = (box[3] * math.hypot(m[2], m[3]) if flat else box[2] * math.hypot(m[0], m[1])), fill
                     for x1, y1, x2, y2 in [thin] if thin else path_segments(data, box, m):
-                        out.append((number, "line", seq, x1, y1, abs(x2 - x1), abs(y2 - y1), None, None, x2, y2, None, None))
+                        out.append((number, "line", seq, x1, y1, abs(x2 - x1), abs(y2 - y1), None, None, x2, y2, None, None, fill, stroke, thick))
                         seq += 1
                 elif kind == "ImageObject" and _attr(e, "ResourceID"):
-                    out.append((number, "image", seq, *box, None, None, None, None, None, None))
+                    out.append((number, "image", seq, *box, *[None] * 9))
                     seq += 1
                 if seq > limits.entries:
                     raise Refused("OBJECT_LIMIT_EXCEEDED")
@@ -173,7 +229,7 @@ def layout_rows(content: bytes, limits: ParseLimits = ParseLimits()) -> list[tup
     return out
 
 
-LAYOUT = "page_no int, kind string, seq int, x double, y double, width double, height double, text string, baseline double, x2 double, y2 double, size_pt double, bold boolean"
+LAYOUT = "page_no int, kind string, seq int, x double, y double, width double, height double, text string, baseline double, x2 double, y2 double, size_pt double, bold boolean, fill string, stroke string, line_width double"
 
 
 def layout_objects(files: DataFrame, key: str = "doc_id", limits: ParseLimits = ParseLimits()) -> DataFrame:
