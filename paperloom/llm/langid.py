@@ -96,23 +96,29 @@ def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x, first, axis=0) if len(first) else x[:0]
 
 
-def mixtures(words: np.ndarray, per_text: np.ndarray, most: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """(share by language, confidence) per text from words' log-likelihoods by language; texts have a word at least."""
+def mixtures(words: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(share by language, confidence) per text from words' log-likelihoods by language; texts have a word at least.
+
+    Sets are the languages of largest share in the mixture of all. They grow until no larger one can do better: the
+    log-likelihood is concave in the shares, so its slope bounds what any mixture reaches.
+    """
     texts, langs = len(per_text), words.shape[1]
     first = np.cumsum(per_text) - per_text
-    of = np.repeat(np.arange(texts), per_text)
     high = words.max(1)
     like = np.exp(words - high[:, None]).astype(np.float32)
     floor = _sums(high.astype(np.float64), first)
 
-    def em(share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    def em(share: np.ndarray, rounds: int, like: np.ndarray, sizes: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(share, log-likelihood, the most that any mixture can have)."""
+        first, of = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
         for i in range(rounds + 1):
             part = like * share[of]
             mass = np.maximum(part.sum(1), np.float32(1e-30))
             if i == rounds:
-                return share, floor + _sums(np.log(mass.astype(np.float64)), first)
+                got = floor + _sums(np.log(mass.astype(np.float64)), first)
+                return share, got, got + _sums(like / mass[:, None], first).max(1) - sizes
             part /= mass[:, None]
-            share = (_sums(part, first) / per_text[:, None]).astype(np.float32)
+            share = (_sums(part, first) / sizes[:, None]).astype(np.float32)
 
     alone = _sums(words.astype(np.float64), first)
     best = np.zeros((texts, langs), np.float32)
@@ -121,14 +127,20 @@ def mixtures(words: np.ndarray, per_text: np.ndarray, most: int = 4) -> tuple[np
     odds = np.exp(alone - value[:, None])
     sure = 1 / odds.sum(1)
     if langs > 1:
-        full, _ = em(np.full((texts, langs), 1 / langs, np.float32), ROUNDS)
+        full, _, most = em(np.full((texts, langs), 1 / langs, np.float32), ROUNDS, like, per_text, floor)
         rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1)
-        for k in range(2, min(most, langs) + 1):
-            start = np.where(rank < k, full + np.float32(1e-3), 0).astype(np.float32)
-            share, got = em(start / start.sum(1, keepdims=True), ROUNDS)
-            got -= 0.5 * (k - 1) * np.log(np.maximum(per_text, 2))
-            better = got > value
-            best[better], value[better] = share[better], got[better]
+        cost = 0.5 * np.log(np.maximum(per_text, 2))
+        open_ = np.arange(texts)
+        for k in range(2, langs + 1):
+            open_ = open_[most[open_] - cost[open_] * (k - 1) + 0.01 > value[open_]]  # 0.01: rounding of float32
+            if not len(open_):
+                break
+            pick = np.repeat(np.isin(np.arange(texts), open_), per_text)
+            start = np.where(rank[open_] < k, full[open_] + np.float32(1e-3), 0).astype(np.float32)
+            share, got, _ = em(start / start.sum(1, keepdims=True), ROUNDS, like[pick], per_text[open_], floor[open_])
+            got -= cost[open_] * (k - 1)
+            better = got > value[open_]
+            best[open_[better]], value[open_[better]] = share[better], got[better]
     mixed = best.max(1) < 1
     return best, np.where(mixed, 1.0, sure)
 

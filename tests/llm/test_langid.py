@@ -55,3 +55,15 @@ def test_unrecognisable_documents_go_and_clean_ones_stay(spark):
     more = spark.createDataFrame([(i, t, "en") for i, t in extra], "doc_id long, text string, lang string")
     kept = {r["doc_id"] for r in langid.confident_documents(docs.select("doc_id", "text", "lang").union(more)).select("doc_id").collect()}
     assert kept == {i for i, _, _ in rows} | {i for i, t in extra if t in clean}
+
+
+def test_texts_in_more_than_four_languages(spark):
+    rng = random.Random(5)
+    syll = {"aa": "kato miru", "bb": "strach pfengung", "cc": "eaux ouille", "dd": "zyx qyv", "ee": "hwlo gwdd", "ff": "njehu jjaba"}
+    text = lambda k, n: " ".join("".join(rng.choice(syll[k].split()) for _ in range(3)) for _ in range(n))
+    model = langid.train(spark.createDataFrame([(i, text(k, 60), k) for i, k in enumerate(list(syll) * 20)], "doc_id long, text string, lang string"))
+    probe = [(n, " ".join(text(k, 40) for k in list(syll)[:n])) for n in range(1, 7)]
+    for r in langid.identify(spark.createDataFrame(probe, "doc_id long, text string"), model).collect():
+        shares = {m["lang"]: m["share"] for m in r["mixture"]}
+        assert set(shares) == set(list(syll)[: r["doc_id"]]) and all(abs(x - 1 / r["doc_id"]) < 0.02 for x in shares.values())
+        assert abs(r["score"] - 1 / r["doc_id"]) < 0.02
