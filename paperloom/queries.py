@@ -546,7 +546,7 @@ def scan_detection(spark, d):
 
 @query("ocr_required_pages", f"WITH {BLOCKS}, n AS (SELECT DISTINCT doc_id, page_no FROM blocks WHERE page_no % 3 = 1) SELECT doc_id, string_agg(CAST(page_no AS VARCHAR), '、' ORDER BY page_no) AS pages FROM n GROUP BY 1")
 def ocr_required_pages(spark, d):
-    w = blocks(spark, d).where("page_no % 3 = 1").select("doc_id", "page_no", F.lit("OCR_REQUIRED").alias("code"))
+    w = blocks(spark, d).select("doc_id", "page_no", F.when(c("page_no") % 3 == 1, "OCR_REQUIRED").otherwise("FONT_SUBSTITUTED").alias("code"))
     return ocr.required_pages(w)
 
 
