@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 U64 = np.uint64
 #: Odd multiplier of the polynomial word hash and its inverse modulo 2**64.
@@ -16,32 +23,74 @@ BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
 #: Drops an execution's shuffle files at its end: once its rows are written, nothing reads them again.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_LOCK, _WRITERS, _BEFORE = threading.Lock(), [], []
+#: Bytes of an input batch of Python workers: a lower value than the session's is left alone.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 #: Bytes of text whose 64-bit working arrays are alive at once.
-SLAB = 1 << 20
+SLAB = 1 << 18
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which the cluster shares; a temp folder only where that is unset."""
+    """A new folder below spark.checkpoint.dir, which the cluster shares; where that is unset, a temp folder in local mode only."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else None
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="paperloom-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/paperloom-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/paperloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this application; results that still read them must be saved before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark)).getParent()
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def _cleaning(spark: SparkSession):
+    """Shuffle files go when a write ends; the setting returns to its value after the last of writes that overlap."""
+    with _LOCK:
+        if not _WRITERS:
+            _BEFORE[:] = [spark.conf.get(CLEANUP)]
+        _WRITERS.append(1)
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _LOCK:
+            _WRITERS.pop()
+            if not _WRITERS:
+                spark.conf.set(CLEANUP, _BEFORE[0])
+
+
+def written(df: DataFrame, compression: str = "zstd", **options) -> DataFrame:
     """The rows of df, written to shared storage and read again: cuts lineage and survives lost executors."""
     spark, path = df.sparkSession, scratch_dir(df.sparkSession)
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
+    with _cleaning(spark):
+        df.write.options(compression=compression, **options).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _released(batches):
+    """The batches of a task; at its end the memory that Arrow and the C library keep for later goes back."""
     try:
-        df.write.option("compression", compression).parquet(path)
+        yield from batches
     finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
+    """df.mapInArrow(run, schema) in input batches of BATCH_BYTES, on workers that give memory back."""
+    spark = df.sparkSession
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH)) > BATCH_BYTES:
+        spark.conf.set(BATCH, BATCH_BYTES)
+    return df.mapInArrow(lambda batches: _released(run(batches)), schema)
 
 
 def shuffle_partitions(df: DataFrame, bytes_each: int = 64 << 20, least: int = 1) -> int:
@@ -145,9 +194,6 @@ def append_columns(df: DataFrame, keep: list[str], inputs: list[str], added: str
 
     added: DDL of the new columns; kept columns of the same names (any case) are left out. The first input is the text.
     """
-    from pyspark.sql import functions as F
-    from pyspark.sql.types import StructType
-
     extra = StructType.fromDDL(added)
     new = {f.name.lower() for f in extra}
     kept = [c for c in keep if c.lower() not in new]
@@ -161,4 +207,4 @@ def append_columns(df: DataFrame, keep: list[str], inputs: list[str], added: str
                 made = make(*part.columns[:k])
                 yield pa.RecordBatch.from_arrays([*part.columns[k:], *made], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)

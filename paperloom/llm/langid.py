@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import append_columns, slabs, word_spans
+from .common import append_columns, map_arrow, slabs, word_spans
 
 #: Documents per language, at most about so many, that the model is fitted on (chosen by a hash of doc_id and text).
 SAMPLE = 3000
@@ -84,7 +84,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
         return pa.table({"lang": table.column("lang").slice(0, 1), "counts": pa.array([out.tobytes()])})
 
     # bounded: at most about `sample` documents of a language reach its group
-    counted = rows.where(chosen).select("text", "lang").mapInArrow(count, "lang string, grams binary, counts binary").groupBy("lang").applyInArrow(total, "lang string, counts binary")
+    counted = map_arrow(rows.where(chosen).select("text", "lang"), count, "lang string, grams binary, counts binary").groupBy("lang").applyInArrow(total, "lang string, counts binary")
     got = sorted((r["lang"], np.frombuffer(r["counts"], np.int64)) for r in counted.collect())
     if not got:
         return LanguageModel((), np.zeros((1 << BITS, 0), np.float32))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import append_columns, mix64, span_hashes, word_spans, written
+from .common import append_columns, map_arrow, mix64, span_hashes, word_spans, written
 from .graph import connected_components
 
 U64 = np.uint64
@@ -193,7 +193,7 @@ def _band_edges(reps: DataFrame, parts: int) -> DataFrame:
         pair = np.unique(np.stack([np.concatenate([u, u2]), np.concatenate([v, v2])]), axis=1)
         return pa.table({"u": pair[0], "v": pair[1]})
 
-    packed = reps.select("rep", "sig").mapInArrow(local, "p int, keys binary, heads binary, u binary, v binary")
+    packed = map_arrow(reps.select("rep", "sig"), local, "p int, keys binary, heads binary, u binary, v binary")
     return packed.groupBy("p").applyInArrow(merge, "u long, v long").distinct()
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _powers, append_columns, mix64, slabs, written
+from .common import _powers, append_columns, map_arrow, mix64, slabs, written
 
 U64 = np.uint64
 LENGTH, GRAM, STRIDE, STEP = 400, 48, 40, 16
@@ -206,7 +206,7 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
                 if cols:
                     yield _run_batch(cols, docs)
 
-    found = written(keyed.select("doc", "text").mapInArrow(find, RUN))
+    found = written(map_arrow(keyed.select("doc", "text"), find, RUN))
     classes = written(_classes(found))
     wanted = classes.where("kinds > 1")
     # an anchor all of whose kinds repeat as a whole needs no comparison
@@ -231,7 +231,7 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()))], ["gram", "kind", "doc", "first", "last", "n", "hot", "bytes"])
 
-    pieces = written(texts.mapInArrow(gather, RUN + ", n long, hot boolean, bytes binary").dropDuplicates(["gram", "kind", "doc", "first"]))
+    pieces = written(map_arrow(texts, gather, RUN + ", n long, hot boolean, bytes binary").dropDuplicates(["gram", "kind", "doc", "first"]))
     fine = pieces.where("hot")
     fine_kinds = fine.groupBy("gram", "kind").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "first", "last")).alias("one"))
     fine_anchors = fine_kinds.groupBy("gram").agg(F.sum("n").alias("runs"), F.count(F.lit(1)).alias("kinds")).where("runs > 1")
@@ -247,7 +247,7 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
                 yield pa.RecordBatch.from_arrays([pa.array([r["gram"] for r in own]), pa.array([doc] * len(own)), pa.array([r["first"] for r in own], pa.int32()), pa.array([r["last"] for r in own], pa.int32()), pa.array([r["n"] for r in own]), pa.array([raw[r["first"] : r["last"] + length].tobytes() for r in own], pa.binary())], ["gram", "doc", "first", "last", "n", "bytes"])
 
     cut_schema = "gram long, doc long, first int, last int, n long, bytes binary"
-    fine_pieces = keyed.join(fine_doc, "doc").select("doc", "text", "runs").mapInArrow(cut, cut_schema).dropDuplicates(["gram", "doc", "first"])
+    fine_pieces = map_arrow(keyed.join(fine_doc, "doc").select("doc", "text", "runs"), cut, cut_schema).dropDuplicates(["gram", "doc", "first"])
     strings = written(pieces.where("NOT hot").select("gram", "doc", "first", "last", "n", "bytes").union(fine_pieces))
     total = strings.agg(F.sum(F.length("bytes"))).first()[0] or 0
     bundles = max(1, min(1_000_000, total // BUNDLE + 1))

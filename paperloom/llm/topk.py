@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, written
+from .common import map_arrow, shuffle_partitions, written
 
 #: Vectors of a bucket; queries of a pass, which are broadcast; the cosine from which coordinates prune.
 BUCKET, PASS, COSINE = 4096, 16_384, 0.5
@@ -103,7 +103,7 @@ def _packed(vectors: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int32()), (place, pa.int32()), (len(sizes), pa.int32()), (width, pa.int32()), (ids.to_numpy().astype(np.int64).tobytes(), pa.binary()), (rows.tobytes(), pa.binary()))], ["part", "place", "size", "width", "ids", "rows"])
                 place += 1
 
-    return written(ranged.select("vec_id", "v").mapInArrow(pack, PACKED))
+    return written(map_arrow(ranged.select("vec_id", "v"), pack, PACKED))
 
 
 def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +138,7 @@ def _search(buckets: DataFrame, shared, k: int) -> DataFrame:
         if sum(sizes):
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(ids)), sizes).astype(np.int32)), pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate([x for x, _ in held])), pa.array(np.concatenate([s for _, s in held]))], ["q", "query_id", "vec_id", "score"])
 
-    return buckets.mapInArrow(run, "q int, query_id long, vec_id long, score long")
+    return map_arrow(buckets, run, "q int, query_id long, vec_id long, score long")
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
