@@ -13,7 +13,7 @@ from contextlib import contextmanager, suppress
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -193,18 +193,27 @@ def append_columns(df: DataFrame, keep: list[str], inputs: list[str], added: str
     """The kept columns of df and new ones that make(*input arrays) returns for each slice of about `most` text bytes.
 
     added: DDL of the new columns; kept columns of the same names (any case) are left out. The first input is the text.
+    A column that is both an input and kept goes to the workers once.
     """
     extra = StructType.fromDDL(added)
     new = {f.name.lower() for f in extra}
     kept = [c for c in keep if c.lower() not in new]
-    rows = df.select(*[F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(inputs)], *[F.col(f"`{c}`") for c in kept])
+    more = [c for c in kept if c not in inputs]
+    rows = df.select(*[F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(inputs)], *[F.col(f"`{c}`") for c in more])
     schema = StructType([*[df.schema[c] for c in kept], *extra])
     k = len(inputs)
+    place = [inputs.index(c) if c in inputs else k + more.index(c) for c in kept]
 
     def run(batches):
         for batch in batches:
             for part in slabs(batch, 0, most):
                 made = make(*part.columns[:k])
-                yield pa.RecordBatch.from_arrays([*part.columns[k:], *made], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in place], *made], names=schema.names)
 
     return map_arrow(rows, run, schema)
+
+
+def set_aside(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """df with columns of the given names (any case) renamed, and the columns that give its own back."""
+    held = [f"_own{i}" if c.lower() in names else c for i, c in enumerate(df.columns)]
+    return df.toDF(*held), [F.col(f"`{h}`").alias(c) for h, c in zip(held, df.columns)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import append_columns, string_bytes, written
+from .common import append_columns, set_aside, string_bytes, written
 
 WINDOW = 13
 #: Benchmark text of one pass over the documents; larger benchmarks take several passes.
@@ -172,7 +173,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
 
 
 def _scan(docs: DataFrame, shared, window: int, keep: list[str], first: bool, last: bool) -> DataFrame:
-    number = id(shared)
+    number = uuid.uuid4().hex
 
     def make(text: pa.Array, *before: pa.Array) -> list[pa.Array]:
         if (number, window) not in _BUILT:
@@ -193,8 +194,8 @@ def _scan(docs: DataFrame, shared, window: int, keep: list[str], first: bool, la
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    tagged = decontaminate(docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), benchmark, keep=["_row"])
-    return tagged.where("NOT contaminated").select("_row.*")
+    rows, own = set_aside(docs, ("n_words", "n_hit", "items", "hit_words", "contaminated", "_text"))
+    return decontaminate(rows, benchmark).where("NOT contaminated").select(*own)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

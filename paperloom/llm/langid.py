@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import append_columns, map_arrow, slabs, word_spans
+from .common import append_columns, map_arrow, set_aside, slabs, word_spans
 
 #: Documents per language, at most about so many, that the model is fitted on (chosen by a hash of doc_id and text).
 SAMPLE = 3000
@@ -206,8 +206,9 @@ def confident_documents(docs: DataFrame, least: float = 0.2) -> DataFrame:
     below `least` go; the shares of a recognised mixture don't count against it.
     """
     model = train(docs.where(learns(F.col("doc_id"))))
-    tagged = identify(docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), model, ["_row"])
-    return tagged.where(f"lang_pred <> 'und' AND score > 0 AND score >= {least} * mixture[0].share").select("_row.*")
+    rows, own = set_aside(docs, ("lang_pred", "score", "mixture"))
+    tagged = identify(rows, model)
+    return tagged.where(f"lang_pred <> 'und' AND score > 0 AND score >= {least} * mixture[0].share").select(*own)
 
 
 def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
