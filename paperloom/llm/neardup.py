@@ -1,9 +1,10 @@
 """Operator 5: near duplicates by MinHash bands, sequential Bayesian verification and exact sets.
 
 1. Documents with equal shingle sets form classes, represented by their smallest doc_id.
-2. Representatives that share a band of their signature are candidates; each band bucket links its members to one.
-3. The components of those links are compared inside, in bounded blocks: batches of the signature are compared and a
-   pair is dropped once P(similarity >= threshold | matches so far) falls below the miss probability.
+2. Representatives that share a band of their signature are candidates. Each band bucket links its members to one, and
+   the components of those links say which documents must meet in a task, in bounded blocks.
+3. There, of pairs that share a band, batches of the signature are compared, and a pair is dropped once
+   P(similarity >= threshold | matches so far) falls below the miss probability.
 4. Pairs that are left are confirmed on their full shingle sets; only links that join two parts are emitted.
 """
 
@@ -27,7 +28,9 @@ U64 = np.uint64
 BANDS, ROWS = 50, 6
 BATCH = 30
 #: Members and shingles of a block of a candidate component; larger components are compared block by block.
-BLOCK_MEMBERS, BLOCK_SHINGLES = 1500, 1 << 20
+BLOCK_MEMBERS, BLOCK_SHINGLES = 400, 1 << 20
+#: Members of a larger component, about, with which all its blocks are compared first.
+PIVOTS = 24
 
 
 @lru_cache
@@ -106,39 +109,44 @@ def _survivors(sigs: np.ndarray, i: int, among: np.ndarray, least: tuple[int, ..
     return among
 
 
-def links(ids: np.ndarray, sets: list[np.ndarray], sigs: np.ndarray, side: np.ndarray, percent: int, miss: float) -> list[tuple[int, int]]:
-    """A spanning forest of the exact links. side: 0 or 1; with both present only pairs across sides are compared."""
-    n, parent = len(ids), list(range(len(ids)))
+def band_keys(sigs: np.ndarray) -> np.ndarray:
+    """The hash of each band of each signature."""
+    sigs = sigs.reshape(len(sigs), BANDS, ROWS).astype(U64)
+    with np.errstate(over="ignore"):
+        keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=U64) * U64(0xD6E8FEB86659FD93), (len(sigs), BANDS)).copy()
+        for r in range(ROWS):
+            keys = mix64(keys ^ sigs[:, :, r])
+    return keys
+
 
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+def links(ids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], sigs: np.ndarray, side: np.ndarray, percent: int, miss: float) -> list[tuple[int, int]]:
+    """Exact links that join all parts that they can, of pairs that share a band.
 
+    labels: rows of one label are joined already. side: 0 or 1; with both present only pairs across sides are compared.
+    """
     least = least_matches(percent / 100, miss)
     sizes = np.array([len(s) for s in sets])
     order = np.argsort(sizes, kind="stable")
     sizes, out = sizes[order], []
     sigs, side = sigs[order], side[order]
+    keys = band_keys(sigs)
     across = side.min() != side.max()
     ends = np.searchsorted(sizes * percent, sizes * 100, "right")
-    label = np.arange(n)
-    for i in range(n):
+    label = np.unique(labels, return_inverse=True)[1][order]
+    for i in range(len(ids)):
         among = np.arange(i + 1, ends[i])
         if across:
             among = among[side[among] != side[i]]
         among = among[label[among] != label[i]]
         if not len(among):
             continue
-        for j in _survivors(sigs, i, among, least).tolist():
-            a, b = root(i), root(j)
-            if a == b:
+        among = among[(keys[among] == keys[i]).any(1)]
+        for j in _survivors(sigs, i, among, least).tolist() if len(among) else ():
+            if label[i] == label[j]:
                 continue
             x, y = sets[order[i]], sets[order[j]]
             common = len(np.intersect1d(x, y, assume_unique=True))
             if 100 * common >= percent * (len(x) + len(y) - common):
-                parent[max(a, b)] = min(a, b)
                 label[label == label[j]] = label[i]
                 out.append((int(ids[order[i]]), int(ids[order[j]])))
     return out
@@ -172,11 +180,7 @@ def _band_edges(reps: DataFrame, parts: int) -> DataFrame:
             ids = batch.column(0).to_numpy().astype(np.int64)
             if not len(ids):
                 continue
-            sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(len(ids), BANDS, ROWS).astype(U64)
-            with np.errstate(over="ignore"):
-                keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=U64) * U64(0xD6E8FEB86659FD93), (len(ids), BANDS)).copy()
-                for r in range(ROWS):
-                    keys = mix64(keys ^ sigs[:, :, r])
+            keys = band_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(len(ids), -1))
             keys, heads, u, v = reduce(keys.ravel(), np.repeat(ids, BANDS))
             to = (keys % U64(parts)).astype(np.int64)
             order = np.argsort(to, kind="stable")
@@ -210,7 +214,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
     classes = linked.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
     classes = written(classes)
     reps = linked.select("fp1", "fp2", F.col("doc_id").alias("rep"), "sig").join(classes.select("fp1", "fp2", "rep"), ["fp1", "fp2", "rep"], "left_semi")
-    parts = max(1, min(4096, classes.count() * BANDS * 16 // (16 << 20) + 1))
+    parts = classes.count() * BANDS * 16 // (16 << 20) + 1
     candidate = connected_components(_band_edges(reps, parts))
     found = connected_components(_verified(docs, classes, candidate, size, percent, miss))
     # class representative -> component; classes without links are their own
@@ -233,38 +237,83 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
     return out.select("doc_id", *[F.col(f"`{c}`") for c in names], "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+DEALT = ("component", "x", "y", "side", "rep", "label", "shingles", "sig")
+
+
+def _compared(dealt: DataFrame, percent: int, miss: float) -> DataFrame:
+    """u, v: exact links found within each group (component, x, y)."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids = table.column("rep").to_numpy()
+        sets = [np.frombuffer(x, U64) for x in table.column("shingles").to_pylist()]
+        sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(len(ids), -1)
+        found = links(ids, table.column("label").to_numpy(), sets, sigs, table.column("side").to_numpy(), percent, miss) if len(ids) > 1 else []
+        return pa.table({"u": pa.array([a for a, _ in found], pa.int64()), "v": pa.array([b for _, b in found], pa.int64())})
+
+    return dealt.select(*DEALT).groupBy("component", "x", "y").applyInArrow(compare, "u long, v long")
+
+
 def _verified(docs: DataFrame, classes: DataFrame, candidate: DataFrame, size: int, percent: int, miss: float) -> DataFrame:
-    """u, v: exact links within candidate components, a spanning forest of each block pair."""
+    """u, v: exact links within candidate components, enough to join whatever links join.
+
+    A component of one block is compared in one task. The blocks of a larger one are first compared with a few members,
+    the pivots; in a group of near copies that joins nearly all of them. What is not joined to the largest part then is
+    compared with every block, so work grows with the component's size times what is left, not with its square.
+    """
     sized = classes.select("rep", "n").join(candidate.withColumnRenamed("node", "rep"), "rep")
     weight = sized.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    member = sized.join(weight.select("component", blocks.alias("g")), "component")
-    member = written(member.select("rep", "component", "g", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int").alias("c")).distinct())
+    member = sized.join(weight.select("component", "members", blocks.alias("g")), "component")
+    member = written(member.select("rep", "component", "members", "g", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int").alias("c")).distinct())
     texts = docs.select(F.col("doc_id").alias("rep"), "text").where("rep IS NOT NULL").join(member, "rep")
 
     def make(text: pa.Array) -> list[pa.Array]:
         sets = shingle_sets(text, size)
         return [pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())]
 
-    prepared = append_columns(texts, ["rep", "component", "g", "c"], ["text"], "shingles binary, sig binary", make).where("sig IS NOT NULL")
-    other = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
-    dealt = prepared.withColumn("o", other).select("component", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), (F.col("c") > F.col("o")).cast("int").alias("side"), "rep", "shingles", "sig")
-
-    def compare(table: pa.Table) -> pa.Table:
-        ids = table.column("rep").to_numpy()
-        sets = [np.frombuffer(x, U64) for x in table.column("shingles").to_pylist()]
-        sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(len(ids), -1)
-        found = links(ids, sets, sigs, table.column("side").to_numpy(), percent, miss) if len(ids) > 1 else []
-        return pa.table({"u": pa.array([a for a, _ in found], pa.int64()), "v": pa.array([b for _, b in found], pa.int64())})
-
-    return dealt.groupBy("component", "lo", "hi").applyInArrow(compare, "u long, v long")
+    prepared = append_columns(texts, ["rep", "component", "members", "g", "c"], ["text"], "shingles binary, sig binary", make).where("sig IS NOT NULL")
+    prepared = prepared.withColumn("side", F.lit(0)).withColumn("label", F.col("rep"))
+    zero = F.lit(0)
+    if not member.where("g > 1").take(1):
+        return _compared(prepared.withColumn("x", zero).withColumn("y", zero), percent, miss)
+    prepared = written(prepared)
+    small = _compared(prepared.where("g = 1").withColumn("x", zero).withColumn("y", zero), percent, miss)
+    large = prepared.where("g > 1")
+    pivots = large.where(F.pmod(F.xxhash64(F.lit(7), "rep"), F.col("members")) < PIVOTS)
+    to_pivots = pivots.withColumn("y", F.explode(F.sequence(zero, F.col("g") - 1))).withColumn("side", F.lit(1)).withColumn("x", zero).select(*DEALT)
+    first = written(_compared(to_pivots.union(large.withColumn("x", zero).withColumn("y", F.col("c")).select(*DEALT)), percent, miss))
+    parts = connected_components(first).select(F.col("node").alias("rep"), F.col("component").alias("_part"))
+    labels = member.where("g > 1").select("rep", "component", "members", "g").join(parts, "rep", "left").select("rep", "component", "members", "g", F.coalesce("_part", "rep").alias("label"))
+    counts = labels.groupBy("component", "label").agg(F.count(F.lit(1)).alias("k"), F.first("members").alias("members"), F.first("g").alias("g"))
+    main = counts.groupBy("component").agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("all"), F.first("g").alias("g"))
+    # blocks of what the largest part does not hold
+    main = main.select("component", F.col("top.label").alias("main"), F.ceil(F.col("g") * (F.col("all") - F.col("top.k")) / F.col("all")).cast("int").alias("left")).where("left > 0")
+    labels = written(labels.select("rep", "component", "label").join(main, "component"))
+    rest = large.drop("label", "side", "component").join(labels, "rep").withColumn("side", (F.col("label") == F.col("main")).cast("int"))
+    others = rest.where("side = 0").withColumn("x", F.pmod(F.xxhash64(F.lit(9), "rep"), F.col("left")).cast("int")).withColumn("y", F.explode(F.sequence(zero, F.col("g") - 1)))
+    blocks_ = rest.withColumn("side", F.lit(1)).withColumn("x", F.explode(F.sequence(zero, F.col("left") - 1))).withColumn("y", F.col("c"))
+    return small.union(first).union(_compared(others.select(*DEALT).union(blocks_.select(*DEALT)), percent, miss))
 
 
 def distinct_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay, one document of each group, with docs' own columns; repeated rows stay once."""
-    verdict = near_duplicates(docs, size, percent, keep=[]).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    rows = docs.join(verdict, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.where("doc_id IS NULL"))
+    """The rows of docs that stay, one of each group of linked texts, with docs' own columns.
+
+    Rows that agree in doc_id and text stay once, any of them. Rows of one doc_id with different texts are documents
+    of their own. A row without doc_id stays. An empty table gives no rows.
+    """
+    key = F.xxhash64(F.col("text").cast("string"))
+    many = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"), (F.min(key) != F.max(key)).alias("_differ")).where("_rows > 1")
+    many = written(many.select(F.col("doc_id").alias("_id"), "_differ"))
+    kept = lambda rows: near_duplicates(rows, size, percent, keep=[]).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    if not many.take(1):
+        return docs.join(kept(docs.select("doc_id", "text")), "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id IS NULL"))
+    # texts under one doc_id go by a number of their own, below zero
+    node = F.when(F.col("_differ"), F.xxhash64(F.lit(3), F.col("doc_id"), key).bitwiseOR(F.lit(-(1 << 63)))).otherwise(F.col("doc_id"))
+    tagged = docs.where("doc_id IS NOT NULL").join(many, F.col("doc_id") == F.col("_id"), "left").withColumn("_node", node)
+    verdict = written(kept(tagged.select(F.col("_node").alias("doc_id"), "text"))).withColumnRenamed("doc_id", "_node")
+    stay = tagged.join(verdict, "_node", "left_semi")
+    rows = stay.where("_id IS NULL").unionByName(stay.where("_id IS NOT NULL").dropDuplicates(["_node"]))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id IS NULL"))
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

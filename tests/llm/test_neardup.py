@@ -38,9 +38,10 @@ def variants(rng, n):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_against_all_pairs(spark, monkeypatch, seed):
+@pytest.mark.parametrize("seed, pivots", [(1, 24), (2, 2), (1, 1)])
+def test_against_all_pairs(spark, monkeypatch, seed, pivots):
     monkeypatch.setattr(neardup, "BLOCK_MEMBERS", 7)
+    monkeypatch.setattr(neardup, "PIVOTS", pivots)
     rows = variants(random.Random(seed), 250) + [(2, None), (5, ""), (8, " \n"), (11, "one"), (14, "ONE"), (17, "one two")]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, kept string")
     got = neardup.near_duplicates(docs, 4, 80)
@@ -56,7 +57,7 @@ def test_repeated_ids_nulls_and_empty(spark):
     got = sorted((r["doc_id"] or -1, r["component_id"] or -1, r["kept"]) for r in neardup.near_duplicates(docs).collect())
     assert got == [(-1, -1, True), (4, 4, True), (4, 4, True), (6, 6, True), (9, 4, False), (9, 4, False)]
     kept = neardup.distinct_documents(docs)
-    assert kept.columns == docs.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 4, 6]
+    assert kept.columns == docs.columns and sorted((r["doc_id"] or -1, (r["text"] or "")[:2]) for r in kept.collect()) in ([(-1, "w0"), (4, "w0"), (6, ""), (9, "ot")], [(-1, "w0"), (6, ""), (9, "ot"), (9, "w0")])
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
@@ -78,3 +79,28 @@ def test_pruning_keeps_what_the_posterior_allows():
         a, b = np.unique(np.concatenate([common, own[:100]])), np.unique(np.concatenate([common, own[100:]]))
         sigs = np.stack([neardup.signature(a), neardup.signature(b)])
         assert len(neardup._survivors(sigs, 0, np.array([1]), least)) == 1
+
+
+def test_all_links_of_the_test_documents(spark):
+    """Against an exact join on shingles: recall 1 on the table of 1,000 documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets, by = {}, {}
+    for i, t in docs.select("doc_id", "text").collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(w[j : j + 4]) for j in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set()
+        for g in sets[i]:
+            by.setdefault(g, []).append(i)
+    common = {}
+    for ids in by.values():
+        for a in ids:
+            for b in ids:
+                if a < b:
+                    common[a, b] = common.get((a, b), 0) + 1
+    linked = [(a, b) for (a, b), k in common.items() if 100 * k >= 80 * (len(sets[a]) + len(sets[b]) - k)]
+    comp = {i: i for i in sets}
+    for a, b in linked:
+        x, y = comp[a], comp[b]
+        comp = {k: min(x, y) if c in (x, y) else c for k, c in comp.items()} if x != y else comp
+    assert len(linked) > 50
+    got = neardup.op5_near_duplicates(spark, "/root/testdata/sf0.01").collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == comp
