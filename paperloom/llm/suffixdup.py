@@ -2,13 +2,16 @@
 
 1. Every LENGTH-byte window has an anchor: the GRAM-byte string in it with the least hash, leftmost if tied. Windows
    that follow each other and share an anchor make a run. Equal windows have equal anchors at equal places, so a run
-   whose anchor string occurs in one run only holds no repeated window, and runs of equal bytes hold nothing else.
-2. Other runs are compared with the different runs on the same anchor string. Anchors with very many different runs
-   are cut finer: windows whose places differ by less than STEP share a core, and only equal cores can hold equal windows.
-3. The bytes of what is left are gathered in bounded bundles. A bundle's strings make shards; each shard's transform is
-   built alone, over symbols of STRIDE bytes; the transforms are then merged by refining their interleave: each pass
-   sorts it stably by the transforms' symbols, and after LENGTH / STRIDE passes the blocks not yet parted share a
-   prefix of LENGTH bytes (a symbol is the bytes of the next STRIDE places, so that few passes reach LENGTH). Blocks of two or more windows are the repeated intervals.
+   whose anchor string occurs in one run only holds no repeated window: the anchors deal the windows of the corpus out to
+   bundles that can be worked on apart. Runs of equal bytes make a kind (128 bits of hashes); one string of a kind, or
+   two if it has several runs, stands for it.
+2. Anchors with very many kinds are cut finer: windows whose places differ by less than a step share a core, and only
+   equal cores can hold equal windows; the last step's cores are the windows themselves.
+3. The strings of a bundle belong to shards of the corpus. Each shard's transform is built alone, over symbols of STRIDE
+   bytes (a symbol is the bytes of the next STRIDE places, so that few passes reach LENGTH). The transforms are merged by
+   refining their interleave: each pass sorts it stably by the transforms' symbols. The pass that parts two neighbours
+   gives their common prefix; neighbours with LENGTH bytes in common after LENGTH / STRIDE passes make the repeated
+   intervals. Bytes are compared with those of another member of the interval before a window counts as repeated.
 """
 
 from __future__ import annotations
@@ -21,9 +24,11 @@ from pyspark.sql import functions as F
 from .common import _powers, append_columns, map_arrow, mix64, slabs, written
 
 U64 = np.uint64
-LENGTH, GRAM, STRIDE, STEP = 400, 48, 40, 16
-#: Bytes of windows worked on at once, different runs of an anchor from which it is cut finer, bytes of a bundle.
-SLAB, HOT, BUNDLE = 1 << 20, 400, 2 << 20
+LENGTH, GRAM, STRIDE = 400, 48, 80
+#: Places that a core spans when an anchor, then a core, has over HOT different runs; a core of one place is its window.
+HOT, STEPS = 400, (16, 1)
+#: Bytes of windows worked on at once, bytes of a bundle, shards of the corpus (by hash of the document).
+SLAB, BUNDLE, SHARDS = 1 << 18, 1 << 20, 4
 
 
 def _sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,8 +74,11 @@ def runs(raw: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarra
     return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def cores(raw: np.ndarray, first: int, last: int, gram: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(core hash, hash of bytes and place, first, last window) of the windows of one run, STEP places to the anchor at a time."""
+def cores(raw: np.ndarray, first: int, last: int, gram: int, length: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(core hash, hash of bytes and place, first, last window) of the windows of one run, `step` places to the anchor at a time.
+
+    A core is what all windows of such a group share, whether or not this run holds them all; with step 1 it is the window.
+    """
     seg = raw[first : last + length]
     n = len(seg) - length + 1
     with np.errstate(over="ignore"):
@@ -82,12 +90,11 @@ def cores(raw: np.ndarray, first: int, last: int, gram: int, length: int) -> tup
         # all windows of a run share their anchor: the least gram of the part that they share
         anchor = n - 1 + int((grams[n - 1 : span] >> bits).argmin())
         offset = anchor - np.arange(n)
-        group = offset // STEP
+        group = offset // step
         begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         end = np.concatenate([begin[1:] - 1, [n - 1]])
-        # the part that every window of the whole group has, whether or not this run holds them all
-        lo, hi = anchor - group[begin] * STEP, anchor - (group[begin] + 1) * STEP + 1 + length
-        core = mix64(_hash(acc, back, lo, hi) ^ mix64(group[begin].astype(U64)))
+        lo, hi = anchor - group[begin] * step, anchor - (group[begin] + 1) * step + 1 + length
+        core = mix64(_hash(acc, back, lo, hi) ^ mix64(group[begin].astype(U64) + U64(step << 32)))
         kind = mix64(_hash(acc, back, begin, end + length) ^ (anchor - begin).astype(U64) * U64(0x9E3779B97F4A7C15))
     return core, kind, begin + first, end + first
 
@@ -129,65 +136,144 @@ class Shard:
         self.bwt = before[self.order].astype(np.int32)
 
 
-def merged_blocks(shards: list[Shard], passes: int) -> list[np.ndarray]:
-    """For each shard: the block of every suffix, where a block's suffixes share their first `passes` symbols."""
-    source = np.repeat(np.arange(len(shards), dtype=np.int8), [len(s.bwt) for s in shards])
+def merge_transforms(shards: list[Shard], passes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shard of each suffix in the merged order, symbols that it has in common with the one before, up to `passes`).
+
+    The interleave of the transforms is refined pass by pass: sorted stably by their symbols it becomes the order by one
+    symbol more. A pair of neighbours that pass h parts has h - 1 symbols in common; no suffix is sorted again.
+    """
+    source = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(s.bwt) for s in shards])
+    bwt = np.concatenate([s.bwt for s in shards])
+    common = np.full(len(source), passes, np.int16)
+    common[:1] = 0
     block = np.zeros(len(source), np.int32)
     symbol = np.empty(len(source), np.int32)
-    for _ in range(passes):
-        for i, s in enumerate(shards):
-            symbol[source == i] = s.bwt
+    for h in range(1, passes + 1):
+        symbol[np.argsort(source, kind="stable")] = bwt
         order = stable_order(symbol)
         source, block, ranked = source[order], block[order], symbol[order]
         new = np.ones(len(order), bool)
         new[1:] = (ranked[1:] != ranked[:-1]) | (block[1:] != block[:-1])
+        common[new & (common == passes)] = h - 1
         block = np.cumsum(new, dtype=np.int32) - 1
-    out = []
-    for i, s in enumerate(shards):
-        of = np.empty(len(s.bwt), np.int64)
-        of[s.order] = block[source == i]
-        out.append(of)
-    return out
+    return source, common
+
 
+def repeated_windows(strings: list[bytes], length: int = LENGTH, weights: list[int] | None = None, shard_of: list[int] | None = None, stride: int | None = None) -> list[np.ndarray]:
+    """Per string: for each of its windows of `length` bytes, whether the window occurs anywhere else in the strings.
 
-def repeated_windows(strings: list[bytes], length: int = LENGTH, n_shards: int = 2, stride: int | None = None) -> list[np.ndarray]:
-    """Per string: for each of its windows of `length` bytes, whether the window occurs anywhere else in the strings."""
+    weights: as how many equal strings each counts. shard_of: the shard whose transform a string belongs to.
+    """
     stride = stride or max(d for d in range(1, min(STRIDE, length) + 1) if length % d == 0)
     passes = length // stride
+    lens = np.array([len(s) for s in strings])
     flat = np.frombuffer(b"".join(strings), np.uint8)
-    ends = np.cumsum([len(s) for s in strings])
+    begins = np.cumsum(lens) - lens
     with np.errstate(over="ignore"):
         acc, back = _sums(flat)
         at = np.arange(len(flat) - stride + 1)
         code = _hash(acc, back, at, at + stride)
     ids = np.unique(code, return_inverse=True)[1] + 1
-    symbols = [ids[e - len(s) : e - stride + 1] for s, e in zip(strings, ends.tolist())]
-    places = [list(range(i, len(strings), n_shards)) for i in range(min(n_shards, len(strings)))]
+    symbols = [ids[b : b + n - stride + 1] for b, n in zip(begins.tolist(), lens.tolist())]
+    of = np.arange(len(strings)) % 2 if shard_of is None else np.asarray(shard_of)
+    places = [np.flatnonzero(of == k).tolist() for k in np.unique(of)]
     shards = [Shard([symbols[j] for j in p], passes, stride) for p in places]
-    out: list[np.ndarray] = [np.zeros(0, bool)] * len(strings)
-    found = []
-    for shard, own, blocks in zip(shards, places, merged_blocks(shards, passes)):
+    source, common = merge_transforms(shards, passes)
+    # the repeated intervals: suffixes with `length` bytes in common
+    interval = np.cumsum(common < passes) - 1
+    of_window, window, owner = [], [], []
+    for i, (shard, own) in enumerate(zip(shards, places)):
+        by_place = np.empty(len(shard.bwt), np.int64)
+        by_place[shard.order] = interval[source == i]
         for j, where in zip(own, shard.where):
-            found.append((j, blocks[where][: len(strings[j]) - length + 1]))
-    count = np.bincount(np.concatenate([b for _, b in found]))
-    for j, b in found:
-        out[j] = count[b] > 1
-    return out
+            n = int(lens[j]) - length + 1
+            of_window.append(by_place[where][:n])
+            window.append(np.arange(begins[j], begins[j] + n))
+            owner.append(np.full(n, j))
+    of_window, window, owner = (np.concatenate(x) for x in (of_window, window, owner))
+    weight = np.ones(len(strings)) if weights is None else np.asarray(weights, float)
+    again = np.bincount(of_window, weight[owner])[of_window] > 1
+    again &= confirmed(flat, length, window, of_window, weight[owner], again)
+    out = np.zeros(len(flat), bool)
+    out[window[again]] = True
+    return [out[b : b + n - length + 1] for b, n in zip(begins.tolist(), lens.tolist())]
+
+
+def confirmed(flat: np.ndarray, length: int, window: np.ndarray, interval: np.ndarray, weight: np.ndarray, again: np.ndarray) -> np.ndarray:
+    """For each window, whether its bytes are those of another of its interval, where `again` says that they should be."""
+    order = np.lexsort((window, interval))
+    head = np.concatenate([[True], interval[order][1:] != interval[order][:-1]])
+    first, last = np.flatnonzero(head), np.append(np.flatnonzero(head)[1:], len(order)) - 1
+    nth = np.cumsum(head) - 1
+    one, other = window[order[first]][nth], window[order[last]][nth]
+    partner = np.empty(len(window), np.int64)
+    partner[order] = np.where(one == window[order], other, one)
+    ok = again.copy()
+    rows = np.flatnonzero(again & (partner != window))
+    rows = rows[np.argsort(window[rows], kind="stable")]
+    if not len(rows):
+        return ok
+    at, to = window[rows], partner[rows]
+    cuts = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(to) != 1), [True]]))
+    wrong = []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if not np.array_equal(flat[at[a] : at[b - 1] + length], flat[to[a] : to[b - 1] + length]):
+            wrong.append(rows[a:b])
+    if wrong:  # different bytes under one hash: such intervals are told apart by their bytes
+        members = np.flatnonzero(np.isin(interval, interval[np.concatenate(wrong)]))
+        text = [flat[w : w + length].tobytes() for w in window[members].tolist()]
+        count: dict[bytes, float] = {}
+        for t, w in zip(text, weight[members].tolist()):
+            count[t] = count.get(t, 0) + w
+        ok[members] = [count[t] > 1 for t in text]
+    return ok
+
+
+RUN = "gram long, kind long, doc long, first int, last int, w long"
+STRING = "level int, gram long, kind long, doc long, first int, last int, n long, weight long, apart boolean, bytes binary"
+
+
+def _arrow(ddl: str, columns: list) -> pa.RecordBatch:
+    types = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    fields = [f.split() for f in ddl.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(columns, fields)], [n for n, _ in fields])
+
+
+def _run_batch(cols: list, doc: list, w: list) -> pa.RecordBatch:
+    gram, kind, first, last = (np.concatenate(x) for x in zip(*cols))
+    return _arrow(RUN, [gram.view(np.int64), kind.view(np.int64), np.concatenate(doc), first.astype(np.int32), last.astype(np.int32), np.concatenate(w)])
 
 
-RUN = "gram long, kind long, doc long, first int, last int"
+def _classes(found: DataFrame) -> DataFrame:
+    """A row for each kind of run on an anchor that has several runs: n (runs of the kind), two of them, kinds on the anchor."""
+    place = F.struct("doc", "first", "last")
+    kinds = found.groupBy("gram", "kind").agg(F.sum("w").alias("n"), F.min(place).alias("one"), F.max(place).alias("two"))
+    anchors = kinds.groupBy("gram").agg(F.sum("n").alias("runs"), F.count(F.lit(1)).alias("kinds")).where("runs > 1")
+    return kinds.join(anchors, "gram").select("gram", "kind", "n", "one", "two", "kinds")
 
 
-def _run_batch(cols: list, doc: list) -> pa.RecordBatch:
-    gram, kind, first, last = (np.concatenate(x) for x in zip(*cols))
-    return pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(kind.view(np.int64)), pa.array(np.concatenate(doc)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["gram", "kind", "doc", "first", "last"])
+def _texts(rows) -> list[np.ndarray]:
+    return [np.frombuffer(t.as_buffer(), np.uint8) if t.is_valid else np.zeros(0, np.uint8) for t in rows]
 
 
-def _classes(found: DataFrame) -> DataFrame:
-    """A row for each kind of run with its anchor: n (runs of the kind), one of them, kinds and runs on the anchor."""
-    kinds = found.groupBy("gram", "kind").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "first", "last")).alias("one"))
-    anchors = kinds.groupBy("gram").agg(F.sum("n").alias("runs"), F.count(F.lit(1)).alias("kinds")).where("runs > 1")
-    return kinds.join(anchors, "gram").select("gram", "kind", "n", "one.doc", "one.first", "one.last", "kinds")
+def _finer(keyed: DataFrame, hot_kinds: DataFrame, length: int, gram: int, step: int) -> DataFrame:
+    """The runs of one of each kind, cut into groups of `step` places; w: as how many runs the kind counts."""
+    own = hot_kinds.select("one.*", "n").groupBy("doc").agg(F.collect_list(F.struct("first", "last", "n")).alias("runs"))
+
+    def cut(batches):
+        for batch in batches:
+            for part in slabs(batch, 1):
+                cols, docs, times = [], [], []
+                for doc, raw, runs_ in zip(part.column(0).to_pylist(), _texts(part.column(1)), part.column(2).to_pylist()):
+                    for r in runs_:
+                        cols.append(cores(raw, r["first"], r["last"], gram, length, step))
+                        docs.append(np.full(len(cols[-1][0]), doc, np.int64))
+                        times.append(np.full(len(cols[-1][0]), r["n"], np.int64))
+                if cols:
+                    yield _run_batch(cols, docs, times)
+
+    # rows that repeat are one document here; n counts them
+    return map_arrow(keyed.join(own, "doc").select("doc", "text", "runs"), cut, RUN).dropDuplicates(["gram", "kind", "doc", "first"])
 
 
 def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int | None = None) -> DataFrame:
@@ -198,81 +284,71 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
         for batch in batches:
             for part in slabs(batch, 1):
                 cols, docs = [], []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1)):
-                    raw = np.frombuffer(text.as_buffer(), np.uint8) if text.is_valid else np.zeros(0, np.uint8)
+                for doc, raw in zip(part.column(0).to_pylist(), _texts(part.column(1))):
                     if len(raw) >= length:
                         cols.append(runs(raw, length, gram))
                         docs.append(np.full(len(cols[-1][0]), doc, np.int64))
                 if cols:
-                    yield _run_batch(cols, docs)
-
-    found = written(map_arrow(keyed.select("doc", "text"), find, RUN))
-    classes = written(_classes(found))
-    wanted = classes.where("kinds > 1")
-    # an anchor all of whose kinds repeat as a whole needs no comparison
-    open_ = wanted.where("n = 1").select("gram").distinct()
-    wanted = wanted.join(open_, "gram", "left_semi")
-    per_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("gram", "n", "first", "last", (F.col("kinds") > hot).alias("hot"))).alias("runs"))
-    texts = keyed.join(per_doc, "doc").select("doc", "text", "runs")
+                    yield _run_batch(cols, docs, [np.ones(len(d), np.int64) for d in docs])
+
+    found, sent = [written(map_arrow(keyed.select("doc", "text"), find, RUN))], []
+    for level, step in enumerate((*STEPS, None)):
+        classes = written(_classes(found[level]))
+        # one string of each kind, two if it has several; of a hot anchor only these pairs, which are compared apart
+        send = classes.where((F.col("n") > 1) | (F.col("kinds") <= hot) & (F.col("kinds") > 1))
+        same = F.col("one") == F.col("two")
+        reps = F.when(same, F.array("one")).otherwise(F.array("one", "two"))
+        sent.append(send.select(F.lit(level).alias("level"), "gram", "kind", "n", F.when(same, F.col("n")).otherwise(F.lit(1)).alias("weight"), (F.col("kinds") > hot).alias("apart"), F.explode(reps).alias("at")))
+        hot_kinds = classes.where(F.col("kinds") > hot)
+        if step is None or not hot_kinds.take(1):
+            break
+        found.append(written(_finer(keyed, hot_kinds, length, gram, step)))
+    every = sent[0]
+    for more in sent[1:]:
+        every = every.union(more)
+    per_doc = every.select("at.doc", F.struct("level", "gram", "kind", "at.first", "at.last", "n", "weight", "apart").alias("r")).groupBy("doc").agg(F.collect_list("r").alias("runs"))
 
     def gather(batches):
         for batch in batches:
-            for part in slabs(batch, 1):
+            for part in slabs(batch, 1, 1 << 20):
                 rows = []
-                for doc, text, own in zip(part.column(0).to_pylist(), part.column(1), part.column(2).to_pylist()):
-                    raw = np.frombuffer(text.as_buffer(), np.uint8)
-                    for r in own:
-                        if r["hot"]:
-                            # one row for each group of places; a run that occurs n times has its cores n times
-                            for core, kind, a, b in zip(*(x.tolist() for x in cores(raw, r["first"], r["last"], gram, length))):
-                                rows.append((core - (1 << 64) if core >> 63 else core, kind - (1 << 64) if kind >> 63 else kind, doc, a, b, r["n"], True, None))
-                        else:
-                            rows.append((r["gram"], 0, doc, r["first"], r["last"], r["n"], False, raw[r["first"] : r["last"] + length].tobytes()))
+                for doc, raw, own in zip(part.column(0).to_pylist(), _texts(part.column(1)), part.column(2).to_pylist()):
+                    rows += [(r["level"], r["gram"], r["kind"], doc, r["first"], r["last"], r["n"], r["weight"], r["apart"], raw[r["first"] : r["last"] + length].tobytes()) for r in own]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()))], ["gram", "kind", "doc", "first", "last", "n", "hot", "bytes"])
-
-    pieces = written(map_arrow(texts, gather, RUN + ", n long, hot boolean, bytes binary").dropDuplicates(["gram", "kind", "doc", "first"]))
-    fine = pieces.where("hot")
-    fine_kinds = fine.groupBy("gram", "kind").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "first", "last")).alias("one"))
-    fine_anchors = fine_kinds.groupBy("gram").agg(F.sum("n").alias("runs"), F.count(F.lit(1)).alias("kinds")).where("runs > 1")
-    fine_classes = written(fine_kinds.join(fine_anchors, "gram").select("gram", "kind", "n", "one.doc", "one.first", "one.last", "kinds"))
-    fine_open = fine_classes.where("kinds > 1 AND n = 1").select("gram").distinct()
-    fine_wanted = fine_classes.where("kinds > 1").join(fine_open, "gram", "left_semi")
-    fine_doc = fine_wanted.groupBy("doc").agg(F.collect_list(F.struct("gram", "n", "first", "last")).alias("runs"))
+                    yield _arrow(STRING, list(zip(*rows)))
 
-    def cut(batches):
-        for batch in batches:
-            for doc, text, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                raw = np.frombuffer(text.as_buffer(), np.uint8)
-                yield pa.RecordBatch.from_arrays([pa.array([r["gram"] for r in own]), pa.array([doc] * len(own)), pa.array([r["first"] for r in own], pa.int32()), pa.array([r["last"] for r in own], pa.int32()), pa.array([r["n"] for r in own]), pa.array([raw[r["first"] : r["last"] + length].tobytes() for r in own], pa.binary())], ["gram", "doc", "first", "last", "n", "bytes"])
-
-    cut_schema = "gram long, doc long, first int, last int, n long, bytes binary"
-    fine_pieces = map_arrow(keyed.join(fine_doc, "doc").select("doc", "text", "runs"), cut, cut_schema).dropDuplicates(["gram", "doc", "first"])
-    strings = written(pieces.where("NOT hot").select("gram", "doc", "first", "last", "n", "bytes").union(fine_pieces))
+    strings = written(map_arrow(keyed.join(per_doc, "doc").select("doc", "text", "runs"), gather, STRING))
     total = strings.agg(F.sum(F.length("bytes"))).first()[0] or 0
-    bundles = max(1, min(1_000_000, total // BUNDLE + 1))
+    bundles = total // BUNDLE + 1
 
     def compare(table: pa.Table) -> pa.Table:
-        doc, first, n = (table.column(c).to_pylist() for c in ("doc", "first", "n"))
-        out = [(np.zeros(0, np.int64),) * 3]
-        if len(doc) > 1:
-            for i, again in enumerate(repeated_windows(table.column("bytes").to_pylist(), length)):
-                if n[i] == 1 and again.any():
+        # a document whose row repeats sends its strings each time
+        rows = {(r["level"], r["gram"], r["kind"], r["doc"], r["first"]): r for r in table.to_pylist()}
+        rows, out = list(rows.values()), []
+        if len(rows) > 1 or rows[0]["weight"] > 1:
+            shard_of = [r["doc"] % SHARDS for r in rows]
+            for r, again in zip(rows, repeated_windows([r["bytes"] for r in rows], length, [r["weight"] for r in rows], shard_of)):
+                if r["n"] > 1 and again.all():
+                    out.append((r["level"], r["gram"], r["kind"], None, None, None))
+                elif again.any():
                     edge = np.diff(np.concatenate([[0], again.view(np.int8), [0]]))
-                    a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-                    out.append((np.full(len(a), doc[i]), a + first[i], b - 1 + first[i] + length))
-        docs, begin, until = (np.concatenate(x) for x in zip(*out))
-        return pa.table({"doc": docs, "from": begin.astype(np.int64), "until": until.astype(np.int64)})
-
-    dealt = strings.withColumn("_b", F.pmod(F.xxhash64("gram"), F.lit(bundles)))
-    partial = dealt.groupBy("_b").applyInArrow(compare, "doc long, from long, until long")
-    span = lambda first, last: [F.col(first).cast("long").alias("from"), (F.col(last) + length).cast("long").alias("until")]
-    whole = found.join(classes.where("n > 1").select("gram", "kind"), ["gram", "kind"], "left_semi").select("doc", *span("first", "last"))
-    whole_fine = fine.join(fine_classes.where("n > 1").select("gram", "kind"), ["gram", "kind"], "left_semi").select("doc", *span("first", "last"))
-    spans = whole.union(whole_fine).union(partial)
+                    a, b = np.flatnonzero(edge == 1) + r["first"], np.flatnonzero(edge == -1) - 1 + r["first"] + length
+                    out += [(None, None, None, r["doc"], x, y) for x, y in zip(a.tolist(), b.tolist())]
+        return pa.Table.from_batches([_arrow(VERDICT, list(zip(*out)) or [[]] * 6)])
+
+    own_bundle = F.when(F.col("apart"), F.xxhash64("gram", "kind")).otherwise(F.xxhash64("gram"))
+    dealt = strings.withColumn("_b", F.pmod(own_bundle, F.lit(bundles)))
+    verdicts = written(dealt.groupBy("_b").applyInArrow(compare, VERDICT))
+    spans = verdicts.where("doc IS NOT NULL").select("doc", "from", "until")
+    for level, runs_ in enumerate(found):
+        whole = verdicts.where(F.col("level") == level).select("gram", "kind").distinct()
+        spans = spans.union(runs_.join(whole, ["gram", "kind"], "left_semi").select("doc", F.col("first").cast("long"), (F.col("last") + length).cast("long")))
     return spans.groupBy("doc").agg(F.collect_list(F.struct("from", "until")).alias("spans"))
 
 
+VERDICT = "level int, gram long, kind long, doc long, from long, until long"
+
+
 def _joined(spans: list[dict] | None) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted((s["from"], s["until"]) for s in spans or ()):

@@ -37,7 +37,7 @@ def texts(rng, n, length):
     return out
 
 
-@pytest.mark.parametrize(("hot", "seed"), [(1000, 1), (3, 2)])
+@pytest.mark.parametrize(("hot", "seed"), [(1000, 1), (3, 2), (1, 3), (0, 4)])
 def test_against_brute_force(spark, monkeypatch, hot, seed):
     monkeypatch.setattr(suffixdup, "BUNDLE", 4000)
     monkeypatch.setattr(suffixdup, "STRIDE", 8)
@@ -67,5 +67,34 @@ def test_merged_transforms_find_repeated_windows(shards, stride):
     strings = [base[a : a + rng.randint(32, 120)] for a in (rng.randrange(150) for _ in range(12))] + [b"a" * 80]
     strings = [s for s in strings if len(s) >= 32]
     count = Counter(s[i : i + 32] for s in strings for i in range(len(s) - 31))
-    got = repeated_windows(strings, 32, shards, stride)
+    got = repeated_windows(strings, 32, None, [i % shards for i in range(len(strings))], stride)
     assert [g.tolist() for g in got] == [[count[s[i : i + 32]] > 1 for i in range(len(s) - 31)] for s in strings]
+
+
+def test_strings_of_weight_and_hashes_alike(monkeypatch):
+    rng = random.Random(4)
+    strings = [bytes(rng.choice(b"abcd") for _ in range(60)) for _ in range(6)]
+    strings.append(strings[0][10:50])
+    weights = [1, 1, 3, 1, 1, 1, 1]
+    count = Counter()
+    for s, w in zip(strings, weights):
+        for i in range(len(s) - 31):
+            count[s[i : i + 32]] += w
+    want = [[count[s[i : i + 32]] > 1 for i in range(len(s) - 31)] for s in strings]
+    assert [g.tolist() for g in repeated_windows(strings, 32, weights)] == want
+    few = suffixdup._hash
+    monkeypatch.setattr(suffixdup, "_hash", lambda *a: few(*a) & suffixdup.U64(1))
+    assert [g.tolist() for g in repeated_windows(strings, 32, weights)] == want
+
+
+def test_merged_transforms_give_common_prefixes():
+    rng = random.Random(6)
+    texts_ = [np.array([rng.randint(1, 2) for _ in range(rng.randint(6, 30))]) for _ in range(5)]
+    shards = [suffixdup.Shard(texts_[:2], 4, 1), suffixdup.Shard(texts_[2:], 4, 1)]
+    source, common = suffixdup.merge_transforms(shards, 4)
+    # suffixes of a cyclic text with its end, by their first four symbols
+    rings = [[*t.tolist(), 0] for t in texts_]
+    suffixes = sorted(tuple((r + r + r)[i : i + 4]) for r in rings for i in range(len(r)))
+    alike = lambda a, b: next((k for k in range(4) if a[k] != b[k]), 4)
+    assert common.tolist() == [0] + [alike(a, b) for a, b in zip(suffixes, suffixes[1:])]
+    assert np.bincount(source).tolist() == [sum(len(r) for r in rings[:2]), sum(len(r) for r in rings[2:])]
