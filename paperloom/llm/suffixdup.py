@@ -28,7 +28,7 @@ LENGTH, GRAM, STRIDE = 400, 48, 80
 #: Places that a core spans when an anchor, then a core, has over HOT different runs; a core of one place is its window.
 HOT, STEPS = 400, (16, 1)
 #: Bytes of windows worked on at once, bytes of a bundle, shards of the corpus (by hash of the document).
-SLAB, BUNDLE, SHARDS = 1 << 18, 1 << 20, 4
+SLAB, BUNDLE, SHARDS = 1 << 18, 192 << 10, 4
 
 
 def _sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,11 +230,15 @@ def confirmed(flat: np.ndarray, length: int, window: np.ndarray, interval: np.nd
 
 
 RUN = "gram long, kind long, doc long, first int, last int, w long"
-STRING = "level int, gram long, kind long, doc long, first int, last int, n long, weight long, apart boolean, bytes binary"
+#: members: (level, gram, kind, first, last, n) of the runs whose windows follow each other in the string, as int64.
+STRING = "key long, doc long, first int, weight long, members binary, bytes binary"
+VERDICT = "level int, gram long, kind long, n long, doc long, from long, until long"
+#: The most kinds whose runs are so many that they are found by broadcast.
+BROADCAST_KINDS = 200_000
 
 
 def _arrow(ddl: str, columns: list) -> pa.RecordBatch:
-    types = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     fields = [f.split() for f in ddl.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(columns, fields)], [n for n, _ in fields])
 
@@ -294,11 +298,13 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     found, sent = [written(map_arrow(keyed.select("doc", "text"), find, RUN))], []
     for level, step in enumerate((*STEPS, None)):
         classes = written(_classes(found[level]))
-        # one string of each kind, two if it has several; of a hot anchor only these pairs, which are compared apart
+        # one string of each kind, two if it has several. Where an anchor has one kind only, or is cut finer, these two
+        # meet apart, and those of neighbouring runs of the same two documents make one string
         send = classes.where((F.col("n") > 1) | (F.col("kinds") <= hot) & (F.col("kinds") > 1))
-        same = F.col("one") == F.col("two")
+        same, pair = F.col("one") == F.col("two"), (F.col("kinds") > hot) | (F.col("kinds") == 1)
+        apart = F.xxhash64("one.doc", "two.doc", F.col("two.first") - F.col("one.first"), F.shiftright("one.first", 16))
         reps = F.when(same, F.array("one")).otherwise(F.array("one", "two"))
-        sent.append(send.select(F.lit(level).alias("level"), "gram", "kind", "n", F.when(same, F.col("n")).otherwise(F.lit(1)).alias("weight"), (F.col("kinds") > hot).alias("apart"), F.explode(reps).alias("at")))
+        sent.append(send.select(F.lit(level).alias("level"), "gram", "kind", "n", F.when(same, F.col("n")).otherwise(F.lit(1)).alias("weight"), pair.alias("pair"), F.when(pair, apart).otherwise(F.xxhash64("gram")).alias("key"), F.explode(reps).alias("at")))
         hot_kinds = classes.where(F.col("kinds") > hot)
         if step is None or not hot_kinds.take(1):
             break
@@ -306,16 +312,25 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     every = sent[0]
     for more in sent[1:]:
         every = every.union(more)
-    per_doc = every.select("at.doc", F.struct("level", "gram", "kind", "at.first", "at.last", "n", "weight", "apart").alias("r")).groupBy("doc").agg(F.collect_list("r").alias("runs"))
+    per_doc = every.select("at.doc", F.struct("level", "gram", "kind", "at.first", "at.last", "n", "weight", "pair", "key").alias("r")).groupBy("doc").agg(F.collect_list("r").alias("runs"))
 
     def gather(batches):
         for batch in batches:
             for part in slabs(batch, 1, 1 << 20):
-                rows = []
-                for doc, raw, own in zip(part.column(0).to_pylist(), _texts(part.column(1)), part.column(2).to_pylist()):
-                    rows += [(r["level"], r["gram"], r["kind"], doc, r["first"], r["last"], r["n"], r["weight"], r["apart"], raw[r["first"] : r["last"] + length].tobytes()) for r in own]
-                if rows:
-                    yield _arrow(STRING, list(zip(*rows)))
+                docs, raws, lists = part.column(0).to_numpy(), _texts(part.column(1)), part.column(2)
+                own = lists.flatten()
+                of = np.repeat(np.arange(len(docs)), lists.value_lengths().to_numpy())
+                x = {c: own.field(c).to_numpy(zero_copy_only=False) for c in ("level", "gram", "kind", "first", "last", "n", "weight", "pair", "key")}
+                order = np.lexsort((x["first"], x["weight"], x["key"], x["pair"], of))
+                of, x = of[order], {c: v[order] for c, v in x.items()}
+                alone = np.ones(len(of), bool)
+                alone[1:] = ~x["pair"][1:] | ~x["pair"][:-1] | (of[1:] != of[:-1]) | (x["key"][1:] != x["key"][:-1]) | (x["weight"][1:] != x["weight"][:-1]) | (x["first"][1:] != x["last"][:-1] + 1)
+                cuts = np.append(np.flatnonzero(alone), len(of))
+                members = np.stack([x[c].astype(np.int64) for c in ("level", "gram", "kind", "first", "last", "n")], 1)
+                first, last, text_of = x["first"].tolist(), x["last"].tolist(), of.tolist()
+                spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+                if spans:
+                    yield _arrow(STRING, [x["key"][cuts[:-1]], docs[of[cuts[:-1]]], x["first"][cuts[:-1]], x["weight"][cuts[:-1]].astype(np.int64), [members[a:b].tobytes() for a, b in spans], [raws[text_of[a]][first[a] : last[b - 1] + length].tobytes() for a, b in spans]])
 
     strings = written(map_arrow(keyed.join(per_doc, "doc").select("doc", "text", "runs"), gather, STRING))
     total = strings.agg(F.sum(F.length("bytes"))).first()[0] or 0
@@ -323,32 +338,33 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
 
     def compare(table: pa.Table) -> pa.Table:
         # a document whose row repeats sends its strings each time
-        rows = {(r["level"], r["gram"], r["kind"], r["doc"], r["first"]): r for r in table.to_pylist()}
-        rows, out = list(rows.values()), []
+        rows = list({(r["key"], r["doc"], r["first"], r["members"]): r for r in table.to_pylist()}.values())
+        out = []
         if len(rows) > 1 or rows[0]["weight"] > 1:
-            shard_of = [r["doc"] % SHARDS for r in rows]
-            for r, again in zip(rows, repeated_windows([r["bytes"] for r in rows], length, [r["weight"] for r in rows], shard_of)):
-                if r["n"] > 1 and again.all():
-                    out.append((r["level"], r["gram"], r["kind"], None, None, None))
-                elif again.any():
-                    edge = np.diff(np.concatenate([[0], again.view(np.int8), [0]]))
-                    a, b = np.flatnonzero(edge == 1) + r["first"], np.flatnonzero(edge == -1) - 1 + r["first"] + length
-                    out += [(None, None, None, r["doc"], x, y) for x, y in zip(a.tolist(), b.tolist())]
-        return pa.Table.from_batches([_arrow(VERDICT, list(zip(*out)) or [[]] * 6)])
-
-    own_bundle = F.when(F.col("apart"), F.xxhash64("gram", "kind")).otherwise(F.xxhash64("gram"))
-    dealt = strings.withColumn("_b", F.pmod(own_bundle, F.lit(bundles)))
+            for r, again in zip(rows, repeated_windows([r["bytes"] for r in rows], length, [r["weight"] for r in rows], [r["doc"] % SHARDS for r in rows])):
+                for level, gram_, kind, first, last, n in np.frombuffer(r["members"], np.int64).reshape(-1, 6).tolist():
+                    own = again[first - r["first"] : last + 1 - r["first"]]
+                    if n > 1 and own.all():
+                        out.append((level, gram_, kind, n, None, None, None))
+                    elif own.any():
+                        edge = np.diff(np.concatenate([[0], own.view(np.int8), [0]]))
+                        a, b = np.flatnonzero(edge == 1) + first, np.flatnonzero(edge == -1) - 1 + first + length
+                        out += [(None, None, None, None, r["doc"], x, y) for x, y in zip(a.tolist(), b.tolist())]
+        return pa.Table.from_batches([_arrow(VERDICT, list(zip(*out)) or [[]] * 7)])
+
+    dealt = strings.withColumn("_b", F.pmod("key", F.lit(bundles)))
     verdicts = written(dealt.groupBy("_b").applyInArrow(compare, VERDICT))
     spans = verdicts.where("doc IS NOT NULL").select("doc", "from", "until")
     for level, runs_ in enumerate(found):
-        whole = verdicts.where(F.col("level") == level).select("gram", "kind").distinct()
-        spans = spans.union(runs_.join(whole, ["gram", "kind"], "left_semi").select("doc", F.col("first").cast("long"), (F.col("last") + length).cast("long")))
+        whole = verdicts.where(F.col("level") == level).select("gram", "kind", "n").distinct()
+        # at most BROADCAST_KINDS kinds have more than this share of all runs
+        many = F.broadcast(whole.where(F.col("n") > max(10_000, runs_.count() // BROADCAST_KINDS)).select("gram", "kind"))
+        few = runs_.join(many, ["gram", "kind"], "left_anti").join(whole.select("gram", "kind"), ["gram", "kind"], "left_semi")
+        for part in (few, runs_.join(many, ["gram", "kind"], "left_semi")):
+            spans = spans.union(part.select("doc", F.col("first").cast("long"), (F.col("last") + length).cast("long")))
     return spans.groupBy("doc").agg(F.collect_list(F.struct("from", "until")).alias("spans"))
 
 
-VERDICT = "level int, gram long, kind long, doc long, from long, until long"
-
-
 def _joined(spans: list[dict] | None) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted((s["from"], s["until"]) for s in spans or ()):
