@@ -1,4 +1,5 @@
 import random
+import time
 import re
 
 import numpy as np
@@ -119,6 +120,21 @@ def test_secret_spans_against_brute_force(spark):
     assert secrets.scan_secrets(docs.limit(0)).count() == 0
 
 
+def test_secrets_of_very_long_texts_and_very_many(spark):
+    rng = random.Random(4)
+    alnum = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    image = "".join(rng.choice(alnum) for _ in range(1_000_000))
+    key = lambda: "".join(rng.choice(alnum) for _ in range(30))
+    many = " ".join(f"token={key()}" if i % 2 else f"{key()}" for i in range(20_000))
+    path = "ab-" * 200_000
+    docs = spark.createDataFrame([(1, image), (2, many), (3, path)], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r["found"] for r in secrets.scan_secrets(docs).collect()}
+    assert time.time() - began < 60
+    assert [(s["start"], s["stop"]) for s in got[1]] == [(0, len(image))] and got[3] == []
+    assert sum(s["kind"] == "assign" for s in got[2]) == 10_000 and sum(s["kind"] == "entropy_base64" for s in got[2]) > 9_000
+
+
 def test_incremental_entropy_equals_direct(spark):
     rng = random.Random(1)
     alphabet = "abc012"
@@ -128,6 +144,11 @@ def test_incremental_entropy_equals_direct(spark):
         assert r["h"] == pytest.approx(max(entropy(r["t"][i : i + 5]) for i in range(len(r["t"]) - 4)), abs=1e-9)
 
 
+def test_entropy_over_parts_of_a_candidate(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "PART", 7)
+    test_incremental_entropy_equals_direct(spark)
+
+
 # ---------------------------------------------------------------- op8
 
 
