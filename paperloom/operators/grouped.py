@@ -16,21 +16,24 @@ def map_groups(df: DataFrame, keys: list[str], run, added: str) -> DataFrame:
     microseconds, where a data frame per key costs milliseconds. A key's rows must fit a task (pages and tasks are
     bounded by their limits).
     """
-    extra = StructType.fromDDL(added)
-    schema = StructType([*[df.schema[k] for k in keys], *extra])
-    arrow, names = to_arrow_schema(schema), [f.name for f in extra]
     packed = df.groupBy(*keys).agg(F.collect_list(F.struct(*[c for c in df.columns if c not in keys])).alias("_rows"))
+    return map_rows(packed, keys, lambda rows: (out for row in rows for out in run(row["_rows"])), added)
+
+
+def map_rows(df: DataFrame, keys: list[str], run, added: str) -> DataFrame:
+    """keys and the columns of `added` for each tuple that run([row]) gives, for each row as a dict, whole batches to Python."""
+    schema = StructType([*[df.schema[k] for k in keys], *StructType.fromDDL(added)])
+    arrow = to_arrow_schema(schema)
 
     def go(batches):
         for batch in batches:
             columns: list[list] = [[] for _ in arrow]
             for row in batch.to_pylist():
-                for out in run(row["_rows"]):
+                for out in run([row]):
                     for i, k in enumerate(keys):
                         columns[i].append(row[k])
                     for i, value in enumerate(out, len(keys)):
                         columns[i].append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, arrow)], schema=arrow)
 
-    assert len(names) + len(keys) == len(arrow)
-    return packed.mapInArrow(go, schema)
+    return df.mapInArrow(go, schema)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import contains, line_tolerance, page_alignment
+from ..functions.geometry import contains, line_tolerance, overlap, page_alignment
 from ..functions.text import blank, strip
 from .grouped import map_groups
 
@@ -161,6 +161,20 @@ def inside(blocks: DataFrame, boxes: DataFrame, tolerance: float = 0.25) -> Data
     return blocks.join(b, _centre_in(tolerance)).drop("_doc", "_page")
 
 
+def beside(blocks: DataFrame, share: float = 0.2, band: float = 20.0) -> DataFrame:
+    """doc_id, page_no, seq of blocks beside which another of their page stands: much the same height, hardly the same columns.
+
+    Blocks meet in the horizontal bands that both lie on, so that a page's blocks aren't all compared with each other.
+    """
+    sides = ("x", "y", "width", "height")
+    on = F.explode(F.sequence(F.floor(F.col("y") / band), F.floor((F.col("y") + F.col("height")) / band)))
+    a = blocks.select(*PAGE, "seq", *sides).withColumn("_band", on)
+    b = a.select(*PAGE, "_band", F.col("seq").alias("_seq"), *[F.col(k).alias(f"_{k}") for k in sides])
+    over = lambda k, n: overlap(F.col(k), F.col(k) + F.col(n), F.col(f"_{k}"), F.col(f"_{k}") + F.col(f"_{n}"))
+    near = (over("y", "height") > share * F.least("height", "_height")) & (over("x", "width") <= share * F.least("width", "_width"))
+    return a.join(b, [*PAGE, "_band"]).where((F.col("seq") != F.col("_seq")) & near).select(*PAGE, "seq").distinct()
+
+
 def _named(boxes: DataFrame) -> DataFrame:
     names = {"doc_id": "_doc", "page_no": "_page"}
     return boxes.select(*[F.col(c).alias(names.get(c, f"box_{c}")) for c in boxes.columns])

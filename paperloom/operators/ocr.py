@@ -11,14 +11,24 @@ from ..functions.text import nonblank_chars, without_space
 PAGE = ["doc_id", "page_no"]
 
 
-def without_duplicates(found: DataFrame, native: DataFrame, overlap: float = 0.7) -> DataFrame:
-    """Recognised blocks that no native block of their page repeats: equal text, white space aside, or a box mostly shared."""
-    n = native.select(*[F.col(c).alias(f"_{c}") for c in (*PAGE, "x", "y", "width", "height", "text")])
+def without_duplicates(found: DataFrame, native: DataFrame, overlap: float = 0.7, tile: float = 40.0) -> DataFrame:
+    """Recognised blocks that no native block of their page repeats: equal text, white space aside, or a box mostly shared.
+
+    Two anti joins on equal keys: the page and the text, then the page and the tiles that the boxes lie on.
+    """
+    texts = native.select(*PAGE, without_space(F.col("text")).alias("_text")).distinct()
+    left = found.withColumn("_text", without_space(F.col("text"))).join(texts, [*PAGE, "_text"], "left_anti")
+    box = ("x", "y", "width", "height")
+    tiles = lambda at, size: F.explode(F.sequence(F.floor(F.col(at) / tile), F.floor((F.col(at) + F.col(size)) / tile)))
+    dealt = lambda df: df.withColumn("_tx", tiles("x", "width")).withColumn("_ty", tiles("y", "height"))
+    n = dealt(native.select(*PAGE, *box)).select(*PAGE, "_tx", "_ty", *[F.col(c).alias(f"_{c}") for c in box])
+    # equal boxes need no telling apart: all of them are repeated or none
+    mine = dealt(left.select(*PAGE, *box).distinct())
     area = lambda w, h: F.col(w) * F.col(h)
-    shared = intersection_area(*[F.col(c) for c in ("x", "y", "width", "height")], *[F.col(f"_{c}") for c in ("x", "y", "width", "height")])
+    shared = intersection_area(*[F.col(c) for c in box], *[F.col(f"_{c}") for c in box])
     smaller = F.greatest(F.lit(0.01), F.least(area("width", "height"), area("_width", "_height")))
-    same = (without_space(F.col("text")) == without_space(F.col("_text"))) | (shared / smaller > overlap)
-    return found.join(n, (F.col("doc_id") == F.col("_doc_id")) & (F.col("page_no") == F.col("_page_no")) & same, "left_anti")
+    repeated = mine.join(n, [*PAGE, "_tx", "_ty"]).where(shared / smaller > overlap).select(*PAGE, *box).distinct()
+    return left.join(repeated, [*PAGE, *box], "left_anti").select(*found.columns)
 
 
 def with_found(native: DataFrame, found: DataFrame) -> DataFrame:
@@ -40,7 +50,7 @@ def page_coverage(images: DataFrame, pages: DataFrame) -> DataFrame:
     """doc_id, page_no, images, coverage: images of a page and the largest share of it that one covers; signatures don't count."""
     i = images.where("role <> 'SIGNATURE'").select(*PAGE, *[F.col(c).alias(f"_{c}") for c in ("x", "y", "width", "height")])
     share = intersection_area(*[F.col(f"_{c}") for c in ("x", "y", "width", "height")], *[F.col(c) for c in ("x", "y", "width", "height")]) / F.greatest(F.lit(1.0), F.col("width") * F.col("height"))
-    return pages.join(i, PAGE, "left").groupBy(*PAGE).agg(F.count("_x").alias("images"), F.coalesce(F.max(share), F.lit(0.0)).alias("coverage"))
+    return pages.join(i, PAGE, "left").groupBy(*PAGE).agg(F.count("_x").alias("images"), F.coalesce(F.max(F.when(F.col("_x").isNotNull(), share)), F.lit(0.0)).alias("coverage"))
 
 
 def page_chars(blocks: DataFrame) -> DataFrame:

@@ -121,19 +121,13 @@ def lines_not_in_table(spark, d):
     return seg.join(t, (c("doc_id") == c("_d")) & both, "left_anti").select("doc_id", "seq")
 
 
-@query("paragraph_overlap", f"""WITH {BLOCKS}, p AS (SELECT doc_id, page_no, seq, x, y + (seq % 8) * 1.0 AS y, width, height FROM blocks)
-SELECT a.doc_id, a.page_no, a.seq FROM p a SEMI JOIN p b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND a.seq <> b.seq
-  AND greatest(0, least(a.y + a.height, b.y + b.height) - greatest(a.y, b.y)) > 0.2 * least(a.height, b.height)
+@query("paragraph_overlap", f"""WITH {BLOCKS}, p AS (SELECT doc_id, page_no, seq, x, y + (seq % 8) * 1.0 AS y, width, height FROM blocks),
+t AS (SELECT *, unnest(generate_series(CAST(floor(y / 20) AS INTEGER), CAST(floor((y + height) / 20) AS INTEGER))) AS band FROM p)
+SELECT DISTINCT a.doc_id, a.page_no, a.seq FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND a.band = b.band
+WHERE a.seq <> b.seq AND greatest(0, least(a.y + a.height, b.y + b.height) - greatest(a.y, b.y)) > 0.2 * least(a.height, b.height)
   AND greatest(0, least(a.x + a.width, b.x + b.width) - greatest(a.x, b.x)) <= 0.2 * least(a.width, b.width)""")
 def paragraph_overlap(spark, d):
-    """Blocks beside which another one stands: much the same height, hardly the same columns."""
-    p = blocks(spark, d).withColumn("y", c("y") + (c("seq") % 8) * 1.0)
-    a, b = p.alias("a"), p.alias("b")
-    end = lambda s, k, n: c(f"{s}.{k}") + c(f"{s}.{n}")
-    over = lambda k, n: G.overlap(c(f"a.{k}"), end("a", k, n), c(f"b.{k}"), end("b", k, n))
-    on = (c("a.doc_id") == c("b.doc_id")) & (c("a.page_no") == c("b.page_no")) & (c("a.seq") != c("b.seq"))
-    on = on & (over("y", "height") > 0.2 * F.least(c("a.height"), c("b.height"))) & (over("x", "width") <= 0.2 * F.least(c("a.width"), c("b.width")))
-    return a.join(b, on, "left_semi").select("doc_id", "page_no", "seq")
+    return layout.beside(blocks(spark, d).withColumn("y", c("y") + (c("seq") % 8) * 1.0))
 
 
 @query("vertical_gaps", f"""WITH {BLOCKS}, l AS (SELECT doc_id, page_no, y, max(y + height) AS bottom FROM blocks GROUP BY ALL)
@@ -427,7 +421,11 @@ def output_names(spark, d):
     return table(spark, d, "customer").select("c_custkey", X.swap_extension(F.concat("c_name", F.lit(".OFD")), "ofd", ".xlsx").alias("swapped"), X.output_name(F.lit(".."), F.concat(F.lit("/in/"), "c_name", F.lit(".pdf")), F.lit("docx")).alias("fallback"))
 
 
-@query("error_sanitize")
+@query("error_sanitize", f"""WITH m AS (SELECT page_id, 'open /var/data/in.pdf failed at C:\\tmp\\x.docx for ' || url || chr(10) || html AS m FROM pages),
+a AS (SELECT page_id, regexp_replace(m, '(^|[^A-Za-z0-9_.-])[A-Za-z]:[\\\\/][^\\s"''<>]+', '\\1<path>', 'g') AS m FROM m),
+b AS (SELECT page_id, regexp_replace(m, '(^|[^A-Za-z0-9_.-])(file:)?/{{1,3}}[^\\s"''<>]+', '\\1<path>', 'g') AS m FROM a),
+e AS (SELECT page_id, trim(regexp_replace(regexp_replace(m, '[\\x00-\\x1f\\x7f]+', ' ', 'g'), '\\s+', ' ', 'g')) AS m FROM b)
+SELECT page_id, CASE WHEN length(m) > {X.MAX_MESSAGE} THEN substr(m, 1, {X.MAX_MESSAGE}) || '...' ELSE m END AS message FROM e""")
 def error_sanitize(spark, d):
     """Messages with file paths in them, cleaned."""
     return table(spark, d, "pages").select("page_id", X.clean_message(F.concat(F.lit("open /var/data/in.pdf failed at C:\\tmp\\x.docx for "), c("url"), F.lit("\n"), c("html"))).alias("message"))
@@ -528,20 +526,33 @@ def ocr_placement(spark, d):
     return out.select("conv_id", "turn", "block", "line", *[F.round(k, 4).alias(k) for k in ("x", "width", "size_pt", "baseline")])
 
 
-@query("ocr_dedup_anti", f"""WITH {BLOCKS}, n AS (SELECT * FROM blocks WHERE seq % 2 = 0), f AS (SELECT * REPLACE (x + 12 AS x) FROM blocks WHERE seq % 2 = 1)
-SELECT f.doc_id, f.page_no, f.seq FROM f ANTI JOIN n ON f.doc_id = n.doc_id AND f.page_no = n.page_no AND
- (regexp_replace(f.text, '[{WS}]+', '', 'g') = regexp_replace(n.text, '[{WS}]+', '', 'g') OR greatest(0, least(f.x + 20, n.x + 20) - greatest(f.x, n.x)) * greatest(0, least(f.y + 5, n.y + 5) - greatest(f.y, n.y)) / 100 > 0.7)""")
+@query("ocr_dedup_anti", f"""WITH {BLOCKS}, n AS (SELECT * FROM blocks WHERE seq % 2 = 0), f AS (SELECT * REPLACE (x + 12 AS x) FROM blocks WHERE seq % 2 = 1),
+t AS (SELECT DISTINCT doc_id, page_no, regexp_replace(text, '[{WS}]+', '', 'g') AS text FROM n),
+u AS (SELECT f.* FROM f ANTI JOIN t ON f.doc_id = t.doc_id AND f.page_no = t.page_no AND regexp_replace(f.text, '[{WS}]+', '', 'g') = t.text),
+r AS (SELECT u.doc_id, u.page_no, u.seq FROM u JOIN n ON u.doc_id = n.doc_id AND u.page_no = n.page_no AND u.y = n.y
+  WHERE greatest(0, least(u.x + 20, n.x + 20) - greatest(u.x, n.x)) * 5 / 100 > 0.7)
+SELECT doc_id, page_no, seq FROM u ANTI JOIN r USING (doc_id, page_no, seq)""")
 def ocr_dedup_anti(spark, d):
+    """Every other word counts as recognised, 12 mm to the right, where it lies on most of the next native one."""
     b = blocks(spark, d)
     return ocr.without_duplicates(b.where("seq % 2 = 1").withColumn("x", c("x") + 12), b.where("seq % 2 = 0")).select("doc_id", "page_no", "seq")
 
 
-@query("scan_detection", f"""WITH {BLOCKS}, k AS (SELECT doc_id, page_no, sum(length(regexp_replace(text, '[{WS}]+', '', 'g'))) AS chars FROM blocks GROUP BY ALL)
-SELECT doc_id, page_no, CAST(chars AS BIGINT) AS chars, CASE WHEN page_no % 2 = 0 THEN false ELSE chars = 0 OR (chars < 20 AND 0.6 >= 0.5) END AS scanned, chars >= 80 AND 0.7 >= 0.65 AS background FROM k""")
+@query("scan_detection", f"""WITH {BLOCKS}, k AS (SELECT doc_id, page_no, sum(length(regexp_replace(text, '[{WS}]+', '', 'g'))) AS chars FROM blocks GROUP BY ALL),
+i AS (SELECT doc_id, page_no, -10.0 AS x, 60.0 * k AS width FROM k, (VALUES (doc_id % 4), (page_no % 3)) AS s(k) WHERE NOT (page_no % 5 = 0 AND k = 2)),
+g AS (SELECT doc_id, page_no, count(*) AS images, max(greatest(0, least(210, x + width) - greatest(0, x)) * 292.0 / (210 * 297)) AS coverage FROM i GROUP BY ALL)
+SELECT doc_id, page_no, CAST(chars AS BIGINT) AS chars, CAST(coalesce(images, 0) AS BIGINT) AS images, CAST(round(coalesce(coverage, 0), 6) AS DOUBLE) AS coverage,
+  CASE WHEN coalesce(images, 0) = 0 THEN false ELSE chars = 0 OR (chars < 20 AND coverage >= 0.5) END AS scanned, chars >= 80 AND coalesce(coverage, 0) >= 0.65 AS background
+FROM k LEFT JOIN g USING (doc_id, page_no)""")
 def scan_detection(spark, d):
+    """Pages with two images each, partly off the page; some are signatures, which don't count."""
     k = ocr.page_chars(blocks(spark, d))
-    images = F.when(c("page_no") % 2 == 0, 0).otherwise(1)
-    return k.select("doc_id", "page_no", "chars", ocr.scanned(c("chars"), images, F.lit(0.6)).alias("scanned"), ocr.text_backed(c("chars"), F.lit(0.7)).alias("background"))
+    size = F.explode(F.array((c("doc_id") % 4).cast("int"), (c("page_no") % 3).cast("int")))
+    i = k.select("doc_id", "page_no", size.alias("k")).withColumn("role", F.when((c("page_no") % 5 == 0) & (c("k") == 2), "SIGNATURE").otherwise("PICTURE"))
+    i = i.select("doc_id", "page_no", "role", F.lit(-10.0).alias("x"), F.lit(5.0).alias("y"), (c("k") * 60.0).alias("width"), F.lit(297.0).alias("height"))
+    pages = k.select("doc_id", "page_no", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(210.0).alias("width"), F.lit(297.0).alias("height"))
+    g = k.join(ocr.page_coverage(i, pages), ["doc_id", "page_no"])
+    return g.select("doc_id", "page_no", "chars", "images", F.round("coverage", 6).alias("coverage"), ocr.scanned(c("chars"), c("images"), c("coverage")).alias("scanned"), ocr.text_backed(c("chars"), c("coverage")).alias("background"))
 
 
 @query("ocr_required_pages", f"WITH {BLOCKS}, n AS (SELECT DISTINCT doc_id, page_no FROM blocks WHERE page_no % 3 = 1) SELECT doc_id, string_agg(CAST(page_no AS VARCHAR), '、' ORDER BY page_no) AS pages FROM n GROUP BY 1")

@@ -63,11 +63,39 @@ def test_grids(spark, rows, cells):
     assert {r["confidence"] for r in got} == {1.0}
 
 
-def test_open_sides_and_odd_areas():
-    assert grid.tables(BASE[:4] + [(50, 0, 50, 40), (100, 0, 100, 15)])[0]["confidence"] == pytest.approx(0.9125)
-    lshape = BASE + [(50, 20, 50, 40), (0, 20, 100, 20)]
-    assert grid.tables([s for s in lshape if s != (0, 20, 100, 20)] + [(50, 20, 100, 20)]) == []
-    assert grid.anchored([0, 0.2, 0.4, 0.6, 5], 0.25) == pytest.approx([0.1, 0.5, 5.0])
+def test_open_sides_and_odd_areas(spark):
+    part = grid.recognised_cells(segments(spark, BASE[:4] + [(50, 0, 50, 40), (100, 0, 100, 15)])).collect()
+    assert {round(r["confidence"], 6) for r in part} == {0.9125}
+    lshape = BASE[:1] + BASE[2:] + [(50, 20, 50, 40), (50, 20, 100, 20)]
+    assert grid.recognised_cells(segments(spark, lshape)).count() == 0
+    values = spark.createDataFrame([(1, v) for v in (0.6, 5.0, 0.2, 0.0, 0.4)], "k int, v double")
+    assert [r["axis"] for r in grid.axis_clusters(values, ["k"], "v").orderBy("cluster_no").collect()] == pytest.approx([0.1, 0.5, 5.0])
+
+
+def test_rulings_join_by_the_mean_of_two_axes(spark):
+    rows = [(0, 10.0, 30, 10.0), (30.5, 10.2, 60, 10.2), (60, 10.3, 90, 10.3), (0, 10.6, 90, 10.6), (0, 0, 50, 9), (5, 0, 5.2, 40), (5.1, 40.7, 5.1, 80)]
+    got = sorted((r["flat"], round(r["axis"], 4), r["begin"], r["until"], r["seq"]) for r in grid.rulings(segments(spark, rows)).collect())
+    assert got == [(False, 5.1, 0.0, 40.0, 5), (False, 5.1, 40.7, 80.0, 6), (True, 10.2, 0.0, 90.0, 0), (True, 10.6, 0.0, 90.0, 3)]
+
+
+def test_several_tables_and_pages(spark):
+    low = [(x1 + 200, y1 + 5, x2 + 200, y2 + 5) for x1, y1, x2, y2 in BASE]
+    both = segments(spark, low + BASE).union(segments(spark, BASE, 2)).union(segments(spark, BASE[:2], 3))
+    got = {(r["page_no"], r["table_no"], r["x"], r["y"]) for r in grid.recognised_cells(both).collect()}
+    assert got == {(1, 1, 0.0, 0.0), (1, 1, 0.0, 20.0), (1, 2, 200.0, 5.0), (1, 2, 200.0, 25.0), (2, 1, 0.0, 0.0), (2, 1, 0.0, 20.0)}
+
+
+def test_areas():
+    assert grid.areas(1, 1, [True], [True]) == ([(0, 0, 1, 1)], True)
+    assert grid.areas(2, 2, [False, True, False, True], [False] * 4) == ([(0, 0, 2, 2)], True)
+    assert grid.areas(2, 2, [True, True, False, True], [False, True, True, True]) == ([(0, 0, 1, 1), (1, 0, 1, 1), (1, 1, 1, 1), (0, 1, 1, 1)], False)
+
+
+def test_recognised_text_that_a_page_has_already(spark):
+    cols = "doc_id int, page_no int, x double, y double, width double, height double, text string"
+    native = spark.createDataFrame([(1, 1, 10.0, 10.0, 200.0, 8.0, "Net sum 5"), (1, 2, 0.0, 0.0, 5.0, 5.0, "q")], cols)
+    found = spark.createDataFrame([(1, 1, 500.0, 500.0, 9.0, 9.0, "Netsum\t5"), (1, 1, 60.0, 11.0, 20.0, 7.0, "a"), (1, 1, 205.0, 10.0, 20.0, 8.0, "b"), (1, 2, 10.0, 10.0, 200.0, 8.0, "Net sum 5"), (2, 1, 10.0, 10.0, 200.0, 8.0, "c")], cols)
+    assert sorted((r["doc_id"], r["page_no"], r["text"]) for r in ocr.without_duplicates(found, native).collect()) == [(1, 1, "b"), (1, 2, "Net sum 5"), (2, 1, "c")]
 
 
 def test_cell_text_and_rows(spark):
@@ -98,11 +126,11 @@ def read(blocks):
 
 
 def test_reading_order(spark):
-    assert read(helper_blocks(spark, [(10, 10, "发票标题"), (10, 20, "购买方"), (40, 20, "测试公司")])) == "发票标题\n购买方测试公司\n"
-    columns = [(125, 35, "右栏第二行"), (15, 20, "左栏第一行"), (125, 20, "右栏第一行"), (15, 35, "左栏第二行")]
-    assert read(helper_blocks(spark, columns)) == "左栏第一行\n左栏第二行\n右栏第一行\n右栏第二行\n"
-    two = helper_blocks(spark, [(10, 10, "第一页正文")]).union(helper_blocks(spark, [(10, 10, "第二页正文")], 2))
-    assert read(two) == "第一页正文\n\n\f\n第二页正文\n"
+    assert read(helper_blocks(spark, [(12, 14, "heading"), (12, 31, "name:"), (38, 31, "value")])) == "heading\nname:value\n"
+    columns = [(140, 61, "r2"), (22, 44, "l1"), (140, 44, "r1"), (22, 61, "l2"), (140, 78, "r3")]
+    assert read(helper_blocks(spark, columns)) == "l1\nl2\nr1\nr2\nr3\n"
+    two = helper_blocks(spark, [(30, 25, "first")]).union(helper_blocks(spark, [(30, 25, "second")], 2))
+    assert read(two) == "first\n\n\f\nsecond\n"
 
 
 def test_lines_are_anchored_on_their_first_block(spark):
@@ -111,11 +139,12 @@ def test_lines_are_anchored_on_their_first_block(spark):
     assert [r["line_no"] for r in layout.paragraph_lines(b).orderBy("seq").collect()] == [1, 1, 2]
 
 
-def test_paragraph_fixture(spark):
-    rows = [(69.55, 29.33, 34.57, "测试询价单（", 34.16), (103.42, 29.33, 13.24, "Word", 34.16), (116.12, 29.33, 22.01, "通用版）", 34.16), (30.90, 51.17, 6.11, "1.", 56.01), (36.53, 51.17, 139.50, "本次", 56.01), (30.90, 62.14, 128.09, "系统", 66.97)]
-    b = spark.createDataFrame([(1, 1, i, x, y, w, 5.64, t, base) for i, (x, y, w, t, base) in enumerate(rows)], "doc_id int, page_no int, seq int, x double, y double, width double, height double, text string, baseline double")
-    got = layout.paragraphs(layout.paragraph_lines(b), 0.0, 209.9).orderBy("y").collect()
-    assert [(r["text"], r["alignment"]) for r in got] == [("测试询价单（Word通用版）", "CENTER"), ("1.本次", "LEFT"), ("系统", got[2]["alignment"])]
+def test_paragraphs_of_words(spark):
+    rows = [(70.0, 40.0, 30.0, "Annual ", 44.0), (99.0, 40.0, 40.0, "report", 44.0), (18.0, 60.0, 8.0, "A)", 64.0), (25.5, 60.0, 90.0, "scope", 64.0), (18.0, 75.0, 70.0, "method", 79.0)]
+    b = spark.createDataFrame([(1, 1, i, x, y, w, 5.5, t, base) for i, (x, y, w, t, base) in enumerate(rows)], "doc_id int, page_no int, seq int, x double, y double, width double, height double, text string, baseline double")
+    got = layout.paragraphs(layout.paragraph_lines(b), 0.0, 209.0).orderBy("y").collect()
+    assert [r["text"] for r in got] == ["Annual report", "A)scope", "method"]
+    assert [r["alignment"] for r in got[:2]] == ["CENTER", "LEFT"]
 
 
 # ---------------------------------------------------------------- decoding and CSV
