@@ -54,6 +54,12 @@ def safe_name(path: Column, fallback: Column) -> Column:
     return F.when(blank(name) | name.isin(".", "..") | (F.length(name) > MAX_NAME), fallback).otherwise(name)
 
 
+def entry_name(proposed: Column) -> Column:
+    """Of an archive's entry: as a safe name of any length, `result` if there is none."""
+    name = strip(F.regexp_replace(base_name(proposed), ILLEGAL, "_"))
+    return F.when(blank(name) | name.isin(".", ".."), "result").otherwise(name)
+
+
 def display_name(path: Column, index: Column, extension: Column) -> Column:
     """Of an upload; `document-N.ext` if its own name can't be used. index counts from 0."""
     return safe_name(path, F.concat(F.lit("document-"), (index + 1).cast("string"), F.lit("."), extension))

@@ -225,3 +225,99 @@ def recovered_inputs(stored: DataFrame, results: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("task_id").orderBy("path")) - 1
     named = results.select("task_id", "idx", "file_name")
     return stored.withColumn("idx", place).join(named, ["task_id", "idx"], "left").withColumn("file_name", F.coalesce("file_name", F.concat(F.lit("input-"), (F.col("idx") + 1).cast("string"))))
+
+
+#: Bytes of a process's output that are kept.
+LOG_BYTES = 16 << 10
+
+
+def captured(output: Column, most: int = LOG_BYTES) -> Column:
+    """struct(kept, truncated) of a process's output in bytes."""
+    return F.struct(F.substring(output, 1, most).alias("kept"), (F.octet_length(output) > most).alias("truncated"))
+
+
+def page_file_number(name: Column) -> Column:
+    """The number between the first dash and the last dot of a page's file name; null, which goes last, if there is none."""
+    digits = F.regexp_extract(name, "^[^-]*-([+-]?[0-9]{1,10})\\.[^.]*$", 1)
+    number = F.when(digits != "", digits.cast("long"))
+    return F.when(number.between(-(1 << 31), (1 << 31) - 1), number.cast("int"))
+
+
+def bounded_setting(value: Column, fallback: float, least: float, most: float, kind: str = "int") -> Column:
+    """struct(value, error) of a setting: the fallback if it is blank, INVALID_SETTING if it is no number of least..most."""
+    given = F.trim(F.coalesce(value, F.lit("")))
+    form = "^[+-]?[0-9]{1,18}$" if kind in ("int", "long") else "^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+    number = F.when(given.rlike(form), given.cast("double" if kind == "double" else "long"))
+    fits = F.coalesce(number.between(least, most), F.lit(False))
+    return F.struct(F.when(given == "", F.lit(fallback)).when(fits, number).cast(kind).alias("value"), F.when((given != "") & ~fits, "INVALID_SETTING").alias("error"))
+
+
+def dpi_setting(value: Column) -> Column:
+    """Of rendered pages: 160 unless set, 36 to 600."""
+    return bounded_setting(value, 160.0, 36.0, 600.0, "double")
+
+
+def enabled(value: Column) -> Column:
+    return F.coalesce(F.lower(F.trim(value)).isin("1", "true", "yes", "on"), F.lit(False))
+
+
+def created(uploads: DataFrame, limits: TaskLimits = TaskLimits()) -> DataFrame:
+    """task_id, files, bytes, status, stage, progress, error_code of new tasks from uploads (request_id, idx, size, target).
+
+    A request without a target or with too many files or bytes makes no task that could run. The id follows from the
+    request's, so that a lost and repeated piece of work makes the same task.
+    """
+    by = uploads.groupBy("request_id").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"), F.max("target").alias("target"), F.min("size").alias("_least"))
+    error = F.when(F.col("target").isNull(), "TARGET_REQUIRED").when(F.col("files") > limits.files, "TASK_FILE_LIMIT_EXCEEDED").when(F.col("_least") <= 0, "EMPTY_FILE").when(F.col("bytes") > limits.upload_bytes, "TASK_UPLOAD_LIMIT_EXCEEDED")
+    rows = by.select(task_uuid(F.lit("create"), F.col("request_id").cast("string")).alias("task_id"), "request_id", "files", "bytes", "target", error.alias("error_code"))
+    bad = F.col("error_code").isNotNull()
+    return rows.withColumn("status", F.when(bad, "FAILED").otherwise("WAITING")).withColumn("stage", F.when(bad, "FAILED").otherwise("QUEUED")).withColumn("progress", F.lit(0))
+
+
+def task_uuid(*parts: Column) -> Column:
+    """An id in the form of a UUID from a hash of the parts."""
+    h = F.md5(F.concat_ws(":", *parts).cast("binary"))
+    return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+
+
+def retried(tasks: DataFrame, files: DataFrame, attempt: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(tasks, files) made anew from those that can be tried again, under ids of their own, with retry_of."""
+    again = retryable(tasks, files).select(F.col("task_id").alias("retry_of"), task_uuid(F.lit(f"retry {attempt}"), F.col("task_id").cast("string")).alias("task_id"), F.lit("WAITING").alias("status"), F.lit("QUEUED").alias("stage"), F.lit(0).alias("progress"))
+    copies = files.withColumnRenamed("task_id", "retry_of").join(again.select("retry_of", "task_id"), "retry_of").drop("retry_of")
+    return again, copies
+
+
+def downloads(tasks: DataFrame, types: Column) -> DataFrame:
+    """task_id, download_name, content_type of results that can be fetched; types: map of target to content type."""
+    ready = tasks.where("status = 'SUCCESS' AND download_name IS NOT NULL")
+    kind = F.when(F.col("download_name").endswith(".zip"), "application/zip").otherwise(F.element_at(types, F.col("target")))
+    return ready.select("task_id", "download_name", kind.alias("content_type"))
+
+
+def deleted(tasks: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tasks that stay, named ids that are no task)."""
+    named = ids.select("task_id").distinct()
+    return tasks.join(named, "task_id", "left_anti"), named.join(tasks.select("task_id"), "task_id", "left_anti")
+
+
+def manifest(tasks: DataFrame) -> DataFrame:
+    """task_id, json: each task as a JSON object."""
+    return tasks.select("task_id", F.to_json(F.struct(*tasks.columns), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def from_manifests(manifests: DataFrame, schema, now: Column, ttl: str = "INTERVAL 24 HOURS") -> DataFrame:
+    """Tasks read from manifests (json) after a restart: unreadable and expired ones are left out, unfinished ones have failed."""
+    read = manifests.select(F.from_json("json", schema, {"mode": "PERMISSIVE"}).alias("t")).select("t.*").where("task_id IS NOT NULL AND status IS NOT NULL")
+    alive = read.where(F.coalesce(F.col("expires_at") >= now, F.lit(False)))
+    lost = ~terminal(F.col("status"))
+    return recovered(alive.withColumn("progress", F.when(lost, 100).otherwise(F.col("progress"))).withColumn("expires_at", F.when(lost, now + F.expr(ttl)).otherwise(F.col("expires_at"))))
+
+
+def write_manifests(tasks: DataFrame, path: str) -> None:
+    """A folder for each task with its manifest; Spark commits the files of a task together."""
+    manifest(tasks).select("task_id", F.col("json").alias("value")).write.mode("overwrite").partitionBy("task_id").text(path)
+
+
+def read_manifests(spark, path: str) -> DataFrame:
+    """json of every manifest below a path, a file each."""
+    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("value").alias("json"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import intersection_area
@@ -73,3 +73,64 @@ def oriented(x: Column, y: Column, width: Column, height: Column, orientation: C
     r, b = width - 1 - x, height - 1 - y
     at = lambda a, c: F.struct(a.alias("x"), c.alias("y"))
     return F.when(orientation == 2, at(r, y)).when(orientation == 3, at(r, b)).when(orientation == 4, at(x, b)).when(orientation == 5, at(y, x)).when(orientation == 6, at(b, x)).when(orientation == 7, at(b, r)).when(orientation == 8, at(y, r)).otherwise(at(x, y))
+
+
+#: Pixels that an engine gets at most, unless set otherwise; the longest edge of a picture that is made smaller first.
+OCR_PIXELS, MAX_EDGE = 25_000_000, 1600
+
+
+def ocr_pixel_error(width: Column, height: Column, most: int = OCR_PIXELS) -> Column:
+    return F.when(width.cast("decimal(38,0)") * height.cast("decimal(38,0)") > most, "OCR_RESOURCE_EXHAUSTED")
+
+
+def render_pixel_error(width_mm: Column, height_mm: Column, dpi: Column, most: int = OCR_PIXELS) -> Column:
+    """Of a page before it is rendered for recognition."""
+    w, h = F.ceil(width_mm * dpi / 25.4), F.ceil(height_mm * dpi / 25.4)
+    return F.when(w.isNull() | h.isNull() | (w <= 0) | (h <= 0) | (w.cast("double") * h > most), "OCR_RESOURCE_EXHAUSTED")
+
+
+def downscaled(width: Column, height: Column, most: int = MAX_EDGE) -> Column:
+    """struct(width, height) of a picture whose longest edge is `most` at most; a smaller one stays as it is."""
+    edge = F.greatest(width, height)
+    size = lambda v: F.greatest(F.lit(1), F.floor(v * most / edge + 0.5).cast("int"))
+    return F.when(edge <= most, F.struct(width.cast("int").alias("width"), height.cast("int").alias("height"))).otherwise(F.struct(size(width).alias("width"), size(height).alias("height")))
+
+
+def needing_pages(warnings: DataFrame) -> DataFrame:
+    return warnings.where("code = 'OCR_REQUIRED'").select(*PAGE).distinct()
+
+
+def availability_errors(warnings: DataFrame, engine: Column) -> DataFrame:
+    """doc_id, page_no, error_code of the pages that need recognition while there is no engine.
+
+    engine: null if it is there, else why not; blank stands for OCR_ENGINE_UNAVAILABLE.
+    """
+    code = F.when(F.trim(engine) == "", "OCR_ENGINE_UNAVAILABLE").otherwise(engine)
+    return needing_pages(warnings).withColumn("error_code", code).where("error_code IS NOT NULL")
+
+
+def images_to_recognise(images: DataFrame, warnings: DataFrame) -> DataFrame:
+    """Images of the pages that need recognition, with image_no (from 1); signatures and empty ones are left out."""
+    wanted = images.where("upper(role) <> 'SIGNATURE' AND octet_length(data) > 0").join(needing_pages(warnings), PAGE, "left_semi")
+    return wanted.withColumn("image_no", F.row_number().over(Window.partitionBy(*PAGE).orderBy("seq")))
+
+
+def recognised_pages(native: DataFrame, warnings: DataFrame, words: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(blocks, warnings) after the pages that need it are recognised.
+
+    Their own blocks come first, then the recognised ones (words: image_no, seq), numbered on. Their OCR_REQUIRED
+    warning goes and the notes of the recognition take its place; other pages keep theirs.
+    """
+    need = needing_pages(warnings)
+    order = Window.partitionBy(*PAGE).orderBy("origin", "image_no", "seq")
+    own = native.withColumn("origin", F.lit(0)).withColumn("image_no", F.lit(0))
+    blocks = own.unionByName(words.join(need, PAGE, "left_semi").withColumn("origin", F.lit(1)), allowMissingColumns=True)
+    left = warnings.where("code <> 'OCR_REQUIRED'")
+    return blocks.withColumn("place", F.row_number().over(order)), left.unionByName(notes.join(need, PAGE, "left_semi"), allowMissingColumns=True)
+
+
+def all_warnings(document: DataFrame, pages: DataFrame, tables: DataFrame) -> DataFrame:
+    """doc_id, place, code, page_no: a document's warnings, then its pages', then its tables', each in their order (seq)."""
+    parts = [d.select("doc_id", F.lit(i).alias("_of"), (F.col("page_no") if "page_no" in d.columns else F.lit(None)).cast("int").alias("page_no"), "seq", "code") for i, d in enumerate((document, pages, tables))]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return every.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("_of", F.asc_nulls_first("page_no"), "seq")).alias("place"), "code", "page_no")

@@ -60,3 +60,14 @@ def page_breaks_match(text: Column, pages: Column) -> Column:
 
 def summary(results: DataFrame, keys: list[str]) -> DataFrame:
     return results.groupBy(*keys).agg(F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"), F.count_if("visual").alias("visual"))
+
+
+def raster_gate(pages: DataFrame, keys: list[str], slack: int = 1, most: float = 8.0) -> DataFrame:
+    """keys, pages_match, sizes_match, no_blank, mean_error, passed of rendered pages beside the expected ones.
+
+    pages: width, height, expected_width, expected_height (null where one of the two is missing), blank, error_sum and
+    values (absolute differences of colour values, and how many).
+    """
+    near = lambda a: F.coalesce(F.abs(F.col(a) - F.col(f"expected_{a}")) <= slack, F.lit(False))
+    out = pages.groupBy(*keys).agg(F.bool_and(F.col("width").isNotNull() & F.col("expected_width").isNotNull()).alias("pages_match"), F.bool_and(near("width") & near("height")).alias("sizes_match"), F.bool_and(~F.coalesce(F.col("blank"), F.lit(False))).alias("no_blank"), (F.sum("error_sum") / F.greatest(F.sum("values"), F.lit(1))).alias("mean_error"))
+    return out.withColumn("passed", F.col("pages_match") & F.col("sizes_match") & F.col("no_blank") & (F.col("mean_error") <= most))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import grid, layout
+from ..operators import grid, layout, rendering
 from ..operators.jobs import ParseLimits
 from ..sinks import files as sinks
 from ..sinks import pdf
@@ -69,15 +69,25 @@ def _layout(files: DataFrame, limits: ParseLimits) -> tuple[DataFrame, DataFrame
     return blocks, grid.recognised_cells(segments)
 
 
+def _boxes(cells: DataFrame) -> DataFrame:
+    """The outline of each table."""
+    return cells.groupBy("doc_id", "page_no", "table_no").agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.col("x") + F.col("width")) - F.min("x")).alias("width"), (F.max(F.col("y") + F.col("height")) - F.min("y")).alias("height"))
+
+
+def _ordered(blocks: DataFrame, cells: DataFrame, tables: DataFrame) -> DataFrame:
+    """doc_id, text: the text outside tables and the tables' own (doc_id, page_no, table_no, text), in reading order."""
+    boxes = _boxes(cells)
+    body = layout.segment_units(layout.column_segments(layout.visual_lines(layout.outside(blocks, boxes, 0.25).where("trim(text) <> ''"))))
+    units = boxes.join(tables, ["doc_id", "page_no", "table_no"]).select("doc_id", "page_no", (-F.col("table_no")).alias("line_no"), F.lit(0).alias("segment_no"), "x", "y", "width", "height", "text")
+    return layout.document_text(layout.page_texts(layout.reading_order(body.unionByName(units))))
+
+
 @route("ofd", "txt")
 def ofd_to_txt(files: DataFrame, limits: ParseLimits) -> DataFrame:
     blocks, cells = _layout(files, limits)
-    boxes = cells.groupBy("doc_id", "page_no", "table_no").agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.col("x") + F.col("width")) - F.min("x")).alias("width"), (F.max(F.col("y") + F.col("height")) - F.min("y")).alias("height"))
-    body = layout.segment_units(layout.column_segments(layout.visual_lines(layout.outside(blocks, boxes, 0.25).where("trim(text) <> ''"))))
-    rows = grid.table_rows(grid.cell_texts(blocks, cells)).groupBy("doc_id", "page_no", "table_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda r: r["line"]), "\n").alias("text"))
-    tables = boxes.join(rows, ["doc_id", "page_no", "table_no"]).select("doc_id", "page_no", (-F.col("table_no")).alias("line_no"), F.lit(0).alias("segment_no"), "x", "y", "width", "height", "text")
-    text = layout.document_text(layout.page_texts(layout.reading_order(body.unionByName(tables))))
-    return text.withColumnRenamed("doc_id", "file_id")
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda r: r["line"]), "\n")
+    rows = grid.table_rows(grid.cell_texts(blocks, cells)).groupBy("doc_id", "page_no", "table_no").agg(lines.alias("text"))
+    return _ordered(blocks, cells, rows).withColumnRenamed("doc_id", "file_id")
 
 
 @route("ofd", "xlsx")
@@ -88,8 +98,14 @@ def ofd_to_xlsx(files: DataFrame, limits: ParseLimits) -> DataFrame:
 
 @route("ofd", "docx")
 def ofd_to_docx(files: DataFrame, limits: ParseLimits) -> DataFrame:
-    """The text of the pages in reading order, a paragraph for each line."""
-    texts = ofd_to_txt(files, limits)
+    """Pages in reading order: a paragraph for each line, a word table with spans for each recognised one."""
+    blocks, cells = _layout(files, limits)
+    keys = ["doc_id", "page_no", "table_no"]
+    axis = lambda at, size: F.array_sort(F.array_distinct(F.concat(F.collect_set(at), F.collect_set(F.round(F.col(at) + F.col(size), 6)))))
+    rounded = cells.withColumn("x", F.round("x", 6)).withColumn("y", F.round("y", 6))
+    tables = rounded.groupBy(*keys).agg(axis("x", "width").alias("xs"), axis("y", "height").alias("ys"))
+    xml = rendering.table_xml(rendering.overlay_grid(cells, tables), grid.cell_texts(blocks, cells))
+    texts = _ordered(blocks, cells, xml.select(*keys, F.concat(F.lit(sinks.RAW), "xml").alias("text"))).withColumnRenamed("doc_id", "file_id")
     pages = texts.select("file_id", F.posexplode(F.split("text", "\n\f\n")).alias("p", "page"))
     lines = pages.select("file_id", (F.col("p") + 1).alias("page_no"), F.posexplode(F.split(F.regexp_replace("page", "\n$", ""), "\n")).alias("line_no", "line"))
     return sinks.docx_lines(lines, "file_id")

@@ -718,3 +718,6 @@ def route_lookup(spark, d):
 @query("planned_minus_registered", routes.PLANNED_SQL)
 def planned_minus_registered(spark, d):
     return routes.planned_only(spark).select("id")
+
+
+from . import queries_output  # noqa: E402, F401  (registers its queries)

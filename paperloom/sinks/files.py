@@ -118,10 +118,17 @@ def xlsx_tables(cells: DataFrame) -> DataFrame:
     return _files(cells.select("doc_id", "page_no", "table_no", "rows", "cols", "row", "col", "row_span", "col_span", "y", "width", "height", "text"), "doc_id", make)
 
 
+#: A line that begins with this holds a word table as XML, not text.
+RAW = "\ue000"
+
+
 def word_document(paragraphs: list[tuple[str, bool]]) -> bytes:
-    """A word document of (text, page break before) paragraphs."""
+    """A word document of (text, page break before) paragraphs; lines behind RAW are tables."""
     body = []
     for text, breaks in paragraphs:
+        if text.startswith(RAW + "<w:tbl>"):
+            body.append(('<w:p><w:r><w:br w:type="page"/></w:r></w:p>' if breaks else "") + text[len(RAW) :])
+            continue
         run = f'<w:r><w:t xml:space="preserve">{escape(text)}</w:t></w:r>'
         body.append("<w:p>" + ('<w:r><w:br w:type="page"/></w:r>' if breaks else "") + run + "</w:p>")
     parts = [

@@ -13,6 +13,7 @@ import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -241,3 +242,41 @@ def docx_text(stories: DataFrame, key: str) -> DataFrame:
     line = F.when(F.col("label") == "", F.col("text")).otherwise(F.concat(F.lit("["), "label", F.lit("] "), "text"))
     rows = F.transform(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))), lambda r: r["line"])
     return stories.where("error_code IS NULL").groupBy(key).agg(F.concat(F.array_join(rows, "\n"), F.lit("\n")).alias("text"))
+
+
+def endnotes_on_new_page(document: bytes, endnotes: bytes) -> tuple[bytes, bool]:
+    """A document whose last visible paragraph ends in a page break, and whether it had to be changed.
+
+    Only with a real endnote: one without a type whose id is neither 0 nor 1. Not if that paragraph has a break already.
+    """
+    notes = [(_attr(n, "type") or "", _attr(n, "id")) for n in _all(ElementTree.fromstring(endnotes), "endnote")]
+    if not any(not kind.strip() and number not in ("0", "1") for kind, number in notes):
+        return document, False
+    root = ElementTree.fromstring(document)
+    bodies = list(_all(root, "body"))
+    paragraphs = list(_all(bodies[0], "p")) if len(bodies) == 1 else []
+    shown = lambda p: any((t.text or "").strip() for t in _all(p, "t")) or any(True for k in ("drawing", "object", "pict") for _ in _all(p, k))
+    last = next((p for p in reversed(paragraphs) if shown(p)), None)
+    if last is None or any(_attr(b, "type") == "page" for b in _all(last, "br")) or any(True for _ in _all(last, "pageBreakBefore")):
+        return document, False
+    space = last.tag[: last.tag.index("}") + 1] if "}" in last.tag else ""
+    ElementTree.SubElement(ElementTree.SubElement(last, f"{space}r"), f"{space}br", {f"{space}type": "page"})
+    return ElementTree.tostring(root), True
+
+
+def with_endnote_breaks(parts: DataFrame, key: str) -> DataFrame:
+    """key, document, changed of documents (document, endnotes: XML parts, null if there is none)."""
+
+    def run(batches):
+        for batch in batches:
+            out = [endnotes_on_new_page(d, n) if d and n else (d, False) for d, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d for d, _ in out], pa.binary()), pa.array([c for _, c in out], pa.bool_())], names=[key, "document", "changed"])
+
+    kind = parts.schema[key].dataType.simpleString()
+    return parts.select(key, "document", "endnotes").mapInArrow(run, f"{key} {kind}, document binary, changed boolean")
+
+
+def package_parts(names: DataFrame, key: str) -> DataFrame:
+    """key, media, fonts: the sorted media and embedded font parts of a package (name: a row for each part)."""
+    listed = lambda folder: F.array_sort(F.collect_list(F.when(F.col("name").startswith(folder) & ~F.col("name").endswith("/"), F.col("name"))))
+    return names.groupBy(key).agg(listed("word/media/").alias("media"), listed("word/fonts/").alias("fonts"))

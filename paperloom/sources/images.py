@@ -5,7 +5,8 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 LEAST_DPI, MOST_DPI, DEFAULT_DPI = 36, 1200, 96.0
 
@@ -78,3 +79,13 @@ def image_metadata(files: DataFrame, key: str) -> DataFrame:
 
     kind = files.schema[key].dataType.simpleString()
     return files.select(key, "content").mapInPandas(run, f"{key} {kind}, width int, height int, dpi double, orientation int")
+
+
+def png_density(dpi: Column) -> Column:
+    """Pixels a metre, as PNG files note the resolution."""
+    return F.greatest(F.lit(1), F.floor(dpi / 0.0254 + 0.5).cast("int"))
+
+
+def jpeg_density(dpi: Column) -> Column:
+    """Dots an inch, as JFIF headers hold them."""
+    return F.least(F.lit(65_535), F.greatest(F.lit(1), F.floor(dpi + 0.5).cast("int")))

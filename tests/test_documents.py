@@ -243,7 +243,7 @@ def test_fixed_layout_to_text_and_workbook(spark):
     book = convert.convert(files, "ofd", "xlsx").select("file_id", "content")
     assert [r["cells"] for r in containers.xlsx_rows(book, "file_id").orderBy("row_no").collect()] == [["甲", "乙"], ["丙", "丁"]]
     assert [tuple(r) for r in convert.errors(files, "ofd").collect()] == [(1, "INVALID_ARCHIVE")]
-    assert convert.convert(convert.convert(files, "ofd", "docx"), "docx", "txt").first()["text"].splitlines() == ["甲 乙", "丙 丁"]
+    assert convert.convert(convert.convert(files, "ofd", "docx"), "docx", "txt").first()["text"].splitlines() == ["甲\t乙", "丙\t丁"]
 
 
 def test_deltas_and_paths():

@@ -40,3 +40,14 @@ def test_no_table_found(spark):
     assert sorted(map(tuple, convert.errors(files, "ofd", target="xlsx").collect())) == [(1, "INVALID_ARCHIVE"), (2, "NO_TABLE_FOUND")]
     assert sorted(r["file_id"] for r in convert.convert(files, "ofd", "xlsx").collect()) == [0]
     assert [tuple(r) for r in convert.errors(files, "ofd", target="txt").collect()] == [(1, "INVALID_ARCHIVE")]
+
+
+def test_tables_stay_tables_in_word_documents(spark):
+    path = lambda d: f'<ofd:PathObject Boundary="0 0 100 60"><ofd:AbbreviatedData>{d}</ofd:AbbreviatedData></ofd:PathObject>'
+    rules = "".join(path(f"M 10 {y} L 90 {y}") for y in (20, 30, 40)) + "".join(path(f"M {x} 20 L {x} 40") for x in (10, 90)) + path("M 50 30 L 50 40")
+    text = lambda x, y, t: f'<ofd:TextObject Boundary="{x} {y - 4} 20 5" Size="3.5"><ofd:TextCode X="0" Y="4">{t}</ofd:TextCode></ofd:TextObject>'
+    files = file_df(spark, package(rules + text(15, 12, "title") + text(15, 27, "wide") + text(15, 37, "a") + text(55, 37, "b")))
+    made = convert.convert(files, "ofd", "docx").first()["content"]
+    xml = zipfile.ZipFile(io.BytesIO(made)).read("word/document.xml").decode()
+    assert xml.index("title") < xml.index("<w:tbl>") < xml.index("wide") < xml.index("</w:tbl>")
+    assert xml.count("<w:tr>") == 2 and xml.count("<w:tc>") == 3 and xml.count('<w:gridSpan w:val="2"/>') == 1
