@@ -99,8 +99,9 @@ def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
 def mixtures(words: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(share by language, confidence) per text from words' log-likelihoods by language; texts have a word at least.
 
-    Sets are the languages of largest share in the mixture of all. They grow until no larger one can do better: the
-    log-likelihood is concave in the shares, so its slope bounds what any mixture reaches.
+    The sets compared are, at each size, the languages of largest share in the mixture of all, and the best set so far
+    with one more language. They grow until no larger one can do better: the log-likelihood is concave in the shares, so
+    its slope bounds what any mixture, and any further language, can add.
     """
     texts, langs = len(per_text), words.shape[1]
     first = np.cumsum(per_text) - per_text
@@ -131,6 +132,7 @@ def mixtures(words: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.nd
         rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1)
         cost = 0.5 * np.log(np.maximum(per_text, 2))
         open_ = np.arange(texts)
+        fresh = np.ones(texts, bool)  # the best set has changed since languages were last added to it
         for k in range(2, langs + 1):
             open_ = open_[most[open_] - cost[open_] * (k - 1) + 0.01 > value[open_]]  # 0.01: rounding of float32
             if not len(open_):
@@ -140,11 +142,35 @@ def mixtures(words: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.nd
             share, got, _ = em(start / start.sum(1, keepdims=True), ROUNDS, like[pick], per_text[open_], floor[open_])
             got -= cost[open_] * (k - 1)
             better = got > value[open_]
-            best[open_[better]], value[open_[better]] = share[better], got[better]
+            now, high_now = best.copy(), value.copy()
+            now[open_[better]], high_now[open_[better]] = share[better], got[better]
+            for rows, one in _additions(open_[fresh[open_]], best, like, per_text, cost):
+                pick = np.repeat(np.isin(np.arange(texts), rows), per_text)
+                start = best[rows] * np.float32(0.8)
+                start[:, one] = 0.2
+                share, got, _ = em(start, ROUNDS, like[pick], per_text[rows], floor[rows])
+                got -= cost[rows] * (best[rows] > 0).sum(1)
+                better = got > high_now[rows]
+                now[rows[better]], high_now[rows[better]] = share[better], got[better]
+            fresh = high_now > value
+            best, value = now, high_now
     mixed = best.max(1) < 1
     return best, np.where(mixed, 1.0, sure)
 
 
+def _additions(rows: np.ndarray, best: np.ndarray, like: np.ndarray, per_text: np.ndarray, cost: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """(texts, language): those to whose best mixture the language could add more than it costs."""
+    if not len(rows):
+        return
+    part = like[np.repeat(np.isin(np.arange(len(per_text)), rows), per_text)]
+    sizes = per_text[rows]
+    mass = np.maximum((part * best[rows][np.repeat(np.arange(len(rows)), sizes)]).sum(1, keepdims=True), np.float32(1e-30))
+    slope = _sums(part / mass, np.cumsum(sizes) - sizes) - sizes[:, None]
+    fits = (best[rows] <= 0) & (slope > cost[rows][:, None])
+    for one in np.flatnonzero(fits.any(0)).tolist():
+        yield rows[fits[:, one]], one
+
+
 def recognised(words: np.ndarray, letters: np.ndarray, per_text: np.ndarray, share: np.ndarray) -> np.ndarray:
     """Share of the letters of each text in words that its mixture makes likelier than an unknown language does."""
     first, high = np.cumsum(per_text) - per_text, words.max(1)

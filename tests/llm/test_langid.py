@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -67,3 +68,45 @@ def test_texts_in_more_than_four_languages(spark):
         shares = {m["lang"]: m["share"] for m in r["mixture"]}
         assert set(shares) == set(list(syll)[: r["doc_id"]]) and all(abs(x - 1 / r["doc_id"]) < 0.02 for x in shares.values())
         assert abs(r["score"] - 1 / r["doc_id"]) < 0.02
+
+
+def brute_mixture(words):
+    """(best penalised log-likelihood, its set) over all sets of languages, by plain expectation-maximisation."""
+    n, langs = words.shape
+    best = (-1e300, ())
+    for k in range(1, langs + 1):
+        for names in itertools.combinations(range(langs), k):
+            like = np.exp(words[:, names].astype(float))
+            share = np.full(k, 1 / k)
+            for _ in range(200):
+                part = like * share
+                share = (part / part.sum(1, keepdims=True)).mean(0)
+            value = np.log((like * share).sum(1)).sum() - 0.5 * np.log(max(n, 2)) * (k - 1)
+            best = max(best, (value, names))
+    return best
+
+
+def test_sets_against_all_subsets():
+    rng = np.random.default_rng(11)
+    per, parts = [], []
+    for _ in range(120):
+        langs, n = 5, int(rng.integers(1, 60))
+        chosen = rng.choice(langs, rng.integers(1, 5), replace=False)
+        of = rng.choice(chosen, n)
+        words = rng.normal(-12, 2.5, (n, langs))
+        words[np.arange(n), of] += rng.uniform(0, 8, n)
+        words[:, 1] = words[:, 0] + rng.normal(0, 0.4, n)  # two languages that are hard to tell apart
+        per.append(n)
+        parts.append(words)
+    words, per = np.concatenate(parts).astype(np.float32), np.array(per)
+    share, _ = langid.mixtures(words, per)
+    at, exact = 0, 0
+    for n, s in zip(per.tolist(), share):
+        own = words[at : at + n].astype(float)
+        at += n
+        value, names = brute_mixture(own)
+        got = np.log((np.exp(own) * s).sum(1)).sum() - 0.5 * np.log(max(n, 2)) * ((s > 0).sum() - 1)
+        exact += tuple(np.flatnonzero(s > 0)) == names
+        # eight rounds of EM stop short of the limit, and of two languages nearly alike the lesser one may be held
+        assert got > value - 2.0, (n, names, s)
+    assert exact >= 110
