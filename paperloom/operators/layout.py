@@ -24,30 +24,36 @@ def word_blocks(docs: DataFrame, per_row: int = 8, rows: int = 10) -> DataFrame:
     return words.select("doc_id", (1 + F.floor(row / rows)).cast("int").alias("page_no"), "seq", (10 + 24 * col).cast("double").alias("x"), y.alias("y"), F.lit(20.0).alias("width"), F.lit(5.0).alias("height"), "text", (y + 4).alias("baseline"))
 
 
-def _numbered(blocks: DataFrame, step, zero: Column) -> DataFrame:
-    """Blocks with line_no, given by a fold over each page's blocks in the order of (baseline, x, seq)."""
-    item = F.struct("baseline", "x", "seq", "height")
+FIRST = ("baseline", "x", "seq")
+
+
+def _in_order(blocks: DataFrame) -> tuple[DataFrame, list[str]]:
+    """A row per page with its blocks in the order of (baseline, x, seq), and their columns."""
     rest = [c for c in blocks.columns if c not in PAGE]
-    page = blocks.groupBy(*PAGE).agg(F.array_sort(F.collect_list(item)).alias("_order"), F.collect_list(F.struct(*rest)).alias("_blocks"))
-    folded = page.withColumn("_lines", F.aggregate("_order", zero, step)["out"])
-    number = F.map_from_entries(F.transform(F.arrays_zip("_order", "_lines"), lambda z: F.struct(z["_order"]["seq"], z["_lines"])))
-    one = folded.withColumn("_number", number).select(*PAGE, "_number", F.explode("_blocks").alias("_b"))
-    return one.select(*PAGE, *[F.col(f"_b.{c}").alias(c) for c in rest], F.element_at("_number", F.col("_b.seq")).alias("line_no"))
+    item = F.struct(*FIRST, *[c for c in rest if c not in FIRST])
+    return blocks.groupBy(*PAGE).agg(F.array_sort(F.collect_list(item)).alias("_blocks")), rest
 
 
 def visual_lines(blocks: DataFrame) -> DataFrame:
     """Blocks with line_no: a block goes with the current line if its baseline is near that of the line's first block.
 
     The comparison is with the first block, not the one before, so lines don't drift; seq must be unique in a page.
+    A fold notes only where lines begin; a block's line is the number of beginnings up to its place.
     """
 
     def step(acc: Column, b: Column) -> Column:
-        same = (acc["n"] > 0) & (F.abs(acc["first"] - b["baseline"]) <= line_tolerance(acc["height"], b["height"]))
-        n = acc["n"] + F.when(same, 0).otherwise(1)
-        return F.struct(n.alias("n"), F.when(same, acc["first"]).otherwise(b["baseline"]).alias("first"), F.when(same, acc["height"]).otherwise(b["height"]).alias("height"), F.concat(acc["out"], F.array(n)).alias("out"))
+        same = (acc["at"] > 0) & (F.abs(acc["first"] - b["baseline"]) <= line_tolerance(acc["height"], b["height"]))
+        here = acc["at"] + 1
+        return F.when(same, F.struct(here.alias("at"), acc["first"].alias("first"), acc["height"].alias("height"), acc["begins"].alias("begins"))).otherwise(
+            F.struct(here.alias("at"), b["baseline"].cast("double").alias("first"), b["height"].cast("double").alias("height"), F.concat(acc["begins"], F.array(acc["at"])).alias("begins"))
+        )
 
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("first"), F.lit(0.0).alias("height"), F.array().cast("array<int>").alias("out"))
-    return _numbered(blocks, step, zero)
+    pages, rest = _in_order(blocks)
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("first"), F.lit(0.0).alias("height"), F.array().cast("array<int>").alias("begins"))
+    folded = pages.withColumn("_begins", F.aggregate("_blocks", zero, step)["begins"])
+    rows = folded.select(*PAGE, "_begins", F.posexplode("_blocks").alias("_at", "_b"))
+    number = F.size(F.filter("_begins", lambda x: x <= F.col("_at")))
+    return rows.select(*PAGE, *[F.col(f"_b.{c}").alias(c) for c in rest], number.alias("line_no"))
 
 
 def paragraph_lines(blocks: DataFrame) -> DataFrame:
@@ -61,7 +67,9 @@ def paragraph_lines(blocks: DataFrame) -> DataFrame:
         return F.struct(F.when(at > 0, acc["firsts"]).otherwise(F.concat(acc["firsts"], F.array(first))).alias("firsts"), F.concat(acc["out"], F.array(n)).alias("out"))
 
     zero = F.struct(F.array().cast("array<struct<baseline:double,height:double>>").alias("firsts"), F.array().cast("array<int>").alias("out"))
-    return _numbered(blocks, step, zero)
+    pages, rest = _in_order(blocks)
+    rows = pages.select(*PAGE, F.explode(F.arrays_zip("_blocks", F.aggregate("_blocks", zero, step)["out"].alias("_lines"))).alias("_z"))
+    return rows.select(*PAGE, *[F.col(f"_z._blocks.{c}").alias(c) for c in rest], F.col("_z._lines").alias("line_no"))
 
 
 def paragraphs(lined: DataFrame, page_x: float = 0.0, page_width: float = 210.0) -> DataFrame:
