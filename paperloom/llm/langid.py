@@ -214,7 +214,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
             for row, ranked, s, c in zip(use.tolist(), order.tolist(), share.tolist(), sure.tolist()):
                 names[row] = languages[ranked[0]]
                 scores[row] = min(1.0, s[ranked[0]] * c)
-                mixed[row] = [{"lang": languages[x], "share": s[x]} for x in ranked if s[x] > 0.005]
+                mixed[row] = [{"lang": languages[x], "share": s[x]} for x in ranked if s[x] > 0]
         return [pa.array(names), pa.array(scores), pa.array(mixed, pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))]
 
     return append_columns(rows, keep, ["text", "_lettered"], "lang_pred string, score double, mixture array<struct<lang:string,share:double>>", make, 1 << 20)
