@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, shuffle_partitions, written
+from .common import map_arrow, scratch_dir, shuffle_partitions, written
 
-#: Vectors of a bucket; queries of a pass, which are broadcast; the cosine from which coordinates prune.
-BUCKET, PASS, COSINE = 4096, 16_384, 0.5
+#: Vectors of a bucket; queries of a pass and the bytes of their components, which are broadcast; the cosine from which coordinates prune.
+BUCKET, PASS, PASS_BYTES, COSINE = 4096, 16_384, 32 << 20, 0.5
 SLACK = 1 - 1e-9
 
 
@@ -147,14 +147,15 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 
 
 def _passes(queries: DataFrame, most: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """The query set in passes of at most `most` distinct queries, streamed to the driver one pass at a time."""
-    ids, rows = [], []
+    """The query set in passes of at most `most` distinct queries or PASS_BYTES, streamed to the driver one pass at a time."""
+    ids, rows, size = [], [], 0
     for row in queries.distinct().toLocalIterator():
         ids.append(row["vec_id"])
         rows.append(np.array(row["v"], np.int64))
-        if len(ids) == most:
+        size += rows[-1].nbytes
+        if len(ids) == most or size >= PASS_BYTES:
             yield np.array(ids, np.int64), rows
-            ids, rows = [], []
+            ids, rows, size = [], [], 0
     if ids:
         yield np.array(ids, np.int64), rows
 
@@ -169,18 +170,23 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pass_size: int =
     gives the thresholds that prune the rest.
     """
     buckets = _packed(vectors)
-    context, out = vectors.sparkSession.sparkContext, None
+    spark = vectors.sparkSession
+    schema, paths = "query_id long, rank int, vec_id long, score long", []
     for ids, rows in _passes(queries, pass_size):
         theta = np.full(len(ids), -np.inf)
-        first = written(_ranked(_search(buckets.where("place = 0"), context.broadcast((ids, rows, theta)), k), k))
+        shared = spark.sparkContext.broadcast((ids, rows, theta))
+        first = written(_ranked(_search(buckets.where("place = 0"), shared, k), k))
         for r in first.where(F.col("rank") == k).select("q", "score").toLocalIterator():
             theta[r["q"]] = r["score"]
-        rest = _search(buckets.where("place > 0"), context.broadcast((ids, rows, theta)), k)
+        sharper = spark.sparkContext.broadcast((ids, rows, theta))
+        rest = _search(buckets.where("place > 0"), sharper, k)
         found = _ranked(first.select("q", "query_id", "vec_id", "score").union(rest), k).select("query_id", "rank", "vec_id", "score")
-        out = found if out is None else written(out.union(found))
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    return out
+        # each pass writes its own results once
+        paths.append(scratch_dir(spark))
+        found.write.parquet(paths[-1])
+        shared.unpersist()
+        sharper.unpersist()
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

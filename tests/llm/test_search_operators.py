@@ -76,6 +76,9 @@ def test_top_k_against_all_products(spark, monkeypatch):
     for q in [i for i in ints if i % 100 == 0]:
         want = sorted((-sum(a * b for a, b in zip(ints[q], ints[i])), i) for i in ints if i != q)[:10]
         assert got[q] == [(n, i, -s) for n, (s, i) in enumerate(want, 1)]
+    monkeypatch.setattr(topk, "PASS_BYTES", 100)
+    assert topk.top_k(v, v.where("vec_id % 100 = 0")).exceptAll(topk.top_k(v, v.where("vec_id % 100 = 0"), pass_size=1000)).count() == 0
+    assert topk.top_k(v, v.where("vec_id % 100 = 0")).columns == ["query_id", "rank", "vec_id", "score"]
     assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
     few = v.where("vec_id in (0, 1, 2)")
     assert topk.top_k(few, few.where("vec_id = 0")).count() == 2
