@@ -1,7 +1,12 @@
 """Corpus pipeline: five stages from raw documents to token shards.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; what a stage returns is
-written as Parquet and read again as the next one's docs. All but the last return the columns of documents.
+written as Parquet and read again as the next one's docs. All but the last return the columns of documents; columns
+beside them are ignored, whatever their names. Empty tables give empty ones.
+
+Null and empty texts go in the first stage. Rows that agree in doc_id and text are one document, rows of one doc_id
+with different texts are documents of their own, and a row without doc_id is linked with none. Of a group of near
+copies any one row stays. A null source is a source of its own in the mix.
 """
 
 from __future__ import annotations
