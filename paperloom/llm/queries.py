@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, katz, langid, mixing, neardup, repair, secrets, sharding, suffixdup, topk, urls, wavelet
+from . import decontam, katz, langid, mixing, neardup, repair, secrets, sharding, suffixdup, topk, trie, urls, wavelet
 
 QUERIES = {
     "op1_decontaminate": decontam.op1_decontaminate,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_token_output": wavelet.op9_token_output,
     "op10_poisson_mix": mixing.op10_poisson_mix,
     "op11_byte_shards": sharding.op11_byte_shards,
+    "op12_prefix_trie": trie.op12_prefix_trie,
     "op13_structure_repair": repair.op13_structure_repair,
 }
-SQL = {"op4_top_k": topk.OP4_SQL, "op6_secret_scan": secrets.OP6_SQL, "op1_decontaminate": decontam.OP1_SQL, "op10_poisson_mix": mixing.OP10_SQL, "op11_byte_shards": sharding.OP11_SQL, "op13_structure_repair": repair.OP13_SQL}
+SQL = {"op4_top_k": topk.OP4_SQL, "op6_secret_scan": secrets.OP6_SQL, "op1_decontaminate": decontam.OP1_SQL, "op10_poisson_mix": mixing.OP10_SQL, "op11_byte_shards": sharding.OP11_SQL, "op12_prefix_trie": trie.OP12_SQL, "op13_structure_repair": repair.OP13_SQL}
