@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import contains, line_tolerance, overlap, page_alignment
 from ..functions.text import blank, strip
-from .grouped import map_groups
+from .scratch import kept
 
 PAGE = ["doc_id", "page_no"]
 
@@ -98,45 +98,49 @@ def segment_units(segments: DataFrame) -> DataFrame:
     return unit.where(~blank(F.col("text")))
 
 
-def _cut(units: list[tuple], width: float) -> list[tuple]:
-    """Units (x, y, width, height, ...) in reading order: parted at the widest gap across, else down, else by (y, x)."""
-    work, done = [(units, width)], []
-    while work:
-        part, width = work.pop()
-        parted = None
-        if len(part) > 1:
-            heights = sorted(u[3] for u in part)
-            for axis, least in ((0, max(12.0, width * 0.06)), (1, max(5.0, heights[(len(part) - 1) // 2] * 1.8))):
-                row = sorted(part, key=lambda u: u[axis])
-                reach, gaps = row[0][axis] + row[0][axis + 2], []
-                for i, u in enumerate(row[1:], 1):
-                    gaps.append((u[axis] - reach, -i))
-                    reach = max(reach, u[axis] + u[axis + 2])
-                gap, at = max(gaps)
-                if gap > least:
-                    parted = row[:-at], row[-at:]
-                    break
-        if parted:
-            inner = max(u[0] + u[2] for u in part) - min(u[0] for u in part)
-            work += [(parted[1], inner), (parted[0], inner)]
-        else:
-            done += sorted(part, key=lambda u: (u[1], u[0]))
-    return done
+def _parted(groups: DataFrame, ties: list[str]) -> DataFrame:
+    """One cut of every group (page and _path): rows with _side, 0 or 1 where the group was cut, else null, and its own _inner width.
+
+    A group is cut across at its widest gap over max(12, 6 % of the width that it was cut from), else down at its widest
+    gap over max(5, 1.8 times its lower median height); of equal gaps the first. A gap is from the furthest end before.
+    """
+    group = [*PAGE, "_path"]
+    whole, out = Window.partitionBy(*group), groups
+    for axis, size in (("x", "width"), ("y", "height")):
+        ordered = whole.orderBy(axis, *ties)
+        reach = F.max(F.col(axis) + F.col(size)).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+        out = out.withColumn(f"_gap_{axis}", F.col(axis) - reach)
+    out = out.withColumn("_nth", F.row_number().over(whole.orderBy("height"))).withColumn("_n", F.count(F.lit(1)).over(whole))
+    for axis in "xy":
+        out = out.withColumn(f"_most_{axis}", F.max(f"_gap_{axis}").over(whole))
+        out = out.withColumn(f"_at_{axis}", F.min(F.when(F.col(f"_gap_{axis}") == F.col(f"_most_{axis}"), F.col(axis))).over(whole))
+    median = F.max(F.when(F.col("_nth") == F.floor((F.col("_n") + 1) / 2), F.col("height"))).over(whole)
+    inner = (F.max(F.col("x") + F.col("width")).over(whole) - F.min("x").over(whole)).alias("_inner")
+    across = F.col("_most_x") > F.greatest(F.lit(12.0), F.col("_width") * 0.06)
+    down = F.col("_most_y") > F.greatest(F.lit(5.0), F.col("_median") * 1.8)
+    side = F.when(across, (F.col("x") >= F.col("_at_x")).cast("int")).when(down, (F.col("y") >= F.col("_at_y")).cast("int"))
+    return out.withColumn("_median", median).select(*groups.columns, inner, side.alias("_side"))
 
 
 def reading_order(units: DataFrame, page_width: float = 210.0) -> DataFrame:
-    """Units with their place (from 1) in the recursive cut of their page, over columns first, then over rows."""
-    rest = [c for c in units.columns if c not in PAGE]
-    first = ["x", "y", "width", "height"]
-    ties = [c for c in ("line_no", "segment_no", "seq") if c in rest]
-
-    def run(rows: list[dict]):
-        ordered = sorted(rows, key=lambda r: [r[k] for k in ties])
-        for place, unit in enumerate(_cut([(*[r[k] for k in first], r) for r in ordered], page_width), 1):
-            yield *[unit[4][k] for k in rest], place
-
-    added = ", ".join(f"{c} {units.schema[c].dataType.simpleString()}" for c in rest) + ", place int"
-    return map_groups(units, PAGE, run, added)
+    """Units with their place (from 1) in the recursive cut of their page, over columns first, then over rows.
+
+    Level by level: a round cuts all groups of all pages that can still be cut, by windows over one shuffle, and is
+    stored; groups that weren't cut are in order of (y, x). A group's place is its path of sides. The rounds follow the
+    deepest cut of any page, their rows only the groups that were cut before. Equal places follow line_no, segment_no
+    and seq where units have them.
+    """
+    ties = [c for c in ("line_no", "segment_no", "seq") if c in units.columns]
+    now, done = units.withColumn("_path", F.lit("")).withColumn("_width", F.lit(float(page_width))), None
+    while True:
+        cut = kept(_parted(now, ties))
+        ready = cut.where("_side IS NULL").select(*units.columns, "_path")
+        done = ready if done is None else done.unionByName(ready)
+        now = cut.where("_side IS NOT NULL").select(*units.columns, F.concat("_path", F.col("_side").cast("string")).alias("_path"), F.col("_inner").alias("_width"))
+        if now.isEmpty():
+            break
+    place = F.row_number().over(Window.partitionBy(*PAGE).orderBy("_path", "y", "x", *ties))
+    return done.withColumn("place", place).drop("_path")
 
 
 def page_texts(ordered: DataFrame) -> DataFrame:

@@ -2,34 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .grouped import map_groups
 
+def signature(xml: Column) -> Column:
+    """A level's definition as text: white space between tags and around it is left out."""
+    return F.trim(F.regexp_replace(xml, ">\\s+<", "><"))
 
-def repaired_lists(paragraphs: DataFrame) -> DataFrame:
-    """doc_id, seq, num_id, fixed_num_id of numbered paragraphs (doc_id, seq, num_id, level, signature, restart).
 
-    A list that goes on under another number gets the number of the paragraph before: that one restarted its list, this
-    number was used before, and level and signature agree. The repaired number counts for the next paragraph.
+def numbered(paragraphs: DataFrame, nums: DataFrame, levels: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Paragraphs (doc_id, seq, num_id, level) with the signature and restart that a document's numbering says.
+
+    nums: doc_id, num_id, abstract_id; levels: doc_id, abstract_id, level, xml; overrides: doc_id, num_id, level,
+    start. A blank level is "0". Without a definition of its level a paragraph has no signature and isn't numbered;
+    restart: an override lets the number's level start at 1.
     """
+    level = F.when(F.coalesce(F.trim("level"), F.lit("")) == "", "0").otherwise(F.col("level")).alias("level")
+    some = paragraphs.select("doc_id", "seq", "num_id", level)
+    known = nums.groupBy("doc_id", "num_id").agg(F.max("abstract_id").alias("_abstract"))
+    forms = levels.groupBy("doc_id", F.col("abstract_id").alias("_abstract"), "level").agg(F.max(signature(F.col("xml"))).alias("signature"))
+    ones = overrides.where(F.col("start") == 1).select("doc_id", "num_id", "level").distinct().withColumn("restart", F.lit(True))
+    out = some.join(known, ["doc_id", "num_id"], "left").join(forms, ["doc_id", "_abstract", "level"], "left").join(ones, ["doc_id", "num_id", "level"], "left")
+    return out.select("doc_id", "seq", "num_id", "level", "signature", F.coalesce("restart", F.lit(False)).alias("restart"))
 
-    def run(rows: list[dict]):
-        seen: set = set()
-        before = None
-        for r in sorted(rows, key=lambda r: r["seq"]):
-            number = r["num_id"]
-            if number is None:
-                before = None
-                yield r["seq"], None, None
-                continue
-            goes_on = before is not None and before["restart"] and number in seen and number != before["number"] and (r["level"], r["signature"]) == (before["level"], before["signature"])
-            seen.add(number)
-            fixed = before["number"] if goes_on else number
-            before = {"number": fixed, "level": r["level"], "signature": r["signature"], "restart": r["restart"] or goes_on}
-            yield r["seq"], number, fixed
-
-    kind = lambda c: paragraphs.schema[c].dataType.simpleString()
-    rows = paragraphs.select("doc_id", "seq", "num_id", "level", F.regexp_replace("signature", ">\\s+<", "><").alias("signature"), "restart")
-    return map_groups(rows, ["doc_id"], run, f"seq {kind('seq')}, num_id {kind('num_id')}, fixed_num_id {kind('num_id')}")
+
+def repaired_lists(paragraphs: DataFrame) -> DataFrame:
+    """doc_id, seq, num_id, fixed_num_id of paragraphs (doc_id, seq, num_id, level, signature, restart), in order of seq.
+
+    A list that restarts at its first paragraph takes over the paragraphs that follow it under other numbers used before,
+    as long as level and signature agree; paragraphs without number or signature, and the list's own number, end that.
+    The number taken over counts for the next paragraph: all up to the end get the restarted list's number.
+
+    The first paragraph of a restarting list begins a run, and a paragraph that can't be taken over ends it, so that the
+    repair is a running count of ends within runs; no document is gathered.
+    """
+    order = Window.partitionBy("doc_id").orderBy("seq")
+    has = F.col("num_id").isNotNull() & (F.trim(F.col("num_id").cast("string")) != "") & F.col("signature").isNotNull()
+    rows = paragraphs.select("doc_id", "seq", "num_id", F.coalesce(F.col("level").cast("string"), F.lit("")).alias("_level"), signature(F.col("signature")).alias("signature"), "restart").withColumn("_has", has)
+    first = Window.partitionBy("doc_id", "num_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_seen", F.col("_has") & (F.coalesce(F.sum(F.col("_has").cast("int")).over(first), F.lit(0)) > 0))
+    head = F.when(F.col("_has") & ~F.col("_seen") & F.coalesce("restart", F.lit(False)), F.struct("seq", "num_id", "_level", "signature"))
+    rows = rows.withColumn("_head", F.last(head, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_own", head.isNotNull())
+    goes = F.col("_seen") & (F.col("_level") == F.col("_head._level")) & (F.col("signature") == F.col("_head.signature")) & (F.col("num_id") != F.col("_head.num_id"))
+    rows = rows.withColumn("_ends", (~F.coalesce(goes, F.lit(False))).cast("int"))
+    run = Window.partitionBy("doc_id", "_head.seq").orderBy("seq")
+    taken = F.col("_head").isNotNull() & (F.sum("_ends").over(run) == 0)
+    return rows.select("doc_id", "seq", "num_id", F.when(taken, F.col("_head.num_id")).otherwise(F.when(F.col("_has"), F.col("num_id"))).alias("fixed_num_id"))

@@ -720,4 +720,4 @@ def planned_minus_registered(spark, d):
     return routes.planned_only(spark).select("id")
 
 
-from . import queries_output  # noqa: E402, F401  (registers its queries)
+from . import queries_objects, queries_output  # noqa: E402, F401  (register their queries)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import posixpath
 import re
@@ -18,16 +19,18 @@ QUADRATIC_STEPS, CUBIC_STEPS = 8, 12
 
 
 def expand_deltas(text: str | None, gaps: int) -> list[float]:
-    """Advances of `gaps` places: numbers, and `g count value` for repeats; the last one fills up, extra ones go."""
-    words, out, i = (text or "").split(), [], 0
-    most = max(1024, 4 * gaps)
-    while i < len(words) and len(out) < most:
-        if words[i].lower() == "g" and i + 2 < len(words):
-            out += [float(words[i + 2])] * min(int(words[i + 1]), most - len(out))
-            i += 3
-        else:
-            out.append(float(words[i]))
-            i += 1
+    """Advances of `gaps` places: numbers, and `g count value` for repeats; the last one fills up, extra ones go.
+
+    Raises ValueError for other words and for over max(1024, 4 * gaps) advances, as operators.paths.advances gives null.
+    """
+    words, out, i = (text or "").split() if gaps > 0 else [], [], 0
+    while i < len(words):
+        repeat = words[i].lower() == "g" and i + 2 < len(words)
+        count = int(words[i + 1]) if repeat else 1
+        if count < 0 or len(out) + count > max(1024, 4 * gaps):
+            raise ValueError("advances exceed the limit")
+        out += [float(words[i + 2] if repeat else words[i])] * count
+        i += 3 if repeat else 1
     if out and len(out) < gaps:
         out += [out[-1]] * (gaps - len(out))
     return out[:gaps]
@@ -50,7 +53,7 @@ def _box(text: str | None) -> tuple[float, float, float, float] | None:
 def path_segments(data: str, box: tuple[float, float, float, float], m: tuple[float, ...]) -> list[tuple[float, float, float, float]]:
     """Straight pieces of a path; curves in even steps, arcs by their chord, pieces up to 0.001 mm left out."""
     tokens = re.findall(r"[A-Za-z]|[-+0-9.eE]+", data or "")
-    at = start = (0.0, 0.0)
+    at = start = None
     out, i, ops = [], 0, 0
     place = lambda p: (lambda q: (q[0] + box[0], q[1] + box[1]))(_apply(m, *p))
 
@@ -67,8 +70,11 @@ def path_segments(data: str, box: tuple[float, float, float, float], m: tuple[fl
         if count is None:
             i += 1
             continue
-        v = list(map(float, tokens[i + 1 : i + 1 + count]))
-        i += 1 + count
+        v = list(map(float, itertools.takewhile(lambda x: not x.isalpha(), tokens[i + 1 : i + 1 + count])))
+        i += 1 + len(v)
+        # nothing is drawn before a start, and short operations are passed over
+        if len(v) < count or (at is None and op not in "SM"):
+            continue
         if op in "SM":
             at = start = (v[0], v[1])
         elif op == "C":
@@ -150,7 +156,10 @@ def text_runs(node: ElementTree.Element, box: tuple[float, float, float, float],
     for code in _all(node, "TextCode"):
         text = code.text or ""
         x, y = float(_attr(code, "X") or x), float(_attr(code, "Y") or y)
-        dx, dy = (expand_deltas(_attr(code, k), max(0, len(text) - 1)) for k in ("DeltaX", "DeltaY"))
+        try:
+            dx, dy = (expand_deltas(_attr(code, k), max(0, len(text) - 1)) for k in ("DeltaX", "DeltaY"))
+        except ValueError:
+            dx = dy = []  # the run then has no advances of its own
         run, begin, px, py = "", (x, y), x, y
         for i, ch in enumerate(text):
             run += ch
