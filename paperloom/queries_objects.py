@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .functions import text as X
 from .operators import layout, numbering, objects, paths
 from .registry import query, table
+from .sources import csv
 
 c = F.col
 
@@ -178,3 +180,25 @@ def column_order(spark, d):
     width = F.when(heading & (line == 0), 230.0 - x).otherwise(c("width"))
     units = b.select("doc_id", "page_no", "seq", x.alias("x"), y.alias("y"), width.alias("width"), "height", "text")
     return layout.reading_order(units).select("doc_id", "page_no", "seq", "place")
+
+
+# ---------------------------------------------------------------- logical records
+
+
+@query("csv_records", """WITH l AS (SELECT l_suppkey, l_orderkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS row_no, l_linenumber AS k, l_returnflag,
+  CASE l_suppkey % 4 WHEN 0 THEN ',' WHEN 1 THEN chr(9) WHEN 2 THEN ';' ELSE '|' END AS d FROM lineitem)
+SELECT l_suppkey, CAST(row_no AS BIGINT) AS row_no, d AS delimiter, CAST(CASE WHEN k % 5 = 0 THEN 4 WHEN k % 5 = 1 THEN 1 ELSE 3 END AS INTEGER) AS n,
+  CASE WHEN k % 5 = 1 THEN '' ELSE l_orderkey || '~a' || d || ',;|"' || k || '"' || CASE WHEN k % 3 = 0 THEN chr(10) ELSE '' END || 'z~' || l_returnflag || CASE WHEN k % 5 = 0 THEN '~' ELSE '' END END AS cells FROM l""")
+def csv_records(spark, d):
+    """Files of a supplier's line items: ragged and blank records, quotes, delimiters and line ends in cells, over 32 records."""
+    at = c("l_suppkey") % 4
+    sep = F.coalesce(*[F.when(at == i, x) for i, x in enumerate(csv.DELIMITERS)])
+    odd = F.concat(F.lit("a"), sep, F.lit(',;|"'), c("l_linenumber").cast("string"), F.lit('"'), F.when(c("l_linenumber") % 3 == 0, "\r\n").otherwise(""), F.lit("z"))
+    cells = F.array(c("l_orderkey").cast("string"), odd, c("l_returnflag"))
+    cells = F.when(c("l_linenumber") % 5 == 0, F.array_append(cells, "")).when(c("l_linenumber") % 5 == 1, F.array(F.lit(""))).otherwise(cells)
+    line = F.coalesce(*[F.when(at == i, X.csv_line(cells, x)) for i, x in enumerate(csv.DELIMITERS)])
+    lines = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", line.alias("line")))).alias("l"))
+    files = lines.select("l_suppkey", F.concat(F.array_join(F.transform("l", lambda x: x["line"]), "\r\n"), F.lit("\n")).alias("text"))
+    found = files.select("l_suppkey", csv.detected_delimiter(c("text")).alias("delimiter"))
+    rows = csv.csv_rows(files, "l_suppkey")
+    return rows.join(found, "l_suppkey").select("l_suppkey", "row_no", "delimiter", F.size("cells").alias("n"), F.array_join("cells", "~").alias("cells"))
