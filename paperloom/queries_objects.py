@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import layout, numbering, objects, paths
+from .operators import layout, numbering, objects, paths, xml
 from .registry import query, table
 from .sources import csv
 
@@ -202,3 +202,58 @@ def csv_records(spark, d):
     found = files.select("l_suppkey", csv.detected_delimiter(c("text")).alias("delimiter"))
     rows = csv.csv_rows(files, "l_suppkey")
     return rows.join(found, "l_suppkey").select("l_suppkey", "row_no", "delimiter", F.size("cells").alias("n"), F.array_join("cells", "~").alias("cells"))
+
+
+# ---------------------------------------------------------------- XML
+
+#: One SQL expression for both: eight words as a paragraph (with revisions and a text box) or, every fourth, as a table.
+WORDS = [f"replace(replace(w{i}, '&', '&amp;'), '<', '&lt;')" for i in range(8)]
+PARAGRAPH = (
+    "CASE WHEN n % 4 = 3 THEN concat('<w:tbl><w:tr><w:tc><w:p><w:t>', {0}, '</w:t></w:p><w:p><w:t>', {1}, '</w:t></w:p></w:tc><w:tc/><w:tc><w:p/></w:tc><w:tc><w:tbl><w:tr><w:tc><w:p><w:t>', {2}, '</w:t></w:p></w:tc></w:tr></w:tbl></w:tc></w:tr><w:tr><w:tc><w:p><w:t>', {3},"
+    " '</w:t></w:p></w:tc></w:tr></w:tbl>') ELSE concat('<w:p w:a=\"x>y\"><!-- <w:p> --><w:r><w:t xml:space=\"preserve\">', {0}, ' </w:t><w:tab/><w:t>', {1}, '&#33;</w:t></w:r><w:ins w:id=\"1\"><w:r><w:t>', {2}, '</w:t></w:r></w:ins><w:del><w:delText> ', {3}, '</w:delText></w:del><w:br/>',"
+    " '<w:moveTo><w:t>', {4}, '</w:t></w:moveTo><w:pict><w:txbxContent><w:p><w:t>', {5}, '</w:t></w:p><w:p><w:t>&#x4e00;', {6}, '</w:t></w:p></w:txbxContent></w:pict><w:t><![CDATA[<', w7, ']]></w:t></w:p>') END"
+).format(*WORDS)
+WORDS_SQL = """w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents),
+n AS (SELECT doc_id, CAST(k AS INTEGER) AS n, """ + ", ".join(f"coalesce(w[8 * k + {i + 1}], '') AS w{i}" for i in range(8)) + " FROM w, unnest(range((len(w) + 7) // 8)) AS g(k))"
+
+
+def _paragraphs(spark, d):
+    words = F.split("text", " ", -1)
+    groups = table(spark, d, "documents").select("doc_id", words.alias("w"), F.explode(F.sequence(F.lit(0), F.floor((F.size(words) + 7) / 8).cast("int") - 1)).alias("n"))
+    some = groups.select("doc_id", "n", *[F.coalesce(F.get("w", c("n") * 8 + i), F.lit("")).alias(f"w{i}") for i in range(8)])
+    return some.select("doc_id", "n", F.expr(PARAGRAPH).alias("xml"))
+
+
+LINE = "trim(regexp_replace(regexp_replace({0}, '[\\r\\n]', ' ', 'g'), '[ \\t]+', ' ', 'g'))"
+
+
+@query("xml_stories", f"""WITH {WORDS_SQL},
+t AS (SELECT *, {LINE.format("w0 || ' ' || chr(9) || w1 || '!' || w2 || ' ' || w3 || ' ' || w4 || '<' || w7")} AS body, {LINE.format("w5 || chr(19968) || w6")} AS box FROM n),
+l AS (SELECT doc_id, n, 0 AS part, 0 AS item, '' AS label, body AS text FROM t WHERE n % 4 <> 3
+  UNION ALL SELECT doc_id, n, 1, 1, '文本框', box FROM t WHERE n % 4 <> 3 AND NOT contains(body, box)
+  UNION ALL SELECT doc_id, n, 2, 1, '修订-插入', {LINE.format("w2")} FROM t WHERE n % 4 <> 3
+  UNION ALL SELECT doc_id, n, 3, 1, '修订-删除', {LINE.format("w3")} FROM t WHERE n % 4 <> 3
+  UNION ALL SELECT doc_id, n, 5, 1, '修订-移入', {LINE.format("w4")} FROM t WHERE n % 4 <> 3
+  UNION ALL SELECT doc_id, n, 0, 1, '', CASE WHEN {LINE.format("w0 || w1 || w2")} <> '' THEN {LINE.format("w0 || ' ' || w1")} || chr(9) || chr(9) || chr(9) || {LINE.format("w2")} ELSE '' END FROM t WHERE n % 4 = 3
+  UNION ALL SELECT doc_id, n, 0, 2, '', {LINE.format("w3")} FROM t WHERE n % 4 = 3)
+SELECT doc_id, CAST(n + 1 AS BIGINT) AS unit, CAST(part AS INTEGER) AS part, CAST(item AS INTEGER) AS item, label, text FROM l WHERE text <> ''""")
+def xml_stories(spark, d):
+    """Lines of word-processing XML made of all words: paragraphs, revisions, text boxes and nested tables."""
+    p = _paragraphs(spark, d).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "xml"))), lambda x: x["xml"]), "\n").alias("body"))
+    parts = p.select("doc_id", F.concat(F.lit('<?xml version="1.0"?><w:document><w:body>'), "body", F.lit("</w:body></w:document>")).alias("xml"))
+    return xml.stories(xml.tokens(parts, ["doc_id"]), ["doc_id"])
+
+
+@query("xml_roots", """WITH t AS (SELECT page_id, page_id % 8 AS k, coalesce(url, '') AS u FROM pages)
+SELECT page_id, CASE k WHEN 7 THEN NULL WHEN 6 THEN 'UOX' ELSE 'UOF' END AS name, CASE WHEN k IN (0, 1, 2, 5, 6) THEN 'http://schemas.uof.org/' || u WHEN k = 3 THEN 'urn:' || u END AS namespace,
+  k IN (0, 1, 2, 5) AS valid, k IN (0, 1, 2, 3, 6) AS well_formed FROM t""")
+def xml_roots(spark, d):
+    """Root names and namespaces of made documents: prefixes, quotes, comments, missing roots and unclosed elements."""
+    u = F.replace(F.replace(F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;")), F.lit("'"), F.lit("&apos;"))
+    at = F.concat(F.lit("http://schemas.uof.org/"), u)
+    forms = ['<?xml version="1.0"?><uof:UOF a="1" xmlns:x="urn:x" xmlns:uof="~"><a/></uof:UOF>', "<!-- <b xmlns='urn:b'> --><UOF xmlns='~'>text<a></a></UOF>", '<UOF xmlns="~"/>', '<UOF xmlns="urn:^"></UOF>', "<UOF><a></UOF></a>", '<UOF xmlns="~"><a></UOF>', '<UOX xmlns="~"></UOX>', "only text"]
+    form = F.get(F.array(*[F.lit(x) for x in forms]), (c("page_id") % 8).cast("int"))
+    parts = table(spark, d, "pages").select("page_id", F.replace(F.replace(form, F.lit("~"), at), F.lit("^"), u).alias("xml"))
+    found = parts.select("page_id", xml.root(c("xml")).alias("r"), xml.valid_root(c("xml")).alias("valid"))
+    ok = xml.well_formed(xml.tokens(parts, ["page_id"]), ["page_id"])
+    return found.join(ok, "page_id").select("page_id", c("r.name").alias("name"), xml.unescaped(c("r.namespace")).alias("namespace"), "valid", c("ok").alias("well_formed"))
