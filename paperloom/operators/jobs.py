@@ -72,9 +72,14 @@ def quotas(files: DataFrame, limits: TaskLimits = TaskLimits()) -> DataFrame:
 
 
 def running_bytes(files: DataFrame, most: int) -> DataFrame:
-    """files with total_bytes so far in their task and over: whether the quota is passed there."""
-    so_far = F.sum("size").over(Window.partitionBy("task_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
-    return files.withColumn("total_bytes", so_far).withColumn("over", F.col("total_bytes") > most)
+    """files with total_bytes so far in their task and over: whether the quota is passed there.
+
+    Totals are wide, so that none wraps: one over a long's range is null, and over. A null size counts as none.
+    """
+    wide = F.coalesce(F.col("size"), F.lit(0)).cast("decimal(20,0)")
+    so_far = F.sum(wide).over(Window.partitionBy("task_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
+    rows = files.withColumn("_total", so_far)
+    return rows.withColumn("total_bytes", F.col("_total").try_cast("bigint")).withColumn("over", F.col("_total") > most).drop("_total")
 
 
 def one_route(files: DataFrame) -> DataFrame:

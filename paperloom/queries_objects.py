@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import layout, numbering, objects, paths, xml
+from .operators import glyphs, layout, numbering, objects, paths, pixels, xml
 from .registry import query, table
 from .sources import csv
 
@@ -257,3 +257,51 @@ def xml_roots(spark, d):
     found = parts.select("page_id", xml.root(c("xml")).alias("r"), xml.valid_root(c("xml")).alias("valid"))
     ok = xml.well_formed(xml.tokens(parts, ["page_id"]), ["page_id"])
     return found.join(ok, "page_id").select("page_id", c("r.name").alias("name"), xml.unescaped(c("r.namespace")).alias("namespace"), "valid", c("ok").alias("well_formed"))
+
+
+# ---------------------------------------------------------------- pixels and glyphs
+
+#: A picture for each supplier: its line items as pixels, row by row.
+PIXELS = """i AS (SELECT l_suppkey AS image_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS i, CAST(l_quantity AS BIGINT) * 5 AS r, l_partkey % 256 AS g FROM lineitem),
+s AS (SELECT image_id, 17 + image_id % 9 AS width, greatest(1, count(*) // (17 + image_id % 9)) AS height, image_id % 10 AS o FROM i GROUP BY image_id),
+p AS (SELECT image_id, i % width AS x, i // width AS y, r, g, width, height, o FROM i JOIN s USING (image_id) WHERE i // width < height)"""
+
+
+@query("upright_pixels", f"""WITH {PIXELS},
+t AS (SELECT image_id, r, g, CASE WHEN o IN (2, 3) THEN width - 1 - x WHEN o IN (5, 8) THEN y WHEN o IN (6, 7) THEN height - 1 - y ELSE x END AS x,
+  CASE WHEN o IN (3, 4) THEN height - 1 - y WHEN o IN (5, 6) THEN x WHEN o IN (7, 8) THEN width - 1 - x ELSE y END AS y,
+  CASE WHEN o BETWEEN 5 AND 8 THEN height ELSE width END AS w, CASE WHEN o BETWEEN 5 AND 8 THEN width ELSE height END AS h FROM p),
+n AS (SELECT *, CASE WHEN greatest(w, h) <= 16 THEN w ELSE greatest(1, CAST(floor(w * 16 / greatest(w, h) + 0.5) AS BIGINT)) END AS tw, CASE WHEN greatest(w, h) <= 16 THEN h ELSE greatest(1, CAST(floor(h * 16 / greatest(w, h) + 0.5) AS BIGINT)) END AS th FROM t),
+m AS (SELECT *, (least((x + 1) * tw, (a + 1) * w) - greatest(x * tw, a * w)) * (least((y + 1) * th, (b + 1) * h) - greatest(y * th, b * h)) AS part FROM n, range(16) AS ca(a), range(16) AS cb(b)
+  WHERE a < tw AND b < th AND x * tw < (a + 1) * w AND (x + 1) * tw > a * w AND y * th < (b + 1) * h AND (y + 1) * th > b * h)
+SELECT image_id, CAST(a AS INTEGER) AS x, CAST(b AS INTEGER) AS y, CAST(floor(sum(part * r) / sum(part) + 0.5) AS INTEGER) AS r, CAST(floor(sum(part * g) / sum(part) + 0.5) AS INTEGER) AS g FROM m GROUP BY 1, 2, 3""")
+def upright_pixels(spark, d):
+    """Pictures in all orientations, upright and at most 16 pixels long."""
+    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    i = table(spark, d, "lineitem").select(c("l_suppkey").alias("image_id"), (F.row_number().over(order) - 1).alias("i"), (c("l_quantity").cast("bigint") * 5).alias("r"), (c("l_partkey") % 256).alias("g"))
+    width = (17 + c("image_id") % 9).cast("int")
+    s = i.groupBy("image_id").agg(F.count(F.lit(1)).alias("n")).select("image_id", width.alias("width"), F.greatest(F.lit(1), F.floor(c("n") / width)).cast("int").alias("height"), (c("image_id") % 10).cast("int").alias("orientation"))
+    p = i.select("image_id", (c("i") % width).alias("x"), F.floor(c("i") / width).cast("int").alias("y"), "r", "g")
+    return pixels.reduced(*pixels.turned(p, s), 16)[0]
+
+
+@query("displayed_runs", """WITH g AS (SELECT l_suppkey AS doc_id, row_number() OVER w AS seq, l_partkey % 500 + 0.25 AS x, l_orderkey % 700 + 0.5 AS y, 1 + l_linenumber AS width, 2 + CAST(l_quantity AS INTEGER) % 7 AS height, l_returnflag AS family,
+    [0, 0.05, 90, 33, 180, 270][(row_number() OVER w) // 6 % 6 + 1] AS direction, CAST(l_linenumber AS VARCHAR) AS ch FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice)),
+n AS (SELECT *, CASE WHEN family = lag(family) OVER w AND abs(direction - lag(direction) OVER w) < 0.1 THEN 0 ELSE 1 END AS new FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY seq) AS run_no, 1 + doc_id % 2 * 0.5 AS unit, doc_id % 4 * 90 AS turn FROM n),
+a AS (SELECT *, (turn - last_value(direction) OVER (PARTITION BY doc_id, run_no ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) + 360) % 360 AS degrees FROM r),
+e AS (SELECT doc_id, run_no, string_agg(ch, '' ORDER BY seq) AS text, any_value(degrees) AS degrees, min(unit * (x * cos(radians(degrees)) + y * sin(radians(degrees)))) AS a, max(unit * (x * cos(radians(degrees)) + y * sin(radians(degrees)) + width)) AS b,
+  min(unit * (x * sin(radians(degrees)) - y * cos(radians(degrees)))) AS c, max(unit * (x * sin(radians(degrees)) - y * cos(radians(degrees)) + height)) AS d, avg(unit * y) AS base FROM a GROUP BY 1, 2)
+SELECT doc_id, CAST(run_no AS INTEGER) AS run_no, text, CAST(round(1000000 * degrees) AS BIGINT) AS degrees, CAST(round(1000000 * 25.4 / 72 * (cos(radians(degrees)) * (a + b) / 2 + sin(radians(degrees)) * (c + d) / 2 - (b - a) / 2)) AS BIGINT) AS x,
+  CAST(round(1000000 * 25.4 / 72 * (sin(radians(degrees)) * (a + b) / 2 - cos(radians(degrees)) * (c + d) / 2 - (d - c) / 2)) AS BIGINT) AS y, CAST(round(1000000 * 25.4 / 72 * (b - a)) AS BIGINT) AS width, CAST(round(1000000 * 25.4 / 72 * (d - c)) AS BIGINT) AS height,
+  CAST(round(1000000 * 25.4 / 72 * base) AS BIGINT) AS baseline FROM e""")
+def displayed_runs(spark, d):
+    """Glyphs in six directions on pages of four rotations and two units, boxes in millionths of a millimetre."""
+    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    seq = F.row_number().over(order)
+    g = table(spark, d, "lineitem").select(c("l_suppkey").alias("doc_id"), F.lit(1).alias("page_no"), seq.alias("seq"), (c("l_partkey") % 500 + 0.25).alias("x"), (c("l_orderkey") % 700 + 0.5).alias("y"), (1 + c("l_linenumber")).cast("double").alias("width"),
+        (2 + c("l_quantity").cast("int") % 7).cast("double").alias("height"), c("l_returnflag").alias("family"), c("l_linenumber").cast("string").alias("ch"), F.lit(12.0).alias("size_pt"), F.lit(False).alias("bold"), F.lit(False).alias("italic"), F.lit("000000").alias("color"),
+        F.get(F.array(*[F.lit(x) for x in (0.0, 0.05, 90.0, 33.0, 180.0, 270.0)]), (F.floor(seq / 6) % 6).cast("int")).alias("direction"))
+    pages = g.select("doc_id", "page_no").distinct().select("doc_id", "page_no", (c("doc_id") % 4 * 90).alias("rotation"), (1 + c("doc_id") % 2 * 0.5).alias("user_unit"))
+    millionths = [F.round(c(x) * 1_000_000).cast("bigint").alias(x) for x in ("degrees", "x", "y", "width", "height", "baseline")]
+    return glyphs.displayed_runs(g, pages).select("doc_id", "run_no", "text", *millionths)

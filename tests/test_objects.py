@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from paperloom.operators import layout, numbering, objects, paths
+from paperloom.operators import glyphs, jobs, layout, numbering, objects, ocr, paths, pixels
 
 REFS = "doc_id int, page_no int, parent_id int, object_id int, position int, kind string"
 
@@ -101,3 +101,43 @@ def test_reading_order_equals_the_recursive_cut(spark):
     for r in layout.reading_order(df).orderBy("page_no", "place").collect():
         got.setdefault(r["page_no"], []).append(r["seq"])
     assert got == want
+
+
+def test_pixels_upright_and_reduced(spark):
+    # a 3 x 2 picture, values by place, in each orientation; what stands at the upright top left
+    rows = [(o, x, y, 10 * y + x) for o in range(10) for y in range(2) for x in range(3)] + [(1, 5, 0, 99), (1, -1, 0, 99), (77, 0, 0, 1)]
+    p = spark.createDataFrame(rows, "image_id int, x int, y int, v int")
+    i = spark.createDataFrame([(o, 3, 2, o if o else None) for o in range(10)], "image_id int, width int, height int, orientation int")
+    up, sizes = pixels.turned(p, i)
+    assert {r["image_id"]: r["v"] for r in up.where("x = 0 AND y = 0").collect()} == {0: 0, 1: 0, 2: 2, 3: 12, 4: 10, 5: 0, 6: 10, 7: 12, 8: 2, 9: 0}
+    assert {r["image_id"]: (r["width"], r["height"]) for r in sizes.collect()} == {o: (2, 3) if 5 <= o <= 8 else (3, 2) for o in range(10)}
+    assert up.count() == 60
+    small, sizes = pixels.reduced(p.where("image_id = 0"), i.where("image_id = 0"), 2)
+    # halves of the middle column go to both sides; one row: (0 + 0.5 * 1) / 1.5 and so on, rows averaged
+    assert [(r["x"], r["y"], r["v"]) for r in small.orderBy("x").collect()] == [(0, 0, 5), (1, 0, 7)] and tuple(sizes.first()) == (0, 2, 1)
+    same, _ = pixels.reduced(p.where("image_id = 0"), i.where("image_id = 0"), 3)
+    assert sorted(map(tuple, same.collect())) == sorted(r for r in rows if r[0] == 0)
+
+
+def test_displayed_runs(spark):
+    form = "doc_id int, page_no int, seq int, ch string, x double, y double, width double, height double, family string, size_pt double, bold boolean, italic boolean, direction double, color string"
+    row = lambda seq, ch, x, y, at, page=1: (1, page, seq, ch, x, y, 10.0, 8.0, "F", 0.0, False, False, at, "0")
+    rows = [row(1, "a", 72.0, 144.0, 0.0), row(2, "", 0.0, 0.0, 0.0), row(3, "b", 82.0, 144.0, 0.05), row(4, "c", 72.0, 200.0, 90.0), row(5, "d", 72.0, 190.0, 90.0), row(1, "e", 72.0, 72.0, 90.0, 2)]
+    pages = spark.createDataFrame([(1, 1, None, None), (1, 2, 90, 2.0)], "doc_id int, page_no int, rotation int, user_unit double")
+    got = {(r["page_no"], r["run_no"]): r for r in glyphs.displayed_runs(spark.createDataFrame(rows, form), pages).collect()}
+    near = lambda r, *want: [round(r[k], 3) for k in ("x", "y", "width", "height")] == [round(v * 25.4 / 72, 3) for v in want]
+    assert got[1, 1]["text"] == "ab" and round(got[1, 1]["degrees"], 2) == 359.95 and got[1, 1]["size_pt"] == 10.5
+    # up the page: 20 along, 8 across, about the middle of the turned text
+    assert got[1, 2]["text"] == "cd" and round(got[1, 2]["degrees"]) == 270 and near(got[1, 2], 72 - 4 - 10, 190 - 4, 20, 8)
+    assert got[2, 1]["degrees"] == 0 and near(got[2, 1], 144, 144 - 16, 20, 16) and got[2, 1]["size_pt"] == 21
+
+
+def test_totals_do_not_wrap(spark):
+    files = spark.createDataFrame([(1, 1, 5), (1, 2, (1 << 63) - 1), (1, 3, None), (2, 1, 4)], "task_id int, idx int, size long")
+    got = [(r["total_bytes"], r["over"]) for r in jobs.running_bytes(files, 10).orderBy("task_id", "idx").collect()]
+    assert got == [(5, False), (None, True), (None, True), (4, False)]
+
+
+def test_what_to_recognise(spark):
+    df = spark.createDataFrame([(0, True, "PAGE"), (0, False, "NONE"), (3, True, "IMAGES"), (3, False, "IMAGES")], "n int, seen boolean, want string")
+    assert all(r["p"] == r["want"] for r in df.withColumn("p", ocr.plan(F.col("n"), F.col("seen"))).collect())
