@@ -38,7 +38,7 @@ def visual_lines(blocks: DataFrame) -> DataFrame:
     """Blocks with line_no: a block goes with the current line if its baseline is near that of the line's first block.
 
     The comparison is with the first block, not the one before, so lines don't drift; seq must be unique in a page.
-    A fold notes only where lines begin; a block's line is the number of beginnings up to its place.
+    A fold notes only where lines begin.
     """
 
     def step(acc: Column, b: Column) -> Column:
@@ -51,9 +51,11 @@ def visual_lines(blocks: DataFrame) -> DataFrame:
     pages, rest = _in_order(blocks)
     zero = F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("first"), F.lit(0.0).alias("height"), F.array().cast("array<int>").alias("begins"))
     folded = pages.withColumn("_begins", F.aggregate("_blocks", zero, step)["begins"])
-    rows = folded.select(*PAGE, "_begins", F.posexplode("_blocks").alias("_at", "_b"))
-    number = F.size(F.filter("_begins", lambda x: x <= F.col("_at")))
-    return rows.select(*PAGE, *[F.col(f"_b.{c}").alias(c) for c in rest], number.alias("line_no"))
+    # each line's number as often as the line has blocks, so that a page takes time in proportion to its blocks
+    length = lambda b, i: F.coalesce(F.get("_begins", i + 1), F.size("_blocks")) - b
+    numbers = F.flatten(F.transform("_begins", lambda b, i: F.array_repeat(i + 1, length(b, i))))
+    rows = folded.select(*PAGE, F.explode(F.arrays_zip("_blocks", numbers.alias("_lines"))).alias("_z"))
+    return rows.select(*PAGE, *[F.col(f"_z._blocks.{c}").alias(c) for c in rest], F.col("_z._lines").alias("line_no"))
 
 
 def paragraph_lines(blocks: DataFrame) -> DataFrame:

@@ -14,21 +14,33 @@ PAGE = ["doc_id", "page_no"]
 def without_duplicates(found: DataFrame, native: DataFrame, overlap: float = 0.7, tile: float = 40.0) -> DataFrame:
     """Recognised blocks that no native block of their page repeats: equal text, white space aside, or a box mostly shared.
 
-    Two anti joins on equal keys: the page and the text, then the page and the tiles that the boxes lie on.
+    Anti joins on equal keys: the page and the text, then the page and the tile of a centre. Of two boxes that share more
+    than half of the smaller one, the smaller one's centre lies in both. So a recognised block need only meet the native
+    blocks on its centre's tile, and a larger one those whose centres lie on its tiles. overlap: half at least.
     """
-    texts = native.select(*PAGE, without_space(F.col("text")).alias("_text")).distinct()
-    left = found.withColumn("_text", without_space(F.col("text"))).join(texts, [*PAGE, "_text"], "left_anti")
+    if overlap < 0.5:
+        raise ValueError("boxes that share less than half can't be found by centres")
+    texts = native.select(*PAGE, without_space(F.col("text")).alias("_text"))
+    left = found.withColumn("_text", without_space(F.col("text"))).join(texts, [*PAGE, "_text"], "left_anti").drop("_text")
     box = ("x", "y", "width", "height")
-    tiles = lambda at, size: F.explode(F.sequence(F.floor(F.col(at) / tile), F.floor((F.col(at) + F.col(size)) / tile)))
-    dealt = lambda df: df.withColumn("_tx", tiles("x", "width")).withColumn("_ty", tiles("y", "height"))
-    n = dealt(native.select(*PAGE, *box)).select(*PAGE, "_tx", "_ty", *[F.col(c).alias(f"_{c}") for c in box])
-    # equal boxes need no telling apart: all of them are repeated or none
-    mine = dealt(left.select(*PAGE, *box).distinct())
-    area = lambda w, h: F.col(w) * F.col(h)
+    theirs = native.select(*PAGE, *[F.col(c).alias(f"_{c}") for c in box])
     shared = intersection_area(*[F.col(c) for c in box], *[F.col(f"_{c}") for c in box])
-    smaller = F.greatest(F.lit(0.01), F.least(area("width", "height"), area("_width", "_height")))
-    repeated = mine.join(n, [*PAGE, "_tx", "_ty"]).where(shared / smaller > overlap).select(*PAGE, *box).distinct()
-    return left.join(repeated, [*PAGE, *box], "left_anti").select(*found.columns)
+    mine, other = F.col("width") * F.col("height"), F.col("_width") * F.col("_height")
+    repeated = shared / F.greatest(F.lit(0.01), F.least(mine, other)) > overlap
+    by_centre = lambda df, p: df.select("*", *[F.floor((F.col(p + a) + F.col(p + n) / 2) / tile).alias(f"_t{a}") for a, n in (("x", "width"), ("y", "height"))])
+
+    def on_tiles(df: DataFrame, p: str) -> DataFrame:
+        for a, n in (("x", "width"), ("y", "height")):
+            df = df.withColumn(f"_t{a}", F.explode(F.sequence(F.floor(F.col(p + a) / tile), F.floor((F.col(p + a) + F.col(p + n)) / tile))))
+        return df
+
+    keys = [*PAGE, "_tx", "_ty"]
+    one, many = by_centre(left, "").alias("l"), on_tiles(theirs, "_").alias("n")
+    same = [F.col(f"l.{k}") == F.col(f"n.{k}") for k in keys]
+    left = one.join(many, [*same, repeated], "left_anti").select(*found.columns)
+    # what is left may hold smaller native blocks
+    larger = on_tiles(left.select(*PAGE, *box).distinct(), "").join(by_centre(theirs, "_"), keys).where(repeated & (other < mine)).select(*PAGE, *box).distinct()
+    return left.join(larger, [*PAGE, *box], "left_anti").select(*found.columns)
 
 
 def with_found(native: DataFrame, found: DataFrame) -> DataFrame:

@@ -526,9 +526,9 @@ def ocr_placement(spark, d):
     return out.select("conv_id", "turn", "block", "line", *[F.round(k, 4).alias(k) for k in ("x", "width", "size_pt", "baseline")])
 
 
-@query("ocr_dedup_anti", f"""WITH {BLOCKS}, n AS (SELECT * FROM blocks WHERE seq % 2 = 0), f AS (SELECT * REPLACE (x + 12 AS x) FROM blocks WHERE seq % 2 = 1),
-t AS (SELECT DISTINCT doc_id, page_no, regexp_replace(text, '[{WS}]+', '', 'g') AS text FROM n),
-u AS (SELECT f.* FROM f ANTI JOIN t ON f.doc_id = t.doc_id AND f.page_no = t.page_no AND regexp_replace(f.text, '[{WS}]+', '', 'g') = t.text),
+@query("ocr_dedup_anti", f"""WITH {BLOCKS}, b AS MATERIALIZED (SELECT doc_id, page_no, seq, x, y, regexp_replace(text, '[{WS}]+', '', 'g') AS bare FROM blocks),
+n AS (SELECT * FROM b WHERE seq % 2 = 0), f AS (SELECT * REPLACE (x + 12 AS x) FROM b WHERE seq % 2 = 1),
+u AS MATERIALIZED (SELECT f.* FROM f ANTI JOIN n ON f.doc_id = n.doc_id AND f.page_no = n.page_no AND f.bare = n.bare),
 r AS (SELECT u.doc_id, u.page_no, u.seq FROM u JOIN n ON u.doc_id = n.doc_id AND u.page_no = n.page_no AND u.y = n.y
   WHERE greatest(0, least(u.x + 20, n.x + 20) - greatest(u.x, n.x)) * 5 / 100 > 0.7)
 SELECT doc_id, page_no, seq FROM u ANTI JOIN r USING (doc_id, page_no, seq)""")
