@@ -12,6 +12,8 @@ PAGE = ["doc_id", "page_no"]
 DEPTH, BLOCK, DRAWN = 128, "block", ("text", "path", "image")
 #: Levels that one job expands before its rows are stored.
 LEVELS = 8
+#: References (about 100 bytes each) that are sent to every executor; more are joined by shuffle.
+BROADCAST = 200_000
 
 
 def _expanded(refs: DataFrame, depth: int) -> DataFrame:
@@ -20,29 +22,36 @@ def _expanded(refs: DataFrame, depth: int) -> DataFrame:
     A way never holds an object twice. Of several ways of one length to an object the first in document order is kept
     after each job, so that rows are bounded by objects x depth however often objects are shared.
     """
-    steps = refs.select(*PAGE, F.col("parent_id").alias("_from"), "object_id", "kind", F.struct("position", "object_id").alias("_step"))
-    now = steps.where("_from IS NULL").select(*PAGE, "object_id", "kind", F.lit(0).alias("depth"), F.array("_step").alias("at"))
-    below = steps.where("_from IS NOT NULL")
-    done, level = None, 0
+    steps = refs.select(*PAGE, "parent_id", "object_id", "kind", F.struct("position", "object_id").alias("_step"))
+    now = steps.where("parent_id IS NULL").select(*PAGE, "object_id", "kind", F.lit(0).alias("depth"), F.array("_step").alias("at"))
+    # an object leads to its own objects, and to itself, so that one join both goes down a level and keeps what it came from
+    own = steps.where("parent_id IS NOT NULL").select(*PAGE, F.col("parent_id").alias("object_id"), F.col("object_id").alias("_child"), F.col("kind").alias("_kind"), "_step")
+    itself = steps.select(*PAGE, "object_id").distinct()
+    leads = kept(own.unionByName(itself, allowMissingColumns=True))
     first = lambda rows: kept(rows.groupBy(*PAGE, "object_id", "depth").agg(F.min(F.struct("at", "kind")).alias("_w")).select(*PAGE, "object_id", "_w.kind", "depth", "_w.at"))
-    front = first(now)
-    while level <= depth:
-        done = front if done is None else done.unionByName(front)
-        made, last = None, front
-        for _ in range(min(LEVELS, depth - level)):
-            nests = last.where(F.col("kind") == BLOCK).select(*PAGE, F.col("object_id").alias("_from"), "depth", "at")
-            met = nests.join(below, [*PAGE, "_from"]).where(~F.exists("at", lambda x: x["object_id"] == F.col("_step.object_id")))
-            last = met.select(*PAGE, "object_id", "kind", (F.col("depth") + 1).alias("depth"), F.concat("at", F.array("_step")).alias("at"))
-            made = last if made is None else made.unionByName(last)
-        if made is None:
-            break
+    front, done, level = first(now), None, 0
+    while True:
+        rows, side = front, F.broadcast(leads) if leads.count() <= BROADCAST else leads
+        for k in range(level, min(level + LEVELS, depth)):
+            down = (F.col("depth") == k) & (F.col("kind") == BLOCK) & ~F.exists("at", lambda x: x["object_id"] == F.col("_child"))
+            rows = rows.join(side, [*PAGE, "object_id"]).where(F.col("_child").isNull() | down)
+            stays = F.col("_child").isNull()
+            rows = rows.select(
+                *PAGE,
+                F.coalesce("_child", "object_id").alias("object_id"),
+                F.when(stays, F.col("kind")).otherwise(F.col("_kind")).alias("kind"),
+                (F.col("depth") + F.when(stays, 0).otherwise(1)).alias("depth"),
+                F.when(stays, F.col("at")).otherwise(F.concat("at", F.array("_step"))).alias("at"),
+            )
         level += LEVELS
-        made = first(made)
-        front = made.where(F.col("depth") == level)
-        done = done.unionByName(made.where(F.col("depth") < level))
-        if front.isEmpty():
-            break
-    return done
+        rows = first(rows)
+        ready = rows.where((F.col("depth") < level) | (F.col("depth") >= depth))
+        done = ready if done is None else done.unionByName(ready)
+        front = rows.where((F.col("depth") == level) & (F.col("depth") < depth))
+        if level >= depth or front.isEmpty():
+            return done
+        # pages that are done take no part in further rounds
+        leads = kept(leads.join(front.select(*PAGE).distinct(), PAGE, "left_semi"))
 
 
 def object_tree(refs: DataFrame, depth: int = DEPTH, most: int = 10_000) -> DataFrame:
