@@ -86,7 +86,8 @@ def csv_rows(files: DataFrame, key: str, delimiter: str | None = None, limits: L
     delimiter None: detected for each text. A blank line is a row of one empty cell; an end of line at the end adds no
     row; a null text has none. Expressions only: texts spread over tasks, a text is one value.
     """
-    source = files.where("text IS NOT NULL").select(key, F.coalesce(F.lit(delimiter), detected_delimiter(F.col("text"))).alias("_d"), quote_parts(F.col("text")).alias("_parts"))
+    # a null text has null records, which end as no row: a filter would move below and work its text out once more
+    source = files.select(key, F.coalesce(F.lit(delimiter), detected_delimiter(F.col("text"))).alias("_d"), quote_parts(F.col("text")).alias("_parts"))
     records = logical_records(F.col("_parts"))
     source = source.select(key, "_d", (F.size("_parts") % 2 == 0).alias("_open"), records.alias("_records"))
     lines = F.when(F.element_at("_records", -1) == "", F.slice("_records", 1, F.size("_records") - 1)).otherwise(F.col("_records"))

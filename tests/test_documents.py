@@ -188,7 +188,7 @@ def test_csv_rules_equal_the_plain_parser(spark):
 def test_csv_limits_and_detection(spark):
     with pytest.raises(ValueError, match="row limit"):
         plain_csv("a,b\nc,d\n", limits=csv.Limits(rows=1))
-    files = spark.createDataFrame([(1, "名称;日期;公式\r\n甲;2026-08-09;=2+3\r\n"), (2, 'a,b\n"open')], "file_id int, text string")
+    files = spark.createDataFrame([(1, "名称;日期;公式\r\n甲;2026-08-09;=2+3\r\n"), (2, 'a,b\n"open'), (3, None), (4, "")], "file_id int, text string")
     got = csv.csv_rows(files, "file_id").orderBy("file_id", "row_no").collect()
     assert [r["cells"] for r in got] == [["名称", "日期", "公式"], ["甲", "2026-08-09", "=2+3"], None]
     assert got[2]["error_code"].startswith("CONVERSION_FAILED")
