@@ -156,7 +156,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     A window is `window` consecutive words of an item, or the whole item if it has fewer. A word inside any
     occurrence is hit; contaminated: n_hit > 0 and 20 * n_hit >= n_words. Null and empty texts have no words and
     are clean. Items without id or text take no part; repeated items count once. An empty benchmark finds nothing.
-    keep: columns of docs to return (default all); such as have the new columns' names are replaced.
+    keep: columns of docs to return (default all); such as have the new columns' names are replaced. Repeated documents
+    pass one to one; texts of any length are scanned whole; no documents give an empty result.
     """
     keep = list(docs.columns) if keep is None else keep
     spark = docs.sparkSession

@@ -185,7 +185,9 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
     Only the text is looked at, all of it. lang_pred is the language of the largest share; score is that share, for a
     text in one language the posterior probability of it, and 0 if less than RECOGNISED of the text is in recognised
     words (lang_pred is the nearest language then). Null text or one without a letter, or a model without
-    languages: `und`, 0 and an empty mixture. Rows pass one to one; kept columns with the new names are replaced.
+    languages: `und`, 0 and an empty mixture. Rows pass one to one, repeated ones with equal results; kept columns with
+    the new names are replaced. Of languages with equal shares the first in the model's order counts as larger. Texts of
+    any length are one row's work, their trigrams gathered in bounded pieces. An empty table gives an empty result.
     """
     keep = list(docs.columns if keep is None else keep)
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.logs))

@@ -187,7 +187,9 @@ def scan_secrets(docs: DataFrame, keep: list[str] | None = None, classes: tuple[
 
     A span is (start, order, stop, kind) in code points, stop exclusive. An entropy span that overlaps a fixed one
     or one of an earlier class is left out. Null text counts as empty: no spans. Rows pass one to one, whatever
-    doc_id holds; kept columns named base or found are replaced.
+    doc_id holds, repeated ones with equal spans; kept columns named base or found are replaced. Spans that begin
+    together are ordered by kind. Texts of any length are scanned whole, in time that follows their candidates and
+    matches. An empty table gives an empty result.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("base", "found")]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))

@@ -190,7 +190,8 @@ def filter_urls(pages: DataFrame, rules=RULES, support: float = SUPPORT, confide
     The fixed rules label URLs; frequent token combinations of the labelled URLs give rules with at least the
     support and confidence, and these judge URLs that no fixed rule fits; `default` is the verdict if none matches.
     Null url or one without ://: empty host and path, no tokens, the default. Without labelled URLs all unlabelled
-    ones get the default. Repeated rows pass one to one; kept columns named as the new ones are replaced.
+    ones get the default. Repeated rows pass one to one; kept columns named as the new ones are replaced. URLs of any
+    length are taken whole, with all their tokens. An empty table gives an empty result.
     """
     made = ("host", "path", "rule", "verdict", "tokens", "confidence")
     keep = [c for c in (pages.columns if keep is None else keep) if c.lower() not in made]
