@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import normal_degrees, pt_to_mm
+from ..functions.geometry import MM_PER_INCH, PT_PER_INCH, normal_degrees, pt_to_mm
 
 
 @dataclass(frozen=True)
@@ -77,9 +77,11 @@ def glyph_runs(glyphs: DataFrame) -> DataFrame:
 THIN, NO_SIZE = 0.01, 10.5
 
 
-def displayed_runs(glyphs: DataFrame, pages: DataFrame) -> DataFrame:
+def displayed_runs(glyphs: DataFrame, pages: DataFrame, per_inch: float = MM_PER_INCH) -> DataFrame:
     """Runs of glyphs in any direction as they stand on the displayed page, boxes and baseline in millimetres.
 
+    per_inch: of the unit of boxes and baseline; one that is to be rounded is asked for here, for scaling twice rounds halves at random.
+
     glyphs: as glyph_runs, x and y in points on the turned page, width along the glyph's own direction and height across
     it; pages: doc_id, page_no, rotation, user_unit (null or not positive: 1). A run's direction and style are its last
     glyph's. Its box lies along that direction: the glyphs' extremes along and across it, about the same centre, so
@@ -89,19 +91,20 @@ def displayed_runs(glyphs: DataFrame, pages: DataFrame) -> DataFrame:
     known = pages.select("doc_id", "page_no", F.coalesce("rotation", F.lit(0)).alias("_turn"), F.when(F.col("user_unit") > 0, F.col("user_unit")).otherwise(1.0).alias("_unit"))
     rows = _numbered(glyphs.where("ch <> ''").withColumn("size_pt", F.when(F.col("size_pt") > 0, F.col("size_pt")).otherwise(NO_SIZE))).join(known, ["doc_id", "page_no"])
     last = F.last("direction").over(Window.partitionBy(*RUN).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    rows = rows.withColumn("_degrees", normal_degrees(F.col("_turn") - last))
-    angle = F.radians("_degrees")
-    rows = rows.withColumn("_cos", F.cos(angle)).withColumn("_sin", F.sin(angle)).withColumn("_x", F.col("x") * F.col("_unit")).withColumn("_y", F.col("y") * F.col("_unit"))
-    along, cross = F.col("_x") * F.col("_cos") + F.col("_y") * F.col("_sin"), F.col("_x") * F.col("_sin") - F.col("_y") * F.col("_cos")
-    size = lambda c: F.greatest(F.lit(THIN), F.col(c) * F.col("_unit"))
-    ends = [F.min(along).alias("_a"), F.max(along + size("width")).alias("_b"), F.min(cross).alias("_c"), F.max(cross + size("height")).alias("_d")]
+    rows = rows.withColumn("_degrees", normal_degrees(F.col("_turn") - last + 360.0))
+    angle, unit = F.radians("_degrees"), F.col("_unit")
+    rows = rows.withColumn("_cos", F.cos(angle)).withColumn("_sin", F.sin(angle))
+    along, cross = F.col("x") * F.col("_cos") + F.col("y") * F.col("_sin"), F.col("x") * F.col("_sin") - F.col("y") * F.col("_cos")
+    size = lambda c: F.greatest(F.lit(THIN) / unit, F.col(c))
+    ends = [F.min(unit * along).alias("_a"), F.max(unit * (along + size("width"))).alias("_b"), F.min(unit * cross).alias("_c"), F.max(unit * (cross + size("height"))).alias("_d")]
+    scaled = lambda pt: pt * F.lit(per_inch / PT_PER_INCH)
     style = [F.max_by(c, "seq").alias(c) for c in ("family", "bold", "italic", "color")]
-    facts = [F.max("_degrees").alias("degrees"), F.max("_cos").alias("_cos"), F.max("_sin").alias("_sin"), pt_to_mm(F.avg("_y")).alias("baseline"), F.max_by(F.col("size_pt") * F.col("_unit"), "seq").alias("size_pt")]
+    facts = [F.max("_degrees").alias("degrees"), F.max("_cos").alias("_cos"), F.max("_sin").alias("_sin"), scaled(F.avg(unit * F.col("y"))).alias("baseline"), F.max_by(F.col("size_pt") * F.col("_unit"), "seq").alias("size_pt")]
     runs = rows.groupBy(*RUN).agg(_run_text(), *ends, *facts, *style)
     width, height = F.greatest(F.lit(THIN), F.col("_b") - F.col("_a")), F.greatest(F.lit(THIN), F.col("_d") - F.col("_c"))
     mid_a, mid_c = (F.col("_a") + F.col("_b")) / 2, (F.col("_c") + F.col("_d")) / 2
     x, y = F.col("_cos") * mid_a + F.col("_sin") * mid_c - width / 2, F.col("_sin") * mid_a - F.col("_cos") * mid_c - height / 2
-    box = [pt_to_mm(v).alias(n) for v, n in ((x, "x"), (y, "y"), (width, "width"), (height, "height"))]
+    box = [scaled(v).alias(n) for v, n in ((x, "x"), (y, "y"), (width, "width"), (height, "height"))]
     return runs.select(*RUN, "text", *box, "baseline", "degrees", "family", "size_pt", "bold", "italic", "color")
 
 

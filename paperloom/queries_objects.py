@@ -303,5 +303,5 @@ def displayed_runs(spark, d):
         (2 + c("l_quantity").cast("int") % 7).cast("double").alias("height"), c("l_returnflag").alias("family"), c("l_linenumber").cast("string").alias("ch"), F.lit(12.0).alias("size_pt"), F.lit(False).alias("bold"), F.lit(False).alias("italic"), F.lit("000000").alias("color"),
         F.get(F.array(*[F.lit(x) for x in (0.0, 0.05, 90.0, 33.0, 180.0, 270.0)]), (F.floor(seq / 6) % 6).cast("int")).alias("direction"))
     pages = g.select("doc_id", "page_no").distinct().select("doc_id", "page_no", (c("doc_id") % 4 * 90).alias("rotation"), (1 + c("doc_id") % 2 * 0.5).alias("user_unit"))
-    millionths = [F.round(c(x) * 1_000_000).cast("bigint").alias(x) for x in ("degrees", "x", "y", "width", "height", "baseline")]
-    return glyphs.displayed_runs(g, pages).select("doc_id", "run_no", "text", *millionths)
+    millionths = [F.round(c(x)).cast("bigint").alias(x) for x in ("x", "y", "width", "height", "baseline")]
+    return glyphs.displayed_runs(g, pages, 25.4 * 1_000_000).select("doc_id", "run_no", "text", F.round(c("degrees") * 1_000_000).cast("bigint").alias("degrees"), *millionths)

@@ -141,3 +141,17 @@ def test_totals_do_not_wrap(spark):
 def test_what_to_recognise(spark):
     df = spark.createDataFrame([(0, True, "PAGE"), (0, False, "NONE"), (3, True, "IMAGES"), (3, False, "IMAGES")], "n int, seen boolean, want string")
     assert all(r["p"] == r["want"] for r in df.withColumn("p", ocr.plan(F.col("n"), F.col("seen"))).collect())
+
+
+def test_displayed_runs_round_halves_as_their_sql(spark, tmp_path):
+    import duckdb
+
+    from paperloom.queries import QUERIES, SQL
+
+    # eight glyphs of one run whose mean baseline lies half-way between two millionths
+    form = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string"
+    spark.createDataFrame([(k, 7, 1, 1, 3.0, 1.0, "A") for k in (211, 212, 213, 214, 215, 216, 217, 223)], form).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = QUERIES["displayed_runs"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert [tuple(r) for r in got] == con.execute(SQL["displayed_runs"]).fetchall() and got[0]["baseline"] == 114101562
