@@ -1,57 +1,49 @@
-"""The object tree of pages: nested references expanded level by level, in document order, with a guard against cycles."""
+"""The object tree of pages: nested references in document order, with a guard against cycles."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import kept
+from .grouped import map_columns
 
 PAGE = ["doc_id", "page_no"]
 #: Deepest nesting, and the kind that nests; the kinds that get a z.
 DEPTH, BLOCK, DRAWN = 128, "block", ("text", "path", "image")
-#: Levels that one job expands before its rows are stored.
-LEVELS = 8
-#: References (about 100 bytes each) that are sent to every executor; more are joined by shuffle.
-BROADCAST = 200_000
-
 
-def _expanded(refs: DataFrame, depth: int) -> DataFrame:
-    """Every object's ways from the page: doc_id, page_no, object_id, kind, depth, at (position and id of each step).
 
-    A way never holds an object twice. Of several ways of one length to an object the first in document order is kept
-    after each job, so that rows are bounded by objects x depth however often objects are shared.
-    """
-    steps = refs.select(*PAGE, "parent_id", "object_id", "kind", F.struct("position", "object_id").alias("_step"))
-    now = steps.where("parent_id IS NULL").select(*PAGE, "object_id", "kind", F.lit(0).alias("depth"), F.array("_step").alias("at"))
-    # an object leads to its own objects, and to itself, so that one join both goes down a level and keeps what it came from
-    own = steps.where("parent_id IS NOT NULL").select(*PAGE, F.col("parent_id").alias("object_id"), F.col("object_id").alias("_child"), F.col("kind").alias("_kind"), "_step")
-    itself = steps.select(*PAGE, "object_id").distinct()
-    leads = kept(own.unionByName(itself, allowMissingColumns=True))
-    first = lambda rows: kept(rows.groupBy(*PAGE, "object_id", "depth").agg(F.min(F.struct("at", "kind")).alias("_w")).select(*PAGE, "object_id", "_w.kind", "depth", "_w.at"))
-    front, done, level = first(now), None, 0
-    while True:
-        rows, side = front, F.broadcast(leads) if leads.count() <= BROADCAST else leads
-        for k in range(level, min(level + LEVELS, depth)):
-            down = (F.col("depth") == k) & (F.col("kind") == BLOCK) & ~F.exists("at", lambda x: x["object_id"] == F.col("_child"))
-            rows = rows.join(side, [*PAGE, "object_id"]).where(F.col("_child").isNull() | down)
-            stays = F.col("_child").isNull()
-            rows = rows.select(
-                *PAGE,
-                F.coalesce("_child", "object_id").alias("object_id"),
-                F.when(stays, F.col("kind")).otherwise(F.col("_kind")).alias("kind"),
-                (F.col("depth") + F.when(stays, 0).otherwise(1)).alias("depth"),
-                F.when(stays, F.col("at")).otherwise(F.concat("at", F.array("_step"))).alias("at"),
-            )
-        level += LEVELS
-        rows = first(rows)
-        ready = rows.where((F.col("depth") < level) | (F.col("depth") >= depth))
-        done = ready if done is None else done.unionByName(ready)
-        front = rows.where((F.col("depth") == level) & (F.col("depth") < depth))
-        if level >= depth or front.isEmpty():
-            return done
-        # pages that are done take no part in further rounds
-        leads = kept(leads.join(front.select(*PAGE).distinct(), PAGE, "left_semi"))
+def _met(page: list[list], depth: int, most: int) -> Iterator[tuple]:
+    """The references of one page that a reader meets; a stack holds what is left of each open block, so no way is stored."""
+    below: dict = {}
+    for ref in set(zip(*page)):
+        below.setdefault(ref[0], []).append(ref)
+    for refs in below.values():
+        # a null position comes first
+        refs.sort(key=lambda r: (r[2] is not None, r[2] or 0, r[1], r[3] is not None, r[3] or ""), reverse=True)
+    first, out, z, open_ = {}, [], 0, [below.get(None, [])]
+    while open_:
+        if not open_[-1]:
+            open_.pop()
+            continue
+        ref = open_[-1].pop()
+        level, place, number = len(open_) - 1, ref[:3], None
+        if level > depth:
+            status = "too_deep"
+        elif first.setdefault(ref[1], place) != place:
+            status = "repeated"
+        else:
+            status = "kept" if ref[3] == BLOCK or ref[3] in DRAWN else "unsupported"
+            if ref[3] in DRAWN:
+                number, z = z, z + 1
+            elif ref[3] == BLOCK:
+                # what follows the block in its own block waits below it; a block of the same place was opened already
+                open_.append(below.pop(ref[1], []))
+        out.append((*ref, level, status, number))
+    if len(first) > most:
+        return ((*r[:5], "refused", None) for r in out)
+    return iter(out)
 
 
 def object_tree(refs: DataFrame, depth: int = DEPTH, most: int = 10_000) -> DataFrame:
@@ -65,28 +57,9 @@ def object_tree(refs: DataFrame, depth: int = DEPTH, most: int = 10_000) -> Data
       unsupported  of another kind: no z
       refused      the page has over `most` objects: nothing of it counts
     References of objects that are no blocks, and those that no way from the page leads to, give no row. Repeated rows of
-    one reference are one; a null position comes first; rows without document, page or object id are left out.
+    one reference are one; a null position comes first; rows without document, page or object id are left out. One
+    shuffle brings the references of a page together; a page's references must fit a task.
     """
-    rows = refs.where("doc_id IS NOT NULL AND page_no IS NOT NULL AND object_id IS NOT NULL").select(*PAGE, "parent_id", "object_id", "position", "kind").distinct()
-    ways = _expanded(rows, depth)
-    met = kept(ways.groupBy(*PAGE, "object_id").agg(F.min(F.struct("at", "kind", "depth")).alias("_w")).select(*PAGE, "object_id", "_w.*"))
-    counts = met.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("_n"))
-    # a reference is met if its block was; it is the first to its object if it ends the object's first way
-    blocks = met.where(F.col("kind") == BLOCK).select(*PAGE, F.col("object_id").alias("parent_id"), F.col("depth").alias("_up"), F.col("at").alias("_above"))
-    top = rows.where("parent_id IS NULL").withColumn("_up", F.lit(-1)).withColumn("_above", F.array().cast(met.schema["at"].dataType))
-    seen = top.unionByName(rows.join(blocks, [*PAGE, "parent_id"]))
-    seen = seen.withColumn("_way", F.concat("_above", F.array(F.struct("position", "object_id"))))
-    firsts = met.select(*PAGE, "object_id", F.col("at").alias("_first"))
-    seen = seen.join(firsts, [*PAGE, "object_id"], "left").join(counts, PAGE)
-    status = (
-        F.when(F.col("_n") > most, "refused")
-        .when(F.col("_up") >= depth, "too_deep")
-        .when(F.col("_way") != F.col("_first"), "repeated")
-        .when(F.col("kind").isin(BLOCK, *DRAWN), "kept")
-        .otherwise("unsupported")
-    )
-    seen = seen.withColumn("status", status).withColumn("depth", F.col("_up") + 1)
-    drawn = (F.col("status") == "kept") & (F.col("kind") != BLOCK)
-    order = Window.partitionBy(*PAGE).orderBy("_way")
-    z = F.when(drawn, F.sum(F.when(drawn, 1).otherwise(0)).over(order) - 1).cast("int")
-    return seen.withColumn("z", z).select(*PAGE, "parent_id", "object_id", "position", "kind", "depth", "status", "z")
+    rows = refs.where("doc_id IS NOT NULL AND page_no IS NOT NULL AND object_id IS NOT NULL").select(*PAGE, "parent_id", "object_id", "position", "kind")
+    ddl = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in ("parent_id", "object_id", "position", "kind"))
+    return map_columns(rows, PAGE, lambda page: _met(page, depth, most), f"{ddl}, depth int, status string, z int")

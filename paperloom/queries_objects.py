@@ -25,8 +25,9 @@ refs AS (SELECT doc_id, up AS parent_id, i AS object_id, length(word) AS positio
 
 
 def _refs(spark, d):
-    words = F.split("text", " ", -1)
-    o = table(spark, d, "documents").select("doc_id", F.size(words).alias("n"), F.posexplode(words).alias("i", "word"))
+    # counted below the generator: beside it the text would be split again for each word
+    words = table(spark, d, "documents").select("doc_id", F.split("text", " ", -1).alias("w")).select("doc_id", "w", F.size("w").alias("n"))
+    o = words.select("doc_id", "n", F.posexplode("w").alias("i", "word"))
     chain, i, up = c("doc_id") % 10 == 0, c("i"), c("up")
     o = o.withColumn("up", F.when(i == 0, F.lit(None)).when(chain, i - 1).otherwise(F.floor((i - 1) / 3).cast("int")))
     leaf = F.get(F.array(*[F.lit(x) for x in ("text", "path", "image", "other")]), F.length("word") % 4)
@@ -218,9 +219,10 @@ n AS (SELECT doc_id, CAST(k AS INTEGER) AS n, """ + ", ".join(f"coalesce(w[8 * k
 
 
 def _paragraphs(spark, d):
-    words = F.split("text", " ", -1)
-    groups = table(spark, d, "documents").select("doc_id", words.alias("w"), F.explode(F.sequence(F.lit(0), F.floor((F.size(words) + 7) / 8).cast("int") - 1)).alias("n"))
-    some = groups.select("doc_id", "n", *[F.coalesce(F.get("w", c("n") * 8 + i), F.lit("")).alias(f"w{i}") for i in range(8)])
+    # eights of words are cut once a document: a row that carried all words would be split again for each eight
+    eights = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") + 7) / 8).cast("int") - 1), lambda n: F.slice("w", n * 8 + 1, F.lit(8)))
+    groups = table(spark, d, "documents").select("doc_id", F.split("text", " ", -1).alias("w")).select("doc_id", F.posexplode(eights).alias("n", "w"))
+    some = groups.select("doc_id", "n", *[F.coalesce(F.get("w", F.lit(i)), F.lit("")).alias(f"w{i}") for i in range(8)])
     return some.select("doc_id", "n", F.expr(PARAGRAPH).alias("xml"))
 
 

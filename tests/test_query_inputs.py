@@ -14,3 +14,13 @@ def test_all_pages_reach_the_required_pages(spark, monkeypatch):
         if page % 3 == 1:
             want.setdefault(doc, []).append(str(page))
     assert got == {k: "、".join(v) for k, v in want.items()}
+
+
+def test_texts_are_split_once_a_document(spark):
+    from paperloom import queries_objects
+
+    for rows in (queries_objects._refs(spark, SF), queries_objects._paragraphs(spark, SF)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        made = [i for i, line in enumerate(plan) if "Generate" in line]
+        # what stands above a generator is worked out for each of its rows
+        assert made and not any("split(" in plan[i - k] for i in made for k in (1, 2) if i >= k and "Relation" not in plan[i - k] and plan[i - k].lstrip(" :+-").startswith(("Project", "Filter")))
