@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grouped import map_columns
+
 #: Revision elements and the labels that their text gets; the label of text boxes.
 REVISIONS = (("ins", "修订-插入"), ("del", "修订-删除"), ("moveFrom", "修订-移出"), ("moveTo", "修订-移入"))
 TEXT_BOX = "文本框"
@@ -82,8 +87,66 @@ def valid_root(xml: Column, name: str = ROOT, namespace: str = NAMESPACE) -> Col
     return F.coalesce(F.transform(F.array(root(xml)), lambda r: (r["name"] == name) & r["namespace"].startswith(namespace))[0], F.lit(False))
 
 
-def _line(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(text, "[\r\n]", " "), "[ \t]+", " "))
+#: Elements that stories() looks at.
+SHOWN = ("p", "tbl", "tr", "tc", "t", "delText", "txbxContent", "tab", "br", "cr", *(n for n, _ in REVISIONS))
+LABELS = ("", TEXT_BOX, *(label for _, label in REVISIONS))
+_BLANKS = re.compile("[ \t\r\n]+")
+
+
+def _lines(toks: list[list]) -> Iterator[tuple]:
+    """(unit, part, item, label, text) of the tokens of one text: running counts of open elements, pieces by place within a unit."""
+    numbers, kinds, names, texts = toks
+    revisions = [n for n, _ in REVISIONS]
+    inside, unit, table = dict.fromkeys(SHOWN, 0), 0, False
+    seen: dict[str, int] = {}
+    held: dict[tuple[int, int, int], list[str]] = {}
+
+    def told() -> Iterator[tuple]:
+        rows: dict[tuple[int, int], list[str]] = {}
+        for part, item, cell in sorted(held):
+            rows.setdefault((part, item), []).append(_BLANKS.sub(" ", "".join(held[part, item, cell])).strip(" "))
+        body = "\t".join(rows.get((0, 0), ()))
+        for (part, item), cells in rows.items():
+            text = "\t".join(cells)
+            if any(cells) and (part != 1 or text not in body):
+                yield unit, part, item, LABELS[part], text
+
+    for i in sorted(range(len(numbers)), key=numbers.__getitem__):
+        kind, name = kinds[i], names[i]
+        piece = None
+        if kind == "text":
+            if unit and inside["t"] + inside["delText"] > 0:
+                piece = texts[i]
+        elif kind == "close":
+            inside[name] -= 1
+        else:
+            if kind == "open":
+                inside[name] += 1
+                if (name == "p" and inside["p"] == 1 and not inside["tbl"]) or (name == "tbl" and inside["tbl"] == 1 and not inside["p"]):
+                    yield from told()
+                    unit, table = unit + 1, name == "tbl"
+                    seen, held = {}, {}
+                if name == "txbxContent" or name in revisions:
+                    seen[name] = seen.get(name, 0) + 1
+            if table and inside["tbl"] == 1 and name in ("tr", "tc"):
+                seen[name] = seen.get(name, 0) + 1
+            if name == "tab":
+                piece = "\t"
+            elif name in ("br", "cr") or (name in ("p", "tc") and table and seen.get("tr")):
+                piece = " "
+        if piece is None or not unit:
+            continue
+        if table:
+            held.setdefault((0, seen.get("tr", 0), seen.get("tc", 0) if seen.get("tr") else 0), []).append(piece)
+            continue
+        if inside["txbxContent"] > 0:
+            held.setdefault((1, seen.get("txbxContent", 0), 0), []).append(piece)
+        elif inside["txbxContent"] == 0:
+            held.setdefault((0, 0, 0), []).append(piece)
+        for part, n in enumerate(revisions, 2):
+            if inside[n] > 0:
+                held.setdefault((part, seen.get(n, 0), 0), []).append(piece)
+    yield from told()
 
 
 def stories(toks: DataFrame, key: list[str]) -> DataFrame:
@@ -92,33 +155,8 @@ def stories(toks: DataFrame, key: list[str]) -> DataFrame:
     A unit is a paragraph or table that lies in no other. Of a paragraph: its text (part 0: texts and deleted texts, tabs,
     breaks as blanks, without its text boxes), the text boxes that this doesn't contain (1) and the texts of the four
     kinds of revisions (2 to 5), with labels. Of a table: a line for each row (part 0, item: row), cells joined by tabs, a
-    nested table's within its cell. Blanks are made single; blank lines are left out.
+    nested table's within its cell. Blanks are made single; blank lines are left out. One shuffle brings the tokens of a
+    text together; they must fit a task.
     """
-    order = Window.partitionBy(*key).orderBy("no")
-    opens, closes = F.col("kind") == "open", F.col("kind") == "close"
-    inside = lambda *names: _count(opens & F.col("name").isin(*names)).over(order) - _count(closes & F.col("name").isin(*names)).over(order)
-    rows = toks.select("*", inside("p").alias("_p"), inside("tbl").alias("_tbl"), inside("t", "delText").alias("_t"), inside("txbxContent").alias("_box"), *[inside(n).alias(f"_{n}") for n, _ in REVISIONS])
-    starts = opens & (((F.col("name") == "p") & (F.col("_p") == 1) & (F.col("_tbl") == 0)) | ((F.col("name") == "tbl") & (F.col("_tbl") == 1) & (F.col("_p") == 0)))
-    rows = rows.withColumn("unit", _count(starts).over(order)).withColumn("_table", F.last(F.when(starts, F.col("name") == "tbl"), ignorenulls=True).over(order))
-    own = Window.partitionBy(*key, "unit").orderBy("no")
-    nth = lambda when: _count(when).over(own)
-    tops = F.col("kind").isin("open", "empty") & (F.col("_tbl") == 1) & F.col("_table")
-    numbers = [nth(tops & (F.col("name") == "tr")).alias("_tr"), nth(tops & (F.col("name") == "tc")).alias("_tc"), nth(opens & (F.col("name") == "txbxContent")).alias("_nbox")]
-    rows = rows.where("unit > 0").select("*", *numbers, *[nth(opens & (F.col("name") == n)).alias(f"_n{n}") for n, _ in REVISIONS])
-    in_cell = F.col("_table") & (F.col("_tr") > 0)
-    piece = (
-        F.when((F.col("kind") == "text") & (F.col("_t") > 0), F.col("text"))
-        .when(F.col("kind").isin("open", "empty") & (F.col("name") == "tab"), "\t")
-        .when(F.col("kind").isin("open", "empty") & F.col("name").isin("br", "cr"), " ")
-        .when(in_cell & F.col("kind").isin("open", "empty") & F.col("name").isin("p", "tc"), " ")
-    )
-    home = F.struct(F.lit(0).alias("part"), F.when(in_cell, F.col("_tr")).otherwise(0).cast("int").alias("item"), F.when(in_cell, F.col("_tc")).otherwise(0).cast("int").alias("cell"))
-    also = lambda when, part, n: F.when(when & ~F.col("_table"), F.struct(F.lit(part).alias("part"), n.cast("int").alias("item"), F.lit(0).alias("cell")))
-    places = [F.when(F.col("_table") | (F.col("_box") == 0), home), also(F.col("_box") > 0, 1, F.col("_nbox")), *[also(F.col(f"_{n}") > 0, i, F.col(f"_n{n}")) for i, (n, _) in enumerate(REVISIONS, 2)]]
-    pieces = rows.withColumn("_piece", piece).where("_piece IS NOT NULL").select(*key, "unit", "_table", "no", "_piece", F.explode(F.filter(F.array(*places), lambda x: x.isNotNull())).alias("_at"))
-    cells = pieces.groupBy(*key, "unit", "_table", "_at.part", "_at.item", "_at.cell").agg(_line(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "_piece"))), lambda x: x["_piece"]), "")).alias("text"))
-    lines = cells.groupBy(*key, "unit", "part", "item").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cell", "text"))), lambda x: x["text"]), "\t").alias("text"), F.max(F.length("text")).alias("_long"))
-    body = F.max(F.when((F.col("part") == 0) & (F.col("item") == 0), F.col("text"))).over(Window.partitionBy(*key, "unit"))
-    lines = lines.withColumn("_body", F.coalesce(body, F.lit("")))
-    label = F.get(F.array(*[F.lit(x) for x in ("", TEXT_BOX, *(label for _, label in REVISIONS))]), F.col("part"))
-    return lines.where((F.col("_long") > 0) & ((F.col("part") != 1) | ~F.col("_body").contains(F.col("text")))).select(*key, "unit", "part", "item", label.alias("label"), "text")
+    shown = toks.where((F.col("kind") == "text") | F.col("name").isin(*SHOWN)).select(*key, "no", "kind", "name", "text")
+    return map_columns(shown, key, _lines, "unit long, part int, item int, label string, text string")

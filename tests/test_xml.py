@@ -28,3 +28,10 @@ def test_stories(spark):
     one = "<w:body><w:p><w:r><w:t>a\n b</w:t></w:r><w:ins w:id='1'><w:t>new</w:t></w:ins><w:rPr><w:ins/></w:rPr></w:p><w:p/><w:p><w:t> </w:t></w:p><w:sdt><w:p><w:t>in</w:t><w:txbxContent><w:p><w:t>in</w:t></w:p></w:txbxContent><w:txbxContent><w:tbl><w:tr><w:tc><w:p><w:t>box</w:t></w:p></w:tc></w:tr></w:tbl></w:txbxContent></w:p></w:sdt><w:tbl><w:tr><w:tc><w:p/></w:tc></w:tr><w:tr><w:tc/><w:tc><w:p><w:t>c</w:t></w:p></w:tc></w:tr></w:tbl></w:body>"
     got = xml.stories(xml.tokens(frame(spark, one, "<a/>", None), ["id"]), ["id"]).orderBy("unit", "part", "item").collect()
     assert [(r["label"], r["text"]) for r in got] == [("", "a b new".replace(" new", "new")), ("修订-插入", "new"), ("", "in"), ("文本框", "box"), ("", "\tc")]
+
+
+def test_stories_take_one_shuffle(spark):
+    # stacked windows over all tokens kept several sorts of a task in memory at once
+    toks = xml.tokens(frame(spark, "<w:p><w:t>a</w:t></w:p>"), ["id"])
+    plan = xml.stories(toks, ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Aggregate") == 1
