@@ -179,7 +179,7 @@ def column_order(spark, d):
     x = c("x") + F.when(col >= 4, 30.0).otherwise(0.0)
     y = c("y") + F.when(heading & (line > 0), 12.0).otherwise(0.0) + F.when((c("page_no") % 2 == 0) & (line >= 5), 20.0).otherwise(0.0)
     width = F.when(heading & (line == 0), 230.0 - x).otherwise(c("width"))
-    units = b.select("doc_id", "page_no", "seq", x.alias("x"), y.alias("y"), width.alias("width"), "height", "text")
+    units = b.select("doc_id", "page_no", "seq", x.alias("x"), y.alias("y"), width.alias("width"), "height")
     return layout.reading_order(units).select("doc_id", "page_no", "seq", "place")
 
 

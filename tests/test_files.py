@@ -46,3 +46,18 @@ def test_a_failing_task_leaves_nothing_behind(spark, tmp_path, bad):
     with pytest.raises(Exception, match="file name|are called"):
         atomic.write_files(rows, f"{tmp_path}/out")
     assert os.listdir(tmp_path) == []
+
+
+def test_stored_rounds_are_compressed_columns(spark):
+    import os
+    from urllib.parse import urlparse
+
+    from pyspark.sql import functions as F
+
+    from paperloom.operators.scratch import kept
+
+    rows = spark.range(200_000).select("id", F.lit(20.0).alias("width"), F.lit("word").alias("text"))
+    stored = kept(rows)
+    files = stored.inputFiles()
+    assert stored.count() == 200_000 and stored.dtypes == rows.dtypes and files
+    assert sum(os.path.getsize(urlparse(f).path) for f in files) < 3_000_000 and kept(rows.limit(0)).count() == 0
