@@ -44,10 +44,7 @@ def csv_to_xlsx(files: DataFrame, limits: ParseLimits) -> DataFrame:
 @route("xlsx", "csv")
 def xlsx_to_csv(files: DataFrame, limits: ParseLimits) -> DataFrame:
     """One sheet: its CSV. More: a ZIP of one for each."""
-    rows = containers.xlsx_rows(files, "file_id", limits).where("error_code IS NULL")
-    many = rows.groupBy("file_id").agg((F.count_distinct("sheet_no") > 1).alias("many"))
-    one = sinks.csv_text(rows.join(many.where("NOT many"), "file_id"), "file_id").select("file_id", F.encode("text", "UTF-8").alias("content"))
-    return one.unionByName(sinks.sheet_archive(rows.join(many.where("many"), "file_id"), "file_id"))
+    return sinks.sheet_files(containers.xlsx_rows(files, "file_id", limits).where("error_code IS NULL"), "file_id")
 
 
 @route("docx", "txt")

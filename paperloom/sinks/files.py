@@ -7,13 +7,14 @@ from __future__ import annotations
 
 import io
 import zipfile
+from itertools import groupby
 from xml.sax.saxutils import escape, quoteattr
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import csv_line, sheet_name
+from ..operators.grouped import dealt, map_groups, map_rows
 
 XML = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
 SHEET_NS = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -68,22 +69,34 @@ def workbook(sheets: list[tuple[str, list[list[str]], list[str], dict[int, float
 
 
 def _files(df: DataFrame, key: str, make) -> DataFrame:
-    """key, content: make(rows of a key as a data frame) -> bytes."""
-    kind = df.schema[key].dataType.simpleString()
-    return df.groupBy(key).applyInPandas(lambda pdf: pd.DataFrame({key: [pdf[key].iloc[0]], "content": [make(pdf)]}), f"{key} {kind}, content binary")
+    """key, content: make(rows of a key as dicts, in no order) -> bytes; many keys to a batch."""
+    return map_groups(df, [key], lambda rows: [(make(rows),)], "content binary")
+
+
+def _by(*names: str):
+    return lambda row: tuple(row[n] for n in names)
 
 
 def xlsx_text(rows: DataFrame, key: str, sheet: str = "Sheet1") -> DataFrame:
     """key, content: rows (row_no, cells) as a workbook of one sheet of text."""
-    return _files(rows.select(key, "row_no", "cells"), key, lambda pdf: workbook([(sheet, [list(r) for r in pdf.sort_values("row_no")["cells"]], [], {}, {})]))
+    return _files(rows.select(key, "row_no", "cells"), key, lambda rows: workbook([(sheet, [r["cells"] for r in sorted(rows, key=_by("row_no"))], [], {}, {})]))
 
 
-def sheet_archive(rows: DataFrame, key: str) -> DataFrame:
-    """key, content: a CSV for each sheet (sheet_no, sheet, row_no, cells) in a ZIP, named `01-name.csv`."""
+def sheet_files(rows: DataFrame, key: str) -> DataFrame:
+    """key, content: the sheets (sheet_no, sheet, row_no, cells) of a key as CSV; more than one in a ZIP, named `01-name.csv`.
+
+    The rows are dealt by key once, and pass once.
+    """
     lines = F.transform(F.array_sort(F.collect_list(F.struct("row_no", csv_line(F.col("cells")).alias("line")))), lambda r: F.concat(r["line"], F.lit("\r\n")))
-    sheets = rows.groupBy(key, "sheet_no", "sheet").agg(F.array_join(lines, "").alias("text"))
-    named = sheets.select(key, "sheet_no", F.format_string("%02d-%s.csv", "sheet_no", sheet_name(F.col("sheet"))).alias("entry"), "text")
-    return _files(named, key, lambda pdf: archive([(r.entry, r.text.encode()) for r in pdf.sort_values("sheet_no").itertuples()]))
+    sheets = dealt(rows, [key]).groupBy(key, "sheet_no", "sheet").agg(F.array_join(lines, "").alias("text"))
+    entry = F.format_string("%02d-%s.csv", "sheet_no", sheet_name(F.col("sheet"))).alias("entry")
+    packed = sheets.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("sheet_no", entry, "text"))).alias("_sheets"))
+
+    def make(sheets: list[dict]) -> bytes:
+        texts = [(s["entry"], s["text"].encode()) for s in sheets]
+        return texts[0][1] if len(texts) == 1 else archive(texts)
+
+    return map_rows(packed, [key], lambda rows: [(make(r["_sheets"]),) for r in rows], "content binary")
 
 
 def xlsx_tables(cells: DataFrame) -> DataFrame:
@@ -92,24 +105,27 @@ def xlsx_tables(cells: DataFrame) -> DataFrame:
     cells: of recognised tables, with text. Row heights follow the grid; a column takes its width from the last table.
     """
 
-    def make(pdf: pd.DataFrame) -> bytes:
+    def parted(rows: list[dict], name: str) -> list[tuple[int, list[dict]]]:
+        return [(k, list(g)) for k, g in groupby(sorted(rows, key=_by(name)), lambda r: r[name])]
+
+    def make(rows: list[dict]) -> bytes:
         sheets = []
-        for page, on_page in pdf.groupby("page_no"):
+        for page, on_page in parted(rows, "page_no"):
             grid: list[list[str]] = []
             merges, heights, widths, top = [], {}, {}, 0
-            for _, table in sorted(on_page.groupby("table_no"), key=lambda t: t[1]["y"].min()):
-                n, m = int(table["rows"].iloc[0]), int(table["cols"].iloc[0])
+            for _, table in sorted(parted(on_page, "table_no"), key=lambda t: min(c["y"] for c in t[1])):
+                n, m = table[0]["rows"], table[0]["cols"]
                 grid += [[""] * m for _ in range(n)]
-                for cell in table.sort_values(["row", "col"]).itertuples():
-                    r, k = top + int(cell.row), int(cell.col)
-                    if cell.text.strip() or not grid[r][k].strip():
-                        grid[r][k] = cell.text
-                    if cell.row_span > 1 or cell.col_span > 1:
-                        merges.append(f"{_column(k)}{r + 1}:{_column(k + int(cell.col_span) - 1)}{r + int(cell.row_span)}")
-                    if cell.row_span == 1:
-                        heights[r] = max(1.0, cell.height * 72 / 25.4)
-                    if cell.col_span == 1:
-                        widths[k] = min(255.0, max(1.0, cell.width / 2))
+                for cell in sorted(table, key=_by("row", "col")):
+                    r, k = top + cell["row"], cell["col"]
+                    if cell["text"].strip() or not grid[r][k].strip():
+                        grid[r][k] = cell["text"]
+                    if cell["row_span"] > 1 or cell["col_span"] > 1:
+                        merges.append(f"{_column(k)}{r + 1}:{_column(k + cell['col_span'] - 1)}{r + cell['row_span']}")
+                    if cell["row_span"] == 1:
+                        heights[r] = max(1.0, cell["height"] * 72 / 25.4)
+                    if cell["col_span"] == 1:
+                        widths[k] = min(255.0, max(1.0, cell["width"] / 2))
                 top += n + 2
                 grid += [[], []]
             sheets.append((f"第{page}页", grid[:-2], merges, heights, widths))
@@ -142,9 +158,9 @@ def word_document(paragraphs: list[tuple[str, bool]]) -> bytes:
 def docx_lines(lines: DataFrame, key: str) -> DataFrame:
     """key, content: lines (page_no, line_no, line) as paragraphs, each page but the first on a new page."""
 
-    def make(pdf: pd.DataFrame) -> bytes:
-        rows = list(pdf.sort_values(["page_no", "line_no"]).itertuples())
-        return word_document([(r.line, i > 0 and r.page_no != rows[i - 1].page_no) for i, r in enumerate(rows)])
+    def make(rows: list[dict]) -> bytes:
+        rows = sorted(rows, key=_by("page_no", "line_no"))
+        return word_document([(r["line"], i > 0 and r["page_no"] != rows[i - 1]["page_no"]) for i, r in enumerate(rows)])
 
     return _files(lines.select(key, "page_no", "line_no", "line"), key, make)
 
@@ -152,4 +168,4 @@ def docx_lines(lines: DataFrame, key: str) -> DataFrame:
 def batch_archive(outputs: DataFrame, reports: DataFrame) -> DataFrame:
     """task_id, content: outputs (entry_name, content, idx) of a task in a ZIP, with its failure report if there is one."""
     rows = outputs.select("task_id", "idx", "entry_name", "content").unionByName(reports.select("task_id", F.lit(2**31 - 1).alias("idx"), F.lit("conversion-report.txt").alias("entry_name"), F.encode("report", "UTF-8").alias("content")))
-    return _files(rows, "task_id", lambda pdf: archive([(r.entry_name, bytes(r.content)) for r in pdf.sort_values("idx").itertuples()]))
+    return _files(rows, "task_id", lambda rows: archive([(r["entry_name"], r["content"]) for r in sorted(rows, key=_by("idx"))]))
