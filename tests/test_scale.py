@@ -3,8 +3,10 @@
 import io
 import zipfile
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from paperloom.operators import grid, layout, paths, quality
 from paperloom.plans.convert import convert
 from paperloom.sinks import files as sinks
 
@@ -25,3 +27,22 @@ def test_workbooks_are_read_once_and_dealt_to_all_parts(spark):
     back = convert(books, "xlsx", "csv")
     assert plan(back).count("MapInPandas") == 1
     assert {r["file_id"]: bytes(r["content"]) for r in back.collect()} == {i: f"a,{i}\r\n".encode() for i in range(300)}
+
+
+def shuffles(df) -> list[str]:
+    return [line for line in plan(df).splitlines() if "Exchange" in line]
+
+
+def rows(df) -> list[tuple]:
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_paths_are_not_shuffled(spark):
+    texts = ["M 0 0 L 1 0 L 1 1 C L 5 5", "L 5 5 M 1 1 X 2 Q 1 2 3 4 L 3 CM 1", None, "", "M 1 2 A 1 1 0 0 1 3 4 S 0 0 C"]
+    df = spark.createDataFrame([(i, t, 0.0, 0.0, None) for i, t in enumerate(texts)], "id int, data string, x double, y double, ctm array<double>")
+    lines, warned = paths.path_lines(df, ["id"]), paths.path_warnings(df, ["id"])
+    assert not shuffles(lines) and not shuffles(warned)
+    found = [r for r in rows(lines) if r[0] != 1]
+    assert found == [(0, 0, 0.0, 0.0, 1.0, 0.0), (0, 1, 1.0, 0.0, 1.0, 1.0), (0, 2, 1.0, 1.0, 0.0, 0.0), (0, 3, 0.0, 0.0, 5.0, 5.0), (4, 0, 1.0, 2.0, 3.0, 4.0)]
+    assert [r[1] for r in rows(lines) if r[0] == 1] == list(range(8))
+    assert rows(warned) == [(1, "CM", 1), (1, "UNKNOWN", 1), (4, "ARC_AS_CHORD", 1)]
