@@ -18,9 +18,14 @@ def char_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def same_characters(left: Column, right: Column) -> Column:
-    """Whether two texts have the same characters equally often, white space aside."""
-    order = lambda t: F.array_sort(F.split(without_space(F.coalesce(t, F.lit(""))), ""))
-    return order(left) == order(right)
+    """Whether two texts have the same characters equally often, white space aside.
+
+    Characters are sorted only where the texts differ and are equally long.
+    """
+    bare = lambda t: without_space(F.coalesce(t, F.lit("")))
+    order = lambda t: F.sort_array(F.split(t, ""))
+    same = lambda p: F.when(p["l"] == p["r"], True).when(F.length(p["l"]) != F.length(p["r"]), False).otherwise(order(p["l"]) == order(p["r"]))
+    return F.transform(F.array(F.struct(bare(left).alias("l"), bare(right).alias("r"))), same)[0]
 
 
 def same_rows(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -37,6 +37,13 @@ def rows(df) -> list[tuple]:
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
+def test_equal_texts_are_not_sorted(spark):
+    pairs = [("a b", "ab", True), ("ab", "ba", True), ("ab", "abb", False), ("aab", "abb", False), (None, " ", True), ("é\U0001f600", "\U0001f600é", True)]
+    df = spark.createDataFrame(pairs, "l string, r string, want boolean").withColumn("same", quality.same_characters(F.col("l"), F.col("r")))
+    assert [r["same"] for r in df.collect()] == [p[2] for p in pairs]
+    assert "CASE WHEN" in plan(df) and "array_sort" not in plan(df)
+
+
 def test_paths_are_not_shuffled(spark):
     texts = ["M 0 0 L 1 0 L 1 1 C L 5 5", "L 5 5 M 1 1 X 2 Q 1 2 3 4 L 3 CM 1", None, "", "M 1 2 A 1 1 0 0 1 3 4 S 0 0 C"]
     df = spark.createDataFrame([(i, t, 0.0, 0.0, None) for i, t in enumerate(texts)], "id int, data string, x double, y double, ctm array<double>")
