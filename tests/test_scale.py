@@ -37,6 +37,40 @@ def rows(df) -> list[tuple]:
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
+DOCS = [(1, " ".join(f"w{i}" for i in range(205))), (1, "two texts  of one id"), (2, ""), (3, None), (4, " \t  a"), (5, "  ".join(["x", "\u3000", "y"] * 70)), (6, " " * 100), (None, "no id")]
+
+
+def test_pages_of_words_are_those_of_their_rows(spark):
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    words, pages = layout.word_blocks(docs), layout.word_pages(docs)
+    lined = layout.visual_lines(words)
+    assert rows(layout.visual_lines(pages).select(*lined.columns)) == rows(lined)
+    whole = layout.paragraphs(layout.paragraph_lines(words))
+    assert rows(layout.page_paragraphs(pages).select(*whole.columns)) == rows(whole) == rows(layout.page_paragraphs(words).select(*whole.columns))
+    parted = layout.column_segments(lined.where("seq % 8 NOT IN (2, 3)")).select("doc_id", "page_no", "seq", "line_no", "segment_no")
+    some = pages.withColumn("_blocks", F.filter("_blocks", lambda b: ~(b["seq"] % 8).isin(2, 3)))
+    found = layout.page_segments(some).select("doc_id", "page_no", F.explode("_segments").alias("s")).select("doc_id", "page_no", F.explode("s.blocks.seq").alias("seq"), "s.line_no", "s.segment_no")
+    assert rows(found) == rows(parted) and any(r["segment_no"] for r in found.collect())
+    units = layout.segment_units(layout.column_segments(lined))
+    place = F.row_number().over(Window.partitionBy("doc_id", "page_no").orderBy("y", "x", "line_no"))
+    text = layout.page_texts(units.withColumn("place", place))
+    assert rows(layout.simple_page_texts(pages)) == rows(layout.simple_page_texts(words)) == rows(text)
+    # only texts are shuffled, by their ids
+    shaken = pages.withColumn("_blocks", F.transform("_blocks", lambda b: b.withField("y", b["y"] + b["seq"] % 8)))
+    for df in (layout.visual_lines(pages), layout.page_paragraphs(pages), layout.document_text(layout.simple_page_texts(pages)), layout.page_segments(pages), layout.beside(shaken)):
+        assert len(shuffles(df)) == 1 and "page_no" not in shuffles(df)[0]
+
+
+def test_blocks_beside_others_are_found_within_bands(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "a"), (3, "a  b")], "doc_id long, text string")
+    shaken = layout.word_blocks(docs).withColumn("y", F.col("y") + (F.col("seq") % 8) * 1.0)
+    all_ = [r.asDict() for r in shaken.collect()]
+    over = lambda a, n, b, m: max(0, min(a + n, b + m) - max(a, b))
+    near = lambda a, b: over(a["y"], 5, b["y"], 5) > 1 and over(a["x"], 20, b["x"], 20) <= 4
+    want = {(a["doc_id"], a["page_no"], a["seq"]) for a in all_ for b in all_ if a["doc_id"] == b["doc_id"] and a["seq"] != b["seq"] and near(a, b)}
+    assert set(rows(layout.beside(shaken))) == want and len(want) == 12
+
+
 def test_equal_texts_are_not_sorted(spark):
     pairs = [("a b", "ab", True), ("ab", "ba", True), ("ab", "abb", False), ("aab", "abb", False), (None, " ", True), ("é\U0001f600", "\U0001f600é", True)]
     df = spark.createDataFrame(pairs, "l string, r string, want boolean").withColumn("same", quality.same_characters(F.col("l"), F.col("r")))
