@@ -18,13 +18,23 @@ def numbered(paragraphs: DataFrame, nums: DataFrame, levels: DataFrame, override
     start. A blank level is "0". Without a definition of its level a paragraph has no signature and isn't numbered;
     restart: an override lets the number's level start at 1.
     """
-    level = F.when(F.coalesce(F.trim("level"), F.lit("")) == "", "0").otherwise(F.col("level")).alias("level")
+    level = F.when(F.coalesce(F.trim("level"), F.lit("")) == "", "0").otherwise(F.col("level").cast("string")).alias("level")
     some = paragraphs.select("doc_id", "seq", "num_id", level)
-    known = nums.groupBy("doc_id", "num_id").agg(F.max("abstract_id").alias("_abstract"))
-    forms = levels.groupBy("doc_id", F.col("abstract_id").alias("_abstract"), "level").agg(F.max(signature(F.col("xml"))).alias("signature"))
-    ones = overrides.where(F.col("start") == 1).select("doc_id", "num_id", "level").distinct().withColumn("restart", F.lit(True))
-    out = some.join(known, ["doc_id", "num_id"], "left").join(forms, ["doc_id", "_abstract", "level"], "left").join(ones, ["doc_id", "num_id", "level"], "left")
-    return out.select("doc_id", "seq", "num_id", "level", "signature", F.coalesce("restart", F.lit(False)).alias("restart"))
+    number = F.col("num_id").try_cast(paragraphs.schema["num_id"].dataType).alias("num_id")
+    known = nums.select("doc_id", number, "abstract_id").where("num_id IS NOT NULL").groupBy("doc_id", "num_id").agg(F.max("abstract_id").alias("a"))
+    named = F.col("level").cast("string").alias("level")
+    forms = levels.select("doc_id", "abstract_id", named, "xml").where("abstract_id IS NOT NULL AND level IS NOT NULL").groupBy("doc_id", "abstract_id", "level").agg(F.max(signature(F.col("xml"))).alias("s"))
+    ones = overrides.where(F.col("start") == 1).select("doc_id", number, named).where("num_id IS NOT NULL AND level IS NOT NULL")
+    # what a document defines is a row of it: one join by document in place of one for each kind of definition
+    of_doc = lambda df, key, value: df.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(key, value))))
+    known = of_doc(known, "num_id", "a").toDF("doc_id", "_known")
+    forms = of_doc(forms, F.struct("abstract_id", "level").alias("k"), "s").toDF("doc_id", "_forms")
+    ones = ones.groupBy("doc_id").agg(F.collect_set(F.struct("num_id", "level")).alias("_ones"))
+    out = some.join(known, "doc_id", "left").join(forms, "doc_id", "left").join(ones, "doc_id", "left")
+    abstract = F.try_element_at("_known", F.col("num_id"))
+    form = F.try_element_at("_forms", F.when(abstract.isNotNull(), F.struct(abstract.alias("abstract_id"), F.col("level"))))
+    restart = F.array_contains("_ones", F.when(F.col("num_id").isNotNull(), F.struct("num_id", "level")))
+    return out.select("doc_id", "seq", "num_id", "level", form.alias("signature"), F.coalesce(restart, F.lit(False)).alias("restart"))
 
 
 def repaired_lists(paragraphs: DataFrame) -> DataFrame:

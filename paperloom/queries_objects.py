@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import glyphs, layout, numbering, objects, paths, pixels, xml
+from .operators import glyphs, grouped, layout, numbering, objects, paths, pixels, xml
 from .registry import query, table
 from .sources import csv
 
@@ -153,7 +153,8 @@ def numbering_repair(spark, d):
     order = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
     q = c("l_quantity").cast("int")
     level = F.when(c("l_linenumber") == 5, "").when(q % 9 == 0, "1").otherwise("0")
-    p = table(spark, d, "lineitem").select(c("l_partkey").alias("doc_id"), F.row_number().over(order).alias("seq"), F.when(q % 11 != 0, c("l_suppkey") % 5).alias("num_id"), level.alias("level"))
+    lines = grouped.dealt_by_rows(table(spark, d, "lineitem"), ["l_partkey"])
+    p = lines.select(c("l_partkey").alias("doc_id"), F.row_number().over(order).alias("seq"), F.when(q % 11 != 0, c("l_suppkey") % 5).alias("num_id"), level.alias("level"))
     used = p.where("num_id IS NOT NULL").select("doc_id", "num_id").distinct()
     nums = used.where("num_id <> 4 OR doc_id % 2 <> 0").select("doc_id", "num_id", (c("num_id") % 2).alias("abstract_id"))
     forms = F.explode(F.array(F.struct(F.lit("0").alias("level"), F.when(c("abstract_id") == 0, "<l> <n/>\n</l> ").otherwise("<l><n/></l>").alias("xml")), F.struct(F.lit("1").alias("level"), F.when(c("abstract_id") == 0, "<l><a/></l>").otherwise("<l><b/> </l>").alias("xml"))))

@@ -3,11 +3,13 @@
 import io
 import zipfile
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from paperloom.operators import grid, layout, paths, quality
+from paperloom.operators import grid, grouped, layout, numbering, paths, quality
 from paperloom.plans.convert import convert
+from paperloom.queries import QUERIES
 from paperloom.sinks import files as sinks
 
 
@@ -95,3 +97,38 @@ def test_segments_of_a_page_are_gathered_once(spark):
     found = grid.linked_lines(df)
     assert len(shuffles(found)) == 1 and "Window" not in plan(found)
     assert sorted((r["doc_id"], r["component"], len(r["lines"])) for r in found.collect()) == [(0, 0, 4), (1, 0, 4), (2, 0, 4)]
+
+
+@pytest.fixture
+def unbroadcast(spark):
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def lineitems(spark, path, n=400):
+    k = F.col("id")
+    some = spark.range(n).select((k % 90).alias("l_orderkey"), (k % 7).cast("int").alias("l_linenumber"), (k % 11).alias("l_partkey"), (k % 13).alias("l_suppkey"), (k % 37).cast("double").alias("l_quantity"), k.cast("double").alias("l_extendedprice"))
+    some.write.parquet(f"{path}/lineitem.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize(("name", "key"), [("numbering_repair", "l_partkey")])
+def test_parts_follow_the_rows_and_are_kept(spark, tmp_path, monkeypatch, unbroadcast, name, key):
+    path = lineitems(spark, tmp_path)
+    whole = QUERIES[name](spark, path)
+    monkeypatch.setattr(grouped, "PART_ROWS", 20)
+    parted = QUERIES[name](spark, path)
+    # every shuffle is by the one key into as many parts as the rows need, not into the session's
+    assert shuffles(parted) and all(f"hashpartitioning({key}" in x and ", 20)" in x for x in shuffles(parted))
+    assert rows(parted) == rows(whole)
+
+
+def test_definitions_of_lists(spark):
+    p = spark.createDataFrame([(1, 1, 7, None), (1, 2, 7, "1"), (1, 3, None, "0"), (1, 4, 8, " "), (1, 5, 9, "0"), (2, 1, 7, "0"), (None, 1, 7, "0")], "doc_id int, seq int, num_id int, level string")
+    nums = spark.createDataFrame([(1, 7, 1), (1, 7, 0), (1, None, 1), (1, 8, None), (1, 9, 5), (None, 7, 1)], "doc_id int, num_id int, abstract_id int")
+    levels = spark.createDataFrame([(1, 1, "0", "<a> <b>"), (1, 1, "0", "<a><a>"), (1, 1, None, "<n>"), (1, None, "0", "<m>"), (None, 1, "0", "<o>")], "doc_id int, abstract_id int, level string, xml string")
+    ones = spark.createDataFrame([(1, 7, "0", 1), (1, 7, "0", 1), (1, 8, "0", 2), (1, None, "0", 1), (1, 9, "0", 1)], "doc_id int, num_id int, level string, start int")
+    got = rows(numbering.numbered(p, nums, levels, ones))
+    assert got == sorted([(1, 1, 7, "0", "<a><b>", True), (1, 2, 7, "1", None, False), (1, 3, None, "0", None, False), (1, 4, 8, "0", None, False), (1, 5, 9, "0", None, True), (2, 1, 7, "0", None, False), (None, 1, 7, "0", None, False)], key=repr)
