@@ -281,7 +281,8 @@ SELECT image_id, CAST(a AS INTEGER) AS x, CAST(b AS INTEGER) AS y, CAST(floor(su
 def upright_pixels(spark, d):
     """Pictures in all orientations, upright and at most 16 pixels long."""
     order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    i = table(spark, d, "lineitem").select(c("l_suppkey").alias("image_id"), (F.row_number().over(order) - 1).alias("i"), (c("l_quantity").cast("bigint") * 5).alias("r"), (c("l_partkey") % 256).alias("g"))
+    lines = grouped.dealt_by_rows(table(spark, d, "lineitem"), ["l_suppkey"])
+    i = lines.select(c("l_suppkey").alias("image_id"), (F.row_number().over(order) - 1).alias("i"), (c("l_quantity").cast("bigint") * 5).alias("r"), (c("l_partkey") % 256).alias("g"))
     width = (17 + c("image_id") % 9).cast("int")
     s = i.groupBy("image_id").agg(F.count(F.lit(1)).alias("n")).select("image_id", width.alias("width"), F.greatest(F.lit(1), F.floor(c("n") / width)).cast("int").alias("height"), (c("image_id") % 10).cast("int").alias("orientation"))
     p = i.select("image_id", (c("i") % width).alias("x"), F.floor(c("i") / width).cast("int").alias("y"), "r", "g")

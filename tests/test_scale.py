@@ -114,7 +114,7 @@ def lineitems(spark, path, n=400):
     return str(path)
 
 
-@pytest.mark.parametrize(("name", "key"), [("numbering_repair", "l_partkey")])
+@pytest.mark.parametrize(("name", "key"), [("numbering_repair", "l_partkey"), ("upright_pixels", "l_suppkey")])
 def test_parts_follow_the_rows_and_are_kept(spark, tmp_path, monkeypatch, unbroadcast, name, key):
     path = lineitems(spark, tmp_path)
     whole = QUERIES[name](spark, path)
