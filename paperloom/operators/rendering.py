@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import mm_to_twips
+from .grouped import dealt
 from .layout import outside
 
 PAGE = ["doc_id", "page_no"]
@@ -110,18 +111,26 @@ def overlay_grid(cells: DataFrame, tables: DataFrame) -> DataFrame:
     several rows is begun in its first and continued in the others.
     """
     keys = [*PAGE, "table_no"]
-    usable = tables.where((F.size("xs") > 1) & (F.size("ys") > 1))
-    rows = F.explode(F.sequence(F.col("row"), F.col("row") + F.col("row_span") - 1))
-    own = cells.select(*keys, F.col("row").alias("_from"), "col", "row_span", F.col("col_span").alias("span"), rows.alias("row"))
-    merge = F.when(F.col("row_span") > 1, F.when(F.col("row") == F.col("_from"), "restart").otherwise("continue"))
-    own = own.select(*keys, "row", "col", "span", merge.alias("merge"), (F.col("row") == F.col("_from")).alias("filled"))
-    taken = own.select(*keys, "row", F.explode(F.sequence("col", F.col("col") + F.col("span") - 1)).alias("col")).distinct()
-    grid = usable.select(*keys, F.explode(F.sequence(F.lit(0), F.size("ys") - 2)).alias("row"), F.size("xs").alias("_n"))
-    free = grid.select(*keys, "row", F.explode(F.sequence(F.lit(0), F.col("_n") - 2)).alias("col")).join(taken, [*keys, "row", "col"], "left_anti")
-    every = own.unionByName(free.select(*keys, "row", "col", F.lit(1).alias("span"), F.lit(None).cast("string").alias("merge"), F.lit(False).alias("filled")))
+    usable = tables.where((F.size("xs") > 1) & (F.size("ys") > 1)).select(*keys, "xs", F.size("ys").alias("_rows"))
+    # the cells of a table are gathered once, as a row with its axes; its grid is then made without another shuffle
+    packed = dealt(cells, keys).groupBy(*keys).agg(F.collect_list(F.struct("row", "col", "row_span", "col_span")).alias("_cells"))
+    every = usable.join(packed, keys, "left")
+
+    def written(cell: Column) -> Column:
+        merge = lambda r: F.when(cell["row_span"] > 1, F.when(r == cell["row"], "restart").otherwise("continue"))
+        return F.transform(F.sequence(cell["row"], cell["row"] + cell["row_span"] - 1), lambda r: F.struct(r.alias("row"), cell["col"].alias("col"), cell["col_span"].alias("span"), merge(r).alias("merge"), (r == cell["row"]).alias("filled")))
+
+    own = F.flatten(F.transform(F.coalesce("_cells", F.array()), written))
+    # places of the grid as numbers, row by row, whose difference is taken by hash
+    n = F.size("xs").cast("long") - 1
+    place = lambda r, k: r.cast("long") * n + k
+    covered = F.flatten(F.transform("_own", lambda o: F.transform(F.filter(F.sequence(o["col"], o["col"] + o["span"] - 1), lambda k: (k >= 0) & (k < n)), lambda k: place(o["row"], k))))
+    free = F.array_except(F.sequence(F.lit(0).cast("long"), (F.col("_rows") - 1) * n - 1), covered)
+    empty = F.transform(free, lambda p: F.struct(F.floor(p / n).cast("int").alias("row"), (p % n).cast("int").alias("col"), F.lit(1).alias("span"), F.lit(None).cast("string").alias("merge"), F.lit(False).alias("filled")))
+    cell = every.withColumn("_own", own).select(*keys, "xs", F.explode(F.concat("_own", empty)).alias("_cell")).select(*keys, "xs", "_cell.*")
     step = lambda i: mm_to_twips(F.element_at("xs", i + 2) - F.element_at("xs", i + 1))
     width = F.aggregate(F.sequence(F.col("col"), F.least(F.col("col") + F.col("span"), F.size("xs") - 1) - 1), F.lit(0).cast("long"), lambda n, i: n + step(i).cast("long"))
-    return every.join(usable.select(*keys, "xs"), keys).select(*keys, "row", "col", "span", "merge", "filled", width.alias("width"))
+    return cell.select(*keys, "row", "col", "span", "merge", "filled", width.alias("width"))
 
 
 def table_xml(grid: DataFrame, texts: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from paperloom.operators import grid, grouped, layout, numbering, paths, quality
+from paperloom.operators import grid, grouped, layout, numbering, paths, quality, rendering
 from paperloom.plans.convert import convert
 from paperloom.queries import QUERIES
 from paperloom.sinks import files as sinks
@@ -132,3 +132,14 @@ def test_definitions_of_lists(spark):
     ones = spark.createDataFrame([(1, 7, "0", 1), (1, 7, "0", 1), (1, 8, "0", 2), (1, None, "0", 1), (1, 9, "0", 1)], "doc_id int, num_id int, level string, start int")
     got = rows(numbering.numbered(p, nums, levels, ones))
     assert got == sorted([(1, 1, 7, "0", "<a><b>", True), (1, 2, 7, "1", None, False), (1, 3, None, "0", None, False), (1, 4, 8, "0", None, False), (1, 5, 9, "0", None, True), (2, 1, 7, "0", None, False), (None, 1, 7, "0", None, False)], key=repr)
+
+
+def test_grids_are_made_of_rows_that_hold_their_cells(spark, unbroadcast):
+    tables = spark.createDataFrame([(1, 1, 1, [0.0, 10.0, 30.0], [0.0, 1.0, 2.0, 3.0]), (2, 1, 1, [0.0, 10.0], [0.0, 1.0]), (3, 1, 1, [0.0], [0.0, 1.0])], "doc_id int, page_no int, table_no int, xs array<double>, ys array<double>")
+    cells = spark.createDataFrame([(1, 1, 1, 0, 0, 2, 1), (1, 1, 1, 2, 0, 1, 2), (1, 1, 1, 2, 0, 1, 1), (1, 1, 1, 0, 1, 1, 2), (3, 1, 1, 0, 0, 1, 1), (4, 1, 1, 0, 0, 1, 1)], "doc_id int, page_no int, table_no int, row int, col int, row_span int, col_span int")
+    grid_ = rendering.overlay_grid(cells, tables)
+    # cells and tables once each; before, free places and the cells made of spans were shuffled too
+    assert len(shuffles(grid_)) == 2
+    one, two = 567, 1134
+    want = [(0, 0, 1, "restart", True, one), (1, 0, 1, "continue", False, one), (2, 0, 2, None, True, one + two), (2, 0, 1, None, True, one), (0, 1, 2, None, True, two), (1, 1, 1, None, False, two)]
+    assert rows(grid_) == sorted([(1, 1, 1, *w) for w in want] + [(2, 1, 1, 0, 0, 1, None, False, one)], key=repr)
