@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.text import binary_content, newlines
+from ..operators.grouped import small_batches
 
 #: By byte-order mark (hex): length of the mark, codec.
 MARKS = (("EFBBBF", 3, "utf-8"), ("FFFE", 2, "utf-16le"), ("FEFF", 2, "utf-16be"))
+#: By codec: whole units of UTF-16 as bytes, none of them half of a pair. The JVM decodes these as they are.
+UNPAIRED = {"utf-16le": r"(?s)^(?:.[^\u00D8-\u00DF])*+\z", "utf-16be": r"(?s)^(?:[^\u00D8-\u00DF].)*+\z"}
 
 
 @F.pandas_udf(StringType())
@@ -40,7 +43,8 @@ def decoded(files: DataFrame, max_bytes: int = 50 << 20, max_pages: int = 500) -
 
     A mark decides the encoding; without one it is UTF-8 if that is valid, else GB18030 with a warning. A file that
     can't be used keeps its row: TEXT_TOO_LARGE, TEXT_ENCODING_UNSUPPORTED, TEXT_BINARY_CONTENT or PAGE_LIMIT_EXCEEDED
-    in error_code, and no text. Line ends become LF. Only files without a mark and not in UTF-8 go through Python.
+    in error_code, and no text. Line ends become LF. Only files without a mark and not in UTF-8, and such in UTF-16 as
+    have pairs of units or are damaged, go through Python, in bounded batches.
     """
     content = F.col("content")
     size = F.length(content)
@@ -53,10 +57,18 @@ def decoded(files: DataFrame, max_bytes: int = 50 << 20, max_pages: int = 500) -
     step = step.withColumn("_body", F.substring(F.col("_body"), skip + 1, size))
     utf8 = F.expr("is_valid_utf8(CAST(_body AS STRING))")
     step = step.withColumn("_plain", F.when((F.col("_codec").isNull() | (F.col("_codec") == "utf-8")) & utf8, F.col("_body").cast("string")))
-    wide = _marked(F.when(F.col("_codec").startswith("utf-16"), F.col("_body")), F.col("_codec"))
+    units = F.decode("_body", "ISO-8859-1")
+    simple, ours = F.lit(False), F.lit(None).cast("string")
+    for name, pattern in UNPAIRED.items():
+        simple = F.when(F.col("_codec") == name, units.rlike(pattern)).otherwise(simple)
+        ours = F.when(F.col("_codec") == name, F.decode("_body", name.upper())).otherwise(ours)
+    step = step.withColumn("_simple", F.coalesce(simple, F.lit(False)))
+    step = step.withColumn("_ours", F.when(F.col("_simple"), ours))
+    wide = _marked(F.when(F.col("_codec").startswith("utf-16") & ~F.col("_simple"), F.col("_body")), F.col("_codec"))
     other = _gb18030(F.when(F.col("_codec").isNull() & ~utf8, F.col("_body")))
+    small_batches(files.sparkSession)
     step = step.withColumn("_wide", wide).withColumn("_other", other)
-    raw = F.coalesce("_plain", "_wide", "_other")
+    raw = F.coalesce("_plain", "_ours", "_wide", "_other")
     guessed = F.col("_plain").isNull() & F.col("_codec").isNull() & F.col("_other").isNotNull()
     pages = F.size(F.split(raw, "\f", -1))
     error = (
@@ -67,7 +79,7 @@ def decoded(files: DataFrame, max_bytes: int = 50 << 20, max_pages: int = 500) -
     )
     step = step.withColumn("error_code", error)
     ok = F.col("error_code").isNull()
-    return step.withColumn("text", F.when(ok, newlines(raw))).withColumn("charset", F.when(ok, F.when(guessed, "GB18030").otherwise(F.upper(F.coalesce("_codec", F.lit("utf-8")))))).withColumn("warning", F.when(ok & guessed, "TEXT_ENCODING_GUESSED")).drop("_codec", "_body", "_plain", "_wide", "_other")
+    return step.withColumn("text", F.when(ok, newlines(raw))).withColumn("charset", F.when(ok, F.when(guessed, "GB18030").otherwise(F.upper(F.coalesce("_codec", F.lit("utf-8")))))).withColumn("warning", F.when(ok & guessed, "TEXT_ENCODING_GUESSED")).drop("_codec", "_body", "_plain", "_simple", "_ours", "_wide", "_other")
 
 
 def pages(text: Column) -> Column:

@@ -4,6 +4,7 @@ import struct
 import zipfile
 import zlib
 
+import pandas as pd
 import pytest
 from plain_csv import plain_csv
 from pyspark.sql import functions as F
@@ -379,3 +380,20 @@ def test_rows_heights_and_spacing(spark):
     stored = spark.createDataFrame([(1, "b"), (1, "a")], "task_id int, path string")
     names = spark.createDataFrame([(1, 0, "first.ofd")], "task_id int, idx int, file_name string")
     assert [(r["path"], r["file_name"]) for r in jobs.recovered_inputs(stored, names).orderBy("idx").collect()] == [("a", "first.ofd"), ("b", "input-2")]
+
+
+def test_units_of_utf_16_are_decoded_without_python(spark, monkeypatch):
+    @F.pandas_udf("string")
+    def refused(content: pd.Series, codec: pd.Series) -> pd.Series:
+        assert content.isna().all()
+        return content.map(lambda _: None).astype(object)
+
+    texts = ["", "a\n", "\nx\r\ny\n", "\u00d8\ud7ff\ue000\ufffd\u0dd8", "d8" * 3000, "\ufeffa"]
+    rows = [(f"{i}{m}", mark + t.encode(m)) for i, t in enumerate(texts) for m, mark in (("utf-16le", b"\xff\xfe"), ("utf-16be", b"\xfe\xff"))]
+    odd = [("pair", b"\xff\xfe" + "a\U0001f600".encode("utf-16le")), ("half", b"\xff\xfe\x00\xd8"), ("odd", b"\xfe\xff\x00a\x00"), ("swapped", b"\xfe\xff\xde\x00\xd8\x00"), ("null", None)]
+    got = {r["k"]: (r["text"], r["error_code"]) for r in decode.decoded(spark.createDataFrame(odd, "k string, content binary")).collect()}
+    bad = (None, "TEXT_ENCODING_UNSUPPORTED")
+    assert got == {"pair": ("a\U0001f600", None), "half": bad, "odd": bad, "swapped": bad, "null": (None, None)}
+    monkeypatch.setattr(decode, "_marked", refused)
+    got = {r["k"]: r["text"] for r in decode.decoded(spark.createDataFrame(rows, "k string, content binary")).collect()}
+    assert got == {f"{i}{m}": t.replace("\r\n", "\n") for i, t in enumerate(texts) for m in ("utf-16le", "utf-16be")}
