@@ -127,7 +127,8 @@ def overlay_grid(cells: DataFrame, tables: DataFrame) -> DataFrame:
     covered = F.flatten(F.transform("_own", lambda o: F.transform(F.filter(F.sequence(o["col"], o["col"] + o["span"] - 1), lambda k: (k >= 0) & (k < n)), lambda k: place(o["row"], k))))
     free = F.array_except(F.sequence(F.lit(0).cast("long"), (F.col("_rows") - 1) * n - 1), covered)
     empty = F.transform(free, lambda p: F.struct(F.floor(p / n).cast("int").alias("row"), (p % n).cast("int").alias("col"), F.lit(1).alias("span"), F.lit(None).cast("string").alias("merge"), F.lit(False).alias("filled")))
-    cell = every.withColumn("_own", own).select(*keys, "xs", F.explode(F.concat("_own", empty)).alias("_cell")).select(*keys, "xs", "_cell.*")
+    # a grid is never empty; as an outer generator it is not worked out once more to filter empty ones
+    cell = every.withColumn("_own", own).select(*keys, "xs", F.explode_outer(F.concat("_own", empty)).alias("_cell")).select(*keys, "xs", "_cell.*")
     step = lambda i: mm_to_twips(F.element_at("xs", i + 2) - F.element_at("xs", i + 1))
     width = F.aggregate(F.sequence(F.col("col"), F.least(F.col("col") + F.col("span"), F.size("xs") - 1) - 1), F.lit(0).cast("long"), lambda n, i: n + step(i).cast("long"))
     return cell.select(*keys, "row", "col", "span", "merge", "filled", width.alias("width"))
