@@ -1,13 +1,14 @@
 """Plans that keep in proportion to their input: how often rows pass, and what is shuffled."""
 
 import io
+import random
 import zipfile
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from paperloom.operators import grid, grouped, layout, numbering, paths, quality, rendering
+from paperloom.operators import grid, grouped, layout, numbering, ocr, paths, quality, rendering
 from paperloom.plans.convert import convert
 from paperloom.queries import QUERIES
 from paperloom.sinks import files as sinks
@@ -143,3 +144,32 @@ def test_grids_are_made_of_rows_that_hold_their_cells(spark, unbroadcast):
     one, two = 567, 1134
     want = [(0, 0, 1, "restart", True, one), (1, 0, 1, "continue", False, one), (2, 0, 2, None, True, one + two), (2, 0, 1, None, True, one), (0, 1, 2, None, True, two), (1, 1, 1, None, False, two)]
     assert rows(grid_) == sorted([(1, 1, 1, *w) for w in want] + [(2, 1, 1, 0, 0, 1, None, False, one)], key=repr)
+
+
+def test_recognised_blocks_meet_native_ones_without_more_shuffles(spark, unbroadcast, monkeypatch):
+    monkeypatch.setattr(ocr, "PAIRS", 7)
+    rnd = random.Random(3)
+    cols = "doc_id int, page_no int, seq int, x double, y double, width double, height double, text string"
+    box = lambda: (rnd.choice([None, float("inf")] + [rnd.uniform(0, 30) for _ in range(30)]), *(rnd.uniform(*r) for r in ((0, 30), (0, 25), (0, 12))))
+    side = lambda n, k: [(rnd.choice([1, 2, None]), rnd.randrange(3), i, *box(), rnd.choice([None, f"t{k}", f"t {rnd.randrange(40)}", "\t"])) for i in range(n)]
+    mine, theirs = side(150, 1), side(90, 2)
+    found, native = spark.createDataFrame(mine, cols), spark.createDataFrame(theirs, cols)
+
+    def repeats(f, n):
+        if None in f[:2] or f[:2] != n[:2]:
+            return False
+        if f[7] is not None and n[7] is not None and "".join(f[7].split()) == "".join(n[7].split()):
+            return True
+        if any(v is None or v == float("inf") for v in (f[3], n[3])):
+            return False
+        (ax, ay, aw, ah), (bx, by, bw, bh) = f[3:7], n[3:7]
+        both = max(0, min(ax + aw, bx + bw) - max(ax, bx)) * max(0, min(ay + ah, by + bh) - max(ay, by))
+        return both / max(0.01, min(aw * ah, bw * bh)) > 0.7
+
+    left = ocr.without_duplicates(found, native)
+    # each side once; before, both were shuffled again for every join
+    assert len(shuffles(left)) == 2
+    assert rows(left) == sorted([f for f in mine if not any(repeats(f, n) for n in theirs)], key=repr) and 20 < left.count() < 130
+    docs = spark.createDataFrame(DOCS[:2], "doc_id long, text string")
+    pages = layout.word_pages(docs).select("doc_id", "page_no", F.col("_blocks").alias("_found"), F.slice("_blocks", 1, 3).alias("_native"))
+    assert len(shuffles(ocr.new_blocks(pages))) == 1
