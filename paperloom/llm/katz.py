@@ -1,16 +1,17 @@
-"""Operator 3: Katz backoff scores with Good-Turing discounts at both orders and exactly normalised backoff weights.
+"""Operator 3: Katz backoff scores of any order with Good-Turing discounts at every order and exactly normalised backoff weights.
 
-Texts become shards: blocks of documents with a local word list, written once. Word and bigram counts are merged in
-hash buckets whose number follows the corpus, stored as tables, and answered to the shards that asked for them, so no
-task and no broadcast holds a share of the corpus that grows with it.
+Texts become shards: blocks of documents with a local word list. Word counts, then the counts of n-grams order by order,
+are merged in hash buckets whose number follows the corpus, stored as tables, and answered to the shards that asked for
+them, so no task and no broadcast holds a share of the corpus that grows with it.
 
-  P(w | h) = d(c) * c(h w) / c(h)      if c = c(h w) > 0; d(c) = 1 for c > K
-           = alpha(h) * P(w)           if c(h w) = 0 and c(h) > 0
-           = P(w)                      if c(h) = 0
+  P(w | h) = d(c) * c(h w) / c(h)      if c = c(h w) > 0; d(c) = 1 for c > K, else that of the order of h w
+           = alpha(h) * P(w | h')      if c(h w) = 0 and c(h) > 0; h' is h without its first word
+           = P(w | h')                 if c(h) = 0
   P(w)     = d'(c) * c(w) / N          if c = c(w) > 0; d' by the words' own counts of counts
            = what the discounts free   if w is unknown, all unknown words being one class
 alpha(h) makes P(. | h) sum to 1 over the training words and the unknown class. Where every count of a history (or of
-all words) is over K, so that nothing is discounted, the counts are divided by their sum and one more instead.
+all words) is over K, so that nothing is discounted, the counts are divided by their sum and one more instead. A text's
+start is a history of one word; a history never reaches over it.
 """
 
 from __future__ import annotations
@@ -24,18 +25,18 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, mix64, slabs, span_hashes, word_spans, written
+from .common import discarded, map_arrow, mix64, slabs, span_hashes, word_spans, written
 
 U64 = np.uint64
-#: Stand-ins for the end of a text (a token) and for what precedes its first word (a history only).
-END, START = U64(0xE0D0E0D0E0D0E0D1), U64(0x57A2757A2757A271)
+#: Stand-in for the end of a text (a token).
+END = U64(0xE0D0E0D0E0D0E0D1)
 #: Counts up to K are discounted.
 K = 5
 #: Tokens of a shard, and bytes of a bucket.
 SHARD_TOKENS, BUCKET_BYTES = 1_600_000, 24 << 20
 #: A history with more training tokens than this is dealt to several buckets by its followers.
 HOT = 500_000
-#: Unigram counts after discounting are whole numbers of 2**-UNIT, so that their sums are exact.
+#: Counts after discounting are whole numbers of 2**-UNIT, so that their sums are exact.
 UNIT = 20
 
 
@@ -173,30 +174,29 @@ def good_turing(n_of: tuple[int, ...]) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Totals:
-    """Bounded figures of a model: tokens, types, training texts, buckets, word types and bigrams by count 1..K+1."""
+    """Bounded figures of a model: tokens, word types, training texts; by order, buckets and types by count 1..K+1."""
 
     tokens: int
     types: int
     texts: int
-    word_parts: int
-    words_of: tuple[int, ...] = ()
-    pair_parts: int = 0
-    n_of: tuple[int, ...] = ()
+    parts: tuple[int, ...]
+    n_of: tuple[tuple[int, ...], ...] = ()
 
-    @property
-    def discounts(self) -> np.ndarray:
-        return good_turing(self.n_of)
+    def few(self, n: int) -> np.ndarray:
+        """Counts 0..K of order n after discounting, in 2**-UNIT; each under its count."""
+        whole = np.arange(K + 1)
+        few = np.round(good_turing(self.n_of[n - 1]) * whole * 2**UNIT).astype(np.int64)
+        return np.minimum(few, np.maximum((whole << UNIT) - 1, 0))
 
-    def weights(self, counts: np.ndarray) -> np.ndarray:
-        """Discounted unigram counts, in 2**-UNIT."""
-        few = np.round(good_turing(self.words_of) * np.arange(K + 1) * 2**UNIT).astype(np.int64)
-        return np.where(counts <= K, few[np.minimum(counts, K)], counts << UNIT)
+    def weights(self, counts: np.ndarray, n: int = 1) -> np.ndarray:
+        """Discounted counts of order n, in 2**-UNIT."""
+        return np.where(counts <= K, self.few(n)[np.minimum(counts, K)], counts << UNIT)
 
     @property
     def mass(self) -> tuple[float, float]:
         """(sum of all unigram weights, that of unknown words)."""
         few = self.weights(np.arange(K + 1))
-        freed = sum(n * ((r << UNIT) - int(few[r])) for r, n in enumerate(self.words_of[:K], 1))
+        freed = sum(n * ((r << UNIT) - int(few[r])) for r, n in enumerate(self.n_of[0][:K], 1))
         whole = self.tokens << UNIT
         return (float(whole), float(freed)) if freed > 0 else (float(whole + (1 << UNIT)), float(1 << UNIT))
 
@@ -206,150 +206,256 @@ class Totals:
         return np.where(counts > 0, self.weights(counts), freed) / whole
 
 
-def _own_words(vocab: np.ndarray, replies: pa.Table, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """The counts and numbers of a shard's words from the buckets' replies."""
-    own, number = np.zeros(len(vocab), np.int64), np.zeros(len(vocab), U64)
-    got = {r["bucket"]: r for r in replies.select(["bucket", "counts", "keys"]).to_pylist()}
-    for p, o in _deal((vocab % U64(parts)).astype(np.int64), parts):
-        own[o], number[o] = unpack(got[p]["counts"], np.int64), unpack(got[p]["keys"], U64)
-    return own, number
+RESOLVED = "shard long, doc_ids array<long>, held array<boolean>, tokens binary, codes binary, own binary, number binary"
+
+
+def resolve(shards: DataFrame, words: DataFrame, parts: int) -> DataFrame:
+    """The shards with their words' counts and numbers in place of hashes."""
+
+    def put(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        for row in left.to_pylist():
+            vocab = unpack(row["vocab"], U64)
+            own, number = np.zeros(len(vocab), np.int64), np.zeros(len(vocab), U64)
+            got = {r["bucket"]: r for r in right.to_pylist()}
+            for p, o in _deal((vocab % U64(parts)).astype(np.int64), parts):
+                own[o], number[o] = unpack(got[p]["counts"], np.int64), unpack(got[p]["keys"], U64)
+            rows.append({k: row[k] for k in ("shard", "doc_ids", "held", "tokens", "codes")} | {"own": pack_counts(own), "number": pack(number)})
+        types = {"shard": pa.int64(), "doc_ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "tokens": pa.binary(), "codes": pa.binary(), "own": pa.binary(), "number": pa.binary()}
+        return pa.table({k: pa.array([r[k] for r in rows], t) for k, t in types.items()})
+
+    left = shards.select("shard", "doc_ids", "held", "tokens", "vocab", "codes")
+    right = words.where("kind = 'reply'").select("shard", "bucket", "counts", "keys")
+    return written(left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(put, RESOLVED), "none")
 
 
-class Pairs:
-    """The distinct (history, word) pairs of a shard and where they are counted; the same each time it is made."""
+class Words:
+    """Order 1 of a shard: its word list; the last code is what precedes a text's first word."""
 
-    def __init__(self, row: dict, counts: np.ndarray, number: np.ndarray, totals: Totals):
-        vocab, codes = unpack(row["vocab"], U64), unpack(row["codes"], np.uint32).astype(np.int64)
+    def __init__(self, row: dict, totals: Totals):
         self.per = unpack(row["tokens"], np.uint32).astype(np.int64)
-        self.codes, v = codes, len(vocab)
-        before = np.empty(len(codes), np.int64)
-        before[1:] = codes[:-1]
-        before[np.cumsum(self.per) - self.per] = v
-        self.keys, self.back = np.unique(before * v + codes, return_inverse=True)
-        self.history, self.word = self.keys // v, self.keys % v
-        train = np.repeat(~np.array(row["held"], bool), self.per)
-        self.trained = np.bincount(self.back[train], minlength=len(self.keys)).astype(np.uint32)
-        hashes = np.concatenate([vocab, [START]]).astype(U64)
-        as_history = np.concatenate([counts, [totals.texts]])
-        salts = np.maximum(1, -(-as_history // HOT))
-        parts = totals.pair_parts
-        # every salt of each history in the shard, so that sums over a hot history's followers are complete
-        used = np.unique(self.history)
+        self.back = unpack(row["codes"], np.uint32).astype(np.int64)
+        self.place = np.arange(len(self.back)) - np.repeat(np.cumsum(self.per) - self.per, self.per)
+        self.train = np.repeat(~np.array(row["held"], bool), self.per)
+        own = unpack_counts(row["own"]).astype(np.int64)
+        self.size = len(own)
+        self.count = np.append(own, totals.texts)
+        # numbers from 1; 0 is the start
+        self.columns = [np.append(unpack(row["number"], U64) + U64(1), U64(0))]
+        self.salt = np.maximum(1, -(-self.count // HOT))
+
+
+class Grams:
+    """The distinct n-grams of a shard and where they are counted; the same each time it is made.
+
+    back: the gram that ends at each token, -1 where the text's start is nearer. history, lower: the grams of order n-1
+    without the last and without the first word. columns: the word numbers of a gram, from its last word to its first.
+    A slot is a history, or its share of followers if it is hot: `salts` slots, all asked for.
+    """
+
+    def __init__(self, n: int, words: Words, below: "Words | Grams", parts: int):
+        v, self.below = words.size, below
+        at = np.flatnonzero(words.place >= n - 2)
+        before = below.back[at - 1]
+        if n == 2:
+            before[words.place[at] == 0] = v
+        keys, back = np.unique(before * v + words.back[at], return_inverse=True)
+        self.back = np.full(len(words.back), -1, np.int64)
+        self.back[at] = back
+        self.history, self.word = keys // v, keys % v
+        self.lower = np.empty(len(keys), np.int64)
+        self.lower[back] = below.back[at]
+        self.trained = np.bincount(back[words.train[at]], minlength=len(keys)).astype(np.uint32)
+        self.gram = words.columns[0][self.word]
+        self.columns = [self.gram, *(c[self.history] for c in below.columns)]
+        total = below.count
+        used = np.flatnonzero(np.bincount(self.history, minlength=len(total)))
+        salts = np.maximum(1, -(-total // HOT))
         each = salts[used]
-        self.slot_history = np.repeat(used, each)
-        salt = np.arange(len(self.slot_history)) - np.repeat(np.cumsum(each) - each, each)
-        with np.errstate(over="ignore"):
-            slot_hash = mix64(hashes[self.slot_history] + salt.astype(U64) * U64(0x9E3779B97F4A7C15))
-            mine = (mix64(hashes[self.word] ^ U64(0xA5A5A5A5A5A5A5A5)) % salts[self.history].astype(U64)).astype(np.int64)
-        self.gram = number[self.word]
-        begin = np.zeros(v + 1, np.int64)
+        begin = np.zeros(len(total), np.int64)
         begin[used] = np.cumsum(each) - each
-        self.slot = begin[self.history] + mine
-        self.slot_hash, self.slot_bucket = slot_hash, (slot_hash % U64(parts)).astype(np.int64)
-
-    def buckets(self, parts: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(bucket, its history slots, its pairs grouped in the order of the slots)."""
-        pair_order = np.argsort(self.slot, kind="stable")
-        sorted_slots = self.slot[pair_order]
-        lo, hi = np.searchsorted(sorted_slots, np.arange(len(self.slot_hash))), np.searchsorted(sorted_slots, np.arange(len(self.slot_hash)), "right")
-        for p, slots in _deal(self.slot_bucket, parts):
-            n = hi[slots] - lo[slots]
-            upto = np.cumsum(n)
-            yield p, slots, pair_order[np.repeat(lo[slots] - (upto - n), n) + np.arange(int(upto[-1]))]
+        self.of = np.repeat(used, each)
+        self.salt = (np.arange(len(self.of)) - np.repeat(begin[used], each)).astype(U64)
+        names = [c[self.of] for c in below.columns]
+        with np.errstate(over="ignore"):
+            # a last word's histories share a bucket, those of a frequent one several, by the word before it
+            share = mix64(names[1]) % words.salt[below.word[self.of]].astype(U64) if n > 2 else U64(0)
+            bucket = (mix64(names[0] + self.salt * U64(0x9E3779B97F4A7C15) + share * U64(0xD6E8FEB86659FD93)) % U64(parts)).astype(np.int64)
+            slot = begin[self.history] + (mix64(self.gram ^ U64(0xA5A5A5A5A5A5A5A5)) % salts[self.history].astype(U64)).astype(np.int64)
+        order = np.lexsort((names[0], bucket))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.of, self.salt, self.names, self.bucket = self.of[order], self.salt[order], [c[order] for c in names], bucket[order]
+        slot = rank[slot]
+        self.order = np.argsort(slot, kind="stable")
+        self.n = np.bincount(slot, minlength=len(order))
+        # backoff weights are of use only where a gram may be unknown and its history isn't
+        wanted = np.zeros(len(total), bool)
+        wanted[self.history[self.trained == 0]] = True
+        self.wanted = (wanted & (total > 0))[self.of]
+        self.count = np.zeros(len(keys), np.int64)
+
+    def buckets(self, parts: int) -> Iterator[tuple[int, slice, np.ndarray]]:
+        """(bucket, its slots, its grams grouped in the order of the slots)."""
+        cuts, ends = np.searchsorted(self.bucket, np.arange(parts + 1)), np.append(0, np.cumsum(self.n))
+        for p in np.flatnonzero(np.diff(cuts)).tolist():
+            a, b = cuts[p], cuts[p + 1]
+            yield p, slice(a, b), self.order[ends[a] : ends[b]]
+
+    def hear(self, got: dict[int, dict], parts: int) -> None:
+        for p, _, o in self.buckets(parts):
+            self.count[o] = unpack_counts(got[p]["counts"])
+
+
+def _levels(row: dict, replies: list[dict], totals: Totals, most: int) -> tuple[Words, list[Grams]]:
+    """The orders of a shard up to `most`, with their counts where replies has them."""
+    words = Words(row, totals)
+    grams, below = [], words
+    for n in range(2, most + 1):
+        grams.append(Grams(n, words, below, totals.parts[n - 1]))
+        below = grams[-1]
+        got = {r["bucket"]: r for r in replies if r["order"] == n}
+        if got:
+            below.hear(got, totals.parts[n - 1])
+    return words, grams
+
+
+def _dense(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(a row of each distinct tuple, the tuple's number for each row)."""
+    first, code = np.unique(columns[0], return_index=True, return_inverse=True)[1:]
+    for c in columns[1:]:
+        top = int(c.max(initial=0)) + 1
+        if top == 1:
+            continue
+        if top * (len(first) + 1) >= 1 << 62:
+            c = np.unique(c, return_inverse=True)[1]
+            top = int(c.max(initial=0)) + 1
+        first, code = np.unique(code * top + c.astype(np.int64), return_index=True, return_inverse=True)[1:]
+    return first, code
+
+
+ASKED = "bucket int, shard long, names binary, n binary, wanted binary, grams binary, trained binary, low binary"
+
+
+def count_grams(n: int, resolved: DataFrame, below: list[DataFrame], totals: Totals) -> DataFrame:
+    """The table of order n (kind model) and, by shard, its grams' counts and its histories' sums (kind reply).
+
+    below: the tables of the orders 2 to n-1.
+    """
+    parts = totals.parts[n - 1]
+
+    def asks(row: dict, replies: list[dict]) -> list[dict]:
+        rows, (words, grams) = [], _levels(row, replies, totals, n)
+        g = grams[-1]
+        low = g.below.count[g.lower]
+        for p, s, o in g.buckets(parts):
+            # sorted by their first column, which is stored as steps
+            names = [np.diff(g.names[0][s], prepend=U64(0)), *(c[s] for c in g.names[1:]), g.salt[s]]
+            rows.append({"bucket": p, "shard": row["shard"], "names": pack(np.concatenate(names)), "n": pack(g.n[s].astype(np.uint32)), "wanted": pack(g.wanted[s].astype(np.uint8)), "grams": pack(g.gram[o]), "trained": pack(g.trained[o]), "low": pack_counts(low[o], narrow)})
+        return rows
+
+    def asked_table(rows: list[dict]) -> pa.Table:
+        types = {"bucket": pa.int32(), "shard": pa.int64()} | dict.fromkeys(("names", "n", "wanted", "grams", "trained", "low"), pa.binary())
+        return pa.table({k: pa.array([r[k] for r in rows], t) for k, t in types.items()})
 
+    narrow = NARROW
 
-def count_pairs(shards: DataFrame, words: DataFrame, totals: Totals) -> DataFrame:
-    """The bigram table (kind model) and, by shard, its pairs' counts and its histories' sums (kind reply)."""
-    parts = totals.pair_parts
+    def ask_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield from asked_table(asks(batch.slice(i, 1).to_pylist()[0], [])).to_batches()
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = []
-        for row in left.to_pylist():
-            own, number = _own_words(unpack(row["vocab"], U64), right, totals.word_parts)
-            pairs = Pairs(row, own, number, totals)
-            for p, slots, o in pairs.buckets(parts):
-                n = np.bincount(pairs.slot[o], minlength=len(pairs.slot_hash))[slots]
-                rows.append({"bucket": p, "shard": row["shard"], "slots": pack(pairs.slot_hash[slots]), "n": pack(n.astype(np.uint32)), "grams": pack(pairs.gram[o]), "trained": pack(pairs.trained[o]), "low": pack(own[pairs.word[o]].astype(np.uint64))})
-        return pa.table({k: pa.array([r[k] for r in rows], t) for k, t in (("bucket", pa.int32()), ("shard", pa.int64()), ("slots", pa.binary()), ("n", pa.binary()), ("grams", pa.binary()), ("trained", pa.binary()), ("low", pa.binary()))})
-
-    narrow = NARROW
+        replies = right.to_pylist()
+        return asked_table([x for row in left.to_pylist() for x in asks(row, replies)])
 
     def merge(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        slots, ns = ([unpack(x, t) for x in table.column(c).to_pylist()] for c, t in (("slots", U64), ("n", np.uint32)))
-        names, slot = np.unique(np.concatenate(slots), return_inverse=True)
+        joined = lambda c, of: np.concatenate([of(x) for x in table.column(c).to_pylist()])
+        ns = [unpack(x, np.uint32) for x in table.column("n").to_pylist()]
+        wanted = [unpack(x, np.uint8).astype(bool) for x in table.column("wanted").to_pylist()]
+        names = [np.concatenate(c) for c in zip(*(unpack(x, U64).reshape(n, -1) for x in table.column("names").to_pylist()))]
+        begin = np.cumsum([len(x) for x in ns]) - [len(x) for x in ns]
+        steps = np.cumsum(names[0])  # U64 sums wrap, their differences are right
+        names[0] = steps - np.repeat(steps[begin] - names[0][begin], [len(x) for x in ns])
+        head, slot = _dense(names)
+        names, size = [c[head] for c in names], len(head)
         pair_slot = np.repeat(slot, np.concatenate(ns))
-        grams = np.concatenate([unpack(x, U64) for x in table.column("grams").to_pylist()])
-        order = np.lexsort((grams, pair_slot))
-        new = np.ones(len(order), bool)
-        new[1:] = (grams[order][1:] != grams[order][:-1]) | (pair_slot[order][1:] != pair_slot[order][:-1])
-        kind = np.empty(len(order), np.int64)
-        kind[order] = np.cumsum(new) - 1
-        heads = order[new]
-        counts = np.bincount(kind, np.concatenate([unpack(x, np.uint32) for x in table.column("trained").to_pylist()]), len(heads)).astype(np.int64)
-        low = np.concatenate([unpack(x, np.uint64) for x in table.column("low").to_pylist()])[heads].astype(np.int64)
-        of, seen = pair_slot[heads], counts > 0
-        size = len(names)
-        by = lambda w: np.bincount(of[seen], w[seen], size)
-        stats = [by(counts.astype(float)), by(totals.weights(low).astype(float)), *[by((counts == r).astype(float)) for r in range(1, K + 1)]]
-        n_of = [int((counts == r).sum()) for r in range(1, K + 2)]
-        followers = np.bincount(of[seen], minlength=size)
+        grams = joined("grams", lambda x: unpack(x, U64))
+        heads, kind = _dense([pair_slot, grams])
+        counts = np.bincount(kind, joined("trained", lambda x: unpack(x, np.uint32)), len(heads)).astype(np.int64)
+        seen = counts > 0
+        of, low = pair_slot[heads][seen], joined("low", unpack_counts)[heads][seen].astype(np.int64)
+        known = counts[seen]
+        lows = np.bincount(of, totals.weights(low, n - 1), size)
+        few = [np.bincount(of[known == r], minlength=size) for r in range(1, K + 1)]
+        frees = np.bincount(of[known <= K], minlength=size) > 0
+        followers = np.bincount(of, minlength=size)
         has = followers > 0
-        rows = [_row(kind="model", bucket=bucket, keys=pack(grams[heads][seen]), counts=pack_counts(counts[seen], narrow), stats=pack(np.concatenate([names[has], followers[has].astype(U64)])), n_tokens=int(counts.sum()), n_types=int(seen.sum()), n_of=n_of)]
+        n_of = [int((known == r).sum()) for r in range(1, K + 2)]
+        rows = [_row(kind="model", bucket=bucket, keys=pack(grams[heads][seen]), counts=pack_counts(known, narrow), stats=pack(np.concatenate([*(c[has] for c in names), followers[has].astype(U64)])), n_tokens=int(known.sum()), n_types=len(known), n_of=n_of)]
         at = slot_at = 0
-        for shard, s, n in zip(table.column("shard").to_pylist(), slots, ns):
-            k, mine = int(n.sum()), slot[slot_at : slot_at + len(s)]
-            whole = np.concatenate([x[mine] for x in (stats[0], *stats[2:])])
-            rows.append(_row(kind="reply", bucket=bucket, shard=shard, keys=pack(stats[1][mine].astype(np.uint64)), counts=pack_counts(counts[kind[at : at + k]], narrow), stats=pack_counts(whole, narrow)))
-            at, slot_at = at + k, slot_at + len(s)
+        for shard, m, want in zip(table.column("shard").to_pylist(), ns, wanted):
+            k, mine = int(m.sum()), slot[slot_at : slot_at + len(m)]
+            whole = np.concatenate([frees[mine], *(x[mine[want]] for x in few)])
+            rows.append(_row(kind="reply", bucket=bucket, shard=shard, keys=pack(lows[mine[want]].astype(np.uint64)), counts=pack_counts(counts[kind[at : at + k]], narrow), stats=pack_counts(whole, narrow)))
+            at, slot_at = at + k, slot_at + len(m)
         return _table(rows)
 
-    left = shards.select("shard", "held", "tokens", "vocab", "codes")
-    right = words.where("kind = 'reply'").select("shard", "bucket", "counts", "keys")
-    asked = left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(ask, "bucket int, shard long, slots binary, n binary, grams binary, trained binary, low binary")
+    left = resolved.select("shard", "held", "tokens", "codes", "own", "number")
+    asked = left.groupBy("shard").cogroup(_replies(below, "counts").groupBy("shard")).applyInArrow(ask, ASKED) if below else map_arrow(left, ask_first, ASKED)
     return written(asked.groupBy("bucket").applyInArrow(merge, COUNTS), "none")
 
 
-def score_shards(shards: DataFrame, words: DataFrame, pairs_: DataFrame, totals: Totals) -> DataFrame:
-    discount, base = totals.discounts, float(totals.tokens + totals.types + 1)
+def _replies(tables: list[DataFrame], *columns: str) -> DataFrame:
+    """The replies of the tables of orders from 2."""
+    out = None
+    for n, table in enumerate(tables, 2):
+        own = table.where("kind = 'reply'").select("shard", "bucket", F.lit(n).alias("order"), *columns)
+        out = own if out is None else out.union(own)
+    return out
+
+
+def score_shards(resolved: DataFrame, tables: list[DataFrame], totals: Totals) -> DataFrame:
+    base, orders = float(totals.tokens + totals.types + 1), len(tables) + 1
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        kinds = np.array(right.column("order").to_pylist())
-        out = []
+        out, replies = [], right.to_pylist()
         for row in left.to_pylist():
-            own, number = _own_words(unpack(row["vocab"], U64), right.filter(pa.array(kinds == 1)), totals.word_parts)
-            pairs = Pairs(row, own, number, totals)
-            got = {r["bucket"]: r for r in right.filter(pa.array(kinds == 2)).to_pylist()}
-            count = np.zeros(len(pairs.keys), np.int64)
-            sums = np.zeros((K + 2, len(own) + 1))
-            for p, slots, o in pairs.buckets(totals.pair_parts):
-                reply = got[p]
-                count[o] = unpack_counts(reply["counts"])
-                whole = unpack_counts(reply["stats"]).reshape(K + 1, len(slots))
-                h = pairs.slot_history[slots]
-                np.add.at(sums[0], h, whole[0])
-                np.add.at(sums[1], h, unpack(reply["keys"], np.uint64).astype(np.float64))
-                for r in range(1, K + 1):
-                    np.add.at(sums[r + 1], h, whole[r])
-            total, low, few = sums[0], sums[1] / totals.mass[0], sums[2:]
-            r = np.arange(1, K + 1)[:, None]
-            freed = ((1 - discount[1:, None]) * r * few).sum(0)
-            spread = np.where((freed <= 0) & (total > 0), total + 1, total)
-            freed = np.where((freed <= 0) & (total > 0), 1.0, freed)
-            p1 = totals.unigram(own)[pairs.word]
-            h = pairs.history
-            with np.errstate(divide="ignore", invalid="ignore"):
-                seen = discount[np.where(count <= K, count, 0)] * count / spread[h]
-                backoff = freed[h] / spread[h] / (1 - low[h]) * p1
-            logs = np.log10(np.where(total[h] > 0, np.where(count > 0, seen, backoff), p1))
-            ends = np.cumsum(pairs.per)
-            per = lambda x: np.add.reduceat(x, ends - pairs.per) if len(ends) else x[:0]
-            out.append(pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": pairs.per, "n_known": per((own[pairs.codes] > 0).astype(np.int64)), "train_tokens": np.full(len(ends), totals.tokens, np.int64), "base_score": per(np.log10((own[pairs.codes] + 1) / base)), "score": per(logs[pairs.back])}))
+            words, levels = _levels(row, replies, totals, orders)
+            own = words.count[:-1]
+            chance = totals.unigram(own)
+            logs = np.log10(chance)[words.back]
+            spread = np.full(words.size + 1, totals.mass[0] / 2**UNIT)
+            for n, g in enumerate(levels, 2):
+                got = {r["bucket"]: r for r in replies if r["order"] == n}
+                total = g.below.count
+                low, freed, frees = np.zeros(len(total)), np.zeros(len(total)), np.zeros(len(total), bool)
+                few = totals.few(n)
+                for p, s, _ in g.buckets(totals.parts[n - 1]):
+                    whole, of = unpack_counts(got[p]["stats"]), g.of[s]
+                    frees[of[whole[: len(of)] > 0]] = True
+                    of = of[g.wanted[s]]
+                    np.add.at(low, of, unpack(got[p]["keys"], np.uint64).astype(np.float64))
+                    for r, x in enumerate(whole[len(g.of[s]) :].reshape(K, len(of)), 1):
+                        np.add.at(freed, of, ((r << UNIT) - int(few[r])) * x.astype(np.float64))
+                under, spread = spread, np.where(frees, total, total + 1).astype(np.float64)
+                freed = np.where(frees, freed / 2**UNIT, 1.0)
+                if n > 2:  # the sums of the lower order's weights are divided by what its histories are
+                    under = under[g.below.lower]
+                h = g.history
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    alpha = freed / spread / (1 - low / 2**UNIT / under)
+                    seen = totals.weights(g.count, n) / 2**UNIT / spread[h]
+                    chance = np.where(total[h] > 0, np.where(g.count > 0, seen, alpha[h] * chance[g.lower]), chance[g.lower])
+                at = g.back >= 0
+                logs[at] = np.log10(chance)[g.back[at]]
+            ends = np.cumsum(words.per)
+            per = lambda x: np.add.reduceat(x, ends - words.per) if len(ends) else x[:0]
+            out.append(pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": words.per, "n_known": per((own[words.back] > 0).astype(np.int64)), "train_tokens": np.full(len(ends), totals.tokens, np.int64), "base_score": per(np.log10((own[words.back] + 1) / base)), "score": per(logs)}))
         return pa.concat_tables(out) if out else EMPTY.slice(0, 0)
 
-    replies = words.where("kind = 'reply'").select("shard", "bucket", "counts", "stats", "keys", F.lit(1).alias("order")).union(pairs_.where("kind = 'reply'").select("shard", "bucket", "counts", "stats", "keys", F.lit(2).alias("order")))
-    left = shards.select("shard", "doc_ids", "held", "tokens", "vocab", "codes")
-    return left.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(score, SCORES)
+    return resolved.groupBy("shard").cogroup(_replies(tables, "counts", "stats", "keys").groupBy("shard")).applyInArrow(score, SCORES)
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -358,36 +464,45 @@ EMPTY = pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], p
 
 @dataclass(frozen=True)
 class KatzModel:
-    """words, pairs: the tables of counts by bucket (kind model; kind reply is bookkeeping). totals: bounded figures."""
+    """words, pairs, orders: counts by bucket of words, bigrams and each order from 2 (kind model; kind reply is bookkeeping). totals: bounded figures."""
 
     words: DataFrame
     pairs: DataFrame
+    orders: tuple[DataFrame, ...]
     totals: Totals
     scores: DataFrame
 
 
-def katz(docs: DataFrame, training: Column, shard_tokens: int = SHARD_TOKENS) -> KatzModel:
+def katz(docs: DataFrame, training: Column, shard_tokens: int = SHARD_TOKENS, order: int = 2) -> KatzModel:
     """Train on the rows of docs where `training` is not false and score every row's whole text.
 
     scores: doc_id, held_out, n_tokens, n_known, train_tokens, base_score (by add-one unigrams), score (by the model), in log10.
     Words are runs without white space after A-Z are lower-cased; each text ends in one end token. A null or empty
     text is the end alone. Repeated rows count and are scored each; other columns are ignored; an empty table gives
-    no scores; without training rows every probability is that of the unknown class, 1.
+    no scores; without training rows every probability is that of the unknown class, 1. order: words of the longest
+    grams, 2 or more; what they haven't got is looked up an order lower each time.
     """
+    if order < 2:
+        raise ValueError("the order is at least 2")
     shards = make_shards(docs, training, shard_tokens)
-    size = shards.agg(F.sum("n_vocab"), F.sum("n_tokens")).first()
+    size = shards.agg(F.sum("n_vocab"), F.sum("n_tokens"), F.sum(F.size(F.filter("held", lambda x: ~x)))).first()
     word_parts = (size[0] or 0) * 12 // BUCKET_BYTES + 1
     words = count_words(shards, word_parts)
     types = [F.sum(F.element_at("n_of", r)) for r in range(1, K + 2)]
-    got = words.where("kind = 'model'").agg(F.sum("n_tokens"), F.sum("n_types"), *types).first()
-    texts = shards.agg(F.sum(F.size(F.filter("held", lambda x: ~x)))).first()[0] or 0
-    totals = Totals(got[0] or 0, got[1] or 0, texts, word_parts, tuple(x or 0 for x in got[2:]), (size[1] or 0) * 20 // BUCKET_BYTES + 1)
-    pairs = count_pairs(shards, words, totals)
-    totals = replace(totals, n_of=tuple(x or 0 for x in pairs.where("kind = 'model'").agg(*types).first()))
-    return KatzModel(words, pairs, totals, score_shards(shards, words, pairs, totals))
+    found = lambda table: table.where("kind = 'model'").agg(*types, F.sum("n_tokens"), F.sum("n_types")).first()
+    got = found(words)
+    n_of = lambda row: tuple(x or 0 for x in row[: K + 1])
+    parts = (word_parts, *((size[1] or 0) * 10 * n // BUCKET_BYTES + 1 for n in range(2, order + 1)))
+    totals = Totals(got[K + 1] or 0, got[K + 2] or 0, size[2] or 0, parts, (n_of(got),))
+    resolved, tables = resolve(shards, words, word_parts), []
+    discarded(shards)
+    for n in range(2, order + 1):
+        tables.append(count_grams(n, resolved, tables[:], totals))
+        totals = replace(totals, n_of=(*totals.n_of, n_of(found(tables[-1]))))
+    return KatzModel(words, tables[0], tuple(tables), totals, score_shards(resolved, tables, totals))
 
 
 def op3_katz_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all documents by a model of those whose crc32(doc_id) mod 7 is not 2; see katz()."""
+    """Scores of all documents by a trigram model of those whose crc32(doc_id) mod 7 is not 2; see katz()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return katz(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2).scores
+    return katz(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, order=3).scores

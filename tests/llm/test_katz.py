@@ -90,6 +90,60 @@ def test_scores_against_brute_force(spark, monkeypatch, hot, narrow):
         assert sum(ref.p(w, h) for w in ref.uni) + ref.p("<unk>", h) == pytest.approx(1)
 
 
+class Deep:
+    """Katz backoff of any order by plain recursion; a text's start is a history of one word."""
+
+    def __init__(self, texts, order):
+        self.lowest = Brute(texts)
+        self.d, self.follow = {}, {}
+        for n in range(2, order + 1):
+            grams = Counter(tuple(t[i : i + n]) for t in (["<s>"] + tokens(t) for t in texts) for i in range(len(t) - n + 1))
+            self.d[n] = turing(Counter(grams.values()))
+            for g, c in grams.items():
+                self.follow.setdefault(g[:-1], {})[g[-1]] = c
+
+    def p(self, w, h):
+        if not h:
+            return self.lowest.p1(w)
+        f, d = self.follow.get(h), self.d[len(h) + 1]
+        if not f:
+            return self.p(w, h[1:])
+        total = sum(f.values())
+        freed = sum((1 - d[c]) * c for c in f.values() if c <= K.K)
+        if freed <= 0:
+            total, freed = total + 1, 1
+        if w in f:
+            return (d[f[w]] if f[w] <= K.K else 1) * f[w] / total
+        return freed / total / (1 - sum(self.p(x, h[1:]) for x in f)) * self.p(w, h[1:])
+
+
+@pytest.mark.parametrize(("order", "hot", "narrow"), [(3, 500_000, K.NARROW), (3, 5, 1), (4, 5, K.NARROW)])
+def test_every_order_backs_off_to_the_one_below(spark, monkeypatch, order, hot, narrow):
+    monkeypatch.setattr(K, "HOT", hot)
+    monkeypatch.setattr(K, "NARROW", narrow)
+    monkeypatch.setattr(K, "BUCKET_BYTES", 700)
+    texts = TEXTS + ["a a a b " * 9, "the cat sat w1 never on the cat", "b a a b a a a a", "on the 3 cat w2 sat on the 3"] * 2
+    rows = list(enumerate(texts))
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = K.katz(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 2, shard_tokens=60, order=order)
+    ref = Deep([t for i, t in rows if not held(i)], order)
+    assert [sum(r[0] for r in t.where("kind = 'model'").select("n_types").collect()) for t in model.orders] == [sum(len(f) for h, f in ref.follow.items() if len(h) == n) for n in range(1, order)]
+    got = {r["doc_id"]: r["score"] for r in model.scores.collect()}
+    for i, t in rows:
+        w = ["<s>"] + tokens(t)
+        assert got[i] == pytest.approx(sum(math.log10(ref.p(w[k], tuple(w[max(0, k - order + 1) : k]))) for k in range(1, len(w))), rel=1e-5)
+    for h in [("<s>",), ("<s>", "the"), ("on", "the"), ("a", "a"), ("never", "the")]:
+        assert sum(ref.p(x, h) for x in ref.lowest.uni) + ref.p("<unk>", h) == pytest.approx(1)
+
+
+def test_the_query_scores_by_trigrams(spark, tmp_path):
+    rows = [(i, "b x y" if i % 2 else "a x z") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    # y follows x in half of the texts, but always after b
+    assert min(r["score"] for r in K.op3_katz_score(spark, str(tmp_path)).collect()) > math.log10(0.5) - 0.15
+
+
 def test_empty_tables_and_no_training_rows(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert K.katz(docs.limit(0), F.lit(True)).scores.count() == 0
