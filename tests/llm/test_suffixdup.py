@@ -60,6 +60,24 @@ def test_production_length(spark):
     assert remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_runs_of_short_texts_are_found_together(monkeypatch):
+    rng = random.Random(12)
+    raws = [np.frombuffer(bytes(rng.choice(b"ab") for _ in range(n)), np.uint8) for n in [0, 47, 48, 49, 3000, 700, *[rng.randint(40, 400) for _ in range(200)]]]
+    alone = [suffixdup.runs([r], 48, 16)[:4] for r in raws]
+    calls, sums = [], suffixdup._sums
+    monkeypatch.setattr(suffixdup, "_sums", lambda raw: calls.append(len(raw)) or sums(raw))
+    *cols, of = suffixdup.runs(raws, 48, 16)
+    assert len(calls) == 1
+    for i, want in enumerate(alone):
+        assert [c[of == i].tolist() for c in cols] == [c.tolist() for c in want]
+        assert sum((want[3] - want[2] + 1).tolist()) == max(0, len(raws[i]) - 47)
+    monkeypatch.setattr(suffixdup, "JOINED", 500)
+    monkeypatch.setattr(suffixdup, "SLAB", 900)
+    *few, of = suffixdup.runs(raws, 48, 16)
+    for i, r in enumerate(raws):
+        assert sum((few[3] - few[2] + 1)[of == i].tolist()) == max(0, len(r) - 47)
+
+
 @pytest.mark.parametrize(("shards", "stride"), [(1, 4), (2, 8), (3, 2), (2, None)])
 def test_merged_transforms_find_repeated_windows(shards, stride):
     rng = random.Random(shards)
