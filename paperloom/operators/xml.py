@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .grouped import map_columns
+from .grouped import SLICE, map_columns, map_values
 
 #: Revision elements and the labels that their text gets; the label of text boxes.
 REVISIONS = (("ins", "修订-插入"), ("del", "修订-删除"), ("moveFrom", "修订-移出"), ("moveTo", "修订-移入"))
@@ -93,60 +94,124 @@ LABELS = ("", TEXT_BOX, *(label for _, label in REVISIONS))
 _BLANKS = re.compile("[ \t\r\n]+")
 
 
-def _lines(toks: list[list]) -> Iterator[tuple]:
-    """(unit, part, item, label, text) of the tokens of one text: running counts of open elements, pieces by place within a unit."""
-    numbers, kinds, names, texts = toks
-    revisions = [n for n, _ in REVISIONS]
-    inside, unit, table = dict.fromkeys(SHOWN, 0), 0, False
-    seen: dict[str, int] = {}
-    held: dict[tuple[int, int, int], list[str]] = {}
-
-    def told() -> Iterator[tuple]:
-        rows: dict[tuple[int, int], list[str]] = {}
-        for part, item, cell in sorted(held):
-            rows.setdefault((part, item), []).append(_BLANKS.sub(" ", "".join(held[part, item, cell])).strip(" "))
-        body = "\t".join(rows.get((0, 0), ()))
-        for (part, item), cells in rows.items():
-            text = "\t".join(cells)
-            if any(cells) and (part != 1 or text not in body):
-                yield unit, part, item, LABELS[part], text
-
-    for i in sorted(range(len(numbers)), key=numbers.__getitem__):
-        kind, name = kinds[i], names[i]
-        piece = None
-        if kind == "text":
-            if unit and inside["t"] + inside["delText"] > 0:
-                piece = texts[i]
-        elif kind == "close":
-            inside[name] -= 1
-        else:
-            if kind == "open":
-                inside[name] += 1
-                if (name == "p" and inside["p"] == 1 and not inside["tbl"]) or (name == "tbl" and inside["tbl"] == 1 and not inside["p"]):
-                    yield from told()
-                    unit, table = unit + 1, name == "tbl"
-                    seen, held = {}, {}
-                if name == "txbxContent" or name in revisions:
-                    seen[name] = seen.get(name, 0) + 1
-            if table and inside["tbl"] == 1 and name in ("tr", "tc"):
-                seen[name] = seen.get(name, 0) + 1
-            if name == "tab":
-                piece = "\t"
-            elif name in ("br", "cr") or (name in ("p", "tc") and table and seen.get("tr")):
-                piece = " "
-        if piece is None or not unit:
-            continue
-        if table:
-            held.setdefault((0, seen.get("tr", 0), seen.get("tc", 0) if seen.get("tr") else 0), []).append(piece)
-            continue
-        if inside["txbxContent"] > 0:
-            held.setdefault((1, seen.get("txbxContent", 0), 0), []).append(piece)
-        elif inside["txbxContent"] == 0:
-            held.setdefault((0, 0, 0), []).append(piece)
-        for part, n in enumerate(revisions, 2):
-            if inside[n] > 0:
-                held.setdefault((part, seen.get(n, 0), 0), []).append(piece)
-    yield from told()
+def _entity(m: re.Match) -> str:
+    code = int(m[1][1:], 16) if m[1][0] == "x" else int(m[1])
+    return chr(code) if code < 0xD800 or 0xE000 <= code < 0x110000 else "\ufffd"
+
+
+def _plain(token: str) -> str:
+    """The characters of a text token: unescaped() for one that is a value of Python."""
+    if token[0] == "<":
+        return token[9:-3]
+    if "&" not in token:
+        return token
+    out = _NUMBERED.sub(_entity, token)
+    for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        out = out.replace(f"&{name};", sign)
+    return out
+
+
+_NUMBERED = re.compile(r"&#(x[0-9A-Fa-f]{1,6}|[0-9]{1,7});")
+#: The same tokens; texts and tags without quotes, which are most of them, are tried first.
+_TOKENS = re.compile(rf"[^<]+|<[^\"'>!?]*+>|{_TOKEN}")
+_NAME = re.compile(r"</?(?:[^\s:/>]+:)?([^\s/>]+)", re.ASCII)
+#: Tags whose codes are remembered at once.
+TAGS = 4096
+#: Code of a token: 0 for text, OTHER for what stories() passes over, else 1 + 3 * place in SHOWN + place in KINDS.
+KINDS, OTHER = ("open", "close", "empty"), -1
+
+
+def _code(kind: str, name: str | None) -> int:
+    return 0 if kind == "text" else 1 + 3 * SHOWN.index(name) + KINDS.index(kind)
+
+
+class _Codes(dict):
+    """Codes of tokens as they are written."""
+
+    def __missing__(self, token: str) -> int:
+        if token[0] != "<" or token.startswith("<![CDATA["):
+            return 0
+        name, code = _NAME.match(token), OTHER
+        if not token.startswith(("<!", "<?")) and name and name[1] in SHOWN:
+            code = _code("close" if token.startswith("</") else "empty" if token.endswith("/>") else "open", name[1])
+        if len(self) >= TAGS:
+            self.clear()
+        self[token] = code
+        return code
+
+
+def _lines(codes: np.ndarray, tokens: list[str], sizes: list[int], plain=lambda text: text) -> tuple:
+    """Columns (place of the text, unit, part, item, label, text) of the lines of several texts.
+
+    codes and tokens of all texts one after the other, sizes: tokens of each text; plain(token): the characters of a text
+    token. What is open and what was met in a unit are running counts over all tokens at once, less those before the text
+    or the unit; pieces are then sorted by their place within a unit.
+    """
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.flatnonzero(codes != OTHER)
+    codes, owner = codes[at], owner[at]
+    before = np.searchsorted(owner, np.arange(len(sizes)))
+    code = lambda kind, name: codes == _code(kind, name)
+    met = lambda name: code("open", name) | code("empty", name)
+
+    def inside(name: str) -> np.ndarray:
+        total = np.append(0, np.cumsum(code("open", name).astype(np.int32) - code("close", name)))
+        return total[1:] - total[before][owner]
+
+    p, tbl = inside("p"), inside("tbl")
+    begins = (code("open", "p") & (p == 1) & (tbl == 0)) | (code("open", "tbl") & (tbl == 1) & (p == 0))
+    count = np.append(0, np.cumsum(begins))
+    unit = count[1:] - count[before][owner]
+    first = np.append(0, np.flatnonzero(begins))
+    own = first[count[1:]]
+    table = code("open", "tbl")[own] & (unit > 0)
+
+    def seen(event: np.ndarray) -> np.ndarray:
+        total = np.cumsum(event)
+        return total - (total - event)[own]
+
+    tr, tc = (seen(met(n) & table & (tbl == 1)) for n in ("tr", "tc"))
+    text = (codes == 0) & (inside("t") + inside("delText") > 0)
+    tab = met("tab")
+    blank = met("br") | met("cr") | ((met("p") | met("tc")) & table & (tr > 0))
+    piece = np.flatnonzero((text | tab | blank) & (unit > 0))
+    # where pieces go: (token, part, item, cell)
+    box, fields = inside("txbxContent"), table[piece]
+    none = np.zeros(len(codes), np.int64)
+    places = [(piece[fields], 0, tr, np.where(tr > 0, tc, 0)), (piece[~fields & (box[piece] == 0)], 0, none, none)]
+    for part, name in enumerate(("txbxContent", *(n for n, _ in REVISIONS)), 1):
+        opened = ~fields & (inside(name)[piece] > 0)
+        if opened.any():
+            places.append((piece[opened], part, seen(code("open", name)), none))
+    key = [np.concatenate(x) for x in zip(*[(i, count[1:][i], np.full(len(i), part), item[i], cell[i]) for i, part, item, cell in places])]
+    order = np.lexsort(key[:1] + key[:0:-1])
+    token, group, part, item, cell = (k[order] for k in key)
+    chars = [plain(tokens[k]) if c == 0 else "\t" if t else " " for k, c, t in zip(at[piece].tolist(), codes[piece].tolist(), tab[piece].tolist())]
+    pieces = [chars[i] for i in np.searchsorted(piece, token).tolist()]
+    new_line = np.append(True, (np.diff(group) != 0) | (np.diff(part) != 0) | (np.diff(item) != 0))[: len(token)]
+    starts = np.flatnonzero(new_line | np.append(True, np.diff(cell) != 0)[: len(token)])
+    cells = [_single("".join(pieces[i:j]) if j > i + 1 else pieces[i]).strip(" ") for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(pieces)])]
+    lines = np.flatnonzero(new_line[starts])
+    kept, texts, body, last = [], [], "", -1
+    heads = starts[lines]
+    for n, (i, j, g, k, it) in enumerate(zip(lines.tolist(), [*lines[1:].tolist(), len(cells)], group[heads].tolist(), part[heads].tolist(), item[heads].tolist())):
+        line = cells[i] if j == i + 1 else "\t".join(cells[i:j])
+        if g != last or (k == 0 and it == 0):
+            body, last = line if k == 0 and it == 0 else "", g
+        if line.strip("\t") if j > i + 1 else line:
+            if k != 1 or line not in body:
+                kept.append(n)
+                texts.append(line)
+    heads = heads[kept]
+    at = token[heads]
+    return owner[at], unit[at], part[heads], item[heads], [LABELS[k] for k in part[heads].tolist()], texts
+
+
+def _single(text: str) -> str:
+    return _BLANKS.sub(" ", text) if "  " in text or "\n" in text or "\t" in text or "\r" in text else text
+
+
+LINES = "unit long, part int, item int, label string, text string"
 
 
 def stories(toks: DataFrame, key: list[str]) -> DataFrame:
@@ -159,4 +224,38 @@ def stories(toks: DataFrame, key: list[str]) -> DataFrame:
     text together; they must fit a task.
     """
     shown = toks.where((F.col("kind") == "text") | F.col("name").isin(*SHOWN)).select(*key, "no", "kind", "name", "text")
-    return map_columns(shown, key, _lines, "unit long, part int, item int, label string, text string")
+
+
+    def run(toks: list[list]) -> Iterator[tuple]:
+        numbers, kinds, names, texts = toks
+        order = sorted(range(len(numbers)), key=numbers.__getitem__)
+        codes = np.array([_code(kinds[i], names[i]) for i in order], np.int16)
+        _, *columns = _lines(codes, [texts[i] for i in order], [len(order)])
+        return zip(*[x.tolist() if isinstance(x, np.ndarray) else x for x in columns])
+
+    return map_columns(shown, key, run, LINES)
+
+
+def text_stories(parts: DataFrame, key: list[str]) -> DataFrame:
+    """The lines of stories() for each row of parts (key, xml): a text is read within its row.
+
+    No token becomes a row and nothing is shuffled; rows of one key are texts apart.
+    """
+    codes = _Codes()
+
+    def run(texts: Iterator[str | None]) -> Iterator[tuple]:
+        tokens, sizes = [], []
+
+        def told():
+            return _lines(np.fromiter(map(codes.__getitem__, tokens), np.int16, len(tokens)), tokens, sizes, _plain)
+
+        for text in texts:
+            found = _TOKENS.findall(text or "")
+            tokens += found
+            sizes.append(len(found))
+            if len(tokens) >= SLICE:
+                yield len(sizes), told()
+                tokens, sizes = [], []
+        yield len(sizes), told()
+
+    return map_values(parts.select(*key, "xml"), key, run, LINES)

@@ -208,23 +208,34 @@ def csv_records(spark, d):
 
 # ---------------------------------------------------------------- XML
 
-#: One SQL expression for both: eight words as a paragraph (with revisions and a text box) or, every fourth, as a table.
-WORDS = [f"replace(replace(w{i}, '&', '&amp;'), '<', '&lt;')" for i in range(8)]
+#: Eight words `w`, the last of them fewer, as a paragraph (with revisions and a text box) or, every fourth, as a table.
+WORDS = [f"replace(replace(coalesce(get(w, {i}), ''), '&', '&amp;'), '<', '&lt;')" for i in range(7)]
 PARAGRAPH = (
     "CASE WHEN n % 4 = 3 THEN concat('<w:tbl><w:tr><w:tc><w:p><w:t>', {0}, '</w:t></w:p><w:p><w:t>', {1}, '</w:t></w:p></w:tc><w:tc/><w:tc><w:p/></w:tc><w:tc><w:tbl><w:tr><w:tc><w:p><w:t>', {2}, '</w:t></w:p></w:tc></w:tr></w:tbl></w:tc></w:tr><w:tr><w:tc><w:p><w:t>', {3},"
     " '</w:t></w:p></w:tc></w:tr></w:tbl>') ELSE concat('<w:p w:a=\"x>y\"><!-- <w:p> --><w:r><w:t xml:space=\"preserve\">', {0}, ' </w:t><w:tab/><w:t>', {1}, '&#33;</w:t></w:r><w:ins w:id=\"1\"><w:r><w:t>', {2}, '</w:t></w:r></w:ins><w:del><w:delText> ', {3}, '</w:delText></w:del><w:br/>',"
-    " '<w:moveTo><w:t>', {4}, '</w:t></w:moveTo><w:pict><w:txbxContent><w:p><w:t>', {5}, '</w:t></w:p><w:p><w:t>&#x4e00;', {6}, '</w:t></w:p></w:txbxContent></w:pict><w:t><![CDATA[<', w7, ']]></w:t></w:p>') END"
+    " '<w:moveTo><w:t>', {4}, '</w:t></w:moveTo><w:pict><w:txbxContent><w:p><w:t>', {5}, '</w:t></w:p><w:p><w:t>&#x4e00;', {6}, '</w:t></w:p></w:txbxContent></w:pict><w:t><![CDATA[<', coalesce(get(w, 7), ''), ']]></w:t></w:p>') END"
 ).format(*WORDS)
 WORDS_SQL = """w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents),
 n AS (SELECT doc_id, CAST(k AS INTEGER) AS n, """ + ", ".join(f"coalesce(w[8 * k + {i + 1}], '') AS w{i}" for i in range(8)) + " FROM w, unnest(range((len(w) + 7) // 8)) AS g(k))"
 
 
+def _eights(spark, d):
+    """doc_id, g: a document's words in eights; only its text is shuffled, so that few files are no few tasks."""
+    eights = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(w) + 7) / 8).cast("int") - 1), lambda n: F.slice(w, n * 8 + 1, F.lit(8)))
+    texts = grouped.dealt(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"])
+    # in an array of one, so that a text is split once and not again for each eight
+    return texts.select("doc_id", F.transform(F.array(F.split("text", " ", -1)), eights)[0].alias("g"))
+
+
 def _paragraphs(spark, d):
-    # eights of words are cut once a document: a row that carried all words would be split again for each eight
-    eights = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") + 7) / 8).cast("int") - 1), lambda n: F.slice("w", n * 8 + 1, F.lit(8)))
-    groups = table(spark, d, "documents").select("doc_id", F.split("text", " ", -1).alias("w")).select("doc_id", F.posexplode(eights).alias("n", "w"))
-    some = groups.select("doc_id", "n", *[F.coalesce(F.get("w", F.lit(i)), F.lit("")).alias(f"w{i}") for i in range(8)])
-    return some.select("doc_id", "n", F.expr(PARAGRAPH).alias("xml"))
+    """The paragraphs as rows."""
+    return _eights(spark, d).select("doc_id", F.posexplode("g").alias("n", "w")).select("doc_id", "n", F.expr(PARAGRAPH).alias("xml"))
+
+
+def _bodies(spark, d):
+    """doc_id, xml: the paragraphs of each document as one text, made within its row."""
+    body = F.expr(f"array_join(transform(g, (w, n) -> {PARAGRAPH}), '\\n')")
+    return _eights(spark, d).select("doc_id", F.concat(F.lit('<?xml version="1.0"?><w:document><w:body>'), body, F.lit("</w:body></w:document>")).alias("xml"))
 
 
 LINE = "trim(regexp_replace(regexp_replace({0}, '[\\r\\n]', ' ', 'g'), '[ \\t]+', ' ', 'g'))"
@@ -242,9 +253,7 @@ l AS (SELECT doc_id, n, 0 AS part, 0 AS item, '' AS label, body AS text FROM t W
 SELECT doc_id, CAST(n + 1 AS BIGINT) AS unit, CAST(part AS INTEGER) AS part, CAST(item AS INTEGER) AS item, label, text FROM l WHERE text <> ''""")
 def xml_stories(spark, d):
     """Lines of word-processing XML made of all words: paragraphs, revisions, text boxes and nested tables."""
-    p = _paragraphs(spark, d).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "xml"))), lambda x: x["xml"]), "\n").alias("body"))
-    parts = p.select("doc_id", F.concat(F.lit('<?xml version="1.0"?><w:document><w:body>'), "body", F.lit("</w:body></w:document>")).alias("xml"))
-    return xml.stories(xml.tokens(parts, ["doc_id"]), ["doc_id"])
+    return xml.text_stories(_bodies(spark, d), ["doc_id"])
 
 
 @query("xml_roots", """WITH t AS (SELECT page_id, page_id % 8 AS k, coalesce(url, '') AS u FROM pages)

@@ -35,3 +35,41 @@ def test_stories_take_one_shuffle(spark):
     toks = xml.tokens(frame(spark, "<w:p><w:t>a</w:t></w:p>"), ["id"])
     plan = xml.stories(toks, ["id"])._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and plan.count("Aggregate") == 1
+
+
+def test_stories_of_texts_equal_those_of_tokens(spark):
+    box = "<w:txbxContent><w:p><w:t>{}</w:t></w:p></w:txbxContent>"
+    cases = [
+        "<w:p><w:t>a&#65;&#x4e00;&#38;lt;&bad;&#xD800; </w:t><w:tab a='>'/><w:t>\t\n b</w:t><w:br/></w:p>",
+        "<w:p><!-- <w:p> --><?w:p?><w:ins><w:t>x</w:t><w:del><w:delText>y</w:delText></w:del></w:ins><w:ins><w:t>z</w:t></w:ins></w:p>" * 2,
+        f"<w:p><w:t>one two</w:t>{box.format('two')}{box.format('three')}<w:moveFrom><w:t>m</w:t></w:moveFrom></w:p>",
+        "<w:tbl><w:t>before</w:t><w:tr><w:tc><w:p><w:t>1</w:t></w:p></w:tc><w:tc/><w:tc><w:tbl><w:tr><w:tc><w:t>2</w:t></w:tc></w:tr></w:tbl></w:tc></w:tr><w:tr/><w:tr><w:tc><w:t> </w:t></w:tc></w:tr></w:tbl><w:p/><w:p><w:t>after</w:t></w:p>",
+        "</w:p></w:t></w:txbxContent><w:p><w:t>lost</w:t></w:p><w:p><w:t>one more</w:t></w:p>",
+        "<w:p><w:t>open <b <w:p><w:t/>< c <![CDATA[d < &amp; ]]><![CDATA[e",
+        "only text",
+        "",
+        None,
+        "<w:t>outside</w:t><w:p><w:t>x!y</w:t><w:t a=\"<w:p>\">q</w:t></w:p>",
+        "<p><t>no prefix</t></p><v:p><v:t>other</v:t></v:p>",
+    ]
+    parts = frame(spark, *cases)
+    want = sorted(map(tuple, xml.stories(xml.tokens(parts.where("xml NOT LIKE '%D800%'"), ["id"]), ["id"]).collect()))
+    found = xml.text_stories(parts.coalesce(1), ["id"])
+    got = sorted(map(tuple, found.collect()))
+    assert [r for r in got if r[0]] == want and {r[0] for r in want} == {1, 2, 3, 5, 9, 10}
+    assert [r[-1] for r in got if not r[0]] == ["aA一<&bad;\ufffd b"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan
+
+
+def test_xml_stories_of_equal_ids_are_texts_apart(spark, tmp_path):
+    import duckdb
+
+    from paperloom.queries import QUERIES, SQL
+
+    rows = [(1, " ".join("abcdefghij") + " <k> l&m"), (1, "x  y"), (2, ""), (3, None), (4, " ".join(f"w{i}" for i in range(70)))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, QUERIES["xml_stories"](spark, str(tmp_path)).collect()))
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        assert got == sorted(c.execute(SQL["xml_stories"]).fetchall())
