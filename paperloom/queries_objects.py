@@ -174,14 +174,14 @@ SELECT doc_id, page_no, seq, CAST(row_number() OVER (PARTITION BY doc_id, page_n
   CASE WHEN page_no % 3 = 0 AND line = 0 THEN 0 ELSE col // 4 END, line, col) AS INTEGER) AS place FROM b""")
 def column_order(spark, d):
     """Pages of two columns, parts of them below a gap; on every third page a heading over both keeps columns from being cut first."""
-    b = layout.word_blocks(table(spark, d, "documents"))
+    b = layout.word_blocks(layout.documents_together(table(spark, d, "documents").select("doc_id", "text")))
     col, line = c("seq") % 8, F.floor(c("seq") / 8) % 10
     heading = c("page_no") % 3 == 0
     x = c("x") + F.when(col >= 4, 30.0).otherwise(0.0)
     y = c("y") + F.when(heading & (line > 0), 12.0).otherwise(0.0) + F.when((c("page_no") % 2 == 0) & (line >= 5), 20.0).otherwise(0.0)
     width = F.when(heading & (line == 0), 230.0 - x).otherwise(c("width"))
     units = b.select("doc_id", "page_no", "seq", x.alias("x"), y.alias("y"), width.alias("width"), "height")
-    return layout.reading_order(units).select("doc_id", "page_no", "seq", "place")
+    return layout.reading_order(units, together=True).select("doc_id", "page_no", "seq", "place")
 
 
 # ---------------------------------------------------------------- logical records

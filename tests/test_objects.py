@@ -155,3 +155,37 @@ def test_displayed_runs_round_halves_as_their_sql(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     assert [tuple(r) for r in got] == con.execute(SQL["displayed_runs"]).fetchall() and got[0]["baseline"] == 114101562
+
+
+def test_reading_order_stores_no_rounds(spark, monkeypatch):
+    # evenly spaced lines that are all cut apart took a stored round of Spark each
+    writes = []
+    monkeypatch.setattr("pyspark.sql.DataFrameWriter.parquet", lambda *a, **k: writes.append(a))
+    units = spark.range(300).select(F.lit(1).alias("doc_id"), F.lit(1).alias("page_no"), F.col("id").alias("seq"), F.lit(10.0).alias("x"), (F.col("id") * 20.0).alias("y"), F.lit(50.0).alias("width"), F.lit(5.0).alias("height"))
+    got = layout.reading_order(units.repartition(3))
+    assert {r["seq"]: r["place"] for r in got.collect()} == {i: i + 1 for i in range(300)} and not writes
+
+
+def test_reading_order_of_documents_together(spark):
+    rng = random.Random(8)
+    rows = [(doc, page, seq, float(rng.randrange(0, 160, 3)), float(rng.randrange(0, 250, 5)), 8.0, rng.choice([4.0, 9.0]), rng.choice(["a", None])) for doc in (1, 2, 3, None) for page in range(1, 6) for seq in range(rng.choice([1, 7, 30]))]
+    # places without a value come first, in no cut
+    rows += [(2, 1, 98, None, 7.0, 8.0, 4.0, "n"), (2, 1, 99, 50.0, None, 8.0, None, "n")]
+    rng.shuffle(rows)
+    form = "doc_id int, page_no int, seq int, x double, y double, width double, height double, text string"
+    df = spark.createDataFrame(rows, form)
+    want = sorted(map(str, layout.reading_order(df).collect()))
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        # documents and pages that go on over batches, and pages of one document that stand mixed
+        for n in (7, 10000):
+            spark.conf.set(size, n)
+            found = layout.reading_order(layout.documents_together(df), together=True)
+            assert found.columns == [*df.columns, "place"] and sorted(map(str, found.collect())) == want
+    finally:
+        spark.conf.set(size, before)
+    pages = {}
+    for r in layout.reading_order(df).collect():
+        pages.setdefault((r["doc_id"], r["page_no"]), []).append(r["place"])
+    assert all(sorted(x) == list(range(1, len(x) + 1)) for x in pages.values()) and sum(map(len, pages.values())) == len(rows)
